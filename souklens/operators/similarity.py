@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from souklens.functions.numbers import round_half_up
+
 TILE_ROWS = 512
 TILES_PER_SLOT = 16
 CELL_BITS = 6
@@ -42,18 +44,27 @@ def _vector_rows(df: DataFrame, ident: str, vec: str, block: str | None, differ:
 
 
 def _cell_plan(rows: DataFrame) -> DataFrame:
-    """Per (block, cell) the number of tiles, per block the number of slots. Counts only, so small."""
+    """How each block is cut: cell -> merged cell, its number of tiles, and the block's slots.
+
+    Works on counts (at most 64 cells per block). A block keeps only as many leading sign bits as its
+    size needs, so that a small block is one tile and a large one many narrow tiles.
+    """
     counts = rows.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / TILE_ROWS).cast("int")
-    total = F.sum("parts").over(W.partitionBy("block"))
-    return counts.select("block", "cell", parts.alias("parts")).withColumn(
-        "slots", F.ceil(total / TILES_PER_SLOT).cast("int")
+    size = F.sum("n").over(W.partitionBy("block"))
+    bits = F.least(F.lit(CELL_BITS), F.ceil(F.log2(F.ceil(size / TILE_ROWS)))).cast("int")
+    merged = counts.withColumn("bits", bits).withColumn(
+        "merged", F.expr("cell & (shiftleft(1, bits) - 1)")
     )
+    whole = F.sum("n").over(W.partitionBy("block", "merged"))
+    parts = merged.withColumn("parts", F.ceil(whole / TILE_ROWS).cast("int"))
+    tiles = F.sum(F.when(F.col("cell") == F.col("first"), F.col("parts"))).over(W.partitionBy("block"))
+    first = parts.withColumn("first", F.min("cell").over(W.partitionBy("block", "merged")))
+    return first.select("block", "cell", "merged", "parts", F.ceil(tiles / TILES_PER_SLOT).cast("int").alias("slots"))
 
 
 def _tiles(rows: DataFrame, plan: DataFrame) -> DataFrame:
     id_type = rows.schema["id"].dataType
-    salted = rows.join(plan, ["block", "cell"]).withColumn(
+    salted = rows.join(plan, ["block", "cell"]).drop("cell").withColumnRenamed("merged", "cell").withColumn(
         "salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     )
     packed = salted.groupBy("block", "cell", "salt", "slots").agg(
@@ -99,7 +110,7 @@ def _unit(mat: np.ndarray) -> np.ndarray:
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
 
-def _score(threshold, k, differ, skip_equal, ordered, digits):
+def _score(threshold, k, smallest, smaller_right, differ, skip_equal, ordered, digits):
     """Task function: one matrix product per tile pair, best pairs out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +129,19 @@ def _score(threshold, k, differ, skip_equal, ordered, digits):
                     lg = cell["l_grps"].values.to_numpy(zero_copy_only=False)
                     rg = cell["r_grps"].values.to_numpy(zero_copy_only=False)
                     keep &= lg[:, None] != rg[None, :]
-                if ordered:
+                if smaller_right:
+                    keep &= lid[:, None] > rid[None, :]
+                elif ordered:
                     keep &= lid[:, None] < rid[None, :]
                 elif skip_equal:
                     keep &= lid[:, None] != rid[None, :]
-                if k is not None and k < len(rid):
+                if smallest:
+                    by_id = np.argsort(rid, kind="stable")
+                    first = by_id[np.argmax(keep[:, by_id], axis=1)]
+                    hit = keep.any(axis=1)
+                    keep = np.zeros_like(keep)
+                    keep[np.nonzero(hit)[0], first[hit]] = True
+                elif k is not None and k < len(rid):
                     masked = np.where(keep, sims, -np.inf)
                     kth = -np.partition(-masked, k - 1, axis=1)[:, k - 1]
                     keep &= masked >= kth[:, None]
@@ -139,13 +158,15 @@ def _score(threshold, k, differ, skip_equal, ordered, digits):
 def similarity_join(
     left: DataFrame, right: DataFrame, *, ident: str = "id", vec: str = "embedding",
     block: str | None = None, threshold: float | None = None, k: int | None = None,
-    differ: str | None = None, skip_equal: bool = True, ordered: bool = False, digits: int = 6,
+    smallest: bool = False, smaller_right: bool = False, differ: str | None = None, skip_equal: bool = True, ordered: bool = False,
+    digits: int = 6,
 ) -> DataFrame:
     """(left_id, right_id, similarity) of pairs within a block.
 
     ``threshold`` keeps pairs at or above it; ``k`` keeps the k best right rows per left row, equal
-    similarities going to the smaller right id. ``differ`` asks that the two rows differ in a
-    column. The cosine is rounded to ``digits`` first, so ties are decided by id and not by noise.
+    similarities going to the smaller right id; ``smallest`` keeps the smallest right id that reaches
+    the threshold, so no task emits more than one row per left row. ``ordered`` asks for left id < right
+    id, ``smaller_right`` for the reverse, ``differ`` that the two rows differ in a column. The cosine is rounded to ``digits`` first, so ties are decided by id and not by noise.
     """
     if threshold is None and k is None:
         raise ValueError("give a threshold, k, or both")
@@ -172,7 +193,9 @@ def similarity_join(
         T.StructField("right_id", rrows.schema["id"].dataType),
         T.StructField("similarity", T.DoubleType()),
     ])
-    pairs = meetings.mapInArrow(_score(threshold, k, differ is not None, skip_equal, ordered, digits), out)
+    pairs = meetings.mapInArrow(_score(threshold, k, smallest, smaller_right, differ is not None, skip_equal, ordered, digits), out)
+    if smallest:
+        return pairs.groupBy("left_id").agg(F.min("right_id").alias("right_id"))
     if k is None:
         return pairs
     best = W.partitionBy("left_id").orderBy(F.desc("similarity"), F.asc("right_id"))
@@ -205,7 +228,7 @@ def knn_with_fallback(df: DataFrame, k: int, *, category: str, minimum: int = 5,
     same = F.coalesce(F.col("left_cat") == F.col("right_cat"), F.lit(False))
     score = (F.col("similarity") + F.when(same, bonus).otherwise(0.0)) * 0.7 * 100
     scored = joined.select(
-        "left_id", "right_id", F.col("right_cat").alias("category"), F.round("similarity", 4).alias("similarity"),
+        "left_id", "right_id", F.col("right_cat").alias("category"), round_half_up("similarity", 4).alias("similarity"),
         F.round(score.cast("decimal(30,10)"), 1).cast("double").alias("score"),
         F.col("similarity").alias("_sim"),
     )
@@ -243,3 +266,40 @@ def prototypes(df: DataFrame, *, category: str = "category_l1", vec: str = "embe
     mean = F.col("cells.m")
     size = F.sqrt(F.aggregate(mean, F.lit(0.0), lambda s, x: s + x * x))
     return packed.where(size > 0).select("id", "members", F.transform(mean, lambda x: x / size).alias("embedding"))
+
+
+def prototype_audit(df: DataFrame, *, category: str = "category_l1", vec: str = "embedding", minimum: int = 3) -> DataFrame:
+    """Every row of a category with a prototype: similarity to its own and to the nearest prototype."""
+    protos = prototypes(df, category=category, vec=vec, minimum=minimum)
+    rows = df.where(F.col(vec).isNotNull()).join(protos.select(F.col("id").alias(category)), category, "left_semi")
+    named = rows.select(F.col("id").cast("string").alias("id"), F.col(vec).alias("embedding"), F.col(category).alias("_cat"))
+    best = similarity_join(named, protos, k=1, skip_equal=False).select(
+        F.col("left_id").alias("id"), F.col("right_id").alias("predicted"), F.col("similarity").alias("sim_predicted"))
+    own = similarity_join(
+        named, protos.withColumn("_cat", F.col("id")), block="_cat", k=1, skip_equal=False
+    ).select(F.col("left_id").alias("id"), F.col("similarity").alias("sim_actual"))
+    return named.select("id", F.col("_cat").alias("actual")).join(best, "id").join(own, "id").withColumn(
+        "correct", F.col("actual") == F.col("predicted"))
+
+
+def zero_shot(df: DataFrame, labels: DataFrame, threshold: float = 0.20, *, max_labels: int | None = None,
+              block: str | None = None) -> DataFrame:
+    """Label whose vector is nearest, if at or above the threshold; ``block`` limits a row to the labels of its parent.
+
+    With ``max_labels`` a scope with more candidate labels than that is left unclassified.
+    """
+    scope = labels
+    if max_labels is not None:
+        key = [block] if block else []
+        count = labels.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")) if key else None
+        if count is None:
+            if labels.limit(max_labels + 1).count() > max_labels:
+                scope = labels.limit(0)
+        else:
+            scope = labels.join(count.where(F.col("_n") <= max_labels), key, "left_semi")
+    rows = df.withColumn("id", F.col("id").cast("string"))
+    best = similarity_join(rows, scope.withColumn("id", F.col("id").cast("string")), k=1, threshold=threshold,
+                           block=block, skip_equal=False)
+    return rows.drop("embedding").join(
+        best.select(F.col("left_id").alias("id"), F.col("right_id").alias("label"), F.col("similarity").alias("confidence")),
+        "id", "left")
