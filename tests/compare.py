@@ -71,7 +71,7 @@ if __name__ == "__main__":
     prefixes = tuple(sys.argv[2:]) or ("",)
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
                                                  "spark.driver.memory": "8g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel(os.environ.get("LOG", "OFF"))
     con = connect(sf)
     bad = 0
     for name, q in all_queries().items():
