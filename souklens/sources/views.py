@@ -24,7 +24,7 @@ VIEWS: dict[str, str] = {
                concat(p_name, ' ', p_type, ' ', p_brand) as title,
                p_retailprice as price,
                case when p_partkey % 4 = 2 then 'USD' else 'BRL' end as currency,
-               coalesce(concat('L', e.label), 'uncategorized') as category_l1,
+               case when e.label is null then 'uncategorized' else concat('L', e.label) end as category_l1,
                p_type as category_l2,
                case when p_size % 5 = 0 then 'Geral' else concat('S', p_size % 5) end as category_l3,
                coalesce(s.q, 0) as sales_30d,
