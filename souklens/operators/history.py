@@ -184,14 +184,14 @@ def price_span(history: DataFrame, key: str, order: Column) -> DataFrame:
     )
 
 
-def price_drops(matches: DataFrame, products: DataFrame, history: DataFrame, n: int | None = 5) -> DataFrame:
+def price_drops(matches: DataFrame, products: DataFrame, history: DataFrame, n: int | None = 5,
+                ties: tuple[str, ...] = ()) -> DataFrame:
     """Change of the price gap of a match: the latest point against the mean of the three before it.
 
-    Both sides need two points or more. Only the four newest points per product are shuffled.
+    Both sides need two points or more; ``ties`` order points of the same instant. Only the four newest points per product are shuffled.
     """
-    order = [F.desc("recorded_at"), F.desc("l_orderkey"), F.desc("l_linenumber")]
-    four = newest(history.select("product_id", "price", "recorded_at", "l_orderkey", "l_linenumber"),
-                  ["product_id"], order, 4)
+    order = [F.desc(c) for c in ("recorded_at", *ties, "price")]
+    four = newest(history.select("product_id", "price", "recorded_at", *ties), ["product_id"], order, 4)
     recent = four.groupBy("product_id").agg(
         F.max(F.when(F.col("rn") == 1, F.col("price"))).alias("latest"),
         F.avg(F.when(F.col("rn") > 1, F.col("price"))).alias("before"), F.count(F.lit(1)).alias("points"),

@@ -174,7 +174,7 @@ def _(c):
 
 @query("w05_price_drops", f"""with four as (
     select * from (select *, row_number() over (partition by product_id
-        order by recorded_at desc, l_orderkey desc, l_linenumber desc) as rn from price_history) where rn <= 4),
+        order by recorded_at desc, l_orderkey desc, l_linenumber desc, price desc) as rn from price_history) where rn <= 4),
 recent as (select product_id, max(price) filter (where rn = 1) as latest, avg(price) filter (where rn > 1) as before
            from four group by product_id having count(*) >= 2)
 select match_id, substr(a.title, 1, 60) as amazon_title, substr(b.title, 1, 60) as other_title,
@@ -188,25 +188,25 @@ from matches m join products a on a.id = product_a_id join products b on b.id =
 join recent ra on ra.product_id = a.id join recent rb on rb.product_id = b.id
 order by diff_change, match_id limit 20""")
 def _(c):
-    return h.price_drops(matches(c), c.view("products"), c.view("price_history"), 20)
+    return h.price_drops(matches(c), c.view("products"), c.view("price_history"), 20, ("l_orderkey", "l_linenumber"))
 
 
 @query("w06_price_series", """
 select product_id, price, sales_30d, strftime(recorded_at, '%Y-%m-%d') as recorded_at, rn
 from (select *, cast(row_number() over (partition by product_id
-      order by recorded_at desc, l_orderkey desc, l_linenumber desc) as int) as rn from price_history) where rn <= 90""")
+      order by recorded_at desc, l_orderkey desc, l_linenumber desc, price desc) as int) as rn from price_history) where rn <= 90""")
 def _(c):
-    order = [F.desc("recorded_at"), F.desc("l_orderkey"), F.desc("l_linenumber")]
+    order = [F.desc(k) for k in ("recorded_at", "l_orderkey", "l_linenumber", "price")]
     return h.price_series(c.view("price_history"), ["product_id"], order).select(
         "product_id", "price", "sales_30d", F.date_format("recorded_at", "yyyy-MM-dd").alias("recorded_at"), "rn")
 
 
 @query("w06_price_span", """
-select product_id, arg_min(price, (recorded_at, l_orderkey, l_linenumber)) as first_price,
-       arg_max(price, (recorded_at, l_orderkey, l_linenumber)) as last_price, count(*) as points
+select product_id, arg_min(price, (recorded_at, l_orderkey, l_linenumber, price)) as first_price,
+       arg_max(price, (recorded_at, l_orderkey, l_linenumber, price)) as last_price, count(*) as points
 from price_history group by product_id""")
 def _(c):
-    return h.price_span(c.view("price_history"), "product_id", F.struct("recorded_at", "l_orderkey", "l_linenumber"))
+    return h.price_span(c.view("price_history"), "product_id", F.struct("recorded_at", "l_orderkey", "l_linenumber", "price"))
 
 
 @query("j17_match_history", """

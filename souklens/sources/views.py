@@ -50,7 +50,7 @@ VIEWS: dict[str, str] = {
         from {lineitem} as l
     """,
     "listing_products": """
-        select concat(l_orderkey, '-', l_linenumber) as row_id, l_partkey as offer_id,
+        select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as row_id, l_partkey as offer_id,
                p_name as title, l_extendedprice / l_quantity as price_min,
                cast(l_quantity * 100 as bigint) as sales_volume_estimate,
                s_name as supplier_name, p_type as category_label,
