@@ -89,8 +89,9 @@ def _(c):
     return e.best_by_tier(e.match_candidates(*sides(c), threshold=T))
 
 
-TIERED_FINAL = TIERED + """, picked as (
-    select *, row_number() over (partition by right_id order by similarity desc, left_id) as pick from named)
+TIERED_PICKED = TIERED + """, picked as (
+    select *, row_number() over (partition by right_id order by similarity desc, left_id) as pick from named)"""
+TIERED_FINAL = TIERED_PICKED + """
 select left_id, right_id, similarity, tier,
        case when tier = 'medium' then greatest(0.0::double, round(similarity - 0.03::double, 6)) else similarity end as confidence
 from picked where pick = 1"""
@@ -101,9 +102,7 @@ def _(c):
     return e.match_tiered(*sides(c), threshold=T)
 
 
-@query("w04_one_to_one", TIERED + """, picked as (
-    select *, row_number() over (partition by right_id order by similarity desc, left_id) as pick from named)
-select left_id, right_id, similarity, tier from picked where pick = 1""")
+@query("w04_one_to_one", TIERED_PICKED + " select left_id, right_id, similarity, tier from picked where pick = 1")
 def _(c):
     return e.one_to_one(e.best_by_tier(e.match_candidates(*sides(c), threshold=T)))
 
