@@ -48,7 +48,8 @@ def phash_bits(pixels: Column | str) -> Column:
     """1 where a pixel exceeds the upper median (sorted[n/2]) of its grid."""
     p = col(pixels)
     median = F.element_at(F.array_sort(p), (F.floor(F.size(p) / 2) + 1).cast("int"))
-    return F.transform(p, lambda x: F.when(x > median, 1).otherwise(0))
+    # The one-element array has the median worked out once and not for every pixel.
+    return F.transform(F.array(median), lambda m: F.transform(p, lambda x: F.when(x > m, 1).otherwise(0)))[0]
 
 
 def dhash_bits(pixels: Column | str, width: int) -> Column:

@@ -275,21 +275,25 @@ def opportunity_stats(listings: DataFrame, silver: DataFrame) -> DataFrame:
 
 
 def _title_vectors(titles: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
-    """Unit TF-IDF vectors of distinct titles, rare tokens first, and the tokens of the prefix that must be shared.
+    """One row per prefix token of every distinct title, with the unit TF-IDF vector of the title.
 
-    The rest of a vector behind the prefix is shorter than the threshold, so a pair that reaches the threshold shares
-    a token of both prefixes.
+    Tokens are ordered rare first. What follows the prefix is shorter than the threshold, so a pair that reaches the
+    threshold shares a token of both prefixes; ``rest`` is the length of what follows the row's own token.
     """
     tokens = titles.select("title", F.explode(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("token"))
     tf = tokens.groupBy("title", "token").agg(F.count(F.lit(1)).alias("tf")).join(weights, "token")
-    entry = F.struct("df", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    packed = tf.groupBy("title").agg(F.array_sort(F.collect_list(entry)).alias("v"))  # the tokens of one title
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    unit = packed.withColumn("v", F.transform("v", lambda x: F.struct(x["token"].alias("token"), (x["w"] / length).alias("w"))))
-    tail = F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: F.sqrt(F.aggregate(
-        F.slice("v", i, F.size("v")), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
-    needed = F.size(F.filter(tail, lambda x: x >= threshold - 1e-9))
-    return unit.withColumn("prefix", F.transform(F.slice("v", 1, needed), lambda x: x["token"]))
+    title = W.partitionBy("title")  # the tokens of one title
+    onward = title.orderBy("df", "token").rowsBetween(W.currentRow, W.unboundedFollowing)
+    raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
+    unit = raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(title)))
+    tailed = unit.withColumn("square", F.sum(F.col("w") * F.col("w")).over(onward))
+    in_prefix = F.sqrt("square") >= threshold - 1e-9
+    packed = tailed.withColumns({
+        "v": F.collect_list(F.struct("token", "w")).over(title),
+        "prefix": F.array_sort(F.collect_list(F.when(in_prefix, F.struct("df", "token"))).over(title))["token"],
+        "rest": F.sqrt(F.greatest(F.col("square") - F.col("w") * F.col("w"), F.lit(0.0))),
+    })
+    return packed.where(in_prefix).select("title", "v", "prefix", "token", "w", "rest")
 
 
 def title_match(ml: DataFrame, china: DataFrame, *, threshold: float = 0.6, weights: tuple[float, float] = (0.5, 0.5), rate: float = 0.80,
@@ -308,14 +312,17 @@ def title_match(ml: DataFrame, china: DataFrame, *, threshold: float = 0.6, weig
     table = df_counts.join(F.broadcast(total), "_one").select("token", "df", idf.alias("idf"))  # one row
 
     def side(t, s):
-        v = _title_vectors(t, table, threshold)
-        return v.select(F.col("title").alias(f"{s}_title"), F.col("v").alias(f"{s}_v"), F.col("prefix").alias(f"{s}_p"), F.explode("prefix").alias("token"))
-
-    met = side(a, "a").join(side(b, "b"), "token")
-    met = met.where(F.get(F.array_intersect("a_p", "b_p"), F.lit(0)) == F.col("token"))
-    weight = F.map_from_entries("b_v")
-    dot = F.aggregate("a_v", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(weight, x["token"]), F.lit(0.0)))
-    pairs = met.select("a_title", "b_title", F.round(dot, 6).alias("semantic_score")).where(F.col("semantic_score") >= threshold)
+        rows = _title_vectors(t, table, threshold)
+        return rows.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("title", "v", "prefix", "w", "rest")], F.map_from_entries("v").alias(f"{s}_m"))
+
+    met = side(a, "a").drop("a_m").join(side(b, "b").drop("b_v"), "token")
+    # If this token is the first the two share, all they have in common besides it lies in what follows it. The cheap
+    # bound comes first; CASE keeps the dot product to the pairs that pass it and meet here first.
+    bound = F.col("a_w") * F.col("b_w") + F.col("a_rest") * F.col("b_rest")
+    first = F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("token")
+    dot = F.aggregate("a_v", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at("b_m", x["token"]), F.lit(0.0)))
+    semantic = F.when(bound >= threshold - 1e-6, F.when(first, F.round(dot, 6)))
+    pairs = met.select("a_title", "b_title", semantic.alias("semantic_score")).where(F.col("semantic_score") >= threshold)
     distance = F.levenshtein("a_title", "b_title") / F.greatest(F.length("a_title"), F.length("b_title"))
     scored = pairs.withColumns({"normalized_edit_distance": F.round(distance, 6), "fuzzy_score": F.round(1 - distance, 6)})
     scored = scored.withColumn("match_score", F.round((weights[0] * F.col("fuzzy_score") + weights[1] * F.col("semantic_score")).cast("decimal(30,10)"), 6).cast("double"))

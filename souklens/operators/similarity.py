@@ -29,18 +29,13 @@ def _vector_rows(df: DataFrame, ident: str, vec: str, block: str | None, differ:
     The cell is the sign pattern of the leading coordinates: near vectors tend to share it, which keeps
     tiles narrow and lets the angle bound skip pairs.
     """
-    v = F.col(vec)
-    usable = v.isNotNull() & F.exists(v, lambda x: x != 0)
-    cell = sum(
-        (F.when(F.get(v, F.lit(i)) > 0, 1 << i).otherwise(0) for i in range(CELL_BITS)), F.lit(0)
-    )
     key = F.col(block).cast("string") if block else F.lit("")
     group = F.col(differ).cast("string") if differ else F.lit("")
-    rows = df.where(usable).select(
-        key.alias("block"), cell.alias("cell"), F.col(ident).alias("id"),
-        F.coalesce(group, F.lit("")).alias("grp"), v.cast("array<float>").alias("vec"),
-    )
-    return rows.where(F.col("block").isNotNull())
+    rows = df.select(
+        key.alias("block"), F.col(ident).alias("id"), F.coalesce(group, F.lit("")).alias("grp"), F.col(vec).cast("array<float>").alias("vec"))
+    rows = rows.where(F.col("block").isNotNull() & F.exists("vec", lambda x: x != 0))
+    cell = sum((F.when(F.get("vec", F.lit(i)) > 0, 1 << i).otherwise(0) for i in range(CELL_BITS)), F.lit(0))
+    return rows.select("block", cell.alias("cell"), "id", "grp", "vec")
 
 
 def _cell_plan(rows: DataFrame) -> DataFrame:
@@ -90,7 +85,7 @@ def _seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for vecs in batch.column("vecs"):
             n = len(vecs)
             mat = np.asarray(vecs.values.flatten().to_numpy(zero_copy_only=False), dtype="<f4").reshape(n, -1)
-            unit = _unit(mat)
+            unit = unit_rows(mat)
             centre = unit.sum(axis=0)
             length = np.linalg.norm(centre)
             centre = centre / length if length > 1e-9 else unit[0]
@@ -105,7 +100,7 @@ def _seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _unit(mat: np.ndarray) -> np.ndarray:
+def unit_rows(mat: np.ndarray) -> np.ndarray:
     wide = mat.astype("f8")
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
@@ -119,8 +114,8 @@ def _score(threshold, k, smallest, smaller_right, differ, skip_equal, ordered, d
                 cell = {name: batch.column(name)[i] for name in batch.schema.names}
                 lid = cell["l_ids"].values.to_numpy(zero_copy_only=False)
                 rid = cell["r_ids"].values.to_numpy(zero_copy_only=False)
-                left = _unit(np.frombuffer(cell["l_mat"].as_py(), dtype="<f4").reshape(len(lid), -1))
-                right = _unit(np.frombuffer(cell["r_mat"].as_py(), dtype="<f4").reshape(len(rid), -1))
+                left = unit_rows(np.frombuffer(cell["l_mat"].as_py(), dtype="<f4").reshape(len(lid), -1))
+                right = unit_rows(np.frombuffer(cell["r_mat"].as_py(), dtype="<f4").reshape(len(rid), -1))
                 sims = np.round(left @ right.T, digits) + 0.0
                 keep = np.ones(sims.shape, dtype=bool)
                 if threshold is not None:

@@ -48,9 +48,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise reliably and cut lineage, so that a lost executor does not replay an iteration."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write to a table in the shared folder and read it back: cuts lineage, survives lost executors, and computes
+    the rows once, where a reliable RDD checkpoint computes its last stage twice."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

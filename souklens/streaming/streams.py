@@ -76,6 +76,7 @@ def snapshot_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("scraped_at", delay).dropDuplicates(["offer_id", "scraped_at"])
 
 
+VELOCITY_COLUMNS = ["offer_id", "latest_us", "current_sales", "previous_us", "previous_sales", "version"]
 VELOCITY_STATE = "t1 long, s1 long, t2 long, s2 long, n long"
 
 
@@ -92,15 +93,12 @@ def _track(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         t1, s1, t2, s2, n = state.get
         held = [(t1, s1)] + ([(t2, s2)] if t2 is not None else [])
     for f in frames:
-        held = sorted(held + list(f[["t", "s"]].itertuples(index=False, name=None)), reverse=True)[:2]
+        held = sorted([*held, *zip(f["t"].to_numpy().tolist(), f["s"].to_numpy().tolist())], reverse=True)[:2]
     (t1, s1), second = held[0], held[1] if len(held) > 1 else None
     t2, s2 = (int(second[0]), int(second[1])) if second else (None, None)
     n += 1
     state.update((int(t1), int(s1), t2, s2, n))
-    yield pd.DataFrame({
-        "offer_id": [key[0]], "latest_us": [int(t1)], "current_sales": [int(s1)], "previous_us": pd.array([t2], dtype="Int64"),
-        "previous_sales": pd.array([s2], dtype="Int64"), "version": [n],
-    })
+    yield pd.DataFrame([(key[0], t1, s1, t2, s2, n)], columns=VELOCITY_COLUMNS, dtype="object")
 
 
 def velocity_stream(stream: DataFrame) -> DataFrame:
