@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from souklens.functions.numbers import col
 
@@ -33,13 +33,13 @@ def embedding_to_text(c: Column | str) -> Column:
     return F.to_json(col(c))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def embedding_from_blob(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 blob to array<float>."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def embedding_to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import html as html_entities
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from souklens.functions.numbers import col
 from souklens.functions.prices import number_list, parse_price_br, parse_price_us
@@ -17,7 +17,7 @@ from souklens.functions.sales_text import counted, grouped_number, parse_sales_p
 from souklens.functions.text import clean_text, extract, extract_all, pattern, translate_cn_pt
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(texts: pd.Series) -> pd.Series:
     """Character references to text; only titles pass through here."""
     return texts.map(lambda t: None if t is None else html_entities.unescape(t))

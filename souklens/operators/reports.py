@@ -15,7 +15,8 @@ from souklens.operators.edges import both_ways, joined_matches, margin_percent,
 from souklens.operators.history import newest, one_row
 from souklens.operators.quantiles import one_row_values
 
-ROWS = F.count(F.lit(1))
+def row_count() -> Column:
+    return F.count(F.lit(1))
 
 
 def present(c: str) -> Column:
@@ -24,8 +25,8 @@ def present(c: str) -> Column:
 
 def list_categories(listings: DataFrame, factory: DataFrame, label: str = "category_label", factory_label: str = "product_category") -> DataFrame:
     """Label counts of both catalogues added up."""
-    a = listings.where(present(label)).groupBy(F.col(label).alias("label")).agg(ROWS.alias("n"))
-    b = factory.where(present(factory_label)).groupBy(F.col(factory_label).alias("label")).agg(ROWS.alias("n"))
+    a = listings.where(present(label)).groupBy(F.col(label).alias("label")).agg(row_count().alias("n"))
+    b = factory.where(present(factory_label)).groupBy(F.col(factory_label).alias("label")).agg(row_count().alias("n"))
     return a.unionByName(b).groupBy("label").agg(F.sum("n").alias("count"))
 
 
@@ -35,13 +36,13 @@ def category_stats(listings: DataFrame, label: str | None = None) -> DataFrame:
     if label is not None:
         rows = rows.where(F.col("category_label") == label)
     return rows.groupBy("category_label").agg(
-        ROWS.alias("product_count"), F.countDistinct("supplier_name").alias("supplier_count"),
+        row_count().alias("product_count"), F.countDistinct("supplier_name").alias("supplier_count"),
         round_half_up(F.avg("price_min"), 2).alias("avg_price_min"), round_half_up(F.avg("sales_volume_estimate"), 2).alias("avg_sales_volume"),
         round_half_up(F.avg("repurchase_rate"), 1).alias("avg_repurchase_rate"))
 
 
 def region_counts(suppliers: DataFrame) -> DataFrame:
-    return suppliers.where(present("region")).groupBy("region").agg(ROWS.alias("count"))
+    return suppliers.where(present("region")).groupBy("region").agg(row_count().alias("count"))
 
 
 def meta(runs: DataFrame, listings: DataFrame, factory: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -49,9 +50,9 @@ def meta(runs: DataFrame, listings: DataFrame, factory: DataFrame, suppliers: Da
     frames = []
     for kind in ("rankings", "bestsellers"):
         r = runs.where(F.col("kind") == kind)
-        frames.append(r.agg(ROWS.alias(f"{kind}_runs"), F.max("id").alias(f"{kind}_latest_run"), F.coalesce(F.max_by("count", "id"), F.lit(0)).alias(f"{kind}_latest_count")))
-    frames.append(list_categories(listings, factory).agg(ROWS.alias("categories")))
-    frames.append(region_counts(suppliers).agg(ROWS.alias("regions")))
+        frames.append(r.agg(row_count().alias(f"{kind}_runs"), F.max("id").alias(f"{kind}_latest_run"), F.coalesce(F.max_by("count", "id"), F.lit(0)).alias(f"{kind}_latest_count")))
+    frames.append(list_categories(listings, factory).agg(row_count().alias("categories")))
+    frames.append(region_counts(suppliers).agg(row_count().alias("regions")))
     return one_row(*frames)
 
 
@@ -63,7 +64,7 @@ def factories(factory_products: DataFrame, columns: Sequence[str]) -> DataFrame:
 def demand_by_category(silver: DataFrame, n: int = 15) -> DataFrame:
     rows = silver.where(F.col("ml_category").isNotNull() & (F.col("ml_sales_volume") > 0))
     return rows.groupBy("ml_category").agg(
-        ROWS.alias("product_count"), F.sum("ml_sales_volume").alias("total_ml_sales"), round_half_up(F.avg("ml_sales_volume"), 0).alias("avg_ml_sales"),
+        row_count().alias("product_count"), F.sum("ml_sales_volume").alias("total_ml_sales"), round_half_up(F.avg("ml_sales_volume"), 0).alias("avg_ml_sales"),
         round_half_up(F.avg("price_cny"), 2).alias("avg_price_cny")).orderBy(F.desc("total_ml_sales"), F.asc("ml_category")).limit(n)
 
 
@@ -75,7 +76,7 @@ def scout_categories(listings: DataFrame, q: str | None = None, *, high: Sequenc
     if q is not None:
         rows = rows.where(reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(q.lower())) for t in texts]))
     stats = rows.groupBy("category_label").agg(
-        ROWS.alias("product_count"), round_half_up(F.avg("repurchase_rate"), 0).cast("int").alias("avg_repurchase"),
+        row_count().alias("product_count"), round_half_up(F.avg("repurchase_rate"), 0).cast("int").alias("avg_repurchase"),
         round_half_up(F.avg("price_min"), 2).alias("avg_price"), F.sum("sales_volume_estimate").alias("total_sales"))
     first = F.when(F.col("category_label").isin(*high), 0).otherwise(1).alias("tier")
     ranked = stats.withColumn("tier", first)
@@ -128,12 +129,12 @@ def badge_products(products: DataFrame, velocity: DataFrame | None = None) -> Da
 
 def global_stats(products: DataFrame, edges: DataFrame, taxonomy: DataFrame, category: str = "category_l1") -> DataFrame:
     active = F.col("is_active")
-    p = products.where(active).agg(ROWS.alias("total_products"), F.count("embedding").alias("embedded_products"), F.countDistinct(category).alias("total_categories"))
-    return one_row(p, edges.agg(ROWS.alias("total_matches")), taxonomy.agg(ROWS.alias("taxonomy_entries")))
+    p = products.where(active).agg(row_count().alias("total_products"), F.count("embedding").alias("embedded_products"), F.countDistinct(category).alias("total_categories"))
+    return one_row(p, edges.agg(row_count().alias("total_matches")), taxonomy.agg(row_count().alias("taxonomy_entries")))
 
 
 def category_histogram(products: DataFrame, category: str = "category_l1") -> DataFrame:
-    return products.where(F.col("is_active") & F.col(category).isNotNull()).groupBy(F.col(category).alias("category")).agg(ROWS.alias("count"))
+    return products.where(F.col("is_active") & F.col(category).isNotNull()).groupBy(F.col(category).alias("category")).agg(row_count().alias("count"))
 
 
 def platform_stats(products: DataFrame, edges: DataFrame) -> DataFrame:
@@ -142,8 +143,8 @@ def platform_stats(products: DataFrame, edges: DataFrame) -> DataFrame:
     sided = both_ways(edges).join(p, F.col("from_id") == F.col("id"))
     matches = sided.where(F.col("category_l1").isNotNull()).groupBy("category_l1").agg(F.countDistinct("match_id").alias("count"))
     named = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("name"), "count")
-    by_category = p.where(F.col("category_l1").isNotNull()).groupBy("category_l1").agg(ROWS.alias("count"))
-    return named(p.groupBy("platform").agg(ROWS.alias("count")), "platform", "platform").unionByName(
+    by_category = p.where(F.col("category_l1").isNotNull()).groupBy("category_l1").agg(row_count().alias("count"))
+    return named(p.groupBy("platform").agg(row_count().alias("count")), "platform", "platform").unionByName(
         named(by_category, "category", "category_l1")).unionByName(named(matches, "matches", "category_l1"))
 
 
@@ -153,7 +154,7 @@ PLATFORMS = ("amazon_br", "amazon_us", "ml")
 def category_pivot(products: DataFrame, platforms: Sequence[str] = PLATFORMS) -> DataFrame:
     """Products per category path, in all and per platform."""
     return products.where(F.col("is_active") & F.col("category_l1").isNotNull()).groupBy("category_l1", "category_l2", "category_l3").agg(
-        ROWS.alias("product_count"), *[F.count_if(F.col("platform") == p).alias(f"{p}_count") for p in platforms])
+        row_count().alias("product_count"), *[F.count_if(F.col("platform") == p).alias(f"{p}_count") for p in platforms])
 
 
 def category_detail(products: DataFrame, edges: DataFrame, l1: str) -> DataFrame:
@@ -162,11 +163,11 @@ def category_detail(products: DataFrame, edges: DataFrame, l1: str) -> DataFrame
     active = p.where("is_active")
     none = F.lit(None)
     by_platform = active.groupBy(F.col("platform").alias("name")).agg(
-        ROWS.alias("count"), round_half_up(F.avg("price"), 4).alias("average"), F.sum(F.coalesce("sales_30d", F.lit(0))).alias("total")).withColumn("kind", F.lit("platform"))
-    sub = active.groupBy(F.concat_ws("/", F.coalesce("category_l2", F.lit("")), F.coalesce("category_l3", F.lit(""))).alias("name")).agg(ROWS.alias("count")).select(
+        row_count().alias("count"), round_half_up(F.avg("price"), 4).alias("average"), F.sum(F.coalesce("sales_30d", F.lit(0))).alias("total")).withColumn("kind", F.lit("platform"))
+    sub = active.groupBy(F.concat_ws("/", F.coalesce("category_l2", F.lit("")), F.coalesce("category_l3", F.lit(""))).alias("name")).agg(row_count().alias("count")).select(
         "name", "count", none.cast("double").alias("average"), none.cast("bigint").alias("total"), F.lit("subcategory").alias("kind"))
     m = edges.join(p.select(F.col("id").alias("product_a_id")), "product_a_id", "left_semi").agg(
-        ROWS.alias("count"), round_half_up(F.avg("confidence"), 6).alias("average")).select(
+        row_count().alias("count"), round_half_up(F.avg("confidence"), 6).alias("average")).select(
         F.lit("matches").alias("name"), "count", "average", none.cast("bigint").alias("total"), F.lit("matches").alias("kind"))
     return by_platform.unionByName(sub).unionByName(m)
 
@@ -179,7 +180,7 @@ def category_summary(products: DataFrame, edges: DataFrame, dedup: bool = False,
     """
     sides = both_ways(edges)
     p = products.where(F.col("is_active") & F.col("category_l1").isNotNull())
-    degree = sides.groupBy(F.col("from_id").alias("id")).agg(ROWS.alias("edges"))
+    degree = sides.groupBy(F.col("from_id").alias("id")).agg(row_count().alias("edges"))
     weighted = p.join(degree, "id", "left").withColumn("w", F.lit(1) if dedup else F.greatest(F.coalesce("edges", F.lit(1)), F.lit(1)))
     sales = F.coalesce("sales_30d", F.lit(0))
     priced = F.when(F.col("price").isNotNull(), F.col("w"))
@@ -195,7 +196,7 @@ def margin_analysis(edges: DataFrame, products: DataFrame) -> DataFrame:
     m = joined_matches(edges, products, ["price", "category_l1"]).where(F.col("a_price").isNotNull() & F.col("b_price").isNotNull())
     pct = F.when(F.col("b_price") > 0, F.try_divide(F.col("a_price") - F.col("b_price"), F.col("b_price")) * 100).otherwise(0.0)
     return m.groupBy(F.col("a_category_l1").alias("category_l1")).agg(
-        ROWS.alias("match_count"), round_half_up(F.avg("a_price"), 2).alias("avg_amazon_price"), round_half_up(F.avg("b_price"), 2).alias("avg_ml_price"),
+        row_count().alias("match_count"), round_half_up(F.avg("a_price"), 2).alias("avg_amazon_price"), round_half_up(F.avg("b_price"), 2).alias("avg_ml_price"),
         round_half_up(F.avg(F.col("a_price") - F.col("b_price")), 2).alias("avg_price_diff"), round_half_up(F.avg(pct), 1).alias("avg_margin_pct"),
         round_half_up(F.min(pct), 1).alias("min_margin_pct"), round_half_up(F.max(pct), 1).alias("max_margin_pct"))
 
@@ -203,18 +204,18 @@ def margin_analysis(edges: DataFrame, products: DataFrame) -> DataFrame:
 def mapping_stats(mappings: DataFrame) -> DataFrame:
     """Mappings per platform and, in the row without one, the number of mappings and of distinct paths."""
     by_platform = mappings.groupBy("platform").agg(
-        ROWS.alias("total"), F.count_if("verified").alias("verified"), F.count("bestsellers_url").alias("with_url"),
+        row_count().alias("total"), F.count_if("verified").alias("verified"), F.count("bestsellers_url").alias("with_url"),
         F.sum(F.coalesce("product_count", F.lit(0))).alias("total_products"), F.lit(None).cast("bigint").alias("internal_categories"))
     path = F.when(F.col("our_l1").isNotNull() & F.col("our_l2").isNotNull() & F.col("our_l3").isNotNull(), F.concat_ws("/", "our_l1", "our_l2", "our_l3"))
     none = F.lit(None).cast("bigint")
-    overall = mappings.agg(ROWS.alias("total"), F.countDistinct(path).alias("internal_categories")).select(
+    overall = mappings.agg(row_count().alias("total"), F.countDistinct(path).alias("internal_categories")).select(
         F.lit(None).cast("string").alias("platform"), "total", none.alias("verified"), none.alias("with_url"), none.alias("total_products"), "internal_categories")
     return by_platform.unionByName(overall)
 
 
 def scraper_health(runs: DataFrame) -> DataFrame:
     status = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_count")
-    return runs.agg(status("success"), status("error"), status("partial"), ROWS.alias("total_runs"), F.max("started_at").alias("last_run"),
+    return runs.agg(status("success"), status("error"), status("partial"), row_count().alias("total_runs"), F.max("started_at").alias("last_run"),
                     F.sum("products_inserted").alias("total_products_inserted"))
 
 
@@ -224,9 +225,9 @@ def validate_mappings(mappings: DataFrame, products: DataFrame, edges: DataFrame
     m = mappings.select(*[F.col(f"our_{p}").alias(p) for p in path], "platform").groupBy(*path).agg(
         F.array_join(F.array_sort(F.collect_set("platform")), ",").alias("platforms"), F.countDistinct("platform").alias("platform_count"))
     p = products.select("id", "platform", *[F.col(f"category_{x}").alias(x) for x in path])
-    counts = p.groupBy(*path).agg(ROWS.alias("products"), F.count_if(F.col("platform").isin("amazon_br", "amazon_us")).alias("amazon"),
+    counts = p.groupBy(*path).agg(row_count().alias("products"), F.count_if(F.col("platform").isin("amazon_br", "amazon_us")).alias("amazon"),
                                   F.count_if(F.col("platform").startswith("amazon")).alias("_side"), F.count_if(F.col("platform") == "ml").alias("ml"))
-    hits = edges.join(p.withColumnRenamed("id", "product_a_id"), "product_a_id").groupBy(*path).agg(ROWS.alias("matches"))
+    hits = edges.join(p.withColumnRenamed("id", "product_a_id"), "product_a_id").groupBy(*path).agg(row_count().alias("matches"))
     rows = m.join(counts, path, "left").join(hits, path, "left").fillna(0, ["products", "amazon", "_side", "ml", "matches"])
     amazon, ml = F.col("amazon") > 0, F.col("ml") > 0
     rate = F.when(amazon & ml, F.try_divide(F.col("matches") * 100, F.least("_side", "ml")))
@@ -247,7 +248,7 @@ def quality_audit(products: DataFrame, l1: str | None = None) -> DataFrame:
     if l1 is not None:
         p = p.where(F.col("category_l1") == l1)
     checks = {"image": _image_ok(), "embedding": F.col("embedding").isNotNull(), "sales": F.col("sales_30d") > 0, "price": F.col("price") > 0}
-    one = p.agg(ROWS.alias("total"), *[F.count_if(c).alias(k) for k, c in checks.items()]).where(F.col("total") > 0)
+    one = p.agg(row_count().alias("total"), *[F.count_if(c).alias(k) for k, c in checks.items()]).where(F.col("total") > 0)
     entries = F.array(*[F.struct(F.lit(k).alias("criterion"), F.col(k).alias("passed")) for k in checks])
     share = lambda c: round_half_up(c / F.col("total") * 100, 2)
     return one.withColumn("e", F.explode(entries)).select(
@@ -263,18 +264,18 @@ def quality_fix(products: DataFrame) -> DataFrame:
 
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How many rows fill each column."""
-    return df.agg(ROWS.alias("total"), *[F.count(c).alias(f"has_{c}") for c in columns])
+    return df.agg(row_count().alias("total"), *[F.count(c).alias(f"has_{c}") for c in columns])
 
 
 def classification_coverage(products: DataFrame, levels: Sequence[str] = ("category_l1", "category_l2", "category_l3")) -> DataFrame:
-    one = products.where("is_active").agg(ROWS.alias("total"), *[F.count(c).alias(c) for c in levels])
+    one = products.where("is_active").agg(row_count().alias("total"), *[F.count(c).alias(c) for c in levels])
     entries = F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).alias("classified")) for c in levels])
     return one.withColumn("e", F.explode(entries)).select("e.level", "e.classified", "total", round_half_up(F.col("e.classified") / F.col("total") * 100, 1).alias("percent"))
 
 
 def top_categories(products: DataFrame, column: str, n: int = 10) -> DataFrame:
     rows = products.where(F.col("is_active") & F.col(column).isNotNull())
-    return rows.groupBy(F.col(column).alias("category")).agg(ROWS.alias("count")).orderBy(F.desc("count"), F.asc("category")).limit(n)
+    return rows.groupBy(F.col(column).alias("category")).agg(row_count().alias("count")).orderBy(F.desc("count"), F.asc("category")).limit(n)
 
 
 def audit_sample(products: DataFrame, n: int, seed: int, ident: str = "id") -> DataFrame:
@@ -300,7 +301,7 @@ def detect_opportunities(products: DataFrame, *, category: str | None = None, mi
     home_rows = p.where(F.col("platform") == home).select("id", "_cat", "price")
     five = newest(home_rows.where(F.col("_cat").isNotNull()), ["_cat"], [F.asc("id")], 5, "_rn")
     overall = home_rows.orderBy("id").limit(5).select("id", F.lit(None).cast("string").alias("_cat"), "price")
-    peers = five.drop("_rn").unionByName(overall).groupBy("_cat").agg(ROWS.alias("_n"), F.avg("price").alias("_avg")).withColumnRenamed("_cat", "_pc")
+    peers = five.drop("_rn").unionByName(overall).groupBy("_cat").agg(row_count().alias("_n"), F.avg("price").alias("_avg")).withColumnRenamed("_cat", "_pc")
     rows = top.join(peers, F.col("_cat").eqNullSafe(F.col("_pc")), "left").withColumns({
         "peers": F.coalesce("_n", F.lit(0)), "price_home_avg": F.coalesce("_avg", F.lit(0.0)), "price_abroad": F.coalesce("price", F.lit(0.0))})
     n_peers, avg, price, v = F.col("peers"), F.col("price_home_avg"), F.col("price_abroad"), F.col("velocity")
@@ -339,7 +340,7 @@ def product_stats(rows: DataFrame) -> DataFrame:
     price, sales = F.when(F.col("price") > 0, F.col("price")), parse_sales_cn("sales")
     count = lambda c, v: F.count_if(F.col(c) == v)
     return rows.agg(
-        ROWS.alias("total"), round_half_up(F.avg(price), 4).alias("avg_price"), F.count_if(F.trim("title_pt") != "").alias("with_pt"),
+        row_count().alias("total"), round_half_up(F.avg(price), 4).alias("avg_price"), F.count_if(F.trim("title_pt") != "").alias("with_pt"),
         round_half_up(F.avg(F.when(sales > 0, sales)), 4).alias("avg_sales"), F.countDistinct(F.nullif("category_label", F.lit(""))).alias("distinct_categories"),
         *[count("source", s).alias(f"source_{s}") for s in ("ranked", "bestseller", "factory")],
         *[count("enrichment_status", s).alias(f"enrichment_{s}") for s in ("complete", "partial", "none")])
@@ -348,7 +349,7 @@ def product_stats(rows: DataFrame) -> DataFrame:
 def top_values(rows: DataFrame, columns: Sequence[str], n: int = 8) -> DataFrame:
     """The ``n`` most frequent values of each column: (field, value, count, rank)."""
     entries = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns]))
-    counts = rows.select(entries.alias("e")).select("e.*").where(F.col("value").isNotNull() & (F.col("value") != "")).groupBy("field", "value").agg(ROWS.alias("count"))
+    counts = rows.select(entries.alias("e")).select("e.*").where(F.col("value").isNotNull() & (F.col("value") != "")).groupBy("field", "value").agg(row_count().alias("count"))
     return newest(counts, ["field"], [F.desc("count"), F.asc("value")], n, "rank")
 
 
@@ -381,7 +382,7 @@ def price_bands(rows: DataFrame, price: str = "price") -> DataFrame:
 def sales_gaps(products: DataFrame, market: str = "platform") -> DataFrame:
     """Products without sales per market and category."""
     gap = products.where(F.col("sales_30d").isNull() | (F.col("sales_30d") == 0))
-    return gap.groupBy(market, "category_l1").agg(ROWS.alias("no_sales"))
+    return gap.groupBy(market, "category_l1").agg(row_count().alias("no_sales"))
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -394,7 +395,7 @@ def distinct_values(df: DataFrame, columns: Sequence[str], extra: Sequence[str]
 
 def refresh_mapping_counts(mappings: DataFrame, products: DataFrame, now: Column) -> DataFrame:
     """Product count of each mapped path, and when it was taken."""
-    counts = products.groupBy(*[F.col(f"category_{x}").alias(f"our_{x}") for x in ("l1", "l2", "l3")]).agg(ROWS.alias("_n"))
+    counts = products.groupBy(*[F.col(f"category_{x}").alias(f"our_{x}") for x in ("l1", "l2", "l3")]).agg(row_count().alias("_n"))
     joined = mappings.drop("product_count", "last_scraped").join(counts, ["our_l1", "our_l2", "our_l3"], "left")
     return joined.withColumns({"product_count": F.coalesce("_n", F.lit(0)), "last_scraped": now}).drop("_n")
 
@@ -414,7 +415,7 @@ def product_report(products: DataFrame, edges: DataFrame, n: int = 10) -> DataFr
     """
     near = neighbours(edges, products)
     facts = near.groupBy(F.col("from_id").alias("id")).agg(F.countDistinct("platform_id").alias("_others"))
-    ranked = neighbours(edges, products, n).groupBy(F.col("from_id").alias("id")).agg(ROWS.alias("match_count"), F.max("confidence").alias("best_confidence"))
+    ranked = neighbours(edges, products, n).groupBy(F.col("from_id").alias("id")).agg(row_count().alias("match_count"), F.max("confidence").alias("best_confidence"))
     own = products.select("id", F.col("platform").alias("_own"), F.col("price").alias("source_price"), F.coalesce("currency", F.lit("CNY")).alias("source_currency"))
     offers = near.where(F.col("price") > 0).select(
         F.col("from_id").alias("id"), F.col("platform").alias("sell_platform"), F.col("price").alias("sell_price"),
@@ -422,7 +423,7 @@ def product_report(products: DataFrame, edges: DataFrame, n: int = 10) -> DataFr
     offers = own.join(offers, "id").where((F.col("sell_platform") != F.col("_own")) & (F.col("source_price") > 0))
     margins = compute_margins(offers)
     order = F.struct("margin_pct", (-F.col("quantity")).alias("q"), "confidence", (-F.col("to_id")).alias("t"))
-    best = margins.groupBy("id").agg(F.max_by(F.struct("margin_pct", "sell_platform", "quantity"), order).alias("b"), ROWS.alias("margin_count"))
+    best = margins.groupBy("id").agg(F.max_by(F.struct("margin_pct", "sell_platform", "quantity"), order).alias("b"), row_count().alias("margin_count"))
     joined = products.join(facts, "id", "left").join(ranked, "id", "left").join(best, "id", "left").withColumns({
         "seller_count": F.coalesce("_others", F.lit(0)) + 1, "match_count": F.coalesce("match_count", F.lit(0)),
         "best_margin": F.coalesce("b.margin_pct", F.lit(0.0)), "best_platform": F.coalesce("b.sell_platform", F.lit("")),

@@ -9,7 +9,8 @@ from souklens.operators.edges import match_tiered, refresh_matches
 from souklens.operators.history import daily_snapshot, one_row
 from souklens.operators.reports import detect_opportunities, validate_mappings
 
-ROWS = F.count(F.lit(1))
+def row_count() -> Column:
+    return F.count(F.lit(1))
 
 
 def nightly_catalogue(products: DataFrame, mappings: DataFrame, now: Column, *, threshold: float = 0.70,
@@ -22,9 +23,9 @@ def nightly_catalogue(products: DataFrame, mappings: DataFrame, now: Column, *,
     validation = validate_mappings(mappings, products, edges)
     snapshot = daily_snapshot(products, now)
     summary = one_row(
-        products.agg(F.count_if("is_active").alias("products"), F.count("embedding").alias("embedded")), edges.agg(ROWS.alias("matches")),
-        mappings.agg(ROWS.alias("categories")), validation.agg(F.count_if(F.col("status").isin("OK", "GOOD")).alias("healthy_mappings")),
-        snapshot.agg(ROWS.alias("snapshots")))
+        products.agg(F.count_if("is_active").alias("products"), F.count("embedding").alias("embedded")), edges.agg(row_count().alias("matches")),
+        mappings.agg(row_count().alias("categories")), validation.agg(F.count_if(F.col("status").isin("OK", "GOOD")).alias("healthy_mappings")),
+        snapshot.agg(row_count().alias("snapshots")))
     return {"matches": edges, "validation": validation, "snapshot": snapshot, "summary": summary}
 
 
@@ -35,6 +36,6 @@ def nightly_edges(products: DataFrame, edges: DataFrame, taxonomy: DataFrame, ca
     opportunities = detect_opportunities(products, min_score=min_score, n=n)
     counts = taxonomy_counts(taxonomy, carried)
     summary = one_row(
-        refreshed.agg(ROWS.alias("edges"), F.count_if(F.col("created_at") == now).alias("refreshed")),
-        opportunities.agg(ROWS.alias("opportunities")), counts.agg(ROWS.alias("slugs"), F.sum("product_count").alias("placements")))
+        refreshed.agg(row_count().alias("edges"), F.count_if(F.col("created_at") == now).alias("refreshed")),
+        opportunities.agg(row_count().alias("opportunities")), counts.agg(row_count().alias("slugs"), F.sum("product_count").alias("placements")))
     return {"edges": refreshed, "opportunities": opportunities, "taxonomy": counts, "summary": summary}
