@@ -1,11 +1,10 @@
 """Exact vector joins as tile-by-tile matrix products.
 
-Rows are packed into tiles of bounded size (one Spark row holds the ids and the vectors of a tile).
-Only tiles meet in a join; inside a task one matrix product scores a tile pair and only pairs that
-satisfy the threshold or a row's best k leave it. Nothing is sampled: a tile pair is skipped
-only when the angle between the tile centres less both radii proves that no pair can reach the
-threshold. A block that holds a large share of all rows is cut into as many tiles as its size asks
-for, and its left tiles are spread over slots, so no task or group grows with the block.
+Rows of a block are dealt by the hash of their id into tiles of bounded size (one Spark row holds the ids and
+the vectors of a tile). Only tiles meet in a join; inside a task one matrix product scores a tile pair and only
+pairs that satisfy the threshold, or a row's best k, leave it. Nothing is sampled. A block that holds a large share
+of all rows is cut into as many tiles as its size asks for, and its left tiles are spread over slots, so no task or
+group grows with the block.
 """
 
 from __future__ import annotations
@@ -20,83 +19,41 @@ from souklens.functions.numbers import round_half_up
 
 TILE_ROWS = 512
 TILES_PER_SLOT = 16
-CELL_BITS = 6
 
 
 def _vector_rows(df: DataFrame, ident: str, vec: str, block: str | None, differ: str | None) -> DataFrame:
-    """Block, cell, id, group and vector of every row that has a usable vector.
-
-    The cell is the sign pattern of the leading coordinates: near vectors tend to share it, which keeps
-    tiles narrow and lets the angle bound skip pairs.
-    """
+    """Block, id, group and vector of every row that has a usable vector."""
     key = F.col(block).cast("string") if block else F.lit("")
     group = F.col(differ).cast("string") if differ else F.lit("")
     rows = df.select(
         key.alias("block"), F.col(ident).alias("id"), F.coalesce(group, F.lit("")).alias("grp"), F.col(vec).cast("array<float>").alias("vec"))
-    rows = rows.where(F.col("block").isNotNull() & F.exists("vec", lambda x: x != 0))
-    cell = sum((F.when(F.get("vec", F.lit(i)) > 0, 1 << i).otherwise(0) for i in range(CELL_BITS)), F.lit(0))
-    return rows.select("block", cell.alias("cell"), "id", "grp", "vec")
-
+    return rows.where(F.col("block").isNotNull() & F.exists("vec", lambda x: x != 0))
 
-def _cell_plan(rows: DataFrame) -> DataFrame:
-    """How each block is cut: cell -> merged cell, its number of tiles, and the block's slots.
 
-    Works on counts (at most 64 cells per block). A block keeps only as many leading sign bits as its
-    size needs, so that a small block is one tile and a large one many narrow tiles.
-    """
-    counts = rows.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n"))
-    size = F.sum("n").over(W.partitionBy("block"))
-    bits = F.least(F.lit(CELL_BITS), F.ceil(F.log2(F.ceil(size / TILE_ROWS)))).cast("int")
-    merged = counts.withColumn("bits", bits).withColumn(
-        "merged", F.expr("cell & (shiftleft(1, bits) - 1)")
-    )
-    whole = F.sum("n").over(W.partitionBy("block", "merged"))
-    parts = merged.withColumn("parts", F.ceil(whole / TILE_ROWS).cast("int"))
-    tiles = F.sum(F.when(F.col("cell") == F.col("first"), F.col("parts"))).over(W.partitionBy("block"))
-    first = parts.withColumn("first", F.min("cell").over(W.partitionBy("block", "merged")))
-    return first.select("block", "cell", "merged", "parts", F.ceil(tiles / TILES_PER_SLOT).cast("int").alias("slots"))
+def _tile_counts(rows: DataFrame) -> DataFrame:
+    """Number of tiles per block; one small row per block, counted map-side."""
+    return rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("parts"))
 
 
-def _tiles(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    id_type = rows.schema["id"].dataType
-    salted = rows.join(plan, ["block", "cell"]).drop("cell").withColumnRenamed("merged", "cell").withColumn(
-        "salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    )
-    packed = salted.groupBy("block", "cell", "salt", "slots").agg(
-        F.collect_list(F.struct("id", "grp", "vec")).alias("members")
-    )
-    packed = packed.select(
-        "block", "slots", F.pmod(F.hash("cell", "salt"), F.col("slots")).alias("slot"),
-        F.col("members.id").alias("ids"), F.col("members.grp").alias("grps"), F.col("members.vec").alias("vecs"),
-    )
+def _tiles(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Tiles with their ids, groups and one float32 buffer."""
+    salted = rows.join(counts, "block").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    packed = salted.groupBy("block", "tile").agg(F.collect_list(F.struct("id", "grp", "vec")).alias("m"))
     schema = T.StructType([
-        T.StructField("block", T.StringType()), T.StructField("slots", T.IntegerType()),
-        T.StructField("slot", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)),
-        T.StructField("grps", T.ArrayType(T.StringType())), T.StructField("mat", T.BinaryType()),
-        T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("radius", T.DoubleType()),
+        T.StructField("block", T.StringType()), T.StructField("tile", T.IntegerType()),
+        T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("grps", T.ArrayType(T.StringType())),
+        T.StructField("mat", T.BinaryType()),
     ])
-    return packed.mapInArrow(_seal, schema)
+    return packed.select("block", "tile", "m.id", "m.grp", "m.vec").mapInArrow(_seal, schema)
 
 
 def _seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the nested vectors of a tile by one float32 buffer, its centre and its angular radius."""
+    """Replace the nested vectors of a tile by one buffer, which later joins move as it is."""
     for batch in batches:
-        mats, centres, radii = [], [], []
-        for vecs in batch.column("vecs"):
-            n = len(vecs)
-            mat = np.asarray(vecs.values.flatten().to_numpy(zero_copy_only=False), dtype="<f4").reshape(n, -1)
-            unit = unit_rows(mat)
-            centre = unit.sum(axis=0)
-            length = np.linalg.norm(centre)
-            centre = centre / length if length > 1e-9 else unit[0]
-            mats.append(mat.tobytes())
-            centres.append(centre.tolist())
-            radii.append(float(np.arccos(np.clip(unit @ centre, -1, 1)).max()))
-        kept = [batch.column(c) for c in ("block", "slots", "slot", "ids", "grps")]
+        mats = [np.asarray(v.values.flatten().to_numpy(zero_copy_only=False), dtype="<f4").tobytes() for v in batch.column("vec")]
         yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(mats, pa.binary()), pa.array(centres, pa.list_(pa.float64())),
-             pa.array(radii, pa.float64())],
-            names=["block", "slots", "slot", "ids", "grps", "mat", "centre", "radius"],
+            [batch.column("block"), batch.column("tile"), batch.column("id"), batch.column("grp"), pa.array(mats, pa.binary())],
+            names=["block", "tile", "ids", "grps", "mat"],
         )
 
 
@@ -137,9 +94,13 @@ def _score(threshold, k, smallest, smaller_right, differ, skip_equal, ordered, d
                     keep = np.zeros_like(keep)
                     keep[np.nonzero(hit)[0], first[hit]] = True
                 elif k is not None and k < len(rid):
-                    masked = np.where(keep, sims, -np.inf)
-                    kth = -np.partition(-masked, k - 1, axis=1)[:, k - 1]
-                    keep &= masked >= kth[:, None]
+                    # Exactly k per row, the smaller id first among equals, so copies do not multiply.
+                    over = np.nonzero(keep.sum(axis=1) > k)[0]
+                    by_id = np.argsort(rid, kind="stable")
+                    masked = np.where(keep[over], sims[over], -np.inf)[:, by_id]
+                    best = by_id[np.argsort(-masked, axis=1, kind="stable")[:, :k]]
+                    keep[over] = False
+                    keep[over[:, None], best] = True
                 li, ri = np.nonzero(keep)
                 if len(li):
                     yield pa.RecordBatch.from_arrays(
@@ -161,28 +122,20 @@ def similarity_join(
     ``threshold`` keeps pairs at or above it; ``k`` keeps the k best right rows per left row, equal
     similarities going to the smaller right id; ``smallest`` keeps the smallest right id that reaches
     the threshold, so no task emits more than one row per left row. ``ordered`` asks for left id < right
-    id, ``smaller_right`` for the reverse, ``differ`` that the two rows differ in a column. The cosine is rounded to ``digits`` first, so ties are decided by id and not by noise.
+    id, ``smaller_right`` for the reverse, ``differ`` that the two rows differ in a column. The cosine is
+    rounded to ``digits`` first, so ties are decided by id and not by noise.
     """
     if threshold is None and k is None:
         raise ValueError("give a threshold, k, or both")
     lrows = _vector_rows(left, ident, vec, block, differ)
     rrows = _vector_rows(right, ident, vec, block, differ)
-    lplan, rplan = _cell_plan(lrows), _cell_plan(rrows)
-    ltiles = _tiles(lrows, lplan).select(
-        "block", "slot", *[F.col(c).alias(f"l_{c}") for c in ("ids", "grps", "mat", "centre", "radius")]
-    )
-    spread = lplan.groupBy("block").agg(F.max("slots").alias("spread"))
-    rtiles = _tiles(rrows, rplan).drop("slot", "slots").join(spread, "block").select(
-        "block", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("slot"),
-        *[F.col(c).alias(f"r_{c}") for c in ("ids", "grps", "mat", "centre", "radius")],
-    )
-    meetings = ltiles.join(rtiles, ["block", "slot"])
-    if threshold is not None:
-        cos = F.aggregate(F.zip_with("l_centre", "r_centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        angle = F.acos(F.greatest(F.least(cos, F.lit(1.0)), F.lit(-1.0)))
-        reach = F.acos(F.lit(max(-1.0, min(1.0, threshold - 10.0**-digits))))
-        meetings = meetings.where(angle - F.col("l_radius") - F.col("r_radius") <= reach + 1e-6)
-    meetings = meetings.select("l_ids", "l_grps", "l_mat", "r_ids", "r_grps", "r_mat")
+    lcounts = _tile_counts(lrows)
+    slots = F.ceil(F.col("parts") / TILES_PER_SLOT).cast("int")
+    ltiles = _tiles(lrows, lcounts).withColumn("slot", F.floor(F.col("tile") / TILES_PER_SLOT).cast("int"))
+    rtiles = _tiles(rrows, _tile_counts(rrows)).join(lcounts.select("block", slots.alias("slots")), "block").withColumn(
+        "slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    side = lambda tiles, s: tiles.select("block", "slot", *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "grps", "mat")])
+    meetings = side(ltiles, "l").join(side(rtiles, "r"), ["block", "slot"]).drop("block", "slot")
     out = T.StructType([
         T.StructField("left_id", lrows.schema["id"].dataType),
         T.StructField("right_id", rrows.schema["id"].dataType),

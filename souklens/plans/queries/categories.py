@@ -165,6 +165,9 @@ COUNTS = """select slug, level::int as level, parent_slug, (select count(*) from
     (select count(*) from tax x where x.parent_slug = t.slug) as children_count from tax t"""
 
 
+COUNTED = "counted as (" + COUNTS % "or starts_with(p.category_path, t.slug || '.')" + ")"
+
+
 @query("a35_taxonomy_counts", f"with {TAX}, {CARRIED} " + COUNTS % "or starts_with(p.category_path, t.slug || '.')")
 def _(c):
     return k.taxonomy_counts(tax(c), carried(c))

@@ -232,17 +232,19 @@ def reviewed(c):
     return c.view("products").withColumns({"review_count": F.expr("case when id % 4 = 0 then null else id % 60 end"), "review_avg": F.expr("3 + (id % 20) / 10D")})
 
 
-@query("a30_detect_opportunities", f"""with p as (select *, coalesce(case when id % 4 = 0 then null else id % 60 end, 0) as rv, 3 + (id % 20) / 10.0::double as ra from products where embedding is not null),
-peers as (select category_l1, count(*) as n, avg(price) as avg_price from (select *, row_number() over (partition by category_l1 order by id) as rn from p where platform = 'ml') where rn <= 5 group by 1),
-t as (select *, case when contains(platform, '1688') then sales_30d * 0.4::double + rv * 0.3::double + ra * 20 * 0.3::double else sales_30d * 0.5::double + rv * 0.5::double end as v from p where is_active and platform <> 'ml' order by v desc, id limit 150),
+OPPORTUNITY = """op as (select *, coalesce(case when id % 4 = 0 then null else id % 60 end, 0) as rv, 3 + (id % 20) / 10.0::double as ra from products where embedding is not null),
+peers as (select category_l1, count(*) as n, avg(price) as avg_price from (select *, row_number() over (partition by category_l1 order by id) as rn from op where platform = 'ml') where rn <= 5 group by 1),
+t as (select *, case when contains(platform, '1688') then sales_30d * 0.4::double + rv * 0.3::double + ra * 20 * 0.3::double else sales_30d * 0.5::double + rv * 0.5::double end as v from op where is_active and platform <> 'ml' order by v desc, id limit 150),
 j as (select t.*, coalesce(n, 0) as n, coalesce(avg_price, 0) as ap from t left join peers using (category_l1)),
 m as (select *, v / greatest(n * 10, 1) as gap, case when price > 0 and ap > 0 then (ap - price * 1.5::double) / ap * 100 else 0 end as mg, least(v / 100, 1) + case when rv > 0 then least(rv / 50.0::double, 0.5::double) else 0 end as dm from j),
-s as (select *, least(100, gap * 30 + mg * 0.4::double * 30 + dm * 40) as sc, case when n = 0 then 'none' when n < 3 then 'low' when n < 10 then 'medium' else 'high' end as comp from m)
-select id, platform, title, price as price_abroad, {R('ap', 4)} as price_home_avg, category_l1 as category, sales_30d, rv as review_count, {R('gap', 2)} as velocity_gap, {R('mg', 1)} as margin_pct, {R('dm', 2)} as demand_signal,
+opportunity as (select *, least(100, gap * 30 + mg * 0.4::double * 30 + dm * 40) as sc, case when n = 0 then 'none' when n < 3 then 'low' when n < 10 then 'medium' else 'high' end as comp from m)"""
+
+
+@query("a30_detect_opportunities", f"""with {OPPORTUNITY} select id, platform, title, price as price_abroad, {R('ap', 4)} as price_home_avg, category_l1 as category, sales_30d, rv as review_count, {R('gap', 2)} as velocity_gap, {R('mg', 1)} as margin_pct, {R('dm', 2)} as demand_signal,
     comp as competition, {R('sc', 1)} as composite_score, coalesce(nullif(concat_ws(' | ', case when sales_30d > 50 then concat('Alta demanda (', sales_30d, ' vendas/mês)') when sales_30d > 10 then concat('Demanda moderada (', sales_30d, ' vendas/mês)') end,
       case when rv > 20 then concat('Boa reputação (', rv, ' avaliações)') end, case when n = 0 then 'Sem concorrentes no ML' when comp = 'low' then 'Pouca concorrência no ML' end,
       case when round(mg) > 50 then concat('Alta margem estimada (', round(mg)::int, '%)') when round(mg) > 20 then concat('Margem moderada (', round(mg)::int, '%)') end), ''), 'Oportunidade identificada') as reasoning
-from s where sc >= -300""")
+from opportunity where sc >= -300""")
 def _(c):
     return r.detect_opportunities(reviewed(c), min_score=-300, n=150)
 

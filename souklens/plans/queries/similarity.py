@@ -115,18 +115,21 @@ def aged(c):
     return matches(c).drop("match_id").withColumn("created_at", at)
 
 
-@query("j11_refresh_matches", f"""with {READY}, {AGED},
+REFRESHED = f"""{READY}, {AGED},
 due as (select * from ready r where not exists (select 1 from aged m where m.product_a_id = r.id
         and m.created_at > timestamp '2024-03-10' - interval 7 days)),
 near as (select a.id as product_a_id, b.id as product_b_id, {SIM} as confidence,
                 row_number() over (partition by a.id order by {SIM} desc, b.id) as rn
          from due a join ready b on a.id <> b.id),
-fresh as (select * from near where rn <= 5 and confidence > {T})
-select coalesce(f.product_a_id, m.product_a_id) as product_a_id, coalesce(f.product_b_id, m.product_b_id) as product_b_id,
+fresh as (select * from near where rn <= 5 and confidence > {T}),
+refreshed as (select coalesce(f.product_a_id, m.product_a_id) as product_a_id, coalesce(f.product_b_id, m.product_b_id) as product_b_id,
        coalesce(f.confidence, m.confidence) as confidence,
        case when m.product_a_id is not null then m.match_method else 'clip_v1' end as match_method,
        strftime(case when f.product_a_id is not null then timestamp '2024-03-10' else m.created_at end, '%Y-%m-%d') as created_at
-from aged m full join fresh f on f.product_a_id = m.product_a_id and f.product_b_id = m.product_b_id""")
+from aged m full join fresh f on f.product_a_id = m.product_a_id and f.product_b_id = m.product_b_id)"""
+
+
+@query("j11_refresh_matches", f"with {REFRESHED} select * from refreshed")
 def _(c):
     now = F.lit("2024-03-10").cast("timestamp_ntz")
     return e.refresh_matches(c.view("products"), aged(c), now, threshold=T).withColumn(

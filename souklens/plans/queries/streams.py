@@ -87,7 +87,9 @@ def _(c):
     return composite.nightly_catalogue(c.view("products"), rep.mappings(c), F.lit("2024-06-01"), threshold=T)["summary"]
 
 
-@query("c08_nightly_edges")
+@query("c08_nightly_edges", f"""with {sim.REFRESHED}, {rep.OPPORTUNITY}, {cat.TAX}, {cat.CARRIED}, {cat.COUNTED}
+select (select count(*) from refreshed) as edges, (select count(*) from refreshed where created_at = '2024-03-10') as refreshed, (select count(*) from opportunity where sc >= -300) as opportunities,
+    count(*) as slugs, sum(product_count)::bigint as placements from counted""")
 def _(c):
     now = F.lit("2024-03-10").cast("timestamp_ntz")
-    return composite.nightly_edges(rep.reviewed(c), sim.aged(c), cat.tax(c), cat.carried(c), now, threshold=T, min_score=-300)["summary"]
+    return composite.nightly_edges(rep.reviewed(c), sim.aged(c), cat.tax(c), cat.carried(c), now, threshold=T, min_score=-300, n=150)["summary"]

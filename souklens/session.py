@@ -22,6 +22,8 @@ def build_session(app: str = "souklens", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.ui.showConsoleProgress": "false",
+        # Recording the Python call site of every Column costs seconds when a plan is built from thousands of them.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     defaults.update(conf)
     for key, value in defaults.items():

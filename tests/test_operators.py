@@ -57,6 +57,13 @@ def test_k_nearest(spark, tiling):
         assert [got[i, k] for k in (1, 2, 3)] == others[:3]
 
 
+def test_copies_do_not_multiply_pairs(spark, tiling):
+    df = spark.range(200).selectExpr("id", "array(float(1), float(2)) as embedding")
+    got = similarity.similarity_join(df, df, k=2)
+    assert {(r.left_id, r.right_id) for r in got.where("left_id < 3").collect()} == {(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)}
+    assert got.count() == 400
+
+
 def test_smallest_partner(spark, tiling):
     rows, df = vectors(spark)
     c = cosines(rows)
