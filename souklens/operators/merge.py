@@ -84,7 +84,7 @@ def bestseller_matches(titles: DataFrame, ml_bestsellers: DataFrame) -> DataFram
     ordered last by position (missing ones after all) is taken."""
     wanted = titles.select(title_key("title").alias("_t")).distinct()
     rows = ml_bestsellers.withColumn("_t", F.lower("title")).join(wanted, "_t", "left_semi")
-    last = F.struct(F.col("position").isNull().alias("n"), "position")
+    last = F.struct(F.col("position").isNull().alias("n"), "position", "total_sales", "category_name")
     facts = F.struct("position", "total_sales", "sales_velocity", "category_name")
     return rows.groupBy(title_key("title").alias("title")).agg(F.max_by(facts, last).alias("f")).select("title", "f.*")
 

@@ -297,15 +297,12 @@ def _(c):
 
 
 @query("j14_bestseller_matches", """select title, position, total_sales, total_sales / 30.0::double as sales_velocity, category_name from (
-    select *, row_number() over (partition by title order by position is null desc, position desc) as rn from (
-      select lower(p_name) as title, case when p_partkey % 9 > 0 then p_partkey end as position, p_size as total_sales, p_type as category_name from part
-      where lower(p_name) in (select lower(p_name) from part where p_size = 7) and (p_partkey % 9 > 0 or p_partkey = (select min(q.p_partkey) from part q where q.p_name = part.p_name and q.p_partkey % 9 = 0)))) where rn = 1""")
+    select *, row_number() over (partition by title order by position is null desc, position desc, total_sales desc, category_name desc) as rn from (
+      select lower(p_name) as title, case when p_size % 9 > 0 then p_partkey end as position, p_size as total_sales, p_type as category_name from part
+      where lower(p_name) in (select lower(p_name) from part where p_size = 7))) where rn = 1""")
 def _(c):
     wanted = c.table("part").where("p_size = 7").selectExpr("concat(' ', upper(p_name), ' ') as title")
-    part = c.table("part")
-    first = part.where("p_partkey % 9 = 0").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey")).join(part.drop("p_name"), "p_partkey").select(part.columns)
-    rows = part.where("p_partkey % 9 > 0").unionByName(first)
-    ml = rows.selectExpr("p_name as title", "case when p_partkey % 9 > 0 then p_partkey end as position", "p_size as total_sales", "p_size / 30D as sales_velocity", "p_type as category_name")
+    ml = c.table("part").selectExpr("p_name as title", "case when p_size % 9 > 0 then p_partkey end as position", "p_size as total_sales", "p_size / 30D as sales_velocity", "p_type as category_name")
     return g.bestseller_matches(wanted, ml)
 
 
@@ -364,20 +361,21 @@ def _(c):
     return g.ranked_products(ranked_with_products(c)).select("title", "image_url", "price", "sales", "category_label", "source_url", "supplier_name", "supplier_href", "region", "rank", "position")
 
 
-@query("u06_supplier_profiles", """with r as (select lower(trim(supplier_name)) as key, * from ranked_suppliers where supplier_key % 4 > 0), lp as (select lower(trim(supplier_name)) as key, * from listing_products where supplier_name not like '%7'),
+@query("u06_supplier_profiles", """with r as (select lower(trim(supplier_name)) as key, * from (select * replace (case when supplier_key % 4 = 0 then concat('Old ', supplier_name) else concat(' ', upper(supplier_name)) end as supplier_name) from ranked_suppliers)),
+lp as (select lower(trim(supplier_name)) as key, * from listing_products),
 f as (select key, count(distinct offer_id) as product_count, arg_min(supplier_name, row_id) as listed from lp group by 1),
 lab as (select key, category_label, min(row_id) as o from (select key, category_label, '' as row_id from r union all select key, category_label, row_id from lp) group by 1, 2),
 labs as (select key, string_agg(category_label, ',' order by o, category_label) as category_labels from lab group by 1)
 select coalesce(cast(supplier_key as varchar), listed) as id, coalesce(supplier_name, listed) as name, region, rank_position, category_labels, coalesce(product_count, 0) as product_count
 from r full join f on f.key = r.key left join labs on labs.key = coalesce(r.key, f.key)""")
 def _(c):
-    s = c.view("ranked_suppliers").where("supplier_key % 4 > 0")
-    return g.supplier_profiles(s, c.view("listing_products").where("supplier_name not like '%7'")).withColumn("category_labels", F.array_join("category_labels", ","))
+    s = c.view("ranked_suppliers").withColumn("supplier_name", F.expr("case when supplier_key % 4 = 0 then concat('Old ', supplier_name) else concat(' ', upper(supplier_name)) end"))
+    return g.supplier_profiles(s, c.view("listing_products")).withColumn("category_labels", F.array_join("category_labels", ","))
 
 
 @query("u07_product_profile", """select title, 'factory' as source, p_partkey as position from (select p_name as title, p_partkey from part where p_partkey = 77)""")
 def _(c):
-    ranked = c.view("listing_products").selectExpr("title", "offer_id", "row_id as position").where("offer_id % 7 > 0")
+    ranked = c.view("listing_products").selectExpr("title", "offer_id", "row_id as position")
     part = c.table("part").selectExpr("p_name as title", "concat('F', p_partkey) as offer_id", "p_partkey as position")
     found = g.product_profile(" f77 ", [
         ("bestseller", ranked.withColumn("offer_id", F.col("offer_id").cast("string")).withColumn("position", F.lit(0).cast("bigint")), ["offer_id", "title"]),
