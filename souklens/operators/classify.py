@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from souklens.functions import fixed
 from souklens.functions.numbers import col
 from souklens.functions.text import pattern
 
@@ -98,7 +99,7 @@ def first_rule(title: Column | str, rules: Sequence[tuple], regex: bool = True)
     return reduce(lambda w, r: w.when(hit(r), value(r)), rules, F)
 
 
-def detect_l1(df: DataFrame, rules: Sequence[tuple[str, str]], title: str = "title", out: str = "detected_l1") -> DataFrame:
+def detect_l1(df: DataFrame, rules: Sequence[tuple[str, str]] = fixed.L1_RULES, title: str = "title", out: str = "detected_l1") -> DataFrame:
     """First matching L1 rule (pattern, l1)."""
     return df.withColumn(out, first_rule(title, rules))
 

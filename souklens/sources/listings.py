@@ -85,7 +85,7 @@ def latest_run(df: DataFrame, kind: str, *, run: str = "run_id", run_kind: str =
     return df.where(F.col(run_kind) == kind).join(F.broadcast(newest), run, "left_semi")  # one row
 
 
-def import_mappings(documents: DataFrame, known: Mapping[str, Sequence[str]], *, json: str = "json",
+def import_mappings(documents: DataFrame, known: Mapping[str, Sequence[str]] = fixed.MAPPED_CATEGORIES, *, json: str = "json",
                     platforms: Sequence[str] = ("amazon_br", "amazon_us"), confidence: float = 0.8) -> DataFrame:
     """Category mappings from platform -> key -> info JSON; only keys with an internal (l1, l2, l3) are kept."""
     info = "struct<id: string, name_pt: string, name_en: string, bestsellers_url: string>"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from souklens.functions import market as m, prices as p, sales_text as s, scores as sc, text as t, vectors as v
 from souklens.functions.numbers import js_round, round_half_up, whole_days
 from souklens.operators import extract as x
+from souklens.operators.classify import detect_l1
 from souklens.operators.listing import gate_columns
 
 
@@ -138,3 +139,11 @@ def test_gate_columns(spark):
     free = gate_columns(df, False)
     assert free.columns == ["id", "_premium_locked", "_gated_fields"] and free.head()._gated_fields == ["trend_score"]
     assert gate_columns(df, True).head()._premium_locked is False
+
+
+@pytest.mark.parametrize("title,want", [
+    ("Fone de Ouvido Bluetooth", "Audio"), ("Suporte Celular Carro", "Acessórios Mobile"), ("Mochila Escolar Infantil", "Bolsas"),
+    ("Panela de Pressão 5L", "Cozinha"), ("MEIAS CANO ALTO", "Meias"), ("Tripé para Câmera", "Fotografia"), ("xyz", None), (None, None)])
+def test_l1_rules(spark, title, want):
+    df = spark.createDataFrame([(title,)], "title string")
+    assert detect_l1(df).head().detected_l1 == want
