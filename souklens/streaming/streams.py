@@ -49,26 +49,27 @@ def dedup_requests_exact(stream: DataFrame, keys: list[str], at: str = "ts", ide
     The state of a key is the time of its last accepted request; a micro-batch is bounded by its file count and its
     rows are taken in time order.
     """
-    names = ", ".join(f"{k} {dict(stream.dtypes)[k]}" for k in keys)
-    schema = f"{names}, {ident} {dict(stream.dtypes)[ident]}, {at} timestamp"
+    types = dict(stream.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, ident)) + ", at_us long"
 
     def accept(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([f[[ident, at]] for f in frames]).sort_values([at, ident])
+        rows = pd.concat([f[[ident, "at_us"]] for f in frames]).sort_values(["at_us", ident])
         last = state.get[0] if state.exists else None
-        times = rows[at].astype("datetime64[us]").astype("int64").to_numpy()
         kept = []
-        for i, t in enumerate(times):
+        for i, t in enumerate(rows["at_us"].to_numpy().tolist()):
             if last is None or t - last >= seconds * 1_000_000:
                 kept.append(i)
-                last = int(t)
+                last = t
         state.update((last,))
         out = rows.iloc[kept].copy()
         for k, v in zip(keys, key):
             out[k] = v
-        yield out[[*keys, ident, at]]
+        yield out[[*keys, ident, "at_us"]]
 
-    return stream.select(*keys, ident, at).groupBy(*keys).applyInPandasWithState(
-        accept, schema, "last_us long", "append", GroupStateTimeout.NoTimeout)
+    # Instants travel as microseconds, so the session's time zone has no say in the gap.
+    rows = stream.select(*keys, ident, F.unix_micros(at).alias("at_us"))
+    kept = rows.groupBy(*keys).applyInPandasWithState(accept, schema, "last_us long", "append", GroupStateTimeout.NoTimeout)
+    return kept.select(*keys, ident, F.timestamp_micros("at_us").alias(at))
 
 
 def snapshot_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
