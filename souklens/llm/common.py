@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SLICE_BYTES = 1 << 21
@@ -23,7 +24,7 @@ def fold(doc_id: Column | str, n: int) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each; one longer text is a slice of its own."""
     for batch in batches:
-        sizes = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(batch[column]).to_numpy(zero_copy_only=False), dtype=float)))
+        sizes = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False), dtype=float)))
         start, base = 0, 0.0
         while start < len(sizes):
             end = max(int(np.searchsorted(sizes, base + limit, side="right")), start + 1)

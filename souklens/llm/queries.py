@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from souklens.llm import simhash
+from souklens.llm import decontam, simhash
 from souklens.llm.common import fold, table
 
 
@@ -15,7 +15,35 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Each document and item as its words; a window is joined with every document word that starts like it.
+OP7_SQL = """
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+     b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark),
+     bw as (select distinct item_id, least(len(w), 10) k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') win
+            from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) i from b where len(w) > 0)),
+     dw as (select doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') win
+            from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) i from d, (select distinct k from bw))),
+     hits as (select doc_id, item_id, i, k from dw join bw using (k, win)),
+     words as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + k)) p from hits) group by 1),
+     its as (select doc_id, count(distinct item_id) n, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids from hits group by 1)
+select d.doc_id, cast(len(d.w) as bigint) n_words, cast(coalesce(words.n, 0) as bigint) n_hit, cast(coalesce(its.n, 0) as bigint) n_items,
+       sha256(coalesce(its.ids, '')) items_sha256, coalesce(words.n, 0) > 0 contaminated
+from d left join words using (doc_id) left join its using (doc_id)
+"""
+
+
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
+    "op7_decontam": op7_decontam,
+}
+ORACLES: dict[str, str] = {
+    "op7_decontam": OP7_SQL,
 }
-ORACLES: dict[str, str] = {}
