@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from souklens.llm import decontam, simhash
+from souklens.llm import decontam, secrets, simhash
 from souklens.llm.common import fold, table
 
 
@@ -15,6 +15,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of(kind):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "random")],
+                        F.sha2(digest(F.filter("spans", lambda s: s["kind"] != "random")).cast("binary"), 256).alias("base_sha256"),
+                        digest(F.col("spans")).alias("spans"))
+
+
 # Each document and item as its words; a window is joined with every document word that starts like it.
 OP7_SQL = """
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -42,6 +55,7 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
+    "op6_secrets": op6_secrets,
     "op7_decontam": op7_decontam,
 }
 ORACLES: dict[str, str] = {
