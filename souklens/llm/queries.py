@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from souklens.llm import decontam, secrets, simhash
+from souklens.llm import decontam, secrets, simhash, toxicity
 from souklens.llm.common import fold, table
 
 
+def held_out(doc_id: str, n: int, remainder: int) -> Column:
+    """Not to be learned from; a NULL id counts as held out."""
+    return F.coalesce(fold(doc_id, n) == remainder, F.lit(True))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_model(docs.where(~held_out("doc_id", 5, 0)), table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                        F.size("sentences").alias("n_sentences"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,6 +67,7 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
     "op7_decontam": op7_decontam,
