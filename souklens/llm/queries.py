@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from souklens.llm import decontam, secrets, simhash, toxicity
+from souklens.llm import decontam, pieces, secrets, simhash, toxicity
 from souklens.llm.common import fold, table
 
 
@@ -15,6 +15,10 @@ def held_out(doc_id: str, n: int, remainder: int) -> Column:
     return F.coalesce(fold(doc_id, n) == remainder, F.lit(True))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train_model(docs.where(~held_out("doc_id", 5, 0)), table(spark, sf_dir, "labels"))
@@ -67,6 +71,7 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
