@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 SLICE_BYTES = 1 << 21
 
@@ -44,3 +44,18 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(n).type) for n, c in ((f.name, columns[f.name]) for f in schema)], schema=schema)
+
+
+def drawn(classes: DataFrame, documents: int) -> tuple[DataFrame, dict]:
+    """A sample of (_id, _class) rows drawn by hash of the id, alike for each class and ``documents`` rows at most (one of each class
+    at least), and the number of rows of each class. A class is thinned by its own share first, so that ranking it stays small at any size."""
+    classes = classes.where("_id is not null and _class is not null")
+    counts = {r["_class"]: r["n"] for r in classes.groupBy("_class").agg(F.count("*").alias("n")).collect()}
+    each = max(1, documents // max(1, len(counts)))
+    share = F.lit(0.0)
+    for c, n in counts.items():
+        share = F.when(F.col("_class") == F.lit(c), F.lit(4.0 * each / n)).otherwise(share)
+    place = F.shiftrightunsigned(F.xxhash64("_id"), 11) / F.lit(float(1 << 53))
+    order = Window.partitionBy("_class").orderBy(F.xxhash64("_id"), "_id")
+    few = classes.where(place <= F.greatest(share, F.lit(64.0) * share / F.lit(float(each)))).withColumn("_r", F.row_number().over(order))
+    return few.where(F.col("_r") <= each).select("_id", "_class").distinct(), counts

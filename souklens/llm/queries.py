@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from souklens.llm import decontam, pieces, secrets, simhash, toxicity
+from souklens.llm import decontam, langid, pieces, quality, secrets, simhash, toxicity
 from souklens.llm.common import fold, table
 
 
@@ -19,9 +19,16 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.train_model(docs.where(~held_out("doc_id", 5, 0)))
+    found = langid.predict(docs, net)
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train_model(docs.where(~held_out("doc_id", 5, 0)), table(spark, sf_dir, "labels"))
+    model = toxicity.train_model(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)))
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                         F.size("sentences").alias("n_sentences"))
@@ -70,12 +77,22 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.train_model(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
+    found = quality.score(docs, net)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_langid": op3_langid,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
     "op7_decontam": op7_decontam,
+    "op10_quality": op10_quality,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
     "op7_decontam": OP7_SQL,

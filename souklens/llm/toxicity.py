@@ -1,9 +1,9 @@
 """Toxicity by multiple-instance learning: sentences are the instances, a document is their bag.
 
 A sentence scores the logistic of a bias plus the weights of its words; a document's score is the noisy-or of its sentences. Only
-documents carry labels. Words are hashed to buckets. Counts over all labelled training documents pick the vocabulary
-(the buckets whose document frequency differs most between the labels), and gradient descent on the noisy-or
-likelihood over a bounded sample of bags gives the weights. Scoring is one pass over whole texts with a weight table of fixed size.
+documents carry labels. Training takes a bounded sample of labelled documents, drawn by hash of the id, whose ids are broadcast
+to the texts. Words are hashed to buckets; those whose document frequency differs most between the labels are the vocabulary,
+and gradient descent on the noisy-or likelihood of the bags gives their weights. Scoring is one pass over whole texts with a weight table of fixed size.
 """
 
 from __future__ import annotations
@@ -13,14 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from souklens.llm.common import batch_of, slices, utf8_buffer
+from souklens.llm.common import batch_of, drawn, slices, utf8_buffer
 from souklens.llm.words import Words, words_of
 
 BUCKET_BITS = 20
 VOCABULARY = 2048  # buckets with weights, at most
-BAGS = 6000  # training documents of each label, at most
+BAGS = 16_000  # training documents over both labels, at most
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?\n"]] = True
 
@@ -42,14 +42,17 @@ def _buckets(w: Words) -> np.ndarray:
     return (w.hashes() >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, y) of labelled rows; an id with several labels counts as toxic if one of them says so."""
-    one = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("y is not null").groupBy("_id").agg(F.max("y").alias("y"))
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(one, "_id")
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, documents: int = BAGS) -> tuple[DataFrame, dict]:
+    """(text, y) of the sample, and the number of rows of each label; an id with several labels counts as toxic if one of them says so."""
+    classes = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_class")).where("_class is not null").groupBy("_id").agg(
+        (F.max("_class") > 0).cast("int").alias("_class"))
+    some, counts = drawn(classes, documents)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "_id")
+    return rows.select("text", F.col("_class").alias("y")), counts
 
 
 def vocabulary(train: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """The buckets whose document frequencies differ most between the labels, by a two-proportion z; counted over all rows."""
+    """The buckets whose document frequencies differ most between the labels, by a two-proportion z."""
     out = pa.schema([("bucket", pa.int64()), ("y", pa.int32()), ("n", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,8 +73,8 @@ def vocabulary(train: DataFrame, size: int = VOCABULARY) -> np.ndarray:
     return np.array(sorted(r["bucket"] for r in best.collect()), dtype=np.int64)
 
 
-def bags(train: DataFrame, vocab: np.ndarray, per_label: int = BAGS) -> list:
-    """(y, sentences, sentence of each feature, feature) of up to ``per_label`` documents of each label, drawn by hash."""
+def bags(train: DataFrame, vocab: np.ndarray) -> list:
+    """(y, sentences, sentence of each feature, feature) of every training document."""
     out = pa.schema([("y", pa.int32()), ("sentences", pa.int64()), ("sentence", pa.list_(pa.int32())), ("feature", pa.list_(pa.int32()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,19 +92,19 @@ def bags(train: DataFrame, vocab: np.ndarray, per_label: int = BAGS) -> list:
                 feat.append(at[i:j][own].astype(np.int32))
             yield batch_of(out, y=batch["y"], sentences=n, sentence=sent, feature=feat)
 
-    order = Window.partitionBy("y").orderBy(F.xxhash64("text"), "_id")
-    drawn = train.select("text", "_id", (F.col("y") > 0).cast("int").alias("y"))
-    ranked = drawn.select("_id", "y", F.xxhash64("text").alias("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label)
-    return drawn.join(ranked.select("_id").distinct(), "_id").select("text", "y").mapInArrow(work, "y int, sentences long, sentence array<int>, feature array<int>").collect()
+    return train.mapInArrow(work, "y int, sentences long, sentence array<int>, feature array<int>").collect()
 
 
-def fit(rows: list, vocab: np.ndarray, steps: int = 400, rate: float = 0.1, decay: float = 2e-3) -> Model:
-    """Adam on the mean noisy-or loss, with weights kept small; deterministic. Without both labels the score is the base rate."""
+def fit(rows: list, vocab: np.ndarray, counts: dict, steps: int = 400, rate: float = 0.1, decay: float = 2e-3) -> Model:
+    """Adam on the noisy-or loss, with weights kept small; deterministic. The labels were drawn alike and are weighted back to
+    their true shares. Without both labels the score is the base rate."""
     weights = np.zeros(1 << BUCKET_BITS, np.float32)
     y = np.array([r["y"] for r in rows], dtype=float)
     if not len(y) or y.min() == y.max() or not len(vocab):
         base = float(y.mean()) if len(y) else 0.0
         return Model(float(np.log((base + 1e-3) / (1 - base + 1e-3))), weights)
+    share = np.array([counts[int(k)] / max(1, (y == k).sum()) for k in y])
+    share /= share.sum()
     n = np.array([r["sentences"] for r in rows])
     base = np.concatenate([[0], np.cumsum(n)])
     feature = np.concatenate([np.asarray(r["feature"], dtype=np.int64) for r in rows])
@@ -114,7 +117,7 @@ def fit(rows: list, vocab: np.ndarray, steps: int = 400, rate: float = 0.1, deca
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         none = np.exp(np.bincount(doc, np.log1p(-p * (1 - 1e-9)), minlength=len(y)))  # no sentence is toxic
         # d loss / d log(none): 1 for a clean bag, -none / (1 - none) for a toxic one; d log(1 - p) / d logit = -p.
-        outer = np.where(y > 0, none / np.maximum(1 - none, 1e-6), -1.0) / len(y)
+        outer = np.where(y > 0, none / np.maximum(1 - none, 1e-6), -1.0) * share
         g = -outer[doc] * p
         grad = np.append(np.bincount(feature, g[sentence], minlength=len(vocab)), g.sum())
         grad[:-1] += decay / len(vocab) * theta[:-1]
@@ -125,10 +128,10 @@ def fit(rows: list, vocab: np.ndarray, steps: int = 400, rate: float = 0.1, deca
 
 
 def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on the rows of ``docs`` that ``labels`` covers; the caller leaves out what is held out."""
-    train = _labelled(docs, labels, id_col, text_col, label_col)
+    """Fit on a bounded sample of ``labels``, with the texts of ``docs``; the caller leaves out of ``labels`` what is held out."""
+    train, counts = training_rows(docs, labels, id_col, text_col, label_col)
     vocab = vocabulary(train)
-    return fit(bags(train, vocab), vocab)
+    return fit(bags(train, vocab), vocab, counts)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("sentences", pa.list_(pa.struct([
