@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from souklens.llm import decontam, langid, pieces, quality, secrets, simhash, toxicity
+from souklens.llm import decontam, langid, licenses, pieces, quality, secrets, simhash, toxicity
 from souklens.llm.common import fold, table
 
 
@@ -77,6 +77,10 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = quality.train_model(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
     "op7_decontam": op7_decontam,
+    "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
     "op10_quality": op10_quality,
 }
