@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from souklens.llm import decontam, langid, licenses, pieces, quality, secrets, simhash, toxicity
+from souklens.llm import ann, decontam, langid, licenses, pieces, quality, secrets, simhash, toxicity
 from souklens.llm.common import fold, table
 
 
@@ -15,6 +15,10 @@ def held_out(doc_id: str, n: int, remainder: int) -> Column:
     return F.coalesce(fold(doc_id, n) == remainder, F.lit(True))
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")
 
@@ -89,6 +93,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_langid": op3_langid,
     "op4_toxicity": op4_toxicity,
