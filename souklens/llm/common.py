@@ -59,3 +59,32 @@ def drawn(classes: DataFrame, documents: int) -> tuple[DataFrame, dict]:
     order = Window.partitionBy("_class").orderBy(F.xxhash64("_id"), "_id")
     few = classes.where(place <= F.greatest(share, F.lit(64.0) * share / F.lit(float(each)))).withColumn("_r", F.row_number().over(order))
     return few.where(F.col("_r") <= each).select("_id", "_class").distinct(), counts
+
+
+def bit_table(tokens: DataFrame, column: str, log2_bits: int) -> np.ndarray:
+    """A packed table of 2 ** log2_bits bits with those of the leading digits of 64-bit hashes set. Pieces of the table are made by the
+    executors, so the driver gets no more than the table itself, however many hashes there are."""
+    low = min(15, log2_bits)
+    out = pa.schema([("piece", pa.int64()), ("bits", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = []
+            for places in batch["places"]:
+                bits = np.zeros(1 << low, bool)
+                bits[places.values.to_numpy()] = True
+                pieces.append(np.packbits(bits, bitorder="little").tobytes())
+            yield batch_of(out, piece=batch["piece"], bits=pieces)
+
+    at = tokens.select(F.shiftrightunsigned(column, 64 - log2_bits).alias("at")).distinct()
+    pieces = at.groupBy(F.shiftrightunsigned("at", low).alias("piece")).agg(F.collect_list(F.col("at").bitwiseAND((1 << low) - 1)).alias("places"))
+    table = np.zeros((1 << log2_bits) // 8, np.uint8)
+    size = (1 << low) // 8
+    for row in pieces.mapInArrow(work, "piece long, bits binary").collect():
+        table[row["piece"] * size: (row["piece"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return table
+
+
+def in_bit_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(64 - int(np.log2(len(table) * 8)))
+    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0

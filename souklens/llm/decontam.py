@@ -4,7 +4,7 @@ An item is cut into windows of consecutive words; a window is a set of word shin
 must stand in a document for the window to occur, so its necessary prefix is one shingle: the rarest, by counts over all
 documents. Documents give a row only where they hold such a shingle, with the words around it. The join on the prefix shingle then
 applies the positional bound (enough words on both sides), and compares the words themselves. The shingles that
-matter reach the scan of the documents as a bit table of at most BITS bits, whatever the benchmark's size; false bits
+matter reach the scan of the documents as a bit table of 2 ** LOG2_BITS bits, whatever the benchmark's size; false bits
 only cost work. The join itself is left to Spark, which broadcasts the windows only if they are small.
 """
 
@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from souklens.llm.common import batch_of, slices, utf8_buffer
+from souklens.llm.common import batch_of, bit_table, in_bit_table, slices, utf8_buffer
 from souklens.llm.words import words_of
 from souklens.session import checkpointed
 
-BITS = 1 << 26
+LOG2_BITS = 26
 SHINGLE = 3
 
 _WINDOWS = pa.schema([("item_id", pa.string()), ("words", pa.list_(pa.string())), ("tokens", pa.list_(pa.int64()))])
@@ -52,20 +52,6 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
         work, "item_id string, words array<string>, tokens array<long>")
 
 
-def _bit_table(tokens: DataFrame, column: str) -> np.ndarray:
-    """Bits of the tokens' leading digits; each task sends its table's set places, of which there are at most BITS."""
-    places = tokens.select(F.shiftrightunsigned(column, 64 - int(np.log2(BITS))).alias("at")).distinct()
-    bits = np.zeros(BITS, bool)
-    for row in places.toLocalIterator():
-        bits[row["at"]] = True
-    return np.packbits(bits, bitorder="little")
-
-
-def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> np.uint64(64 - int(np.log2(BITS)))
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def _sizes(windows: DataFrame) -> list[int]:
     """Shingle sizes in use, 1 to SHINGLE."""
     return [r.n for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect()]
@@ -75,7 +61,7 @@ def token_counts(docs: DataFrame, text: Column, windows: DataFrame) -> DataFrame
     """(token, n): how often the windows' shingles stand in all documents, counted in each batch before the shuffle."""
     spark = docs.sparkSession
     wanted = windows.select(F.explode("tokens").alias("token")).distinct()
-    bits, sizes = spark.sparkContext.broadcast(_bit_table(wanted, "token")), _sizes(windows)
+    bits, sizes = spark.sparkContext.broadcast(bit_table(wanted, "token", LOG2_BITS)), _sizes(windows)
     out = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +70,7 @@ def token_counts(docs: DataFrame, text: Column, windows: DataFrame) -> DataFrame
             h = w.hashes()
             for n in sizes:
                 s = w.shingles(h, n)
-                token, count = np.unique(s[_has(bits.value, s) & (s != 0)], return_counts=True)
+                token, count = np.unique(s[in_bit_table(bits.value, s) & (s != 0)], return_counts=True)
                 yield batch_of(out, token=token.view(np.int64), n=count.astype(np.int64))
 
     counted = docs.select(text.cast("string").alias("text")).mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -106,7 +92,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rare = distinct.select("words", F.posexplode("tokens").alias("at", "token")).join(counts, "token").groupBy("words").agg(
         F.min(F.struct("n", "token", "at")).alias("least")).select("words", F.col("least.token").alias("token"), F.col("least.at").alias("at"))
     rare = checkpointed(rare)
-    bits, sizes = spark.sparkContext.broadcast(_bit_table(rare, "token")), _sizes(windows)
+    bits, sizes = spark.sparkContext.broadcast(bit_table(rare, "token", LOG2_BITS)), _sizes(windows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -115,7 +101,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             near: list[list[dict]] = [[] for _ in range(len(batch))]
             for n in sizes:
                 s = w.shingles(h, n)
-                for i in np.flatnonzero(_has(bits.value, s) & (s != 0)).tolist():
+                for i in np.flatnonzero(in_bit_table(bits.value, s) & (s != 0)).tolist():
                     row = int(w.doc[i])
                     a, b = int(w.first[row]), int(w.first[row + 1])
                     left = min(i - a, window - n)

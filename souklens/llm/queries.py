@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from souklens.llm import ann, decontam, langid, licenses, pieces, quality, secrets, simhash, toxicity
+from souklens.llm import ann, decontam, langid, licenses, pieces, quality, secrets, simhash, suffixes, toxicity
 from souklens.llm.common import fold, table
 
 
@@ -81,6 +81,10 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(table(spark, sf_dir, "documents"))
 
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
     "op7_decontam": op7_decontam,
+    "op8_suffixes": op8_suffixes,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
     "op10_quality": op10_quality,
