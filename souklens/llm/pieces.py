@@ -23,7 +23,7 @@ from souklens.llm.common import batch_of, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 150_000  # words, parts and pairs kept, each, in two generations
+WORDS, PARTS, PAIRS = 100_000, 250_000, 250_000  # kept in two generations
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types
 BPE = 2
 
@@ -31,7 +31,7 @@ BPE = 2
 class Recent(dict):
     """A dictionary of at most about twice ``limit`` entries: a full generation replaces the older one."""
 
-    def __init__(self, compute, limit: int = REMEMBERED):
+    def __init__(self, compute, limit: int):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
@@ -62,14 +62,15 @@ class Transducer:
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         if len(self.byte) != 256 or any(p.type in (USER, UNUSED) for p in proto.pieces):
             raise ValueError("all 256 byte pieces are needed, and neither user-defined nor unused pieces")
+        # A byte piece decodes to its character or, above ASCII, to the stand-in that "surrogateescape" turns into the byte.
         self.text = [p.piece.replace(MARK, " ") if p.type == NORMAL else "" for p in proto.pieces]
-        self.byte_of = {i: b for b, i in self.byte.items()}
-        self.starts = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
-        self.shorter = {s: next((s[:k] for k in range(len(s) - 1, 0, -1) if s[:k] in self.id), None) for s in self.starts}
+        for b, i in self.byte.items():
+            self.text[i] = chr(b if b < 128 else 0xDC00 + b)
+        self.starts = {p[:k]: False for p in self.id for k in range(1, len(p))} | {p: True for p in self.id}
         self.within, self.parts = self._cuts()
-        self.allowed = Recent(self._pair_weight_is_zero)
-        self.paths = Recent(self._shortest_path)
-        self.words = Recent(self._word_path)
+        self.allowed = Recent(self._pair_weight_is_zero, PAIRS)
+        self.paths = Recent(self._shortest_path, PARTS)
+        self.words = Recent(self._word_path, WORDS)
 
     def _cuts(self):
         """Functions that cut a marked word, and a marked text, into parts that no piece crosses: before a run of marks, and
@@ -104,28 +105,32 @@ class Transducer:
     def _shortest_path(self, part: str) -> tuple[int, ...]:
         """Depth first over the composition, longest arcs first. A prefix has one finite path, so a position that was left
         in vain is dead for good, and the first path that reaches the end is the shortest."""
-        n, known, allowed, starts, shorter = len(part), self.id, self.allowed, self.starts, self.shorter
-        path: list[str] = []
-        at, dead, piece = 0, set(), None
+        known, allowed, starts = self.id, self.allowed, self.starts
+        n, at, path, dead, open_ = len(part), 0, [], set(), []
         while at < n:
-            if piece is None:  # a new position: the longest arc
-                end = at + 1
-                while end < n and part[at: end + 1] in starts:
+            if len(open_) == len(path):  # a new position: its arcs, the longest last
+                arcs, end = [], at + 1
+                while end <= n:
+                    piece = part[at:end]
+                    whole = starts.get(piece)
+                    if whole:
+                        arcs.append(piece)
+                    elif whole is None:
+                        break
                     end += 1
-                piece = part[at:end]
-                if piece not in known:
-                    piece = shorter.get(piece, piece[0])  # a character without a piece takes byte fallback and merges with nothing
-            while piece and (at + len(piece) in dead or path and not allowed[path[-1], piece]):
-                piece = shorter.get(piece)
-            if piece:
-                path.append(piece)
-                at += len(piece)
-                piece = None
+                open_.append(arcs or [part[at]])  # without an arc: byte fallback, which merges with nothing
+            arcs = open_[-1]
+            before = path[-1] if path else None
+            while arcs:
+                piece = arcs.pop()
+                if (before is None or allowed[before, piece]) and at + len(piece) not in dead:
+                    path.append(piece)
+                    at += len(piece)
+                    break
             else:
                 dead.add(at)
-                piece = path.pop()
-                at -= len(piece)
-                piece = shorter.get(piece) or ""
+                open_.pop()
+                at -= len(path.pop())
         return tuple([i for p in path for i in ((known[p],) if p in known else [self.byte[b] for b in p.encode()])])
 
     def _word_path(self, word: str) -> tuple[int, ...]:
@@ -147,11 +152,11 @@ class Transducer:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        text = self.text
-        if self.byte_of.keys().isdisjoint(ids):
-            out = "".join([text[i] for i in ids])
-        else:
-            out = b"".join([bytes([self.byte_of[i]]) if i in self.byte_of else text[i].encode() for i in ids]).decode(errors="replace")
+        out = "".join(map(self.text.__getitem__, ids))
+        try:
+            out.encode()
+        except UnicodeEncodeError:
+            out = out.encode(errors="surrogateescape").decode(errors="replace")
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
