@@ -26,13 +26,15 @@ chain as (select user_id, event_type, min(ts) as ts from e group by 1, 2
 select e.user_id, e.event_type, min(e.event_id) as event_id from e join chain c on c.user_id = e.user_id and c.event_type = e.event_type and c.ts = e.ts group by e.user_id, e.event_type, e.ts""")
 def _(c):
     requests = stream(c, "events").select("user_id", "event_type", "event_id", moment("ts").alias("ts"))
-    return st.drain(st.dedup_requests_exact(requests, ["user_id", "event_type"]), "requests").select("user_id", "event_type", "event_id")
+    return st.dedup_requests_exact(requests, ["user_id", "event_type"], scratch_path(c.spark, "requests")).select("user_id", "event_type", "event_id")
 
 
-@query("t01_dedup_requests", "select distinct user_id, event_type from events")
+@query("t01_dedup_requests", """select user_id, event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as slot, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first
+    from events group by user_id, event_type, date_trunc('hour', ts)""")
 def _(c):
     requests = stream(c, "events").select("user_id", "event_type", moment("ts").alias("ts"))
-    return st.drain(st.dedup_requests(requests, ["user_id", "event_type"]), "first-requests").select("user_id", "event_type").distinct()
+    first = st.dedup_requests(requests, ["user_id", "event_type"], scratch_path(c.spark, "first-requests"))
+    return first.withColumn("slot", F.date_format("slot", "yyyy-MM-dd HH")).withColumn("first", F.date_format("first", "yyyy-MM-dd HH:mm:ss"))
 
 
 def snapshots(c):
@@ -42,29 +44,28 @@ def snapshots(c):
 
 @query("t02_snapshot_stream", "select distinct l_partkey as offer_id, strftime(l_shipdate, '%Y-%m-%d') as scraped_at from lineitem")
 def _(c):
-    return st.drain(st.snapshot_stream(snapshots(c).select("offer_id", "scraped_at")), "snapshots").withColumn("scraped_at", F.date_format("scraped_at", "yyyy-MM-dd"))
+    return st.snapshot_stream(snapshots(c), scratch_path(c.spark, "snapshots")).withColumn("scraped_at", F.date_format("scraped_at", "yyyy-MM-dd"))
 
 
-@query("t03_velocity_stream", f"""with s as (select l_partkey as offer_id, l_shipdate as t, cast(l_quantity as bigint) as q, row_number() over (partition by l_partkey order by l_shipdate desc, l_quantity desc) as rn from lineitem),
+@query("t03_velocity_stream", f"""with s as (select offer_id, t, q, row_number() over (partition by offer_id order by t desc) as rn from (select l_partkey as offer_id, l_shipdate as t, max(cast(l_quantity as bigint)) as q from lineitem group by 1, 2)),
 v as (select a.offer_id, a.q as current_sales, b.q as previous_sales, a.q - coalesce(b.q, 0) as sales_delta, cast(date_diff('day', b.t, a.t) as int) as days_between from s a left join s b on b.offer_id = a.offer_id and b.rn = 2 where a.rn = 1)
 select *, case when days_between > 0 then {R("(current_sales - previous_sales) / days_between::double", 1)} end as daily_velocity from v""")
 def _(c):
-    updates = st.drain(st.velocity_stream(snapshots(c)), "velocity")
-    return st.current_velocity(updates).drop("latest_scrape", "previous_scrape")
+    return st.velocity_stream(snapshots(c), scratch_path(c.spark, "velocity")).drop("latest_scrape", "previous_scrape")
 
 
 @query("t04_trend_stream", f"""select strftime(l_shipdate, '%Y-%m-%d') as date, l_returnflag as platform, {R('avg(l_extendedprice / l_quantity)', 4)} as avg_price, min(l_extendedprice / l_quantity) as min_price,
-    max(l_extendedprice / l_quantity) as max_price, count(*) as product_count from lineitem where l_shipdate <= (select max(l_shipdate) from lineitem) - interval 2 days group by 1, 2""")
+    max(l_extendedprice / l_quantity) as max_price, count(*) as product_count from lineitem group by 1, 2""")
 def _(c):
-    days = st.drain(st.trend_stream(snapshots(c).withColumnRenamed("l_returnflag", "platform")), "trend")
+    days = st.trend_stream(snapshots(c).withColumnRenamed("l_returnflag", "platform"), scratch_path(c.spark, "trend"))
     return days.withColumn("avg_price", round_half_up("avg_price", 4))
 
 
-@query("t05_alert_stream", """select event_id, alert_id, user_id as product_id, value as price, target_price from events join (select c_custkey as alert_id, c_nationkey as product_id, abs(c_acctbal) / 100 as target_price
+@query("t05_alert_stream", """select event_id, alert_id, user_id as product_id, value as price, target_price from events join (select c_custkey as alert_id, c_custkey as product_id, abs(c_acctbal) / 100 as target_price
     from customer where c_custkey % 3 > 0) on product_id = user_id where value <= target_price""")
 def _(c):
     prices = stream(c, "events").selectExpr("event_id", "user_id as product_id", "value as price")
-    alerts = c.table("customer").selectExpr("c_custkey as alert_id", "cast(c_nationkey as bigint) as product_id", "abs(c_acctbal) / 100 as target_price", "c_custkey % 3 > 0 as is_active")
+    alerts = c.table("customer").selectExpr("c_custkey as alert_id", "c_custkey as product_id", "abs(c_acctbal) / 100 as target_price", "c_custkey % 3 > 0 as is_active")
     return st.drain(st.alert_stream(prices, alerts), "alerts")
 
 
@@ -73,7 +74,7 @@ r as (select *, row_number() over (partition by product_a_id order by confidence
 def _(c):
     base = c.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
     arriving = stream(c, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return st.match_stream(arriving, base, scratch_path(c.spark, "edges"), threshold=T)().drop("batch")
+    return st.match_stream(arriving, base, scratch_path(c.spark, "edges"), threshold=T)()
 
 
 @query("c07_nightly_catalogue", f"""{sim.TIERED_PICKED}, final as (select * from picked where pick = 1), {rep.MAPPINGS},

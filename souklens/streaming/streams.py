@@ -1,18 +1,19 @@
 """Streaming forms of the time-bounded behaviours, on Structured Streaming.
 
-Every function takes and returns a streaming DataFrame; ``drain`` runs one to the end of what is available into a
-parquet sink and gives the result back as a batch DataFrame.
+Files arrive in any order, so nothing here waits for a watermark. Every micro-batch is reduced by an associative rule and
+written to a folder of its own, named by the batch and overwritten when the batch is repeated; the answer combines the folders
+by the same rule. It is therefore the batch answer over all rows, whatever the number of micro-batches, and a restart
+neither loses nor doubles a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from souklens.functions.numbers import round_half_up, whole_days
+from souklens.operators.history import newest, product_velocity
 from souklens.operators.similarity import similarity_join
 from souklens.session import scratch_path
 
@@ -37,100 +38,85 @@ def drain(stream: DataFrame, name: str = "stream") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def dedup_requests(stream: DataFrame, keys: list[str], at: str = "ts", gap: str = "1 hour") -> DataFrame:
-    """First request per key, further ones within the gap dropped. The gap runs from the first sighting in event time
-    and forgets with the watermark; ``dedup_requests_exact`` measures from the last accepted request."""
-    return stream.withWatermark(at, gap).dropDuplicatesWithinWatermark(keys)
+def partials(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Drain a stream into one folder of reduced rows per micro-batch under ``path``, and read them all.
 
+    ``path`` also keeps the progress, so a later call goes on where the last one ended; a stream without rows gives none.
+    """
+    spark = stream.sparkSession
+    schema = reduce(spark.createDataFrame([], stream.schema)).schema
 
-def dedup_requests_exact(stream: DataFrame, keys: list[str], at: str = "ts", ident: str = "event_id", seconds: int = 3600) -> DataFrame:
-    """Requests whose key had no accepted request in the ``seconds`` before them.
+    def take(batch: DataFrame, batch_id: int) -> None:
+        reduce(batch).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
-    The state of a key is the time of its last accepted request; a micro-batch is bounded by its file count and its
-    rows are taken in time order.
-    """
-    types = dict(stream.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, ident)) + ", at_us long"
-
-    def accept(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([f[[ident, "at_us"]] for f in frames]).sort_values(["at_us", ident])
-        last = state.get[0] if state.exists else None
-        kept = []
-        for i, t in enumerate(rows["at_us"].to_numpy().tolist()):
-            if last is None or t - last >= seconds * 1_000_000:
-                kept.append(i)
-                last = t
-        state.update((last,))
-        out = rows.iloc[kept].copy()
-        for k, v in zip(keys, key):
-            out[k] = v
-        yield out[[*keys, ident, "at_us"]]
-
-    # Instants travel as microseconds, so the session's time zone has no say in the gap.
-    rows = stream.select(*keys, ident, F.unix_micros(at).alias("at_us"))
-    kept = rows.groupBy(*keys).applyInPandasWithState(accept, schema, "last_us long", "append", GroupStateTimeout.NoTimeout)
-    return kept.select(*keys, ident, F.timestamp_micros("at_us").alias(at))
-
-
-def snapshot_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Snapshots once per offer and instant, however often they are delivered within the delay."""
-    return stream.withWatermark("scraped_at", delay).dropDuplicates(["offer_id", "scraped_at"])
-
-
-VELOCITY_COLUMNS = ["offer_id", "latest_us", "current_sales", "previous_us", "previous_sales", "version"]
-VELOCITY_STATE = "t1 long, s1 long, t2 long, s2 long, n long"
-
-
-def _two_newest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Map-side reduction: of each Arrow batch only an offer's two newest snapshots go to the shuffle."""
-    for f in frames:
-        yield f.sort_values(["t", "s"], ascending=False).groupby("offer_id", sort=False).head(2)
-
-
-def _track(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = []
-    n = 0
-    if state.exists:
-        t1, s1, t2, s2, n = state.get
-        held = [(t1, s1)] + ([(t2, s2)] if t2 is not None else [])
-    for f in frames:
-        held = sorted([*held, *zip(f["t"].to_numpy().tolist(), f["s"].to_numpy().tolist())], reverse=True)[:2]
-    (t1, s1), second = held[0], held[1] if len(held) > 1 else None
-    t2, s2 = (int(second[0]), int(second[1])) if second else (None, None)
-    n += 1
-    state.update((int(t1), int(s1), t2, s2, n))
-    yield pd.DataFrame([(key[0], t1, s1, t2, s2, n)], columns=VELOCITY_COLUMNS, dtype="object")
-
-
-def velocity_stream(stream: DataFrame) -> DataFrame:
-    """Running velocity: after each micro-batch one row per touched offer from its two newest snapshots.
-
-    The state of an offer is those two snapshots; ``version`` counts its updates, the highest being current.
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/rows/batch=-1")
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.option("basePath", f"{path}/rows").schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows").drop("batch")
+
+
+def dedup_requests(stream: DataFrame, keys: list[str], path: str, at: str = "ts", slot: str = "1 hour") -> DataFrame:
+    """At most one request per key and clock slot, the earliest: (keys, slot, first)."""
+    def reduce(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, F.window(at, slot)["start"].alias("slot")).agg(F.min(at).alias("first"))
+
+    return partials(stream, reduce, path).groupBy(*keys, "slot").agg(F.min("first").alias("first"))
+
+
+def accepted_requests(requests: DataFrame, keys: list[str], at: str = "ts", ident: str = "event_id", seconds: int = 3600) -> DataFrame:
+    """Requests whose key had no accepted request in the ``seconds`` before them: (keys, ident, at), in time order per key, equal times by ident.
+
+    A key's rows are sorted inside its partition and scanned as they stream by, so a task holds one Arrow batch and one time, however
+    large the key. Instants travel as microseconds, so the session's time zone has no say in the gap.
     """
-    rows = stream.where(F.col("sales_volume_estimate").isNotNull()).select(
-        "offer_id", F.unix_micros(F.col("scraped_at").cast("timestamp")).alias("t"), F.col("sales_volume_estimate").cast("long").alias("s"))
-    reduced = rows.mapInPandas(_two_newest, rows.schema)
-    schema = "offer_id long, latest_us long, current_sales long, previous_us long, previous_sales long, version long"
-    tracked = reduced.groupBy("offer_id").applyInPandasWithState(_track, schema, VELOCITY_STATE, "append", GroupStateTimeout.NoTimeout)
-    days = F.floor((F.col("latest_us") - F.col("previous_us")) / 86_400_000_000).cast("int")
-    delta = F.col("current_sales") - F.col("previous_sales")
-    return tracked.select(
-        "offer_id", "current_sales", "previous_sales", F.timestamp_micros("latest_us").alias("latest_scrape"), F.timestamp_micros("previous_us").alias("previous_scrape"),
-        (F.col("current_sales") - F.coalesce("previous_sales", F.lit(0))).alias("sales_delta"), days.alias("days_between"),
-        F.when(days > 0, round_half_up(F.try_divide(delta, days), 1)).alias("daily_velocity"), "version")
+    rows = requests.select(F.to_json(F.struct(*keys)).alias("_key"), F.unix_micros(at).alias("_us"), *keys, ident, at)
+    ordered = rows.repartition("_key").sortWithinPartitions("_key", "_us", ident)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            kept = []
+            for k, t in zip(batch["_key"].to_pylist(), batch["_us"].to_pylist()):
+                if k != key:
+                    key, last = k, None
+                kept.append(t is not None and (last is None or t - last >= seconds * 1_000_000))
+                if kept[-1]:
+                    last = t
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-def current_velocity(updates: DataFrame) -> DataFrame:
-    """The last version of every offer."""
-    rest = [c for c in updates.columns if c not in ("offer_id", "version")]
-    return updates.groupBy("offer_id").agg(F.max_by(F.struct(*rest), "version").alias("w")).select("offer_id", "w.*")
+    return ordered.mapInArrow(scan, ordered.schema).drop("_key", "_us")
 
 
-def trend_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Average, lowest and highest price and row count per day and platform, emitted once a day lies behind the watermark."""
-    return stream.withWatermark("scraped_at", delay).groupBy(F.window("scraped_at", "1 day").alias("w"), "platform").agg(
-        F.avg("price_brl").alias("avg_price"), F.min("price_brl").alias("min_price"), F.max("price_brl").alias("max_price"),
-        F.count(F.lit(1)).alias("product_count")).select(F.date_format("w.start", "yyyy-MM-dd").alias("date"), "platform", "avg_price", "min_price", "max_price", "product_count")
+def dedup_requests_exact(stream: DataFrame, keys: list[str], path: str, at: str = "ts", ident: str = "event_id", seconds: int = 3600) -> DataFrame:
+    """``accepted_requests`` of all that has arrived. A request that arrives late takes its place by time, and may so
+    displace later ones: the answer never depends on how the requests were batched."""
+    return accepted_requests(partials(stream, lambda rows: rows.select(*keys, ident, at).distinct(), path), keys, at, ident, seconds)
+
+
+def snapshot_stream(stream: DataFrame, path: str, keys: tuple[str, ...] = ("offer_id", "scraped_at")) -> DataFrame:
+    """Snapshot keys, each once, however often and in whatever order they are delivered."""
+    once = lambda rows: rows.select(*keys).distinct()
+    return once(partials(stream, once, path))
+
+
+def velocity_stream(stream: DataFrame, path: str) -> DataFrame:
+    """Velocity of every offer from its two newest snapshots. An instant counts once, with its highest sales; the two newest
+    of a batch are all that it can add."""
+    def reduce(rows: DataFrame) -> DataFrame:
+        known = rows.where(F.col("sales_volume_estimate").isNotNull()).groupBy("offer_id", "scraped_at").agg(F.max(F.col("sales_volume_estimate").cast("long")).alias("sales_volume_estimate"))
+        return newest(known, ["offer_id"], [F.desc_nulls_last("scraped_at")], 2).drop("rn")
+
+    return product_velocity(reduce(partials(stream, reduce, path)))
+
+
+def trend_stream(stream: DataFrame, path: str) -> DataFrame:
+    """Average, lowest and highest price and row count per day and platform, over all days seen so far."""
+    def reduce(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.date_format("scraped_at", "yyyy-MM-dd").alias("date"), "platform").agg(
+            F.sum("price_brl").alias("total"), F.count("price_brl").alias("priced"), F.min("price_brl").alias("low"), F.max("price_brl").alias("high"), F.count(F.lit(1)).alias("n"))
+
+    return partials(stream, reduce, path).groupBy("date", "platform").agg(
+        F.try_divide(F.sum("total"), F.sum("priced")).alias("avg_price"), F.min("low").alias("min_price"), F.max("high").alias("max_price"), F.sum("n").alias("product_count"))
 
 
 def alert_stream(prices: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -139,23 +125,44 @@ def alert_stream(prices: DataFrame, alerts: DataFrame) -> DataFrame:
     return prices.join(active, "product_id").where(F.col("price") <= F.col("target_price"))
 
 
-def match_stream(new_products: DataFrame, base: DataFrame, path: str, *, threshold: float = 0.7, k: int = 5) -> Callable[[], DataFrame]:
-    """Edges of products as they arrive, each micro-batch against the catalogue; returns a function that runs it.
+def match_stream(new_products: DataFrame, base: DataFrame, path: str, *, threshold: float = 0.7, k: int = 5, edges: DataFrame | None = None,
+                 now=None, days: int = 7) -> Callable[[], DataFrame]:
+    """Edges (product_a_id, product_b_id, confidence) of products as they arrive; returns a function that runs it.
 
-    A batch writes its own folder and overwrites it when repeated, so a restart neither loses nor doubles edges.
+    A micro-batch is matched to the catalogue, to all arrivals before it and to itself, and the earlier arrivals to it, so two
+    arrivals meet whatever batch they come in; of all that was found an arrival's ``k`` best edges count, each pair once. A product with an
+    edge in ``edges`` (product_a_id, created_at) of the last ``days`` before ``now`` needs no refresh and is not matched again.
     """
     spark = base.sparkSession
-    schema = "product_a_id long, product_b_id long, confidence double"
-
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        near = similarity_join(batch, base, k=k).where(F.col("similarity") > threshold)
-        near.select(F.col("left_id").alias("product_a_id"), F.col("right_id").alias("product_b_id"), F.col("similarity").alias("confidence")).write.mode(
-            "overwrite").parquet(f"{path}/batch={batch_id}")
+    arrived = new_products.select("id", "embedding").schema
+    schema = "left_id long, right_id long, similarity double"
+    known = base.select("id", "embedding")
+
+    def before(batch_id: int) -> DataFrame:
+        return spark.read.schema(T.StructType([*arrived, T.StructField("batch", T.LongType())])).option("basePath", f"{path}/arrived").parquet(f"{path}/arrived").where(
+            (F.col("batch") < batch_id)).drop("batch")
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select("id", "embedding")
+        if edges is not None:
+            recent = edges.where(F.col("created_at") > F.date_sub(now, days)).select(F.col("product_a_id").alias("id")).distinct()
+            fresh = fresh.join(recent, "id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/arrived/batch={batch_id}")
+        fresh = spark.read.schema(arrived).parquet(f"{path}/arrived/batch={batch_id}")
+        earlier = before(batch_id)
+        pool = known.unionByName(earlier).unionByName(fresh).dropDuplicates(["id"])
+        found = similarity_join(fresh, pool, k=k).unionByName(similarity_join(earlier, fresh, k=k)).where(F.col("similarity") > threshold)
+        found.select("left_id", "right_id", "similarity").write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
 
     def run() -> DataFrame:
-        query = (new_products.writeStream.foreachBatch(refresh).option("checkpointLocation", scratch_path(spark, "match-progress"))
-                 .trigger(availableNow=True).start())
+        spark.createDataFrame([], arrived).write.mode("overwrite").parquet(f"{path}/arrived/batch=-1")
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/edges/batch=-1")
+        query = new_products.writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
         query.awaitTermination()
-        return spark.read.schema(f"{schema}, batch long").parquet(path)
+        found = spark.read.schema(f"{schema}, batch long").option("basePath", f"{path}/edges").parquet(f"{path}/edges")
+        latest = found.groupBy("left_id", "right_id").agg(F.max_by("similarity", "batch").alias("similarity"))
+        best = newest(latest, ["left_id"], [F.desc("similarity"), F.asc("right_id")], k)
+        return best.select(F.col("left_id").alias("product_a_id"), F.col("right_id").alias("product_b_id"), F.col("similarity").alias("confidence"))
 
     return run
+

@@ -16,47 +16,88 @@ LINEITEM = "/root/testdata/sf0.001/lineitem.parquet"
 
 @pytest.fixture(scope="module")
 def parts(spark):
-    """The snapshots in four files, so that a stream takes four micro-batches."""
+    """The line items in eight shuffled files."""
     path = scratch_path(spark, "parts")
-    df = spark.read.parquet(LINEITEM).selectExpr("l_partkey as offer_id", "cast(l_shipdate as timestamp) as scraped_at", "cast(l_quantity as bigint) as sales_volume_estimate")
-    df = df.groupBy("offer_id", "scraped_at").agg(F.sum("sales_volume_estimate").alias("sales_volume_estimate"))
-    df.repartition(4).write.parquet(path)
+    spark.read.parquet(LINEITEM).selectExpr(
+        "l_partkey as offer_id", "cast(l_shipdate as timestamp) as scraped_at", "cast(l_quantity as bigint) as sales_volume_estimate",
+        "l_extendedprice / l_quantity as price_brl", "l_returnflag as platform").repartition(8, F.rand(3)).write.parquet(path)
     return path
 
 
-def test_velocity_stream_equals_batch(spark, parts):
-    batch = spark.read.parquet(parts)
-    updates = st.drain(st.velocity_stream(st.read_files(spark, parts, batch.schema, 1)), "v")
-    assert updates.agg(F.max("version")).head()[0] > 1
+@pytest.fixture(params=[1, 64])
+def arriving(request, spark, parts):
+    return st.read_files(spark, parts, spark.read.parquet(parts).schema, request.param)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_velocity_stream_equals_batch(spark, parts, arriving):
+    batch = spark.read.parquet(parts).groupBy("offer_id", "scraped_at").agg(F.max("sales_volume_estimate").alias("sales_volume_estimate"))
     cols = ["offer_id", "current_sales", "previous_sales", "sales_delta", "days_between", "daily_velocity"]
-    got, want = st.current_velocity(updates).select(cols), product_velocity(batch).select(cols)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert rows(st.velocity_stream(arriving, scratch_path(spark, "v")).select(cols)) == rows(product_velocity(batch).select(cols))
+
+
+def test_velocity_counts_a_redelivered_snapshot_once(spark):
+    path = scratch_path(spark, "again")
+    for day, sales in ((1, 100), (2, 130), (2, 130)):
+        spark.createDataFrame([(7, f"2024-01-0{day}", sales)], "offer_id long, d string, sales_volume_estimate long").selectExpr(
+            "offer_id", "cast(d as timestamp) as scraped_at", "sales_volume_estimate").coalesce(1).write.mode("append").parquet(path)
+    stream = st.read_files(spark, path, spark.read.parquet(path).schema, 1)
+    found = st.velocity_stream(stream, scratch_path(spark, "v")).first()
+    assert (found.current_sales, found.previous_sales, found.daily_velocity) == (130, 100, 30.0)
+
 
+def test_snapshot_stream_keeps_every_snapshot_once(spark, parts, arriving):
+    assert rows(st.snapshot_stream(arriving, scratch_path(spark, "s"))) == rows(spark.read.parquet(parts).select("offer_id", "scraped_at").distinct())
 
-def test_snapshot_stream_is_idempotent(spark, parts):
-    batch = spark.read.parquet(parts)
-    twice = scratch_path(spark, "twice")
-    batch.union(batch).repartition(3).write.parquet(twice)
-    stream = st.read_files(spark, twice, batch.schema, 1).select("offer_id", "scraped_at")
-    assert st.drain(st.snapshot_stream(stream, "20000 days"), "s").count() == batch.count()
 
+def test_trend_stream_has_all_days(spark, parts, arriving):
+    found = st.trend_stream(arriving, scratch_path(spark, "t")).select("date", "platform", "min_price", "max_price", "product_count", F.round("avg_price", 6))
+    want = spark.read.parquet(parts).groupBy(F.date_format("scraped_at", "yyyy-MM-dd").alias("date"), "platform").agg(
+        F.min("price_brl"), F.max("price_brl"), F.count("*"), F.round(F.avg("price_brl"), 6))
+    assert rows(found) == rows(want)
 
-def test_exact_dedup_measures_from_the_last_accepted_request(spark):
+
+@pytest.mark.parametrize("files", [1, 64])
+def test_exact_dedup_measures_from_the_last_accepted_request(spark, files):
     path = scratch_path(spark, "requests")
     minutes = [0, 30, 59, 60, 100, 119, 120, 121]
     spark.createDataFrame([(i, "q", m) for i, m in enumerate(minutes)], "event_id long, q string, m int").selectExpr(
-        "event_id", "q", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m) as ts").write.parquet(path)
-    stream = st.read_files(spark, path, "event_id long, q string, ts timestamp")
-    assert sorted(r.event_id for r in st.drain(st.dedup_requests_exact(stream, ["q"]), "r").collect()) == [0, 3, 6]
+        "event_id", "q", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m) as ts").repartition(8, F.rand(5)).write.parquet(path)
+    stream = st.read_files(spark, path, "event_id long, q string, ts timestamp", files)
+    found = st.dedup_requests_exact(stream, ["q"], scratch_path(spark, "r"))
+    assert sorted(r.event_id for r in found.collect()) == [0, 3, 6]
+
+
+@pytest.mark.parametrize("files", [1, 64])
+def test_first_request_of_every_hour(spark, files):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    path = scratch_path(spark, "events")
+    events.repartition(8, F.rand(1)).write.parquet(path)
+    found = st.dedup_requests(st.read_files(spark, path, events.schema, files), ["user_id", "event_type"], scratch_path(spark, "r"))
+    want = events.groupBy("user_id", "event_type", F.date_trunc("hour", "ts")).agg(F.min("ts"))
+    assert rows(found) == rows(want)
+
+
+def test_match_stream_does_not_depend_on_batches(spark):
+    base = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(12)], "id long, embedding array<float>")
+    new = spark.createDataFrame([(100 + i, [1.0, i + 0.25, 0.4]) for i in range(9)], base.schema)
+    path = scratch_path(spark, "arriving")
+    new.repartition(3).write.parquet(path)
+    one, many = (st.match_stream(st.read_files(spark, path, base.schema, n), base, scratch_path(spark, "found"), threshold=0.5, k=3)() for n in (64, 1))
+    assert rows(one) == rows(many)
+    assert one.where("product_b_id >= 100").count() > 0 and one.groupBy("product_a_id").count().where("count > 3").count() == 0
 
 
-def test_match_stream_in_batches(spark):
-    base = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(20)], "id long, embedding array<float>")
+def test_match_stream_leaves_out_fresh_edges(spark):
+    base = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "id long, embedding array<float>")
     path = scratch_path(spark, "arriving")
-    base.repartition(3).write.parquet(path)
-    run = st.match_stream(st.read_files(spark, path, base.schema, 1), base, scratch_path(spark, "found"), threshold=0.5, k=3)
-    got = run()
-    assert got.select("batch").distinct().count() > 1 and got.groupBy("product_a_id").count().where("count > 3").count() == 0
+    base.write.parquet(path)
+    edges = spark.createDataFrame([(1, "2024-05-30"), (2, "2024-01-01")], "product_a_id long, d string").selectExpr("product_a_id", "cast(d as date) as created_at")
+    run = st.match_stream(st.read_files(spark, path, base.schema), base, scratch_path(spark, "found"), threshold=0.1, edges=edges, now=F.lit("2024-06-01").cast("date"))
+    assert {r.product_a_id for r in run().collect()} == {0, 2, 3}
 
 
 def test_product_files_are_json_arrays(spark):
