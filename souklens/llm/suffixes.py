@@ -30,7 +30,8 @@ from souklens.session import checkpointed
 
 GRAM = 28
 LOG2_BITS = 27  # of the table of repeated grams
-RUN_BYTES = 32 << 20  # text of a sorted run, about
+RUN_BYTES = 12 << 20  # text of a sorted run, about
+SLICE = 1 << 19  # text hashed at a time; the work arrays take about 100 times as much
 PART_BYTES = 24 << 20  # text for which a part of the merge is meant
 BLOCK = 50_000  # merged suffixes judged at a time; a gram is never split
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -239,7 +240,7 @@ def repeated_spans(rows: DataFrame, length: int = 100) -> DataFrame:
     grams = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             gram, n = np.unique(anchors(*utf8_buffer(batch["text"]), length)[1], return_counts=True)
             yield batch_of(grams, gram=gram.view(np.int64), n=n.astype(np.int64))
 
@@ -255,15 +256,16 @@ def repeated_spans(rows: DataFrame, length: int = 100) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             dealt: dict[int, list[tuple]] = {}
-            for (text, back), (doc, row, anchor, gram) in found.items():
+            while found:  # the table shrinks as the parts grow
+                (text, back), (doc, row, anchor, gram) = found.popitem()
                 dealt.setdefault(gram % parts, []).append((text[back:], text[:back][::-1], doc, row, anchor))
             for part in sorted(dealt):
-                yield batch_of(_SPANS, doc=[None], row=[None], start=[None], end=[None], part=[part], run=[pack(sorted(dealt[part], key=lambda e: e[0]))])
+                yield batch_of(_SPANS, doc=[None], row=[None], start=[None], end=[None], part=[part], run=[pack(sorted(dealt.pop(part), key=lambda e: e[0]))])
             for at in range(0, len(joined := _joined(spans)), 50_000):
                 doc, row, start, end = zip(*joined[at: at + 50_000])
                 yield batch_of(_SPANS, doc=doc, row=row, start=start, end=end, part=[None] * len(doc), run=[None] * len(doc))
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             data, offsets = utf8_buffer(batch["text"])
             at, gram, low, high, anchor = anchors(data, offsets, length)
             some = in_bit_table(wanted.value, gram)
