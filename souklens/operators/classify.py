@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -11,74 +10,36 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from souklens.functions import fixed
 from souklens.functions.numbers import col
 from souklens.functions.text import pattern
+from souklens.session import checkpointed
 
-MAX_NODES = 5_000
+def _best(title: Column, nodes: Column) -> Column:
+    """struct(hits, ord, slug) of the node with most keywords in the title, the first of them on a tie."""
+    return F.array_max(F.transform(nodes, lambda n: F.struct(
+        F.size(F.filter(n["keywords"], lambda k: F.contains(title, k))).alias("hits"), (-n["position"]).alias("ord"), n["slug"].alias("slug"))))
 
 
-@dataclass(frozen=True)
-class Node:
-    """One taxonomy entry; ``keywords`` are lower case."""
+def classify_keywords(df: DataFrame, taxonomy: DataFrame, title: str = "title", fallback: str = "uncategorized") -> DataFrame:
+    """Keyword cascade N1 -> N2 -> N3: each level looks only among the children of the level above.
 
-    slug: str
-    level: int
-    parent: str | None = None
-    keywords: Sequence[str] = field(default_factory=tuple)
-
-
-def load_taxonomy(taxonomy: DataFrame, limit: int = MAX_NODES) -> list[Node]:
-    """A taxonomy table as nodes. The table is configuration; beyond ``limit`` rows it is refused, not cut."""
-    rows = taxonomy.select("slug", "level", "parent_slug", "keywords").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"taxonomy has more than {limit} nodes")
-    return [Node(r.slug, r.level, r.parent_slug, tuple(r.keywords or ())) for r in rows]
-
-
-def keyword_hits(title: Column, keywords: Sequence[str]) -> Column:
-    """How many of the keywords occur in the title."""
-    if not keywords:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(title, k)))
-
-
-def best_slug(title: Column, nodes: Sequence[Node]) -> Column:
-    """struct(hits, order, slug) of the node with most keyword hits, the first of them on a tie; NULL without hits."""
-    scored = [F.struct(keyword_hits(title, n.keywords).alias("hits"), F.lit(-i).alias("ord"), F.lit(n.slug).alias("slug"))
-              for i, n in enumerate(nodes)]
-    best = F.array_max(F.array(*scored)) if scored else None
-    return best
-
-
-def _pick(df: DataFrame, title: str, nodes: Sequence[Node], slug: str, score: str) -> DataFrame:
-    """Add the best slug among the children of the row's parent column (all nodes for the first level)."""
-    by_parent: dict[str | None, list[Node]] = {}
-    for n in nodes:
-        by_parent.setdefault(n.parent, []).append(n)
+    ``taxonomy`` is a table (slug, level, parent_slug, keywords, position): lower-case keywords, and the order that decides ties. Its
+    nodes are packed into one row of lists, by parent, which meets every title; so the plan does not grow with the taxonomy.
+    """
+    node = F.struct("slug", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "position")
+    lists = taxonomy.where(F.col("level").isin(1, 2, 3) & ((F.col("level") == 1) | F.col("parent_slug").isNotNull())).groupBy(
+        F.when(F.col("level") == 1, F.lit("")).otherwise(F.concat_ws(":", F.col("level").cast("string"), "parent_slug")).alias("scope")).agg(F.collect_list(node).alias("nodes"))
+    packed = lists.agg(F.map_from_entries(F.collect_list(F.struct("scope", "nodes"))).alias("_nodes"))
+    out = df.join(F.broadcast(packed))  # one row
     text = F.lower(F.coalesce(col(title), F.lit("")))
-    if slug == "n1":
-        best = best_slug(text, nodes)
-    else:
-        parent = F.col(f"n{int(slug[1]) - 1}")
-        best = reduce(lambda w, p: w.when(parent == p, best_slug(text, by_parent[p])), [p for p in by_parent if p], F)
-    tagged = df.withColumn("_best", best)
-    hit = F.col("_best.hits") > 0
-    return tagged.withColumns({
-        slug: F.when(hit, F.col("_best.slug")),
-        score: F.when(hit, F.least(F.lit(1.0), F.col("_best.hits") / 3)).otherwise(0.0),
-    }).drop("_best")
-
-
-def classify_keywords(df: DataFrame, taxonomy: Sequence[Node], title: str = "title", fallback: str = "uncategorized") -> DataFrame:
-    """Keyword cascade N1 -> N2 -> N3: each level looks only among the children of the level above."""
-    out = df
     for level in (1, 2, 3):
-        nodes = [n for n in taxonomy if n.level == level]
-        if nodes:
-            out = _pick(out, title, nodes, f"n{level}", f"confidence_n{level}")
-        else:
-            out = out.withColumns({f"n{level}": F.lit(None).cast("string"), f"confidence_n{level}": F.lit(0.0)})
+        scope = F.lit("") if level == 1 else F.concat(F.lit(f"{level}:"), F.col(f"n{level - 1}"))
+        out = out.withColumn("_best", _best(text, F.try_element_at("_nodes", scope)))
+        hit = F.coalesce(F.col("_best.hits") > 0, F.lit(False))
+        out = out.withColumns({
+            f"n{level}": F.when(hit, F.col("_best.slug")),
+            f"confidence_n{level}": F.when(hit, F.least(F.lit(1.0), F.col("_best.hits") / 3)).otherwise(0.0)}).drop("_best")
         if level == 1:
             out = out.withColumn("n1", F.coalesce("n1", F.lit(fallback)))
-    return out
+    return out.drop("_nodes")
 
 
 def first_rule(title: Column | str, rules: Sequence[tuple], regex: bool = True) -> Column:
@@ -162,15 +123,17 @@ def resolve_category(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Silver category by platform ids: all three levels, else two, else one.
 
     ``mapping`` holds (platform, platform_l1_id, platform_l2_id, platform_l3_id, silver_category_id, confidence) with
-    NULL for the levels a row leaves open. Each level is an equi join; the most specific hit wins.
+    NULL for the levels a row leaves open. Each level is an equi join; the most specific hit wins. Of several mappings for
+    the same ids the surest counts, then the smallest category, so a product stays one row.
     """
     ids = [f"platform_l{i}_id" for i in (1, 2, 3)]
     out = df
     for depth in (3, 2, 1):
         open_ids = reduce(lambda a, b: a & b, [F.col(i).isNull() for i in ids[depth:]], F.lit(True))
         given = reduce(lambda a, b: a & b, [F.col(i).isNotNull() for i in ids[:depth]])
-        level = mapping.where(open_ids & given).select(
-            "platform", *ids[:depth], F.struct("silver_category_id", "confidence", F.lit(f"L{depth}").alias("match_level")).alias(f"_m{depth}"))
+        hit = F.struct("silver_category_id", "confidence", F.lit(f"L{depth}").alias("match_level"))
+        level = mapping.where(open_ids & given).groupBy("platform", *ids[:depth]).agg(
+            F.min_by(hit, F.struct(-F.coalesce("confidence", F.lit(float("-inf"))), "silver_category_id")).alias(f"_m{depth}"))
         out = out.join(level, ["platform", *ids[:depth]], "left")
     best = F.coalesce("_m3", "_m2", "_m1")
     return out.select(*df.columns, best["silver_category_id"].alias("silver_category_id"),
@@ -194,20 +157,23 @@ def ensure_categories(paths: DataFrame, existing: DataFrame) -> DataFrame:
     return prefixes.join(e, same, "left_anti")
 
 
-def taxonomy_paths(taxonomy: DataFrame, depth: int = 4) -> DataFrame:
-    """Path from the root for every slug; a missing parent makes a root. A taxonomy has four levels, so three
-    self joins walk it to the top."""
+def taxonomy_paths(taxonomy: DataFrame) -> DataFrame:
+    """Path from the root for every slug; a missing parent makes a root. Any depth: a round hangs the path of the topmost
+    known ancestor before each slug's own, so the known part doubles. Parents that form a circle raise."""
     t = taxonomy.select("slug", "level", "parent_slug")
-    links = t.select(F.col("slug").alias("_s"), F.col("parent_slug").alias("_p"))
-    out = t.withColumns({"path": F.col("slug"), "root": F.col("slug"), "depth": F.lit(1), "_up": F.col("parent_slug")})
-    for _ in range(depth - 1):
-        out = out.join(links, F.col("_up") == F.col("_s"), "left")
-        found = F.col("_s").isNotNull()
-        out = out.withColumns({
-            "path": F.when(found, F.concat_ws("/", "_s", "path")).otherwise(F.col("path")),
-            "root": F.when(found, F.col("_s")).otherwise(F.col("root")), "depth": F.col("depth") + F.when(found, 1).otherwise(0),
-            "_up": F.when(found, F.col("_p")),
-        }).drop("_s", "_p")
+    parents = t.select(F.col("slug").alias("_up"))
+    up = t.join(parents, F.col("parent_slug") == F.col("_up"), "left")
+    out = checkpointed(up.withColumns({"path": F.col("slug"), "root": F.col("slug"), "depth": F.lit(1)}))
+    known = 1
+    while not (open_ := out.where(F.col("_up").isNotNull())).isEmpty():
+        if known > 2 * out.count():
+            raise ValueError("the parents of a taxonomy form a circle")
+        above = out.select(F.col("slug").alias("_s"), F.col("path").alias("_path"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("_up").alias("_next"))
+        longer = open_.join(above, F.col("_up") == F.col("_s")).select(
+            "slug", "level", "parent_slug", F.col("_next").alias("_up"), F.concat_ws("/", "_path", "path").alias("path"), F.col("_root").alias("root"),
+            (F.col("_depth") + F.col("depth")).alias("depth"))
+        out = checkpointed(out.where(F.col("_up").isNull()).unionByName(longer))
+        known *= 2
     return out.drop("_up")
 
 

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from souklens.operators.similarity import similarity_join, unit_rows
+from souklens.operators.similarity import similarity_join
 from souklens.session import checkpointed
 
 # Words a suggested cluster name leaves out (fixed values).
@@ -18,27 +14,6 @@ NAME_STOPWORDS = [
 ]
 
 
-# Once no more rows than this are undecided, one task finishes them.
-FINISH_BELOW = 4096
-
-
-def _finish(threshold: float, digits: int = 6) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Leaders among at most FINISH_BELOW rows by the plain scan."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        unit = unit_rows(np.stack(rows["vec"].to_numpy()))
-        free = np.ones(len(rows), dtype=bool)
-        lead = np.zeros(len(rows), dtype=bool)
-        for i in range(len(rows)):
-            if free[i]:
-                lead[i] = True
-                free[i:] &= np.round(unit[i:] @ unit[i], digits) < threshold
-        return rows[lead]
-
-    return run
-
-
 def leader_clusters(df: DataFrame, threshold: float = 0.70, *, ident: str = "id", vec: str = "embedding",
                     block: str | None = None) -> DataFrame:
     """(id, leader_id, size) for clusters of two or more.
@@ -47,8 +22,8 @@ def leader_clusters(df: DataFrame, threshold: float = 0.70, *, ident: str = "id"
     the threshold. The leaders are the lexicographically first maximal independent set of the
     similarity graph, found in rounds: a row with no smaller undecided neighbour leads, and whatever lies
     near a new leader is settled. A round asks each row only for its smallest neighbour, so the pairs
-    inside a dense group are never written out; equal vectors are collapsed to their first row before.
-    The last few thousand rows, counted first, are scanned in one task per block instead of in further rounds.
+    inside a dense group are never written out; equal vectors are collapsed to their first row before. Rounds go on until
+    no row is undecided; each settles at least the smallest undecided row of every connected group.
     """
     key = [block] if block else []
     usable = df.where(F.col(vec).isNotNull()).select(F.col(ident).alias("id"), F.col(vec).alias("vec"), *key)
@@ -57,17 +32,15 @@ def leader_clusters(df: DataFrame, threshold: float = 0.70, *, ident: str = "id"
     near = dict(vec="vec", block=block, threshold=threshold, smallest=True)
     undecided, leaders = rows, None
     keep = lambda new: new if leaders is None else leaders.unionByName(new)
-    # limit() keeps the check cheap while many rows are left.
-    while undecided.limit(FINISH_BELOW + 1).count() > FINISH_BELOW:
+    while not undecided.isEmpty():
         later = similarity_join(undecided, undecided, **{**near, "smaller_right": True})
         roots = checkpointed(undecided.join(later.select(F.col("left_id").alias("id")), "id", "left_anti"))
         leaders = keep(roots)
         rest = undecided.join(roots.select("id"), "id", "left_anti")
         taken = similarity_join(rest, roots, **near).select(F.col("left_id").alias("id"))
         undecided = checkpointed(rest.join(taken, "id", "left_anti"))
-    grouped = undecided.withColumn("_group", F.col(block).cast("string") if block else F.lit("all")).groupBy("_group")
-    last = grouped.applyInPandas(lambda pdf: _finish(threshold)(pdf.drop(columns="_group")), rows.schema)
-    leaders = checkpointed(keep(last))
+    if leaders is None:
+        leaders = rows
     followers = rows.join(leaders.select("id"), "id", "left_anti")
     joined = similarity_join(followers, leaders, **near).select(F.col("left_id").alias("id"), F.col("right_id").alias("leader_id"))
     heads = joined.unionByName(leaders.select("id", F.col("id").alias("leader_id")))

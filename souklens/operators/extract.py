@@ -9,7 +9,7 @@ from __future__ import annotations
 import html as html_entities
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from souklens.functions.numbers import col
 from souklens.functions.prices import number_list, parse_price_br, parse_price_us
@@ -30,8 +30,13 @@ def around(html: Column | str, marker: Column, before: int, after: int) -> Colum
     return F.substring(col(html), start, at + after - start)
 
 
-def _ids(pages: DataFrame, ids: Column, name: str) -> DataFrame:
-    return pages.withColumn(name, F.explode(F.array_distinct(ids)))
+def _windows(pages: DataFrame, html: str, ids: Column, name: str, before: int, after: int, head: str = "", tail: str = "") -> DataFrame:
+    """One row per distinct id with the window round its first mention in column _b. The windows are cut while the page
+    is at hand, so the rows carry them and not the page."""
+    marker = lambda i: F.concat(F.lit(head), i, F.lit(tail))
+    cut = F.transform(F.array_distinct(ids), lambda i: F.struct(i.alias("id"), around(html, marker(i), before, after).alias("b")))
+    rest = [c for c in pages.columns if c not in (html, name)]
+    return pages.select(*rest, F.explode(cut).alias("_w")).select(*rest, F.col("_w.id").alias(name), F.col("_w.b").alias("_b"))
 
 
 def _absolute(url: Column, host: str) -> Column:
@@ -46,12 +51,10 @@ def last_segment(url: Column) -> Column:
 
 def extract_amazon_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """Sales and review counts near every product id of a bestseller page; cards with neither are dropped."""
-    cards = _ids(pages, extract_all(html, r'data-asin="([A-Z0-9]{10})"'), "asin")
-    block = around(html, F.concat(F.lit('data-asin="'), F.col("asin"), F.lit('"')), 500, 2000)
-    cards = cards.withColumn("_b", block)
+    cards = _windows(pages, html, extract_all(html, r'data-asin="([A-Z0-9]{10})"'), "asin", 500, 2000, 'data-asin="', '"')
     sales = counted("_b", r"([\d,.]+)\s*\+?\s*(?:comprad|bought|adquirid).*?(?:mês|month)")
     reviews = counted("_b", r"([\d,.]+)\s*(?:avaliaç|ratings|reviews)")
-    found = cards.withColumns({"sales": sales, "reviews": reviews}).drop("_b", html)
+    found = cards.withColumns({"sales": sales, "reviews": reviews}).drop("_b")
     return found.where((F.coalesce("sales", F.lit(0)) != 0) | (F.coalesce("reviews", F.lit(0)) != 0))
 
 
@@ -65,19 +68,16 @@ def extract_ml_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """Lifetime sales and price near every Mercado Livre id; cards without sales are dropped."""
     named = extract_all(html, r'"product_id":"(MLB\d+)"')
     bare = F.transform(extract_all(html, r"MLB(\d{8,})"), lambda x: F.concat(F.lit("MLB"), x))
-    cards = _ids(pages, F.when(F.size(named) > 0, named).otherwise(bare), "platform_id")
-    cards = cards.withColumn("_b", around(html, F.col("platform_id"), 500, 3000))
+    cards = _windows(pages, html, F.when(F.size(named) > 0, named).otherwise(bare), "platform_id", 500, 3000)
     sales = counted("_b", r"([\d,.]+)\s*(mil|milhão|mi|k)?\s*(?:produtos?\s+)?vendidos", 2)
     price = extract("_b", r'"current_price":\{"value":([\d.]+)').try_cast("double")
-    return cards.withColumns({"sales": sales, "price": price}).drop("_b", html).where(F.col("sales") != 0)
+    return cards.withColumns({"sales": sales, "price": price}).drop("_b").where(F.col("sales") != 0)
 
 
 def extract_ml_products(pages: DataFrame, n: int = 30, html: str = "html") -> DataFrame:
     """Title, price, URL and image of the first ``n`` products of a page; rows without a title are dropped."""
     ids = F.slice(F.array_distinct(extract_all(html, r'"product_id":"(MLB\d+)"')), 1, n)
-    cards = pages.withColumn("platform_id", F.explode(ids))
-    marker = F.concat(F.lit('"product_id":"'), F.col("platform_id"), F.lit('"'))
-    b = cards.withColumn("_b", around(html, marker, 200, 3000))
+    b = _windows(pages, html, ids, "platform_id", 200, 3000, '"product_id":"', '"')
     price = F.coalesce(
         extract("_b", r'"current_price":\{"value":([\d.]+)'), extract("_b", r'"price":\{[^}]*?"value":([\d.]+)')
     ).try_cast("double")
@@ -90,7 +90,7 @@ def extract_ml_products(pages: DataFrame, n: int = 30, html: str = "html") -> Da
         "title": unescape_html("_t"), "price": F.coalesce(price, F.lit(0.0)), "currency": F.lit("BRL"),
         "url": F.coalesce(url, F.concat(F.lit("https://www.mercadolivre.com.br/p/"), F.col("platform_id"))),
         "image_url": F.concat(F.lit("https://http2.mlstatic.com/D_Q_NP_2X_"), picture, F.lit("-AB.webp")),
-    }).drop("_b", "_t", html)
+    }).drop("_b", "_t")
 
 
 def _blocks(pages: DataFrame, html: str, start: str, name: str = "_b") -> DataFrame:
@@ -195,25 +195,23 @@ def extract_product_page(pages: DataFrame, market: str = "amazon_br", html: str
 def extract_1688_blocks(pages: DataFrame, n: int, text: str = "markdown") -> DataFrame:
     """Products of a search page in markdown: a block starts at '[Image k]', needs a price and a title or an id,
     and the first ``n`` of a page are kept."""
-    parts = F.split(col(text), r"(?=\[Image \d+\])")
-    b = pages.select("*", F.posexplode(parts).alias("block", "_b")).drop(text)
-    title = F.coalesce(extract("_b", r"物流时效\s*[\d.]+\s+([^\n]{4,150})"), extract("_b", r"!\[.*?\]\(.*?\)\s+(.+?)\s*¥"))
-    volume = extract("_b", r"([\d.]+[万千百]?\+?件)")
     from souklens.functions.sales_text import parse_sales_volume
 
-    rows = b.withColumns({
-        "offer_id": F.coalesce(extract("_b", r"offerId[s=](\d{10,19})"), F.lit("")),
-        "title": F.coalesce(F.trim(F.regexp_replace(F.trim(title), r"\s*¥[^\n]*$", "")), F.lit("")),
-        "price_cny": extract("_b", r"¥\s*([\d.]+)").try_cast("double"),
-        "supplier_name": F.coalesce(F.trim(extract("_b", r"\[([^\[\]]{2,60})\]\(https?://shop[\w.-]+\.1688\.com/", 1, True)), F.lit("")),
-        "image_url": F.coalesce(extract("_b", r"(https://cbu01\.alicdn\.com/img/ibank/[^\s\"')]+\.(?:jpg|jpeg|png|webp))", 1, True), F.lit("")),
-        "moq": F.coalesce(F.concat(extract("_b", r"(\d+)\s*件起批"), F.lit(" pieces")), F.lit("N/A")),
-        "sales_volume_estimate": parse_sales_volume(volume),
-    }).drop("_b")
-    kept = rows.where(F.col("price_cny").isNotNull() & ((F.col("title") != "") | (F.col("offer_id") != "")))
-    keys = [c for c in pages.columns if c != text]
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy("block"))
-    return kept.withColumn("_rn", rank).where(F.col("_rn") <= n).drop("_rn")
+    def product(b: Column, i: Column) -> Column:
+        title = F.coalesce(extract(b, r"物流时效\s*[\d.]+\s+([^\n]{4,150})"), extract(b, r"!\[.*?\]\(.*?\)\s+(.+?)\s*¥"))
+        return F.struct(
+            i.alias("block"), F.coalesce(extract(b, r"offerId[s=](\d{10,19})"), F.lit("")).alias("offer_id"),
+            F.coalesce(F.trim(F.regexp_replace(F.trim(title), r"\s*¥[^\n]*$", "")), F.lit("")).alias("title"),
+            extract(b, r"¥\s*([\d.]+)").try_cast("double").alias("price_cny"),
+            F.coalesce(F.trim(extract(b, r"\[([^\[\]]{2,60})\]\(https?://shop[\w.-]+\.1688\.com/", 1, True)), F.lit("")).alias("supplier_name"),
+            F.coalesce(extract(b, r"(https://cbu01\.alicdn\.com/img/ibank/[^\s\"')]+\.(?:jpg|jpeg|png|webp))", 1, True), F.lit("")).alias("image_url"),
+            F.coalesce(F.concat(extract(b, r"(\d+)\s*件起批"), F.lit(" pieces")), F.lit("N/A")).alias("moq"),
+            parse_sales_volume(extract(b, r"([\d.]+[万千百]?\+?件)")).alias("sales_volume_estimate"))
+
+    blocks = F.transform(F.split(col(text), r"(?=\[Image \d+\])"), product)
+    kept = F.slice(F.filter(blocks, lambda p: p["price_cny"].isNotNull() & ((p["title"] != "") | (p["offer_id"] != ""))), 1, n)
+    rest = [c for c in pages.columns if c != text]
+    return pages.select(*rest, F.explode(kept).alias("_p")).select(*rest, "_p.*")
 
 
 def _product_list(props: Column) -> Column:
@@ -330,9 +328,11 @@ def extract_sold_quantity(pages: DataFrame, html: str = "html") -> DataFrame:
     structured = pairs(card, False)
     found = F.when(F.size(structured) > 0, structured).otherwise(pairs(text, True))
     keys = [c for c in pages.columns if c != html]
-    rows = pages.select(*keys, F.posexplode(found).alias("position", "z"))
+    # The last mention of an id: the list is turned round, and an id is kept at its first place there.
+    turned = F.reverse(found)
+    last = F.filter(turned, lambda z, i: F.array_position(turned["id"], z["id"]) == i + 1)
     n = F.regexp_replace(F.col("z.n"), "[.,]", "").try_cast("bigint")
-    return rows.groupBy(*keys, F.col("z.id").alias("platform_id")).agg(F.max_by(n, "position").alias("sales"))
+    return pages.select(*keys, F.explode(last).alias("z")).select(*keys, F.col("z.id").alias("platform_id"), n.alias("sales"))
 
 
 def extract_ml_grid(pages: DataFrame, html: str = "html") -> DataFrame:

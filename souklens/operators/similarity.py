@@ -3,8 +3,8 @@
 Rows of a block are dealt by the hash of their id into tiles of bounded size (one Spark row holds the ids and
 the vectors of a tile). Only tiles meet in a join; inside a task one matrix product scores a tile pair and only
 pairs that satisfy the threshold, or a row's best k, leave it. Nothing is sampled. A block that holds a large share
-of all rows is cut into as many tiles as its size asks for, and its left tiles are spread over slots, so no task or
-group grows with the block.
+of all rows is cut into as many tiles as its size asks for, and the tiles of both sides are spread over slots: at most
+TILES_PER_SLOT of each meet under one key. Vectors of different widths never meet.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from souklens.functions.numbers import round_half_up
@@ -22,12 +24,15 @@ TILES_PER_SLOT = 16
 
 
 def _vector_rows(df: DataFrame, ident: str, vec: str, block: str | None, differ: str | None) -> DataFrame:
-    """Block, id, group and vector of every row that has a usable vector."""
-    key = F.col(block).cast("string") if block else F.lit("")
+    """Block, id, group and vector of every row that has a usable vector: not zero, no NULL or non-finite element. The width is
+    part of the block, so vectors of different widths never meet."""
+    key = F.concat_ws("|", F.size(vec).cast("string"), F.col(block).cast("string")) if block else F.size(vec).cast("string")
+    key = F.when(F.col(block).isNotNull(), key) if block else key
     group = F.col(differ).cast("string") if differ else F.lit("")
     rows = df.select(
         key.alias("block"), F.col(ident).alias("id"), F.coalesce(group, F.lit("")).alias("grp"), F.col(vec).cast("array<float>").alias("vec"))
-    return rows.where(F.col("block").isNotNull() & F.exists("vec", lambda x: x != 0))
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(F.col("block").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
 
 
 def _tile_counts(rows: DataFrame) -> DataFrame:
@@ -129,13 +134,16 @@ def similarity_join(
         raise ValueError("give a threshold, k, or both")
     lrows = _vector_rows(left, ident, vec, block, differ)
     rrows = _vector_rows(right, ident, vec, block, differ)
-    lcounts = _tile_counts(lrows)
-    slots = F.ceil(F.col("parts") / TILES_PER_SLOT).cast("int")
-    ltiles = _tiles(lrows, lcounts).withColumn("slot", F.floor(F.col("tile") / TILES_PER_SLOT).cast("int"))
-    rtiles = _tiles(rrows, _tile_counts(rrows)).join(lcounts.select("block", slots.alias("slots")), "block").withColumn(
-        "slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    side = lambda tiles, s: tiles.select("block", "slot", *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "grps", "mat")])
-    meetings = side(ltiles, "l").join(side(rtiles, "r"), ["block", "slot"]).drop("block", "slot")
+    lcounts, rcounts = _tile_counts(lrows), _tile_counts(rrows)
+
+    def side(rows: DataFrame, own: DataFrame, other: DataFrame, s: str, mine: str, theirs: str) -> DataFrame:
+        """Tiles of one side, each at its own slot and at every slot of the other side."""
+        slots = other.select("block", F.ceil(F.col("parts") / TILES_PER_SLOT).cast("int").alias("_slots"))
+        placed = _tiles(rows, own).join(slots, "block")
+        return placed.select("block", F.floor(F.col("tile") / TILES_PER_SLOT).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias(theirs),
+                             *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "grps", "mat")])
+
+    meetings = side(lrows, lcounts, rcounts, "l", "lslot", "rslot").join(side(rrows, rcounts, lcounts, "r", "rslot", "lslot"), ["block", "lslot", "rslot"]).drop("block", "lslot", "rslot")
     out = T.StructType([
         T.StructField("left_id", lrows.schema["id"].dataType),
         T.StructField("right_id", rrows.schema["id"].dataType),
@@ -185,17 +193,34 @@ def knn_with_fallback(df: DataFrame, k: int, *, category: str, minimum: int = 5,
 
 
 def hamming_join(a: DataFrame, b: DataFrame, max_distance: int, *, ident: str = "id", bits: str = "bits",
-                 width: int = 64, ordered: bool = False) -> DataFrame:
+                 width: int = 64, ordered: bool = False, least_band: int = 12) -> DataFrame:
     """Pairs whose bit arrays differ in at most ``max_distance`` of ``width`` places.
 
-    Bits become +1/-1, for which distance = width * (1 - cosine) / 2, so the exact tiled join serves.
+    Of max_distance + 1 bands one must be equal. Where such a band has ``least_band`` bits, rows meet on equal bands and the
+    packed codes are compared; shorter bands would let nearly all pairs meet, and then bits become +1/-1, for which distance =
+    width * (1 - cosine) / 2, and the exact tiled join serves.
     """
-    def signed(df):
-        return df.select(F.col(ident).alias("id"), F.transform(bits, lambda x: (2 * x - 1).cast("float")).alias("v"))
-
-    limit = 1.0 - 2.0 * (max_distance + 0.5) / width
-    pairs = similarity_join(signed(a), signed(b), vec="v", threshold=limit, ordered=ordered)
-    distance = F.round((1 - F.col("similarity")) * width / 2).cast("int")
+    if width <= 64 and width // (max_distance + 1) >= least_band:
+        size = width // (max_distance + 1)
+
+        def banded(df, side):
+            code = F.aggregate(F.col(bits).cast("array<long>"), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x))
+            rows = df.select(F.col(ident).alias(f"{side}_id"), code.alias(f"{side}_code")).where(F.size(bits) == width)
+            bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(f"{side}_code", i * size).bitwiseAND((1 << size) - 1).alias("value")) for i in range(max_distance + 1)])
+            return rows.select("*", F.explode(bands).alias("at")).select(f"{side}_id", f"{side}_code", "at.band", "at.value")
+
+        met = banded(a, "left").join(banded(b, "right"), ["band", "value"])
+        distance = F.bit_count(F.col("left_code").bitwiseXOR(F.col("right_code"))).cast("int")
+        order = F.col("left_id") < F.col("right_id") if ordered else F.col("left_id") != F.col("right_id")
+        pairs = met.where(order & (distance <= max_distance)).select("left_id", "right_id", distance.alias("distance")).distinct()
+        distance = F.col("distance")
+    else:
+        def signed(df):
+            return df.select(F.col(ident).alias("id"), F.transform(bits, lambda x: (2 * x - 1).cast("float")).alias("v"))
+
+        limit = 1.0 - 2.0 * (max_distance + 0.5) / width
+        pairs = similarity_join(signed(a), signed(b), vec="v", threshold=limit, ordered=ordered)
+        distance = F.round((1 - F.col("similarity")) * width / 2).cast("int")
     percent = F.round(((1 - distance / F.lit(float(width))) * 100).cast("decimal(30,10)"), 1).cast("double")
     return pairs.select("left_id", "right_id", distance.alias("distance"), percent.alias("similarity_percent"))
 
@@ -203,17 +228,14 @@ def hamming_join(a: DataFrame, b: DataFrame, max_distance: int, *, ident: str =
 def prototypes(df: DataFrame, *, category: str = "category_l1", vec: str = "embedding", minimum: int = 3) -> DataFrame:
     """Unit-length mean vector of every category with at least ``minimum`` members.
 
-    The sums are kept per (category, position), so partial aggregation does the work before the shuffle.
+    One row per vector: the mean is an aggregate over whole vectors, kept apart by width.
     """
     v = df.where(F.col(vec).isNotNull() & F.col(category).isNotNull())
-    cells = v.select(F.col(category).alias("id"), F.posexplode(vec).alias("pos", "x"))
-    means = cells.groupBy("id", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
-    packed = means.where(F.col("n") >= minimum).groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("cells"), F.max("n").alias("members")
-    )
-    mean = F.col("cells.m")
+    rows = v.select(F.col(category).alias("id"), F.size(vec).alias("w"), array_to_vector(F.col(vec).cast("array<double>")).alias("x"))
+    means = rows.groupBy("id", "w").agg(Summarizer.mean(F.col("x")).alias("m"), F.count(F.lit(1)).alias("members")).where(F.col("members") >= minimum)
+    mean = vector_to_array("m")
     size = F.sqrt(F.aggregate(mean, F.lit(0.0), lambda s, x: s + x * x))
-    return packed.where(size > 0).select("id", "members", F.transform(mean, lambda x: x / size).alias("embedding"))
+    return means.where(size > 0).select("id", "members", F.transform(mean, lambda x: x / size).alias("embedding"))
 
 
 def prototype_audit(df: DataFrame, *, category: str = "category_l1", vec: str = "embedding", minimum: int = 3) -> DataFrame:
@@ -239,12 +261,8 @@ def zero_shot(df: DataFrame, labels: DataFrame, threshold: float = 0.20, *, max_
     scope = labels
     if max_labels is not None:
         key = [block] if block else []
-        count = labels.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")) if key else None
-        if count is None:
-            if labels.limit(max_labels + 1).count() > max_labels:
-                scope = labels.limit(0)
-        else:
-            scope = labels.join(count.where(F.col("_n") <= max_labels), key, "left_semi")
+        few = labels.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_labels)
+        scope = labels.join(few, key, "left_semi") if key else labels.join(F.broadcast(few)).drop("_n")  # without a block: one row or none
     rows = df.withColumn("id", F.col("id").cast("string"))
     best = similarity_join(rows, scope.withColumn("id", F.col("id").cast("string")), k=1, threshold=threshold,
                            block=block, skip_equal=False)

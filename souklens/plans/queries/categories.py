@@ -6,29 +6,32 @@ from pyspark.sql import functions as F
 
 from souklens.functions import fixed
 from souklens.operators import classify as k
-from souklens.operators.classify import Node
 from souklens.plans.registry import query
 
-NODES = [
-    Node("metal", 1, None, ("bolt", "gear", "anvil", "spring")), Node("jewel", 1, None, ("ring", "small")), Node("gadget", 1, None, ("widget", "gizmo", "promo")),
-    Node("metal.fast", 2, "metal", ("bolt", "red")), Node("metal.mech", 2, "metal", ("gear", "anvil", "large")),
-    Node("gadget.promo", 2, "gadget", ("promo",)), Node("metal.mech.big", 3, "metal.mech", ("large", "anvil")), Node("metal.mech.eco", 3, "metal.mech", ("economy",)),
-]
-
 
 def has(*words):
     return " + ".join(f"contains(t, '{w}')::int" for w in words)
 
 
-@query("c01_classify_keywords", f"""with s as (select id, lower(title) as t from products),
-a as (select *, {has('bolt', 'gear', 'anvil', 'spring')} as m, {has('ring', 'small')} as j, {has('widget', 'gizmo', 'promo')} as g,
-      {has('bolt', 'red')} as mf, {has('gear', 'anvil', 'large')} as mm, {has('promo')} as gp, {has('large', 'anvil')} as b, {has('economy')} as e from s),
-n as (select *, case when greatest(m, j, g) = 0 then 'uncategorized' when m >= j and m >= g then 'metal' when j >= g then 'jewel' else 'gadget' end as n1 from a),
-o as (select *, case when n1 = 'metal' and greatest(mf, mm) > 0 then case when mf >= mm then 'metal.fast' else 'metal.mech' end when n1 = 'gadget' and gp > 0 then 'gadget.promo' end as n2 from n)
-select id, n1, n2, case when n2 = 'metal.mech' and greatest(b, e) > 0 then case when b >= e then 'metal.mech.big' else 'metal.mech.eco' end end as n3,
-       round(least(1.0, greatest(m, j, g) / 3.0), 6)::double as confidence_n1 from o""")
+# A taxonomy out of the catalogue: a first level per group of brands, a second per brand and size class, a third per product, so
+# that it has more nodes than there are products. Keywords are words of the products' names, types and brands.
+KEYWORD_TAX = """
+    select concat('b', p_size % 10) as slug, 1 as level, cast(null as {string}) as parent_slug, p_size % 10 as position, lower(max(p_brand)) as k1, lower(max(p_type)) as k2 from {part} group by p_size % 10
+    union all select concat('b', p_size % 10, '.', p_size), 2, concat('b', p_size % 10), p_size, lower(min(p_brand)), lower(min(p_name)) from {part} group by p_size % 10, p_size
+    union all select concat('b', p_size % 10, '.', p_size, '.', p_partkey), 3, concat('b', p_size % 10, '.', p_size), p_partkey, lower(p_name), lower(p_brand) from {part}"""
+
+
+@query("c01_classify_keywords", f"""with s as (select id, lower(title) as t from products), x as ({KEYWORD_TAX.format(string='varchar', part='part')}),
+h as (select slug, level, parent_slug, position, k1, k2 from x),
+a as (select id, t, slug, contains(t, k1)::int + contains(t, k2)::int as hits, row_number() over (partition by id order by contains(t, k1)::int + contains(t, k2)::int desc, position) as rn from s, h where level = 1),
+n1 as (select id, t, case when hits > 0 then slug else 'uncategorized' end as n1, case when hits > 0 then hits else 0 end as hits from a where rn = 1),
+b as (select id, slug, row_number() over (partition by id order by contains(t, k1)::int + contains(t, k2)::int desc, position) as rn from n1 join h on level = 2 and parent_slug = n1 where contains(t, k1) or contains(t, k2)),
+n2 as (select n1.*, b.slug as n2 from n1 left join b on b.id = n1.id and rn = 1),
+c as (select id, slug, row_number() over (partition by id order by contains(t, k1)::int + contains(t, k2)::int desc, position) as rn from n2 join h on level = 3 and parent_slug = n2 where contains(t, k1) or contains(t, k2))
+select n2.id, n1, n2, c.slug as n3, round(least(1.0, hits / 3.0), 6)::double as confidence_n1 from n2 left join c on c.id = n2.id and c.rn = 1""")
 def _(c):
-    return k.classify_keywords(c.view("products").select("id", "title"), NODES).select("id", "n1", "n2", "n3", F.round("confidence_n1", 6).alias("confidence_n1"))
+    nodes = c.spark.sql(KEYWORD_TAX.replace("{string}", "string"), part=c.table("part")).selectExpr("slug", "level", "parent_slug", "array(k1, k2) as keywords", "position")
+    return k.classify_keywords(c.view("products").select("id", "title"), nodes).select("id", "n1", "n2", "n3", F.round("confidence_n1", 6).alias("confidence_n1"))
 
 
 L1_RULES = [(r"\bring\b", "Joias"), (r"bolt|gear\b", "Ferragens"), (r"^(?:new|old)\s+anvil", "Pesados"), (r"promo", "Promo")]

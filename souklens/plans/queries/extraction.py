@@ -152,8 +152,7 @@ def _(c):
     case i when 0 then 'https://img/1.jpg' else 'https://www.alibaba.com/2.jpg' end as image_url from (select *, unnest([0, 1]) as i from part)""")
 def _(c):
     return x.extract_zip_lists(pages(c, """concat('<span class="elements-title-x">Produto ', p_name, ' 0</span><b>R$ 1.', lpad(cast(p_size as string), 3, '0'), ',50</b><img a="b" src="//img/1.jpg"/>',
-        '<a href="/product-detail/a_', p_partkey, '.html">x</a><span class="elements-title-normal" z>Produto ', p_name, ' 1</span><img src="/2.jpg"/><span class="elements-title">curto</span>')""")).where(
-        F.col("position") < 3)
+        '<a href="/product-detail/a_', p_partkey, '.html">x</a><span class="elements-title-normal" z>Produto ', p_name, ' 1</span><img src="/2.jpg"/><span class="elements-title">curto</span>')"""))
 
 
 @query("x13_extract_sold_quantity", f"""select p_partkey as page_id, case when p_partkey % 2 = 0 then {MLB_D} else concat({MLB_D}, '7') end as platform_id,

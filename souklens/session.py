@@ -34,11 +34,14 @@ def build_session(app: str = "souklens", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) is a folder of our own made,
-    and it is then remembered in the session.
+    Only where the session names none and the master is local (tests on one machine) is a folder of our own made,
+    and it is then remembered in the session. On a cluster every executor would write to its own disk, so that raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return base

@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from souklens.operators import clusters, edges, similarity
+from souklens.operators import classify, clusters, edges, extract, similarity
 from souklens.operators.history import newest, price_drops, product_velocity
 from souklens.operators.listing import unmatched_bestsellers
 from souklens.operators.merge import dedupe_by
 from souklens.operators.quantiles import values_at
+from souklens.session import shared_dir
 from souklens.operators.upsert import append_new, update_max_sales, upsert
 
 
@@ -76,10 +77,9 @@ def test_smallest_partner(spark, tiling):
     assert got == want
 
 
-@pytest.mark.parametrize("finish", [4096, 0, 40])
-def test_leader_clusters(spark, monkeypatch, finish):
-    monkeypatch.setattr(clusters, "FINISH_BELOW", finish)
-    rows, df = vectors(spark, n=150)
+@pytest.mark.parametrize("n", [150, 40])
+def test_leader_clusters(spark, n):
+    rows, df = vectors(spark, n=n)
     c = cosines(rows)
     leader, taken = {}, set()
     for i in range(len(rows)):
@@ -186,3 +186,69 @@ def test_containment_against_brute_force(spark):
     others = [t for (t,) in lp + fp if t is not None]
     hit = lambda a: a is not None and any(a[:20] in b or b[:20] in a for b in others)
     assert got == {i for i, title, _ in mb if not hit(title)}
+
+
+def test_vectors_of_different_widths_never_meet(spark):
+    nan = float("nan")
+    data = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0, 0.0, 0.0]), (3, [0.0, 0.0, 1.0, 2.0]), (4, [nan, 1.0]), (5, [None, 1.0]), (6, None), (7, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "x" if i % 2 else None) for i, v in data], "id long, embedding array<float>, cat string")
+    got = {(r.left_id, r.right_id): r.similarity for r in similarity.similarity_join(df, df, threshold=-1.0, ordered=True).collect()}
+    assert got == {(0, 1): 1.0, (2, 3): 0.0}
+    assert similarity.similarity_join(df, df, threshold=-1.0, ordered=True, block="cat").count() == 0
+
+
+@pytest.mark.parametrize("least", [12, 99])
+def test_hamming_join_by_bands_and_by_tiles(spark, least):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 2, (60, 64))
+    codes[30:] = codes[:30]
+    for i in range(30, 60):
+        codes[i, rng.choice(64, i % 6, replace=False)] ^= 1
+    df = spark.createDataFrame([(i, [int(b) for b in c]) for i, c in enumerate(codes)], "id long, bits array<int>")
+    got = {(r.left_id, r.right_id, r.distance) for r in similarity.hamming_join(df, df, 4, ordered=True, least_band=least).collect()}
+    want = {(i, j, int((codes[i] != codes[j]).sum())) for i in range(60) for j in range(i + 1, 60) if (codes[i] != codes[j]).sum() <= 4}
+    assert got == want and len(want) >= 20
+
+
+def test_taxonomy_of_any_depth(spark):
+    chain = [(f"s{i}", i, f"s{i - 1}" if i > 1 else None) for i in range(1, 8)] + [("lost", 2, "nowhere")]
+    got = {r.slug: (r.path, r.root, r.depth) for r in classify.taxonomy_paths(spark.createDataFrame(chain, "slug string, level int, parent_slug string")).collect()}
+    assert got["s7"] == ("s1/s2/s3/s4/s5/s6/s7", "s1", 7) and got["s2"] == ("s1/s2", "s1", 2) and got["lost"] == ("lost", "lost", 1)
+    with pytest.raises(ValueError):
+        classify.taxonomy_paths(spark.createDataFrame([("a", 1, "b"), ("b", 1, "a")], "slug string, level int, parent_slug string"))
+
+
+def test_keywords_from_a_large_taxonomy_table(spark):
+    nodes = [(f"n{i}", 1, None, [f"word{i}x"], i) for i in range(6000)] + [("n7.a", 2, "n7", ["red"], 0), ("n7.b", 2, "n7", ["red", "big"], 1)]
+    table = spark.createDataFrame(nodes, "slug string, level int, parent_slug string, keywords array<string>, position int")
+    df = spark.createDataFrame([(1, "a word7x big red"), (2, "nothing"), (3, None)], "id long, title string")
+    got = {r.id: (r.n1, r.n2, r.n3) for r in classify.classify_keywords(df, table).collect()}
+    assert got == {1: ("n7", "n7.b", None), 2: ("uncategorized", None, None), 3: ("uncategorized", None, None)}
+
+
+def test_pages_with_equal_metadata_stay_apart(spark):
+    sold = '{"permalink":"https://x/MLB11111111","sold_quantity":%d}'
+    pages = spark.createDataFrame([("m", sold % 5), ("m", sold % 9 + sold % 7)], "source string, html string")
+    assert sorted(r.sales for r in extract.extract_sold_quantity(pages).collect()) == [5, 7]
+    block = "[Image 1] ![a](y) Nome %d ¥ 3.5 [Image 2] ![a](y) Outro ¥ 4"
+    pages = spark.createDataFrame([("m", block % 1), ("m", block % 2)], "source string, markdown string")
+    assert sorted(r.title for r in extract.extract_1688_blocks(pages, 1).collect()) == ["Nome 1", "Nome 2"]
+
+
+def test_repeated_mappings_give_one_row(spark):
+    m = spark.createDataFrame([("p", "1", None, None, 9, 0.5), ("p", "1", None, None, 8, 0.9), ("p", "1", None, None, 7, 0.9), ("p", "1", "2", None, 6, None)],
+                              "platform string, platform_l1_id string, platform_l2_id string, platform_l3_id string, silver_category_id int, confidence double")
+    df = spark.createDataFrame([(1, "p", "1", "5", None), (2, "p", "1", "2", None)], "id int, platform string, platform_l1_id string, platform_l2_id string, platform_l3_id string")
+    assert sorted((r.id, r.silver_category_id) for r in classify.resolve_category(df, m).collect()) == [(1, 7), (2, 6)]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
