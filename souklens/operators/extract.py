@@ -369,3 +369,18 @@ def extract_1688_cards(pages: DataFrame, n: int = 20, html: str = "html") -> Dat
         "source_platform": F.lit("1688-direct"), "price_currency": F.lit("CNY"),
     }).drop("_b", "_link")
     return rows.where(F.length("_t") > 5).withColumn("product_name", F.substring("_t", 1, 200)).drop("_t")
+
+
+def extract_category_trail(pages: DataFrame, market: str = "amazon_br", html: str = "html") -> DataFrame:
+    """Category names of a product page's breadcrumb in page order, its bestseller link and the node number in that link.
+
+    A page without a breadcrumb has an empty trail; without a bestseller link both other columns are empty.
+    """
+    crumb = r'(?s)<(?:div|ul|nav|ol)[^>]*(?:id="wayfinding-breadcrumbs_container"|class="[^"]*(?:a-breadcrumb|andes-breadcrumb)[^"]*")[^>]*>(.*?)</(?:div|ul|nav|ol)>'
+    names = F.transform(extract_all(extract(html, crumb), r"(?s)<a[^>]*>(.*?)</a>"), lambda a: F.trim(F.regexp_replace(F.regexp_replace(a, "<[^>]*>", " "), r"\s+", " ")))
+    link = extract(html, r'<a[^>]*href="([^"]*bestsellers[^"]*)"')
+    host = "https://www.amazon.com.br" if market == "amazon_br" else "https://www.amazon.com"
+    url = F.when(link.startswith("/"), F.concat(F.lit(host), link)).otherwise(F.coalesce(link, F.lit("")))
+    return pages.withColumns({
+        "categories": F.coalesce(F.filter(names, lambda n: n != ""), F.array().cast("array<string>")),
+        "bestsellers_url": url, "node_id": F.coalesce(extract(link, r"/(\d+)"), F.lit(""))}).drop(html)

@@ -79,9 +79,9 @@ def filter_products(df: DataFrame, *, search: str = "", categories: Sequence[str
     return df.where(all_of(conditions))
 
 
-def search_text(df: DataFrame, q: str, n: int = 20, titles: Sequence[str] = ("title",), sales: str = "sales_30d") -> DataFrame:
-    """Active products with the text in a title, any case, best sellers first."""
-    hit = any_of(F.contains(F.lower(t), F.lit(q.lower())) for t in titles)
+def search_text(df: DataFrame, q: str, n: int = 20, titles: Sequence[str] = ("title", "title_pt"), sales: str = "sales_30d") -> DataFrame:
+    """Active products with the text in a title (as far as the table has them), any case, best sellers first."""
+    hit = any_of(F.coalesce(F.contains(F.lower(t), F.lit(q.lower())), F.lit(False)) for t in titles if t in df.columns)
     return df.where(F.col("is_active") & hit).orderBy(F.desc_nulls_last(sales), F.asc("id")).limit(n)
 
 
@@ -159,8 +159,8 @@ def top_products(listings: DataFrame, labels: Sequence[str], n: int = 30, score:
     return _by_relevance(rows, n, score)
 
 
-def search_products(listings: DataFrame, q: str, n: int = 20, score: Column | None = None, titles: Sequence[str] = ("title",)) -> DataFrame:
-    hit = any_of(F.contains(F.lower(t), F.lit(q.lower())) for t in titles)
+def search_products(listings: DataFrame, q: str, n: int = 20, score: Column | None = None, titles: Sequence[str] = ("title", "title_pt")) -> DataFrame:
+    hit = any_of(F.coalesce(F.contains(F.lower(t), F.lit(q.lower())), F.lit(False)) for t in titles if t in listings.columns)
     return _by_relevance(listings.where(hit & F.col("repurchase_rate").isNotNull()), n, score)
 
 

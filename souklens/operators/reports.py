@@ -14,6 +14,7 @@ from souklens.functions.sales_text import parse_sales_cn
 from souklens.operators.edges import both_ways, joined_matches, margin_percent, neighbours
 from souklens.operators.history import newest, one_row
 from souklens.operators.quantiles import one_row_values
+from souklens.session import checkpointed
 
 def row_count() -> Column:
     return F.count(F.lit(1))
@@ -69,12 +70,12 @@ def demand_by_category(silver: DataFrame, n: int = 15) -> DataFrame:
 
 
 def scout_categories(listings: DataFrame, q: str | None = None, *, high: Sequence[str] = fixed.HIGH_VALUE_CATEGORIES,
-                     commodity: Sequence[str] = fixed.COMMODITY_CATEGORIES, n: int = 10, texts: Sequence[str] = ("category_label", "title")) -> DataFrame:
-    """Categories without the commodity ones. With a text: those that mention it, high-value first, by repurchase and sales,
-    ``n`` of them; without: all."""
+                     commodity: Sequence[str] = fixed.COMMODITY_CATEGORIES, n: int = 10, texts: Sequence[str] = ("category_label", "category_label_pt", "title", "title_pt")) -> DataFrame:
+    """Categories without the commodity ones. With a text: those that mention it in one of ``texts`` (as far as the table has them), high-value
+    first, by repurchase and sales, ``n`` of them; without: all."""
     rows = listings.where(F.col("repurchase_rate").isNotNull() & ~F.col("category_label").isin(*commodity))
     if q is not None:
-        rows = rows.where(reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(q.lower())) for t in texts]))
+        rows = rows.where(reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(q.lower())) for t in texts if t in listings.columns]))
     stats = rows.groupBy("category_label").agg(
         row_count().alias("product_count"), round_half_up(F.avg("repurchase_rate"), 0).cast("int").alias("avg_repurchase"),
         round_half_up(F.avg("price_min"), 2).alias("avg_price"), F.sum("sales_volume_estimate").alias("total_sales"))
@@ -88,8 +89,9 @@ def scout_categories(listings: DataFrame, q: str | None = None, *, high: Sequenc
 def _with_medians(df: DataFrame, **columns: str) -> DataFrame:
     """Lower-middle medians of positive values, as columns on every row (0 without any)."""
     rows = df.withColumn("_one", F.lit(1))
+    narrow = checkpointed(df.select(*columns.values()))
     for name, c in columns.items():
-        m = one_row_values(df, c, {name: 0.5}).select(F.coalesce(name, F.lit(0)).alias(name), F.lit(1).alias("_one"))
+        m = one_row_values(narrow, c, {name: 0.5}).select(F.coalesce(name, F.lit(0)).alias(name), F.lit(1).alias("_one"))
         rows = rows.join(F.broadcast(m), "_one")  # one row
     return rows.drop("_one")
 
@@ -185,8 +187,7 @@ def category_summary(products: DataFrame, edges: DataFrame, dedup: bool = False,
     sales = F.coalesce("sales_30d", F.lit(0))
     priced = F.when(F.col("price").isNotNull(), F.col("w"))
     stats = weighted.groupBy("category_l1").agg(
-        F.countDistinct("id").alias("total_products"),
-        *[F.countDistinct(F.when(F.col("platform") == x, F.col("id"))).alias(x) for x in platforms],
+        row_count().alias("total_products"), *[F.count_if(F.col("platform") == x).alias(x) for x in platforms],  # one row per product
         round_half_up(F.try_divide(F.sum(F.col("price") * F.col("w")), F.sum(priced)), 2).alias("avg_price"), F.sum(sales * F.col("w")).alias("total_sales"))
     matches = sides.join(p.select(F.col("id").alias("from_id"), "category_l1"), "from_id").groupBy("category_l1").agg(F.countDistinct("match_id").alias("matches"))
     return stats.join(matches, "category_l1", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
@@ -360,6 +361,7 @@ def price_quartiles(rows: DataFrame, price: str = "price") -> DataFrame:
 
 def price_bands(rows: DataFrame, price: str = "price") -> DataFrame:
     """Five bands cut at the quartiles and the maximum, with labels and counts."""
+    rows = checkpointed(rows.select(price).where(F.col(price) > 0))  # read three times, made once
     q = price_quartiles(rows, price).withColumn("_one", F.lit(1)).where(F.col("max").isNotNull())
     p = F.col(price)
     tagged = rows.where(p > 0).withColumn("_one", F.lit(1)).join(F.broadcast(q), "_one")  # one row
@@ -414,8 +416,9 @@ def product_report(products: DataFrame, edges: DataFrame, n: int = 10) -> DataFr
     Products carry sales_total and bsr_rank, either of which may be NULL.
     """
     near = neighbours(edges, products)
-    facts = near.groupBy(F.col("from_id").alias("id")).agg(F.countDistinct("platform_id").alias("_others"))
-    ranked = neighbours(edges, products, n).groupBy(F.col("from_id").alias("id")).agg(row_count().alias("match_count"), F.max("confidence").alias("best_confidence"))
+    # The n best of a product's neighbours are counted, not fetched: their number is at most n, and the best confidence is the greatest.
+    facts = near.groupBy(F.col("from_id").alias("id")).agg(
+        F.countDistinct("platform_id").alias("_others"), F.least(row_count(), F.lit(n)).cast("long").alias("match_count"), F.max("confidence").alias("best_confidence"))
     own = products.select("id", F.col("platform").alias("_own"), F.col("price").alias("source_price"), F.coalesce("currency", F.lit("CNY")).alias("source_currency"))
     offers = near.where(F.col("price") > 0).select(
         F.col("from_id").alias("id"), F.col("platform").alias("sell_platform"), F.col("price").alias("sell_price"),
@@ -424,7 +427,7 @@ def product_report(products: DataFrame, edges: DataFrame, n: int = 10) -> DataFr
     margins = compute_margins(offers)
     order = F.struct("margin_pct", (-F.col("quantity")).alias("q"), "confidence", (-F.col("to_id")).alias("t"))
     best = margins.groupBy("id").agg(F.max_by(F.struct("margin_pct", "sell_platform", "quantity"), order).alias("b"), row_count().alias("margin_count"))
-    joined = products.join(facts, "id", "left").join(ranked, "id", "left").join(best, "id", "left").withColumns({
+    joined = products.join(facts, "id", "left").join(best, "id", "left").withColumns({
         "seller_count": F.coalesce("_others", F.lit(0)) + 1, "match_count": F.coalesce("match_count", F.lit(0)),
         "best_margin": F.coalesce("b.margin_pct", F.lit(0.0)), "best_platform": F.coalesce("b.sell_platform", F.lit("")),
         "best_quantity": F.coalesce("b.quantity", F.lit(0)), "margin_count": F.coalesce("margin_count", F.lit(0)),

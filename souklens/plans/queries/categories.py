@@ -198,15 +198,15 @@ def _(c):
         "id", "category", "category_n2", "category_n3", "category_n4", "category_path")
 
 
-@query("u10_expand_keywords", """with own as (select p_brand as slug, list(distinct split_part(p_name, ' ', 1)) as w from part where p_size < 8 group by 1),
-extra as (select p_brand as slug, list(distinct split_part(p_name, ' ', 2)) as w from part where p_size > 40 group by 1),
+@query("u10_expand_keywords", """with own as (select p_brand as slug, list(distinct split_part(p_name, ' ', 1)) as w from part group by 1),
+extra as (select case when p_size > 40 then p_brand else concat(p_brand, ' *') end as slug, list(distinct split_part(p_name, ' ', 2)) as w from part group by 1),
 u as (select o.slug, o.w, list_distinct(list_concat(o.w, coalesce(e.w, []))) as m from own o left join extra e using (slug))
 select slug, array_to_string(list_sort(m), ',') as keywords, (len(m) - len(w))::int as added from u""")
 def _(c):
     part = c.table("part")
     word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
-    own = part.where("p_size < 8").groupBy(F.col("p_brand").alias("slug")).agg(F.collect_set(word(1)).alias("keywords"))
-    extra = part.where("p_size > 40").groupBy(F.col("p_brand").alias("slug")).agg(F.collect_set(word(2)).alias("keywords"))
+    own = part.groupBy(F.col("p_brand").alias("slug")).agg(F.collect_set(word(1)).alias("keywords"))
+    extra = part.groupBy(F.expr("case when p_size > 40 then p_brand else concat(p_brand, ' *') end").alias("slug")).agg(F.collect_set(word(2)).alias("keywords"))
     return k.expand_keywords(own, extra).select("slug", F.array_join("keywords", ",").alias("keywords"), "added")
 
 

@@ -183,3 +183,13 @@ def _(c):
     return x.extract_1688_cards(pages(c, """concat('<div class="sm-offer-item x"><a href="//detail.1688.com/offer/', 600000 + p_partkey, '.html" title="批发商品 ', p_name, '"></a><span class="sm-offer-priceNum">¥', p_size,
         '.5起</span><img src="//cbu01/x.jpg"/></div><div class="offer-list-row"><div class="title">短</div></div>')""")).select(
         "page_id", "source_product_id", "source_url", "product_name", "price_low", "image_url")
+
+
+@query("x16_extract_category_trail", """select p_partkey as page_id, case when p_size % 4 = 0 then '' else concat(p_brand, ' > ', p_type) end as categories,
+    case when p_size % 3 = 0 then '' when p_size % 3 = 1 then concat('https://www.amazon.com.br/gp/bestsellers/home/', p_partkey) else concat('https://x.y/bestsellers/', p_partkey, '/z') end as bestsellers_url,
+    case when p_size % 3 = 0 then '' else cast(p_partkey as varchar) end as node_id from part""")
+def _(c):
+    found = x.extract_category_trail(pages(c, """concat('<h1>t</h1>', case when p_size % 4 = 0 then '' when p_size % 4 = 1 then concat('<div id="wayfinding-breadcrumbs_container"><ul><li><a href="/a"> ', p_brand,
+        ' </a></li> › <li><a class="q"><b>', p_type, '</b></a></li><li><a> </a></li></ul></div><a>no crumb</a>') else concat('<ol class="x andes-breadcrumb"><li><a>', p_brand, '</a></li><li><a>\n', p_type, '</a></li></ol>') end,
+        case p_size % 3 when 1 then concat('<a class="l" href="/gp/bestsellers/home/', p_partkey, '">mais</a>') when 2 then concat('<a href="https://x.y/bestsellers/', p_partkey, '/z">mais</a>') else '' end)"""))
+    return found.withColumn("categories", F.array_join("categories", " > "))

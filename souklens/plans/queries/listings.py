@@ -81,6 +81,11 @@ def _(c):
     return fields(l.search_text(c.view("products"), "Red W"))
 
 
+@query("p23_search_two_titles", f"""select {FIELDS} from products where is_active and (title ilike '%red w%' or (case when id % 5 = 0 then concat(title, ' Azul red w') end) ilike '%red w%') order by sales_30d desc, id limit 20""")
+def _(c):
+    return fields(l.search_text(c.view("products").withColumn("title_pt", F.expr("case when id % 5 = 0 then concat(title, ' Azul red w') end")), "Red W"))
+
+
 @query("p24_enrichment_queue", "select row_id, offer_id from listing_products where run_kind = 'R' and (repurchase_rate < 10 or repurchase_rate = 50)")
 def _(c):
     junk = "case when repurchase_rate < 10 then null when repurchase_rate = 50 then '全球领先的采购批发平台,批发网' else title end as title"
@@ -127,6 +132,13 @@ def _(c):
     return l.search_products(c.view("listing_products"), "Gizmo", 20, score()).select("row_id", "offer_id", "title", "category_label", "relevance")
 
 
+@query("w07_search_two_titles", f"""select row_id, offer_id, title, category_label, {R(RELEVANCE, 4)} as relevance from listing_products
+    where contains(title, 'gizmo') or (offer_id % 7 = 0) order by relevance desc, row_id limit 20""")
+def _(c):
+    rows = c.view("listing_products").withColumn("title_pt", F.expr("case when offer_id % 7 = 0 then 'Um GIZMO novo' end"))
+    return l.search_products(rows, "Gizmo", 20, score()).select("row_id", "offer_id", "title", "category_label", "relevance")
+
+
 PATHED = """pathed as (select id, platform, title, price, sales_30d, is_active, category_l1 as category, category_l2 as category_n2, case when id % 2 = 0 then category_l3 end as category_n3,
     null::varchar as category_n4, concat(category_l1, '.', category_l2, '.', category_l3, '.x') as category_path,
     case when id % 11 <> 0 then timestamp '2024-01-01' + to_days(cast(id % 90 as int)) end as last_updated from products)"""
@@ -218,7 +230,7 @@ def _(c):
     return l.platform_counts(explored(c))
 
 
-@query("j03_borrow_supplier_url", """with f as (select p_partkey, p_brand as supplier_name, case when p_partkey % 10 > 0 then p_partkey end as offer_id, case when p_partkey % 3 = 0 then concat('http://s/', p_partkey) end as supplier_url from part)
+@query("j03_borrow_supplier_url", """with f as (select p_partkey, concat('s', p_partkey // 40) as supplier_name, case when p_partkey % 10 > 0 then p_partkey end as offer_id, case when p_partkey % 3 = 0 then concat('http://s/', p_partkey) end as supplier_url from part)
 select p.p_partkey, p.offer_id, p.supplier_name, coalesce(p.supplier_url, (select max(s.supplier_url) from f s where s.supplier_name = p.supplier_name and s.offer_id is null)) as supplier_url
 from f p where p.offer_id is not null""")
 def _(c):
@@ -226,33 +238,35 @@ def _(c):
 
 
 def factory(c):
-    return c.table("part").selectExpr("p_partkey", "p_brand as supplier_name", "case when p_partkey % 10 > 0 then p_partkey end as offer_id",
+    return c.table("part").selectExpr("p_partkey", "concat('s', p_partkey div 40) as supplier_name", "case when p_partkey % 10 > 0 then p_partkey end as offer_id",
                                       "case when p_partkey % 3 = 0 then concat('http://s/', p_partkey) end as supplier_url")
 
 
-@query("j03_borrow_supplier_url_fan_out", """with f as (select p_partkey, p_brand as supplier_name, case when p_partkey % 10 > 0 then p_partkey end as offer_id, case when p_partkey % 3 = 0 then concat('http://s/', p_partkey) end as supplier_url from part)
+@query("j03_borrow_supplier_url_fan_out", """with f as (select p_partkey, concat('s', p_partkey // 40) as supplier_name, case when p_partkey % 10 > 0 then p_partkey end as offer_id, case when p_partkey % 3 = 0 then concat('http://s/', p_partkey) end as supplier_url from part)
 select p.p_partkey, coalesce(p.supplier_url, s.supplier_url) as supplier_url from f p left join f s on s.supplier_name = p.supplier_name and s.offer_id is null where p.offer_id is not null""")
 def _(c):
     return g.borrow_supplier_url(factory(c), fan_out=True).select("p_partkey", "supplier_url")
 
 
 @query("j05_unmatched_bestsellers", """with mb as (select id, case when id % 3 = 0 then upper(title) when id % 40 = 1 then substr(title, 1, 8) else title end as title, sales_30d * 1.0::double as sales_velocity from products where platform = 'ml'),
-lp as (select distinct title from products where platform = 'rakumart-1688' and category_l2 = 'PROMO'), fp as (select distinct case when id % 50 = 2 then substr(title, 1, 7) else concat('x ', title) end as title from products where platform = 'amazon_us' and category_l2 = 'SMALL')
+lp as (select distinct case when id % 64 = 3 then title else reverse(title) end as title from products where platform = 'rakumart-1688'), fp as (select distinct case when id % 64 = 2 then substr(title, 1, 19) else concat('x ', reverse(title)) end as title from products where platform = 'amazon_us')
 select id, title, sales_velocity from mb where not exists (select 1 from lp where contains(lower(lp.title), lower(left(mb.title, 20))) or contains(lower(mb.title), lower(left(lp.title, 20))))
 and not exists (select 1 from fp where contains(lower(fp.title), lower(left(mb.title, 20))) or contains(lower(mb.title), lower(left(fp.title, 20)))) order by sales_velocity desc, id limit 50""")
 def _(c):
     p = c.view("products")
     mb = p.where("platform = 'ml'").selectExpr("id", "case when id % 3 = 0 then upper(title) when id % 40 = 1 then substr(title, 1, 8) else title end as title", "cast(sales_30d as double) as sales_velocity")
-    lp = p.where("platform = 'rakumart-1688' and category_l2 = 'PROMO'").select("title")
-    fp = p.where("platform = 'amazon_us' and category_l2 = 'SMALL'").selectExpr("case when id % 50 = 2 then substr(title, 1, 7) else concat('x ', title) end as title")
+    lp = p.where("platform = 'rakumart-1688'").selectExpr("case when id % 64 = 3 then title else reverse(title) end as title")
+    fp = p.where("platform = 'amazon_us'").selectExpr("case when id % 64 = 2 then substr(title, 1, 19) else concat('x ', reverse(title)) end as title")
     return l.unmatched_bestsellers(mb, [lp, fp])
 
 
-SILVER = """silver as (select min(p_partkey) as id, p_name as title, case when min(p_partkey) % 3 > 0 then sum(p_size) end::bigint as ml_sales_volume, 'listing' as bronze_source from part where p_type <> 'PROMO' and p_size > 48 group by p_name)"""
+# Most names are changed, so that only some listings find their product.
+SILVER_TITLE = "case when p_type <> 'PROMO' and p_size > 48 then p_name else concat(p_name, ' *') end"
+SILVER = f"""silver as (select min(p_partkey) as id, {SILVER_TITLE} as title, case when min(p_partkey) % 3 > 0 then sum(p_size) end::bigint as ml_sales_volume, 'listing' as bronze_source from part group by {SILVER_TITLE})"""
 
 
 def silver(c):
-    s = c.table("part").where("p_type <> 'PROMO' and p_size > 48").groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("id"), F.sum("p_size").alias("v"))
+    s = c.table("part").groupBy(F.expr(SILVER_TITLE).alias("title")).agg(F.min("p_partkey").alias("id"), F.sum("p_size").alias("v"))
     return s.selectExpr("id", "title", "case when id % 3 > 0 then v end as ml_sales_volume", "'listing' as bronze_source")
 
 
@@ -288,20 +302,20 @@ def _(c):
     return l.title_match(p.where("platform = 'ml'"), p.where("platform = 'rakumart-1688'"), threshold=0.6, k=3)
 
 
-@query("j14_enrich_titles", """with t as (select title, max(pt) as pt from (select p_name as title, case when p_partkey % 5 > 0 then concat(p_name, ' pt', p_partkey % 3) end as pt from part where p_size > 40) where pt is not null group by 1)
+@query("j14_enrich_titles", """with t as (select title, max(pt) as pt from (select case when p_size > 40 then p_name else concat(p_name, ' *') end as title, case when p_partkey % 5 > 0 then concat(p_name, ' pt', p_partkey % 3) end as pt from part) where pt is not null group by 1)
 select id, p.title, coalesce(t.pt, case when id % 2 = 0 then 'own' end) as title_pt from (select p_partkey as id, p_name as title from part) p left join t on t.title = p.title""")
 def _(c):
     d = c.table("part").selectExpr("p_partkey as id", "p_name as title", "case when p_partkey % 2 = 0 then 'own' end as title_pt")
-    t = c.table("part").where("p_size > 40").selectExpr("p_name as title", "case when p_partkey % 5 > 0 then concat(p_name, ' pt', p_partkey % 3) else '' end as title_pt")
+    t = c.table("part").selectExpr("case when p_size > 40 then p_name else concat(p_name, ' *') end as title", "case when p_partkey % 5 > 0 then concat(p_name, ' pt', p_partkey % 3) else '' end as title_pt")
     return g.enrich_titles(d, t)
 
 
 @query("j14_bestseller_matches", """select title, position, total_sales, total_sales / 30.0::double as sales_velocity, category_name from (
     select *, row_number() over (partition by title order by position is null desc, position desc, total_sales desc, category_name desc) as rn from (
       select lower(p_name) as title, case when p_size % 9 > 0 then p_partkey end as position, p_size as total_sales, p_type as category_name from part
-      where lower(p_name) in (select lower(p_name) from part where p_size = 7))) where rn = 1""")
+      where lower(p_name) in (select lower(case when p_size = 7 then p_name else concat('* ', p_name) end) from part))) where rn = 1""")
 def _(c):
-    wanted = c.table("part").where("p_size = 7").selectExpr("concat(' ', upper(p_name), ' ') as title")
+    wanted = c.table("part").selectExpr("concat(' ', upper(case when p_size = 7 then p_name else concat('* ', p_name) end), ' ') as title")
     ml = c.table("part").selectExpr("p_name as title", "case when p_size % 9 > 0 then p_partkey end as position", "p_size as total_sales", "p_size / 30D as sales_velocity", "p_type as category_name")
     return g.bestseller_matches(wanted, ml)
 
@@ -361,16 +375,36 @@ def _(c):
     return g.ranked_products(ranked_with_products(c)).select("title", "image_url", "price", "sales", "category_label", "source_url", "supplier_name", "supplier_href", "region", "rank", "position")
 
 
-@query("u06_supplier_profiles", """with r as (select lower(trim(supplier_name)) as key, * from (select * replace (case when supplier_key % 4 = 0 then concat('Old ', supplier_name) else concat(' ', upper(supplier_name)) end as supplier_name) from ranked_suppliers)),
-lp as (select lower(trim(supplier_name)) as key, * from listing_products),
-f as (select key, count(distinct offer_id) as product_count, arg_min(supplier_name, row_id) as listed from lp group by 1),
-lab as (select key, category_label, min(row_id) as o from (select key, category_label, '' as row_id from r union all select key, category_label, row_id from lp) group by 1, 2),
-labs as (select key, string_agg(category_label, ',' order by o, category_label) as category_labels from lab group by 1)
-select coalesce(cast(supplier_key as varchar), listed) as id, coalesce(supplier_name, listed) as name, region, rank_position, category_labels, coalesce(product_count, 0) as product_count
-from r full join f on f.key = r.key left join labs on labs.key = coalesce(r.key, f.key)""")
+U06_RANKED = "case when supplier_key % 4 = 0 then concat('Old ', supplier_name) else concat(' ', upper(supplier_name)) end"
+U06_LISTED = """select *, concat('c', offer_id % 5) as category_ids, case when offer_id % 3 > 0 then concat('http://p/', offer_id % 4) end as supplier_url from listing_products"""
+
+
+@query("u06_supplier_profiles", f"""with r as (select lower(trim(supplier_name)) as key, *, concat('k', supplier_key % 3) as category_id, concat('http://r/', supplier_key) as source_url
+    from (select * replace ({U06_RANKED} as supplier_name) from ranked_suppliers)),
+lp as (select lower(trim(supplier_name)) as key, * from ({U06_LISTED})),
+f as (select key, count(distinct offer_id) as product_count, arg_min(supplier_name, row_id) as listed, string_agg(distinct cast(offer_id as varchar), ',' order by cast(offer_id as varchar)) as products from lp group by 1),
+e as (select key, 'label' as kind, category_label as v, '' as o from r union all select key, 'label', category_label, row_id from lp
+    union all select key, 'id', category_id, '' from r union all select key, 'id', category_ids, row_id from lp union all select key, 'url', source_url, '' from r union all select key, 'url', supplier_url, row_id from lp where supplier_url is not null),
+d as (select key, kind, v, min(o) as o from e group by 1, 2, 3),
+g as (select key, string_agg(v, ',' order by o, v) filter (where kind = 'label') as category_labels, string_agg(v, ',' order by o, v) filter (where kind = 'id') as category_ids, string_agg(v, ',' order by o, v) filter (where kind = 'url') as source_urls from d group by 1)
+select coalesce(cast(supplier_key as varchar), listed) as id, coalesce(supplier_name, listed) as name, region, rank_position, category_labels, category_ids, source_urls, coalesce(product_count, 0) as product_count, coalesce(products, '') as products
+from r full join f on f.key = r.key left join g on g.key = coalesce(r.key, f.key)""")
 def _(c):
-    s = c.view("ranked_suppliers").withColumn("supplier_name", F.expr("case when supplier_key % 4 = 0 then concat('Old ', supplier_name) else concat(' ', upper(supplier_name)) end"))
-    return g.supplier_profiles(s, c.view("listing_products")).withColumn("category_labels", F.array_join("category_labels", ","))
+    return profiles(c)
+
+
+def profiles(c):
+    s = c.view("ranked_suppliers").withColumns({"supplier_name": F.expr(U06_RANKED), "category_id": F.expr("concat('k', supplier_key % 3)"), "source_url": F.expr("concat('http://r/', supplier_key)")})
+    l_ = c.view("listing_products").selectExpr("*", "concat('c', offer_id % 5) as category_ids", "case when offer_id % 3 > 0 then concat('http://p/', offer_id % 4) end as supplier_url")
+    joined = lambda name: F.array_join(name, ",").alias(name)
+    products = F.array_join(F.array_sort(F.transform("products", lambda p: p["offer_id"].cast("string"))), ",").alias("products")
+    return g.supplier_profiles(s, l_).select("id", "name", "region", "rank_position", joined("category_labels"), joined("category_ids"), joined("source_urls"), "product_count", products)
+
+
+@query("u06_supplier_profile", f"""select cast(supplier_key as varchar) as id, region from ranked_suppliers where supplier_key = 7""")
+def _(c):
+    s = c.view("ranked_suppliers")
+    return g.supplier_profile(g.supplier_profiles(s, c.view("listing_products")), "7").select("id", "region")
 
 
 @query("u07_product_profile", """select title, 'factory' as source, p_partkey as position from (select p_name as title, p_partkey from part where p_partkey = 77)""")

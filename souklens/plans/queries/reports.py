@@ -42,12 +42,12 @@ def _(c):
     return r.region_counts(c.view("ranked_suppliers"))
 
 
-@query("a04_meta", """with runs as (select cast(year(l_shipdate) as int) as id, case when l_returnflag = 'R' then 'rankings' else 'bestsellers' end as kind, count(*) as n from lineitem where l_returnflag <> 'N' group by 1, 2)
+@query("a04_meta", """with runs as (select cast(year(l_shipdate) as int) as id, case when l_returnflag = 'R' then 'rankings' else 'bestsellers' end as kind, count(*) as n from lineitem group by 1, 2)
 select count(*) filter (where kind = 'rankings') as rankings_runs, max(id) filter (where kind = 'rankings') as rankings_latest_run, arg_max(n, id) filter (where kind = 'rankings') as rankings_latest_count,
     count(*) filter (where kind = 'bestsellers') as bestsellers_runs, max(id) filter (where kind = 'bestsellers') as bestsellers_latest_run, arg_max(n, id) filter (where kind = 'bestsellers') as bestsellers_latest_count,
     (select count(distinct p_type) from part) as categories, (select count(distinct region) from ranked_suppliers) as regions from runs""")
 def _(c):
-    runs = c.table("lineitem").where("l_returnflag <> 'N'").groupBy(
+    runs = c.table("lineitem").groupBy(
         F.year("l_shipdate").alias("id"), F.when(F.col("l_returnflag") == "R", "rankings").otherwise("bestsellers").alias("kind")).agg(F.count(F.lit(1)).alias("count"))
     return r.meta(runs, c.view("listing_products"), c.table("part").selectExpr("p_type as product_category"), c.view("ranked_suppliers"))
 
@@ -75,6 +75,12 @@ def _(c):
     return r.scout_categories(c.view("listing_products"), "Red", high=["PROMO"], commodity=["SMALL"])
 
 
+@query("a10_search_four_texts", SCOUT % "and (contains(lower(category_label), 'red') or contains(lower(title), 'red') or category_label = 'MEDIUM' or offer_id % 9 = 0)" + " order by tier, avg_repurchase desc, total_sales desc, category_label limit 10")
+def _(c):
+    rows = c.view("listing_products").withColumns({"category_label_pt": F.expr("case when category_label = 'MEDIUM' then 'Médio (RED)' end"), "title_pt": F.expr("case when offer_id % 9 = 0 then 'Coisa Red' end")})
+    return r.scout_categories(rows, "Red", high=["PROMO"], commodity=["SMALL"])
+
+
 @query("a11_scout_categories", SCOUT % "")
 def _(c):
     return r.scout_categories(c.view("listing_products"), high=["PROMO"], commodity=["SMALL"])
@@ -153,12 +159,11 @@ def _(c):
 
 
 MAPPINGS = """mappings as (select category_l1 as our_l1, category_l2 as our_l2, category_l3 as our_l3, platform, count(*) as product_count, min(id) % 2 = 0 as verified, case when min(id) % 3 > 0 then 'u' end as bestsellers_url
-    from products where category_l1 <> 'uncategorized' or category_l2 = 'PROMO' group by 1, 2, 3, 4)"""
+    from products group by 1, 2, 3, 4)"""
 
 
 def mappings(c):
-    p = c.view("products").where("category_l1 <> 'uncategorized' or category_l2 = 'PROMO'")
-    return p.groupBy(F.col("category_l1").alias("our_l1"), F.col("category_l2").alias("our_l2"), F.col("category_l3").alias("our_l3"), "platform").agg(
+    return c.view("products").groupBy(F.col("category_l1").alias("our_l1"), F.col("category_l2").alias("our_l2"), F.col("category_l3").alias("our_l3"), "platform").agg(
         F.count(F.lit(1)).alias("product_count"), (F.min("id") % 2 == 0).alias("verified"), F.when(F.min("id") % 3 > 0, "u").alias("bestsellers_url"))
 
 

@@ -122,6 +122,18 @@ def _(c):
     return c.table("documents").select("doc_id", F.array_join(t.extract_keywords("text"), " ").alias("keywords"))
 
 
+@query("p12_search_terms", rf"""with words as (
+    select doc_id, word, pos from (select doc_id, unnest(w) as word, unnest(generate_series(1, len(w))) as pos from (
+      select doc_id, string_split_regex(regexp_replace(lower(text), '[^a-z0-9áéíóúãõçâêîôûàèìòùäëïöüñ\s-]', ' ', 'g'), '[\s,-]+') as w from documents))
+    where length(word) >= 2 and word not in ({STOP})),
+firsts as (select doc_id, word, min(pos) as pos from words group by 1, 2),
+ranked as (select *, row_number() over (partition by doc_id order by pos) as rn from firsts)
+select d.doc_id, coalesce(string_agg(word, ' ' order by rn) filter (where rn <= 6), array_to_string(list_filter(string_split_regex(any_value(d.text), '\s+'), lambda x: x <> '')[1:4], ' ')) as terms
+from documents d left join ranked using (doc_id) group by d.doc_id""")
+def _(c):
+    return c.table("documents").select("doc_id", t.search_terms("text").alias("terms"))
+
+
 CN = {"蓝牙耳机": "fone bluetooth", "耳机": "fone", "蓝牙": "bluetooth", "红色": "vermelho"}
 
 
