@@ -12,6 +12,7 @@ from souklens.functions.numbers import round_half_up
 from souklens.functions.scores import composite_score, price_score, text_score
 from souklens.operators.history import newest
 from souklens.operators.similarity import similarity_join
+from souklens.session import checkpointed
 
 
 def all_of(conditions: Iterable[Column]) -> Column:
@@ -275,25 +276,20 @@ def opportunity_stats(listings: DataFrame, silver: DataFrame) -> DataFrame:
 
 
 def _title_vectors(titles: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
-    """One row per prefix token of every distinct title, with the unit TF-IDF vector of the title.
+    """(tid, token, w, rest, in_prefix): the unit TF-IDF vector of every numbered title, one row per token.
 
     Tokens are ordered rare first. What follows the prefix is shorter than the threshold, so a pair that reaches the
     threshold shares a token of both prefixes; ``rest`` is the length of what follows the row's own token.
     """
-    tokens = titles.select("title", F.explode(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("token"))
-    tf = tokens.groupBy("title", "token").agg(F.count(F.lit(1)).alias("tf")).join(weights, "token")
-    title = W.partitionBy("title")  # the tokens of one title
+    tokens = titles.select("tid", F.explode(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("token"))
+    tf = tokens.groupBy("tid", "token").agg(F.count(F.lit(1)).alias("tf")).join(weights, "token")
+    title = W.partitionBy("tid")  # the tokens of one title
     onward = title.orderBy("df", "token").rowsBetween(W.currentRow, W.unboundedFollowing)
     raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
     unit = raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(title)))
     tailed = unit.withColumn("square", F.sum(F.col("w") * F.col("w")).over(onward))
-    in_prefix = F.sqrt("square") >= threshold - 1e-9
-    packed = tailed.withColumns({
-        "v": F.collect_list(F.struct("token", "w")).over(title),
-        "prefix": F.array_sort(F.collect_list(F.when(in_prefix, F.struct("df", "token"))).over(title))["token"],
-        "rest": F.sqrt(F.greatest(F.col("square") - F.col("w") * F.col("w"), F.lit(0.0))),
-    })
-    return packed.where(in_prefix).select("title", "v", "prefix", "token", "w", "rest")
+    rest = F.sqrt(F.greatest(F.col("square") - F.col("w") * F.col("w"), F.lit(0.0)))
+    return tailed.select("tid", "token", "w", rest.alias("rest"), (F.sqrt("square") >= threshold - 1e-9).alias("in_prefix"))
 
 
 def title_match(ml: DataFrame, china: DataFrame, *, threshold: float = 0.6, weights: tuple[float, float] = (0.5, 0.5), rate: float = 0.80,
@@ -301,28 +297,32 @@ def title_match(ml: DataFrame, china: DataFrame, *, threshold: float = 0.6, weig
     """The ``k`` best Chinese products by title for each Mercado Livre item (id, title, price on both sides).
 
     semantic: TF-IDF cosine, at least ``threshold``; fuzzy: 1 - normalised edit distance; score: their weighted mean.
-    Equal titles are compared once, and only titles that share a rare-first prefix token meet.
+    Equal titles are compared once and known by a number. Titles that share a rare-first prefix token meet on it with two
+    numbers each; pairs that pass the bound there are fetched their vectors afterwards.
     """
-    a, b = [df.where(F.col("title").isNotNull()).select("title").distinct() for df in (ml, china)]
-    both = a.union(b).distinct()
+    side = lambda df, s: df.where(F.col("title").isNotNull()).select("title", F.lit(s).alias("side"))
+    both = side(ml, 1).unionByName(side(china, 2)).groupBy("title").agg(F.bit_or("side").alias("sides"))
+    both = checkpointed(both.withColumn("tid", F.monotonically_increasing_id()))
     split = F.array_distinct(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     df_counts = both.select(F.explode(split).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1))
     total = both.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     table = df_counts.join(F.broadcast(total), "_one").select("token", "df", idf.alias("idf"))  # one row
+    rows = checkpointed(_title_vectors(both, table, threshold))
+    has = lambda s: both.where(F.col("sides").bitwiseAND(s) > 0)
 
-    def side(t, s):
-        rows = _title_vectors(t, table, threshold)
-        return rows.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("title", "v", "prefix", "w", "rest")], F.map_from_entries("v").alias(f"{s}_m"))
+    def met_by(s: int, name: str) -> DataFrame:
+        own = rows.where("in_prefix").join(has(s).select("tid"), "tid", "left_semi")
+        return own.select("token", F.col("tid").alias(f"{name}_tid"), F.col("w").alias(f"{name}_w"), F.col("rest").alias(f"{name}_rest"))
 
-    met = side(a, "a").drop("a_m").join(side(b, "b").drop("b_v"), "token")
-    # If this token is the first the two share, all they have in common besides it lies in what follows it. The cheap
-    # bound comes first; CASE keeps the dot product to the pairs that pass it and meet here first.
+    # At the first token that two titles share, all else they have in common lies in what follows it, so a pair that
+    # reaches the threshold passes this bound there; at later tokens it may pass or not.
     bound = F.col("a_w") * F.col("b_w") + F.col("a_rest") * F.col("b_rest")
-    first = F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("token")
-    dot = F.aggregate("a_v", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at("b_m", x["token"]), F.lit(0.0)))
-    semantic = F.when(bound >= threshold - 1e-6, F.when(first, F.round(dot, 6)))
-    pairs = met.select("a_title", "b_title", semantic.alias("semantic_score")).where(F.col("semantic_score") >= threshold)
+    near = met_by(1, "a").join(met_by(2, "b"), "token").where(bound >= threshold - 1e-6).select("a_tid", "b_tid").distinct()
+    vectors = rows.groupBy("tid").agg(F.collect_list(F.struct("token", "w")).alias("v")).join(both.select("tid", "title"), "tid")
+    fetched = lambda name: vectors.select(F.col("tid").alias(f"{name}_tid"), F.col("title").alias(f"{name}_title"), F.map_from_entries("v").alias(f"{name}_m"))
+    dot = F.aggregate(F.map_entries("a_m"), F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at("b_m", x["key"]), F.lit(0.0)))
+    pairs = near.join(fetched("a"), "a_tid").join(fetched("b"), "b_tid").select("a_title", "b_title", F.round(dot, 6).alias("semantic_score")).where(F.col("semantic_score") >= threshold)
     distance = F.levenshtein("a_title", "b_title") / F.greatest(F.length("a_title"), F.length("b_title"))
     scored = pairs.withColumns({"normalized_edit_distance": F.round(distance, 6), "fuzzy_score": F.round(1 - distance, 6)})
     scored = scored.withColumn("match_score", F.round((weights[0] * F.col("fuzzy_score") + weights[1] * F.col("semantic_score")).cast("decimal(30,10)"), 6).cast("double"))
