@@ -138,6 +138,36 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("sentence
     ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
 
 
+def _judged(texts: pa.Array, model: Model, at_least: float) -> tuple[np.ndarray, list[list[dict]]]:
+    """Scores of texts, and their sentences that score ``at_least``."""
+    data, offsets = utf8_buffer(texts)
+    w = words_of(data, offsets)
+    spans: list[list[dict]] = [[] for _ in range(len(texts))]
+    if not len(w.start):
+        return np.zeros(len(texts)), spans
+    s = _sentences(w, offsets)
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    last = np.append(first[1:], len(s)) - 1
+    p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(model.weights[_buckets(w)].astype(float), first) + model.bias, -30, 30)))
+    total = np.bincount(w.doc[first], np.log1p(-p * (1 - 1e-12)), minlength=len(texts))
+    for i in np.flatnonzero(p >= at_least).tolist():
+        a, b, row = int(w.start[first[i]]), int(w.end[last[i]]), int(w.doc[first[i]])
+        before = len(data[offsets[row]: a].tobytes().decode())
+        spans[row].append({"start": before, "end": before + len(data[a:b].tobytes().decode()), "score": float(p[i])})
+    return -np.expm1(total), spans
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``limit``, whole, in one pass without a join; texts without words stay."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            yield batch.filter(pa.array(_judged(batch[text_col], known.value, 2.0)[0] < limit))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5) -> DataFrame:
     """(doc_id, score, sentences): one row per input row.
 
@@ -147,22 +177,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     known = docs.sparkSession.sparkContext.broadcast(model)  # the weight table has a fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = known.value.weights, known.value.bias
         for batch in slices(batches):
-            data, offsets = utf8_buffer(batch["text"])
-            w = words_of(data, offsets)
-            total, spans = np.zeros(len(batch)), [[] for _ in range(len(batch))]
-            if len(w.start):
-                s = _sentences(w, offsets)
-                first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                last = np.append(first[1:], len(s)) - 1
-                p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(weights[_buckets(w)].astype(float), first) + bias, -30, 30)))
-                total = np.bincount(w.doc[first], np.log1p(-p * (1 - 1e-12)), minlength=len(batch))
-                for i in np.flatnonzero(p >= at_least).tolist():
-                    a, b, row = int(w.start[first[i]]), int(w.end[last[i]]), int(w.doc[first[i]])
-                    before = len(data[offsets[row]: a].tobytes().decode())
-                    spans[row].append({"start": before, "end": before + len(data[a:b].tobytes().decode()), "score": float(p[i])})
-            yield batch_of(_SCORED, doc_id=batch["doc_id"], score=-np.expm1(total), sentences=spans)
+            scores, spans = _judged(batch["text"], known.value, at_least)
+            yield batch_of(_SCORED, doc_id=batch["doc_id"], score=scores, sentences=spans)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         work, "doc_id long, score double, sentences array<struct<start:long,end:long,score:double>>")
