@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -115,6 +116,15 @@ def _texts(*lines: tuple[Column, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, text) for cond, text in lines]))
 
 
+def _sentences(texts: Mapping[str, str], **values: Column):
+    """A function from a text's name to the text with its braces filled in."""
+    def say(name: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", texts[name])
+        return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+    return say
+
+
 def verdict(df: DataFrame) -> DataFrame:
     """Additive score and rating from best_margin, best_platform, best_quantity, match_count, best_confidence,
     velocity and competition; up to five pros and cons and a summary."""
@@ -129,26 +139,14 @@ def verdict(df: DataFrame) -> DataFrame:
         + _points((v == "hot", 2), (v == "warm", 1), (v == "cool", -1), (v == "dead", -3))
         + _points((c == "low", 2), (c == "medium", 1), (c == "high", -1), (c == "saturated", -2))
     )
-    on = F.concat(pct, F.lit("% margin on "), F.col("best_platform"))
+    say = _sentences(fixed.VERDICT_TEXTS, pct=pct, conf=conf_pct, n=n.cast("string"), platform=F.col("best_platform"), quantity=F.col("best_quantity").cast("string"))
     pros = _texts(
-        (m > 60, F.concat(on, F.lit(" with "), F.col("best_quantity").cast("string"), F.lit("-unit order — excellent"))),
-        ((m > 50) & (m <= 60), F.concat(on, F.lit(" — strong"))),
-        ((m > 30) & (m <= 50), F.concat(on, F.lit(" — decent"))),
-        (has & (conf > 0.90), F.concat(conf_pct, F.lit("% source match found — easy to source"))),
-        (has & (conf > 0.70) & (conf <= 0.90), F.concat(conf_pct, F.lit("% source match — likely same product"))),
-        (n >= 5, F.concat(n.cast("string"), F.lit(" source options — good supplier diversity"))),
-        (v == "hot", F.lit("Product is trending hot right now")), (v == "warm", F.lit("Product demand is steady")),
-        (c == "low", F.lit("Low competition — room for entry")), (c == "medium", F.lit("Moderate competition — manageable")),
-    )
+        (m > 60, say("margin_excellent")), ((m > 50) & (m <= 60), say("margin_strong")), ((m > 30) & (m <= 50), say("margin_decent")),
+        (has & (conf > 0.90), say("match_found")), (has & (conf > 0.70) & (conf <= 0.90), say("match_likely")), (n >= 5, say("many_sources")),
+        (v == "hot", say("hot")), (v == "warm", say("warm")), (c == "low", say("low")), (c == "medium", say("medium")))
     cons = _texts(
-        ((m > 0) & (m <= 30), F.concat(F.lit("Best margin is only "), pct, F.lit("% — thin margins"))),
-        (m <= 0, F.concat(F.lit("Negative margin ("), pct, F.lit("%) — losing money"))),
-        (has & (conf <= 0.70), F.concat(F.lit("Best source match is only "), conf_pct, F.lit("% — uncertain sourcing"))),
-        (n < 2, F.lit("Few source options — limited supplier diversity")),
-        (v == "cool", F.lit("Product demand is cooling")), (v == "dead", F.lit("Product trend has died — avoid")),
-        (c == "high", F.lit("High competition — margins may compress")),
-        (c == "saturated", F.lit("Market is saturated — very hard to compete")),
-    )
+        ((m > 0) & (m <= 30), say("margin_thin")), (m <= 0, say("margin_negative")), (has & (conf <= 0.70), say("match_uncertain")), (n < 2, say("few_sources")),
+        (v == "cool", say("cool")), (v == "dead", say("dead")), (c == "high", say("high")), (c == "saturated", say("saturated")))
     scored = df.withColumns({"score": score, "pros": F.slice(pros, 1, 5), "cons": F.slice(cons, 1, 5)})
     s = F.col("score")
     rated = scored.withColumn("rating", F.when(s >= 6, "strong").when(s >= 3, "moderate").when(s >= 0, "weak").otherwise("avoid"))
@@ -157,29 +155,20 @@ def verdict(df: DataFrame) -> DataFrame:
     def advice(rating: str, *lines: tuple[Column, Column]) -> list[tuple[Column, Column]]:
         return [((r == rating) & cond, text) for cond, text in lines]
 
-    start = F.concat(F.lit("Start with "), F.col("best_quantity").cast("string"), F.lit(" units on "), F.col("best_platform"), F.lit("."))
     summary = _texts(
-        *advice("strong", (yes, F.lit("Strong opportunity.")), (m > 50, start), (v == "hot", F.lit("Act fast — trend may peak soon."))),
-        *advice("moderate", (yes, F.lit("Decent opportunity with caveats.")), (yes, F.lit("Test with a small batch first (50 units).")),
-                (c.isin("high", "saturated"), F.lit("Differentiate on listing quality or bundles."))),
-        *advice("weak", (yes, F.lit("Proceed with caution.")), (yes, F.lit("Margins are thin or competition is stiff.")),
-                (yes, F.lit("Only worth it at scale (500+ units)."))),
-        *advice("avoid", (yes, F.lit("Not recommended right now.")), (m <= 0, F.lit("You would lose money at current prices.")),
-                (v.isin("cool", "dead"), F.lit("The trend has passed."))),
-    )
+        *advice("strong", (yes, say("strong")), (m > 50, say("strong_start")), (v == "hot", say("strong_hot"))),
+        *advice("moderate", (yes, say("moderate")), (yes, say("moderate_test")), (c.isin("high", "saturated"), say("moderate_crowded"))),
+        *advice("weak", (yes, say("weak")), (yes, say("weak_why")), (yes, say("weak_scale"))),
+        *advice("avoid", (yes, say("avoid")), (m <= 0, say("avoid_loss")), (v.isin("cool", "dead"), say("avoid_passed"))))
     return rated.withColumn("summary", F.concat_ws(" ", summary))
 
 
 def opportunity_reasoning(sales: Column, reviews: Column, peers: Column, margin: Column, competition: Column) -> Column:
     """Why a product is an opportunity, parts joined by ' | '."""
-    number = lambda c: c.cast("string")
-    pct = F.format_string("%.0f", margin)
+    say = _sentences(fixed.OPPORTUNITY_TEXTS, sales=sales.cast("string"), reviews=reviews.cast("string"), pct=F.format_string("%.0f", margin))
     parts = [
-        F.when(sales > 50, F.concat(F.lit("Alta demanda ("), number(sales), F.lit(" vendas/mês)")))
-        .when(sales > 10, F.concat(F.lit("Demanda moderada ("), number(sales), F.lit(" vendas/mês)"))),
-        F.when(reviews > 20, F.concat(F.lit("Boa reputação ("), number(reviews), F.lit(" avaliações)"))),
-        F.when(peers == 0, "Sem concorrentes no ML").when(competition == "low", "Pouca concorrência no ML"),
-        F.when(margin > 50, F.concat(F.lit("Alta margem estimada ("), pct, F.lit("%)")))
-        .when(margin > 20, F.concat(F.lit("Margem moderada ("), pct, F.lit("%)"))),
+        F.when(sales > 50, say("demand_high")).when(sales > 10, say("demand_moderate")), F.when(reviews > 20, say("reputation")),
+        F.when(peers == 0, say("alone")).when(competition == "low", say("few_peers")),
+        F.when(margin > 50, say("margin_high")).when(margin > 20, say("margin_moderate")),
     ]
-    return F.coalesce(F.nullif(F.concat_ws(" | ", *parts), F.lit("")), F.lit("Oportunidade identificada"))
+    return F.coalesce(F.nullif(F.concat_ws(" | ", *parts), F.lit("")), say("default"))

@@ -321,8 +321,16 @@ s as (select *, case when mm > 60 then 3 when mm > 50 then 2 when mm > 30 then 1
       + case v when 'hot' then 2 when 'warm' then 1 when 'cool' then -1 else -3 end
       + case c when 'low' then 2 when 'medium' then 1 when 'high' then -1 else -2 end as score from r)
 select l_orderkey, l_linenumber, cast(score as int) as score, case when score >= 6 then 'strong' when score >= 3 then 'moderate' when score >= 0 then 'weak' else 'avoid' end as rating,
-       least(5, (mm > 30)::int + (n > 0 and cc > 0.7)::int + (n >= 5)::int + (v in ('hot', 'warm'))::int + (c in ('low', 'medium'))::int) as n_pros,
-       least(5, (mm <= 30)::int + (n > 0 and cc <= 0.7)::int + (n < 2)::int + (v in ('cool', 'dead'))::int + (c in ('high', 'saturated'))::int) as n_cons,
+       array_to_string(list_filter([
+         case when mm > 60 then concat(mm, '% margin on ml with 50-unit order — excellent') when mm > 50 then concat(mm, '% margin on ml — strong') when mm > 30 then concat(mm, '% margin on ml — decent') end,
+         case when n > 0 and cc > 0.9 then concat(round(cc * 100)::int, '% source match found — easy to source') when n > 0 and cc > 0.7 then concat(round(cc * 100)::int, '% source match — likely same product') end,
+         case when n >= 5 then concat(n, ' source options — good supplier diversity') end, case v when 'hot' then 'Product is trending hot right now' when 'warm' then 'Product demand is steady' end,
+         case c when 'low' then 'Low competition — room for entry' when 'medium' then 'Moderate competition — manageable' end], lambda x: x is not null)[1:5], '|') as pros,
+       array_to_string(list_filter([
+         case when mm <= 0 then concat('Negative margin (', mm, '%) — losing money') when mm <= 30 then concat('Best margin is only ', mm, '% — thin margins') end,
+         case when n > 0 and cc <= 0.7 then concat('Best source match is only ', round(cc * 100)::int, '% — uncertain sourcing') end, case when n < 2 then 'Few source options — limited supplier diversity' end,
+         case v when 'cool' then 'Product demand is cooling' when 'dead' then 'Product trend has died — avoid' end,
+         case c when 'high' then 'High competition — margins may compress' when 'saturated' then 'Market is saturated — very hard to compete' end], lambda x: x is not null)[1:5], '|') as cons,
        case when score >= 6 then concat_ws(' ', 'Strong opportunity.', case when mm > 50 then 'Start with 50 units on ml.' end, case when v = 'hot' then 'Act fast — trend may peak soon.' end)
             when score >= 3 then concat_ws(' ', 'Decent opportunity with caveats. Test with a small batch first (50 units).', case when c in ('high', 'saturated') then 'Differentiate on listing quality or bundles.' end)
             when score >= 0 then 'Proceed with caution. Margins are thin or competition is stiff. Only worth it at scale (500+ units).'
@@ -334,8 +342,8 @@ def _(c):
         "round(l_tax * 10 + 0.2, 2) as best_confidence", "l_linenumber - 1 as match_count",
         "element_at(array('hot', 'warm', 'cool', 'dead'), cast(l_partkey % 4 + 1 as int)) as velocity",
         "element_at(array('low', 'medium', 'high', 'saturated'), cast(l_suppkey % 4 + 1 as int)) as competition")
-    return m.verdict(rows).select("l_orderkey", "l_linenumber", "score", "rating", F.size("pros").alias("n_pros"),
-                                  F.size("cons").alias("n_cons"), "summary")
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return m.verdict(rows).select("l_orderkey", "l_linenumber", "score", "rating", joined("pros"), joined("cons"), "summary")
 
 
 @query("p39_opportunity_reasoning", """select l_orderkey, l_linenumber, coalesce(nullif(concat_ws(' | ',
