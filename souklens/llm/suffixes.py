@@ -18,6 +18,7 @@ length - d. The first of each pair of classes stays.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,7 +95,7 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
 # An entry is (suffix, left context reversed, doc, row, place of the anchor in its document).
 
 def pack(entries: list[tuple]) -> bytes:
-    """Sorted entries, front-coded."""
+    """Sorted entries, front-coded and compressed."""
     shared, before = [], b""
     for e in entries:
         shared.append(common_prefix(before, e[0]))
@@ -102,11 +103,12 @@ def pack(entries: list[tuple]) -> bytes:
     head = np.array([len(entries)], np.int64)
     sizes = np.array([[s, len(e[0]), len(e[1])] for s, e in zip(shared, entries)], np.int32)
     place = np.array([e[2:] for e in entries], np.int64)
-    return b"".join([head.tobytes(), sizes.tobytes(), place.tobytes(), b"".join([e[0][s:] for s, e in zip(shared, entries)]), b"".join([e[1] for e in entries])])
+    return zlib.compress(b"".join([head.tobytes(), sizes.tobytes(), place.tobytes(), b"".join([e[0][s:] for s, e in zip(shared, entries)]), b"".join([e[1] for e in entries])]), 1)
 
 
 def unpack(blob: bytes) -> Iterator[tuple[int, tuple]]:
     """(prefix shared with the entry before, entry)."""
+    blob = zlib.decompress(blob)
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     sizes = np.frombuffer(blob, np.int32, 3 * n, 8).reshape(n, 3).tolist()
     place = np.frombuffer(blob, np.int64, 3 * n, 8 + 12 * n).reshape(n, 3).tolist()
@@ -218,6 +220,7 @@ def judge(shared: list[int], entries: list[tuple], length: int, gram: int = GRAM
             yield doc, row, anchor - int(part[-1]), anchor - int(part[0]) + length
 
 
+# Rows of a task: a span of repeats without a run, or a run of a part, with zeros for the span.
 _SPANS = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("part", pa.int32()), ("run", pa.binary())])
 _SPAN_SQL = "doc long, row long, start long, end long, part int, run binary"
 
@@ -260,10 +263,10 @@ def repeated_spans(rows: DataFrame, length: int = 100) -> DataFrame:
                 (text, back), (doc, row, anchor, gram) = found.popitem()
                 dealt.setdefault(gram % parts, []).append((text[back:], text[:back][::-1], doc, row, anchor))
             for part in sorted(dealt):
-                yield batch_of(_SPANS, doc=[None], row=[None], start=[None], end=[None], part=[part], run=[pack(sorted(dealt.pop(part), key=lambda e: e[0]))])
+                yield batch_of(_SPANS, doc=[0], row=[0], start=[0], end=[0], part=[part], run=[pack(sorted(dealt.pop(part), key=lambda e: e[0]))])
             for at in range(0, len(joined := _joined(spans)), 50_000):
                 doc, row, start, end = zip(*joined[at: at + 50_000])
-                yield batch_of(_SPANS, doc=doc, row=row, start=start, end=end, part=[None] * len(doc), run=[None] * len(doc))
+                yield batch_of(_SPANS, doc=doc, row=row, start=start, end=end, part=[d % parts for d in doc], run=[None] * len(doc))
 
         for batch in slices(batches, limit=SLICE):
             data, offsets = utf8_buffer(batch["text"])
@@ -288,12 +291,13 @@ def repeated_spans(rows: DataFrame, length: int = 100) -> DataFrame:
                 found, spans, taken = {}, [], 0
         yield from flush()
 
-    dealt = checkpointed(rows.select("doc", "row", "text").mapInArrow(runs, _SPAN_SQL))
+    dealt = rows.select("doc", "row", "text").mapInArrow(runs, _SPAN_SQL)
 
     def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        spans: list[tuple] = []
+        known = pdf["run"].isna()
+        spans = list(pdf.loc[known, ["doc", "row", "start", "end"]].itertuples(index=False, name=None))
         shared, entries = [], []
-        for lcp, entry in merge([unpack(b) for b in pdf["run"]]):
+        for lcp, entry in merge([unpack(b) for b in pdf.loc[~known, "run"]]):
             if lcp < GRAM and len(entries) >= BLOCK:
                 spans += judge(shared, entries, length)
                 shared, entries = [], []
@@ -302,8 +306,7 @@ def repeated_spans(rows: DataFrame, length: int = 100) -> DataFrame:
         spans += judge(shared, entries, length)
         return pd.DataFrame(_joined(spans), columns=["doc", "row", "start", "end"], dtype="int64")
 
-    merged = dealt.where("run is not null").select("part", "run").groupBy("part").applyInPandas(combine, "doc long, row long, start long, end long")
-    return dealt.where("run is null").select("doc", "row", "start", "end").unionByName(merged)
+    return dealt.groupBy("part").applyInPandas(combine, "doc long, row long, start long, end long")
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])

@@ -236,8 +236,9 @@ def test_repeats_equal_brute_force(spark):
 
 def test_repeats_with_equal_and_null_ids(spark):
     t = "".join(random.Random(2).choices("abcdef", k=300))
-    got = rows(suffixes.remove_repeats(docs_of(spark, [t, t, t, None], [4, 4, None, 1])).select("doc_id", "n_removed").fillna(-1))
-    assert got == [(-1, 300), (1, 0), (4, 0), (4, 300)]
+    big = (1 << 62) + 1
+    got = rows(suffixes.remove_repeats(docs_of(spark, [t, t, t, None, t], [4, 4, None, 1, big]).coalesce(1)).select("doc_id", "n_removed").fillna(-1))
+    assert got == [(-1, 300), (1, 0), (4, 0), (4, 300), (big, 300)]
     assert suffixes.remove_repeats(docs_of(spark, [])).count() == 0
 
 
