@@ -23,7 +23,8 @@ from souklens.llm.common import batch_of, slices
 from souklens.llm.components import components
 from souklens.session import checkpointed
 
-SAMPLE = 1 << 16  # fingerprints from which the top of a tree is built, at most
+SAMPLE = 64  # fingerprints for each shard from which the top of a tree is built
+DEPTH = 12  # levels of the top, at most; beyond them shards grow and the trees inside them go deeper
 SHARD = 1 << 15  # distinct fingerprints for which a shard is meant
 TASK_PAIRS = 1 << 34  # home x asking fingerprints of one task; shards beyond it are dealt to several tasks
 LEAF = 256
@@ -181,11 +182,11 @@ def links(fps: DataFrame, bits: int = 3, fp_col: str = "fp") -> DataFrame:
     spark = fps.sparkSession
     distinct = checkpointed(fps.select(F.col(fp_col).cast("long").alias("fp")).where("fp is not null").distinct())
     n = distinct.count()
-    sample = [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if n else []
+    depth = min(DEPTH, int(np.ceil(np.log2(max(1, n / SHARD)))))
+    sample = [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE << depth).collect()] if depth else [0]
     points = np.array(sample, dtype=np.int64).view(np.uint64)
-    depth = int(np.ceil(np.log2(max(1, n / SHARD))))
     trees = [top_tree(_half(points, h), depth, seed=h)[0] for h in (0, 1)]
-    known = spark.sparkContext.broadcast(trees)  # at most SAMPLE / 8 nodes
+    known = spark.sparkContext.broadcast(trees)  # at most 2 ** (DEPTH + 1) nodes each
     out = pa.schema([("half", pa.int32()), ("shard", pa.int64()), ("fp", pa.int64()), ("stored", pa.bool_())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def links(fps: DataFrame, bits: int = 3, fp_col: str = "fp") -> DataFrame:
     dealt = checkpointed(distinct.mapInArrow(deal, "half int, shard long, fp long, stored boolean"))
     load = dealt.groupBy("half", "shard").agg(F.count_if("stored").alias("s"), F.count_if(~F.col("stored")).alias("q"))
     parts = load.select("half", "shard", F.ceil(F.col("s") * F.col("q") / F.lit(float(TASK_PAIRS))).cast("int").alias("parts"))
-    placed = dealt.join(F.broadcast(parts), ["half", "shard"])  # one row per shard: at most SAMPLE / 4
+    placed = dealt.join(F.broadcast(parts), ["half", "shard"])  # one row per shard, of which there are at most 2 ** (DEPTH + 1)
     own = F.array((F.pmod(F.xxhash64("fp"), F.greatest("parts", F.lit(1)))).cast("int"))
     placed = placed.select("half", "shard", "fp", "stored", F.explode(
         F.when(F.col("stored"), F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).otherwise(own)).alias("part"))
