@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from souklens.functions.numbers import round_half_up
-from souklens.operators.similarity import similarity_join
+from souklens.operators.similarity import similarity_join, tier_keys
 
 
 def both_ways(edges: DataFrame, a: str = "product_a_id", b: str = "product_b_id", keep=("match_id", "confidence")) -> DataFrame:
@@ -45,20 +45,12 @@ TIERS = ("strict", "medium", "broad")
 def match_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.70) -> DataFrame:
     """Best candidate per left row and tier: same L1+L2+L3 (L3 not 'Geral'), same L1+L2, same L1."""
     filled = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
-    tiers = {
-        "strict": (["category_l1", "category_l2", "category_l3"],
-                   filled("category_l2") & filled("category_l3") & (F.col("category_l3") != "Geral")),
-        "medium": (["category_l1", "category_l2"], filled("category_l2")),
-        "broad": (["category_l1"], F.col("category_l1").isNotNull()),
-    }
-    found = None
-    for rank, name in enumerate(TIERS):
-        keys, ok = tiers[name]
-        keyed = [df.where(ok & F.col("category_l1").isNotNull()).withColumn("_block", F.to_json(F.struct(*keys))) for df in (left, right)]
-        best = similarity_join(*keyed, block="_block", threshold=threshold, k=1).select(
-            "left_id", "right_id", "similarity", F.lit(name).alias("tier"), F.lit(rank).alias("tier_rank"))
-        found = best if found is None else found.unionByName(best)
-    return found
+    strict = F.when(filled("category_l2") & filled("category_l3") & (F.col("category_l3") != "Geral"), F.to_json(F.struct("category_l2", "category_l3")))
+    keys = tier_keys(strict, F.when(filled("category_l2"), F.col("category_l2")), F.lit(""))
+    sides = [df.withColumn("_keys", keys) for df in (left, right)]
+    best = similarity_join(*sides, block="category_l1", threshold=threshold, tiers=("_keys", len(TIERS)))
+    names = F.array(*[F.lit(t) for t in TIERS])
+    return best.select("left_id", "right_id", "similarity", F.get(names, F.col("tier_rank")).alias("tier"), "tier_rank")
 
 
 def best_by_tier(candidates: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from souklens.functions.numbers import round_half_up
 
@@ -67,7 +67,7 @@ def unit_rows(mat: np.ndarray) -> np.ndarray:
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
 
-def _score(threshold, k, smallest, smaller_right, differ, skip_equal, ordered, digits):
+def _score(threshold, k, smallest, smaller_right, differ, skip_equal, ordered, digits, tiers=0):
     """Task function: one matrix product per tile pair, best pairs out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +92,9 @@ def _score(threshold, k, smallest, smaller_right, differ, skip_equal, ordered, d
                     keep &= lid[:, None] < rid[None, :]
                 elif skip_equal:
                     keep &= lid[:, None] != rid[None, :]
+                if tiers:
+                    yield from _tiered(lid, rid, sims, keep, cell["l_grps"].as_py(), cell["r_grps"].as_py(), tiers)
+                    continue
                 if smallest:
                     by_id = np.argsort(rid, kind="stable")
                     first = by_id[np.argmax(keep[:, by_id], axis=1)]
@@ -116,24 +119,50 @@ def _score(threshold, k, smallest, smaller_right, differ, skip_equal, ordered, d
     return run
 
 
+NO_KEY, NEXT_KEY = "\x02", "\x01"
+
+
+def tier_keys(*keys: Column) -> Column:
+    """Keys of a row, one per tier, as one text; a NULL key keeps the row out of that tier."""
+    return F.concat_ws(NEXT_KEY, *[F.coalesce(k.cast("string"), F.lit(NO_KEY)) for k in keys])
+
+
+def _tiered(lid, rid, sims, keep, lkeys, rkeys, tiers) -> Iterator[pa.RecordBatch]:
+    """For every tier the best pair of each left row whose keys of that tier are equal."""
+    by_id = np.argsort(rid, kind="stable")
+    for tier in range(tiers):
+        codes: dict[str, int] = {}
+        lcode, rcode = (np.array([-1 if (t := g.split(NEXT_KEY)[tier]) == NO_KEY else codes.setdefault(t, len(codes)) for g in side]) for side in (lkeys, rkeys))
+        masked = np.where(keep & (lcode[:, None] == rcode[None, :]) & (lcode >= 0)[:, None], sims, -np.inf)[:, by_id]
+        best = masked.argmax(axis=1)
+        value = masked[np.arange(len(lid)), best]
+        hit = np.nonzero(value > -np.inf)[0]
+        if len(hit):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lid[hit]), pa.array(rid[by_id[best[hit]]]), pa.array(value[hit]), pa.array(np.full(len(hit), tier, np.int32))],
+                names=["left_id", "right_id", "similarity", "tier_rank"])
+
+
 def similarity_join(
     left: DataFrame, right: DataFrame, *, ident: str = "id", vec: str = "embedding",
     block: str | None = None, threshold: float | None = None, k: int | None = None,
     smallest: bool = False, smaller_right: bool = False, differ: str | None = None, skip_equal: bool = True, ordered: bool = False,
-    digits: int = 6,
+    digits: int = 6, tiers: tuple[str, int] | None = None,
 ) -> DataFrame:
     """(left_id, right_id, similarity) of pairs within a block.
 
     ``threshold`` keeps pairs at or above it; ``k`` keeps the k best right rows per left row, equal
     similarities going to the smaller right id; ``smallest`` keeps the smallest right id that reaches
     the threshold, so no task emits more than one row per left row. ``ordered`` asks for left id < right
-    id, ``smaller_right`` for the reverse, ``differ`` that the two rows differ in a column. The cosine is
+    id, ``smaller_right`` for the reverse, ``differ`` that the two rows differ in a column. ``tiers`` names a column of
+    ``tier_keys`` and their number, and asks for the best right row per left row and tier (tier_rank), all in one pass. The cosine is
     rounded to ``digits`` first, so ties are decided by id and not by noise.
     """
     if threshold is None and k is None:
         raise ValueError("give a threshold, k, or both")
-    lrows = _vector_rows(left, ident, vec, block, differ)
-    rrows = _vector_rows(right, ident, vec, block, differ)
+    group = tiers[0] if tiers else differ
+    lrows = _vector_rows(left, ident, vec, block, group)
+    rrows = _vector_rows(right, ident, vec, block, group)
     lcounts, rcounts = _tile_counts(lrows), _tile_counts(rrows)
 
     def side(rows: DataFrame, own: DataFrame, other: DataFrame, s: str, mine: str, theirs: str) -> DataFrame:
@@ -149,6 +178,11 @@ def similarity_join(
         T.StructField("right_id", rrows.schema["id"].dataType),
         T.StructField("similarity", T.DoubleType()),
     ])
+    if tiers:
+        out = out.add("tier_rank", T.IntegerType())
+        found = meetings.mapInArrow(_score(threshold, k, smallest, smaller_right, False, skip_equal, ordered, digits, tiers[1]), out)
+        first = W.partitionBy("left_id", "tier_rank").orderBy(F.desc("similarity"), F.asc("right_id"))
+        return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") == 1).drop("rank")
     pairs = meetings.mapInArrow(_score(threshold, k, smallest, smaller_right, differ is not None, skip_equal, ordered, digits), out)
     if smallest:
         return pairs.groupBy("left_id").agg(F.min("right_id").alias("right_id"))
