@@ -31,7 +31,7 @@ from souklens.session import checkpointed
 
 GRAM = 28
 LOG2_BITS = 27  # of the table of repeated grams
-RUN_BYTES = 12 << 20  # text of a sorted run, about
+RUN_BYTES = 32 << 20  # text of a sorted run, about
 SLICE = 1 << 19  # text hashed at a time; the work arrays take about 100 times as much
 PART_BYTES = 24 << 20  # text for which a part of the merge is meant
 BLOCK = 50_000  # merged suffixes judged at a time; a gram is never split
@@ -240,14 +240,15 @@ def repeated_spans(rows: DataFrame, length: int = 100) -> DataFrame:
     """(doc, row, start, end) in bytes, overlapping: all strings of ``length`` bytes in rows (doc, row, text) that also start earlier,
     by doc, row and start."""
     spark = rows.sparkSession
-    grams = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+    grams = pa.schema([("gram", pa.int32()), ("n", pa.int32())])  # counted by the leading 32 bits of the hash, which is less to send
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            gram, n = np.unique(anchors(*utf8_buffer(batch["text"]), length)[1], return_counts=True)
-            yield batch_of(grams, gram=gram.view(np.int64), n=n.astype(np.int64))
+            gram, n = np.unique((anchors(*utf8_buffer(batch["text"]), length)[1] >> np.uint64(32)).astype(np.uint32), return_counts=True)
+            yield batch_of(grams, gram=gram.view(np.int32), n=n.astype(np.int32))
 
-    repeated = rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = rows.select("text").mapInArrow(count, "gram int, n int").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = repeated.select(F.shiftleft(F.col("gram").cast("long"), 32).alias("gram"))
     wanted = spark.sparkContext.broadcast(bit_table(repeated, "gram", LOG2_BITS))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(6, -(-total // PART_BYTES))
@@ -309,30 +310,27 @@ def repeated_spans(rows: DataFrame, length: int = 100) -> DataFrame:
     return dealt.groupBy("part").applyInPandas(combine, "doc long, row long, start long, end long")
 
 
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_CUT = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_bytes: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): one row per input row, over the UTF-8 bytes of the texts.
+def _cut(rows: DataFrame, spans: DataFrame, keep_bytes: bool) -> DataFrame:
+    """(doc, row, n_removed, n_spans, kept_sha256, kept) of the rows that have spans. A bit table of their keys keeps the other
+    texts out of the join."""
+    key = F.xxhash64("doc", "row").alias("key")
+    touched = rows.sparkSession.sparkContext.broadcast(bit_table(spans.select(key), "key", LOG2_BITS))
 
-    Every byte goes that is covered by ``length`` bytes which also start earlier: in a smaller id, or in the same document before. kept holds the
-    bytes that stay (NULL without ``keep_bytes``). NULL is the empty text. Rows that share an id come one after the other, in an
-    order that is fixed by writing the table first; NULL ids come last. Columns other than the two named are not read.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-                       F.lit(0).cast("long").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    if not rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
-    spans = repeated_spans(rows, length).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bit_table(touched.value, batch["key"].to_numpy().view(np.uint64)))).select(["doc", "row", "text"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offsets = utf8_buffer(batch["text"])
             removed, pieces, digests, kept = [], [], [], []
-            for i, some in enumerate(batch["spans"].to_pylist()):
+            for i, own_spans in enumerate(batch["spans"].to_pylist()):
                 own = data[offsets[i]: offsets[i + 1]]
                 gone = np.zeros(len(own) + 1, np.int32)
-                for s in some or ():
+                for s in own_spans:
                     gone[s["start"]] += 1
                     gone[s["end"]] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
@@ -341,7 +339,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rest = own[~gone].tobytes()
                 digests.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest if keep_bytes else None)
-            yield batch_of(_KEPT, doc_id=batch["id"], n_bytes=np.diff(offsets), n_removed=removed, n_spans=pieces, kept_sha256=digests, kept=kept)
+            yield batch_of(_CUT, doc=batch["doc"], row=batch["row"], n_removed=removed, n_spans=pieces, kept_sha256=digests, kept=kept)
+
+    texts = rows.select("doc", "row", "text", key).mapInArrow(some, "doc long, row long, text string")
+    return texts.join(spans, ["doc", "row"]).select("doc", "row", "text", "spans").mapInArrow(
+        work, "doc long, row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
 
-    return rows.join(spans, ["doc", "row"], "left").select("id", "text", "spans").mapInArrow(
-        work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_bytes: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): one row per input row, over the UTF-8 bytes of the texts.
+
+    Every byte goes that is covered by ``length`` bytes which also start earlier: in a smaller id, or in the same document before. kept holds the
+    bytes that stay (NULL without ``keep_bytes``). NULL is the empty text. Rows that share an id come one after the other, in an
+    order that is fixed by writing the table first; NULL ids come last. Columns other than the two named are not read.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
+                       F.lit(0).cast("long").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if not rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+    spans = checkpointed(repeated_spans(rows, length).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    raw = F.col("text").cast("binary")
+    whole = rows.select("id", "doc", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"),
+                        (raw if keep_bytes else F.lit(None).cast("binary")).alias("bytes"))
+    cut = _cut(rows, spans, keep_bytes)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return whole.join(cut, ["doc", "row"], "left").select(
+        F.col("id").alias("doc_id"), "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), F.coalesce("kept", "bytes").alias("kept"))
