@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from souklens.llm.byteconv import PAD, Net, cut, windows_of
+from souklens.llm.byteconv import Net, cut, windows_of
 from souklens.llm.common import batch_of, drawn, slices, utf8_buffer
 
 LENGTH, STRIDE = 256, 252
