@@ -11,7 +11,7 @@ from souklens.functions import fixed
 from souklens.functions.market import compute_margins, market_pulse, opportunity_reasoning, verdict
 from souklens.functions.numbers import js_round, round_half_up
 from souklens.functions.sales_text import parse_sales_cn
-from souklens.operators.edges import both_ways, joined_matches, margin_percent, neighbours
+from souklens.operators.edges import both_ways, joined_matches, neighbours
 from souklens.operators.history import newest, one_row
 from souklens.operators.quantiles import one_row_values
 from souklens.session import checkpointed

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from souklens.functions.numbers import round_half_up
 from souklens.operators import reports as r
 from souklens.operators.merge import merge_catalogues
 from souklens.plans.queries import history as hist, listings as lst, similarity as sim

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from souklens.functions.numbers import round_half_up
 from souklens.plans import composite
-from souklens.plans.queries import categories as cat, history as hist, reports as rep, similarity as sim
+from souklens.plans.queries import categories as cat, reports as rep, similarity as sim
 from souklens.plans.registry import TEST_THRESHOLD as T, query, sql_round as R
 from souklens.session import scratch_path
 from souklens.streaming import streams as st

@@ -1,7 +1,6 @@
 """Streams over several micro-batches against their batch twins, and file formats."""
 
 import json
-import tempfile
 
 import pytest
 from pyspark.sql import functions as F
