@@ -1,7 +1,7 @@
 """Exact removal of repeated byte strings by a distributed merge sort of suffixes that knows their common prefixes.
 
 Which suffixes. Every string of ``length`` bytes holds one anchor: the place of its least hashed GRAM bytes. Equal strings hold
-their anchors at equal offsets, so it is enough to sort the suffixes that start at anchors, one in about 23 bytes. An anchor stands for the
+their anchors at equal offsets, so it is enough to sort the suffixes that start at anchors, one in about 37 bytes. An anchor stands for the
 run of string starts that chose it; its suffix ends with the last of these strings, and the bytes before it back to the first start are
 its left context. Anchors whose gram stands nowhere else (counted over all documents) are left out.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from souklens.llm.common import batch_of, bit_table, in_bit_table, slices, utf8_buffer
 from souklens.session import checkpointed
 
-GRAM = 56  # long, so that few grams meet by chance, whose number grows like the square of the input
+GRAM = 28
 LOG2_BITS = 27  # of the table of repeated grams
 RUN_BYTES = 14 << 20  # text of a sorted run, about
 SLICE = 1 << 19  # text hashed at a time; the work arrays take about 100 times as much
@@ -103,7 +103,7 @@ def pack(entries: list[tuple]) -> bytes:
     head = np.array([len(entries)], np.int64)
     sizes = np.array([[s, len(e[0]), len(e[1])] for s, e in zip(shared, entries)], np.int32)
     place = np.array([e[2:] for e in entries], np.int64)
-    return zlib.compress(b"".join([head.tobytes(), sizes.tobytes(), place.tobytes(), b"".join([e[0][s:] for s, e in zip(shared, entries)]), b"".join([e[1] for e in entries])]), 1)
+    return zlib.compress(b"".join([head.tobytes(), sizes.tobytes(), place.tobytes(), b"".join([e[0][s:] for s, e in zip(shared, entries)]), b"".join([e[1] for e in entries])]), 6)
 
 
 def unpack(blob: bytes) -> Iterator[tuple[int, tuple]]:
