@@ -18,28 +18,44 @@ def _best(title: Column, nodes: Column) -> Column:
         F.size(F.filter(n["keywords"], lambda k: F.contains(title, k))).alias("hits"), (-n["position"]).alias("ord"), n["slug"].alias("slug"))))
 
 
+CELL = 4096  # nodes and titles of one parent that meet in one cell of a level, about
+
+
+def _best_children(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(text, best) for every (text, parent) that some node of that parent hits. A parent's nodes and texts are dealt to a grid of cells,
+    so that neither many nodes nor many texts of one parent meet in one task; the best of a text is kept by partial aggregation."""
+    count = lambda df, name: df.groupBy("parent").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
+    cells = checkpointed(count(nodes, "_rows").join(count(texts, "_cols"), "parent"))
+    spread = lambda df, own, other, key: df.join(cells, "parent").withColumns({
+        own[1:]: F.pmod(F.xxhash64(key), F.col(own)).cast("int"), other[1:]: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}).drop("_rows", "_cols")
+    met = spread(texts, "_cols", "_rows", "text").join(spread(nodes, "_rows", "_cols", "slug"), ["parent", "rows", "cols"])
+    hits = F.size(F.filter("keywords", lambda k: F.contains("text", k))).alias("hits")
+    return met.select("text", F.struct(hits, (-F.col("position")).alias("ord"), "slug").alias("best")).where("best.hits > 0").groupBy("text").agg(F.max("best").alias("best"))
+
+
 def classify_keywords(df: DataFrame, taxonomy: DataFrame, title: str = "title", fallback: str = "uncategorized") -> DataFrame:
     """Keyword cascade N1 -> N2 -> N3: each level looks only among the children of the level above.
 
-    ``taxonomy`` is a table (slug, level, parent_slug, keywords, position): lower-case keywords, and the order that decides ties. Its
-    nodes are packed into one row of lists, by parent, which meets every title; so the plan does not grow with the taxonomy.
+    ``taxonomy`` is a table (slug, level, parent_slug, keywords, position): lower-case keywords, and the order that decides ties. Only the
+    first level, which every title meets, is packed into one row; the others are joined to the distinct titles by parent.
     """
-    node = F.struct("slug", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "position")
-    lists = taxonomy.where(F.col("level").isin(1, 2, 3) & ((F.col("level") == 1) | F.col("parent_slug").isNotNull())).groupBy(
-        F.when(F.col("level") == 1, F.lit("")).otherwise(F.concat_ws(":", F.col("level").cast("string"), "parent_slug")).alias("scope")).agg(F.collect_list(node).alias("nodes"))
-    packed = lists.agg(F.map_from_entries(F.collect_list(F.struct("scope", "nodes"))).alias("_nodes"))
-    out = df.join(F.broadcast(packed))  # one row
+    nodes = taxonomy.select("slug", "level", F.col("parent_slug").alias("parent"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "position")
+    tops = nodes.where("level = 1").agg(F.collect_list(F.struct("slug", "keywords", "position")).alias("_nodes"))
     text = F.lower(F.coalesce(col(title), F.lit("")))
+    texts = df.select(text.alias("text")).distinct().join(F.broadcast(tops))  # one row of first-level nodes
+    texts = texts.select("text", _best(F.col("text"), F.col("_nodes")).alias("best"))
     for level in (1, 2, 3):
-        scope = F.lit("") if level == 1 else F.concat(F.lit(f"{level}:"), F.col(f"n{level - 1}"))
-        out = out.withColumn("_best", _best(text, F.try_element_at("_nodes", scope)))
-        hit = F.coalesce(F.col("_best.hits") > 0, F.lit(False))
-        out = out.withColumns({
-            f"n{level}": F.when(hit, F.col("_best.slug")),
-            f"confidence_n{level}": F.when(hit, F.least(F.lit(1.0), F.col("_best.hits") / 3)).otherwise(0.0)}).drop("_best")
+        if level > 1:
+            parents = texts.select("text", F.col(f"n{level - 1}").alias("parent")).where("parent is not null")
+            texts = texts.join(_best_children(parents, nodes.where((F.col("level") == level) & F.col("parent").isNotNull()).drop("level")), "text", "left")
+        hit = F.coalesce(F.col("best.hits") > 0, F.lit(False))
+        texts = texts.withColumns({
+            f"n{level}": F.when(hit, F.col("best.slug")),
+            f"confidence_n{level}": F.when(hit, F.least(F.lit(1.0), F.col("best.hits") / 3)).otherwise(0.0)}).drop("best")
         if level == 1:
-            out = out.withColumn("n1", F.coalesce("n1", F.lit(fallback)))
-    return out.drop("_nodes")
+            texts = texts.withColumn("n1", F.coalesce("n1", F.lit(fallback)))
+        texts = checkpointed(texts)
+    return df.withColumn("_text", text).join(texts.withColumnRenamed("text", "_text"), "_text").drop("_text")
 
 
 def first_rule(title: Column | str, rules: Sequence[tuple], regex: bool = True) -> Column:

@@ -226,6 +226,20 @@ def test_keywords_from_a_large_taxonomy_table(spark):
     assert got == {1: ("n7", "n7.b", None), 2: ("uncategorized", None, None), 3: ("uncategorized", None, None)}
 
 
+def test_keyword_children_are_joined_and_never_gathered(spark, monkeypatch):
+    monkeypatch.setattr(classify, "CELL", 7, raising=False)
+    nodes = [("a", 1, None, ["red"], 0), ("b", 1, None, ["blue"], 1), ("hot", 2, "a", ["big"], 5), ("hot2", 2, "a", ["big"], 4)]
+    nodes += [(f"h{i}", 3, "hot2", [f"k{i}k", "big"], i) for i in range(100)] + [("none", 3, "hot2", None, -1)]
+    table = spark.createDataFrame(nodes, "slug string, level int, parent_slug string, keywords array<string>, position int")
+    titles = [f"Red BIG k{i}k" for i in range(100)] * 2 + ["blue big", None, "", "red"]
+    out = classify.classify_keywords(spark.createDataFrame(list(enumerate(titles)), "id long, title string"), table)
+    got = {r.id: (r.n1, r.n2, r.n3, round(r.confidence_n3, 3)) for r in out.collect()}
+    want = {i: ("a", "hot2", f"h{i % 100}", 0.667) for i in range(200)}
+    assert got == want | {200: ("b", None, None, 0.0), 201: ("uncategorized", None, None, 0.0), 202: ("uncategorized", None, None, 0.0), 203: ("a", None, None, 0.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and "mapfromentries" not in plan
+
+
 def test_pages_with_equal_metadata_stay_apart(spark):
     sold = '{"permalink":"https://x/MLB11111111","sold_quantity":%d}'
     pages = spark.createDataFrame([("m", sold % 5), ("m", sold % 9 + sold % 7)], "source string, html string")
