@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from souklens.llm import ann, decontam, langid, licenses, pieces, quality, secrets, simhash, suffixes, toxicity
+from souklens.llm import ann, decontam, langid, licenses, negatives, pieces, quality, ranked, secrets, shards, simhash, suffixes, toxicity
 from souklens.llm.common import fold, table
 
 
@@ -96,6 +96,52 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+# Items and documents as their terms; a weight comes from the document counts of a term.
+OP11_SQL = """
+with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+     i as (select distinct item, item_id, unnest(w) t from (select row_number() over () item, item_id, regexp_extract_all(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark)),
+     s as (select count(*) n, sum(len(w))::bigint l from d where len(w) > 0),
+     p as (select r, doc_id, t, count(*) tf, any_value(n) n from (select r, doc_id, len(w) n, unnest(w) t from d) where t in (select t from i) group by all),
+     wt as (select t, cast(floor(1000 * ln((2 * any_value(s.n) + 2)::double / (2 * count(*) + 1)::double)) as bigint) w from p, s group by t),
+     sc as (select item, item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * p.n * s.n) // s.l)))) as bigint) score
+            from p join i using (t) join wt using (t), s group by all)
+select item_id, cast(rank as int) rank, doc_id, score
+from (select *, row_number() over (partition by item order by score desc, doc_id nulls last) rank from sc where score > 0) where rank <= 10
+"""
+
+
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP13_SQL = """
+with v as (select vec_id id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end lab,
+                  [floor(256 * x::double) for x in embedding] q
+           from embeddings where label is not null and embedding is not null and vec_id is not null
+             and len([1 for x in embedding if x is null or not isfinite(x)]) = 0),
+     s as (select a.id a, b.id b, a.lab = b.lab same, cast(list_dot_product(a.q, b.q) as bigint) sc
+           from v a join v b on a.id <> b.id and len(a.q) = len(b.q) where a.id % 50 = 0),
+     p as (select a, b, sc from (select *, row_number() over (partition by a order by sc desc, b) r from s where same) where r <= 5),
+     n as (select p.a, p.b, s.b x, p.sc ps, s.sc ns, row_number() over (partition by p.a, p.b order by s.sc desc, s.b) r
+           from p join s on p.a = s.a and not s.same and 50 * p.sc <= 100 * s.sc and 100 * s.sc <= 95 * p.sc)
+select a anchor_id, b positive_id, cast(r as int) rank, x negative_id, ps positive_score, ns negative_score from n where r <= 3
+"""
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_sentencepiece": op2_sentencepiece,
@@ -107,8 +153,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
-    "op10_quality": op10_quality,
+    "op11_ranked": op11_ranked,
+    "op12_shards": op12_shards,
+    "op13_negatives": op13_negatives,
 }
 ORACLES: dict[str, str] = {
     "op7_decontam": OP7_SQL,
+    "op11_ranked": OP11_SQL,
+    "op13_negatives": OP13_SQL,
 }
