@@ -18,6 +18,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from souklens.functions.numbers import round_half_up
+from souklens.operators.hashes import close_hashes, useful
 
 TILE_ROWS = 512
 TILES_PER_SLOT = 16
@@ -231,8 +232,8 @@ def hamming_join(a: DataFrame, b: DataFrame, max_distance: int, *, ident: str =
     """Pairs whose bit arrays differ in at most ``max_distance`` of ``width`` places.
 
     Of max_distance + 1 bands one must be equal. Where such a band has ``least_band`` bits, rows meet on equal bands and the
-    packed codes are compared; shorter bands would let nearly all pairs meet, and then bits become +1/-1, for which distance =
-    width * (1 - cosine) / 2, and the exact tiled join serves.
+    packed codes are compared. Wider hashes, such as the 256 bits of an image, go through the multi-index of ``hashes``. Where chunks are so
+    short that nearly all pairs would meet, bits become +1/-1, for which distance = width * (1 - cosine) / 2, and the exact tiled join serves.
     """
     if width <= 64 and width // (max_distance + 1) >= least_band:
         size = width // (max_distance + 1)
@@ -248,6 +249,9 @@ def hamming_join(a: DataFrame, b: DataFrame, max_distance: int, *, ident: str =
         order = F.col("left_id") < F.col("right_id") if ordered else F.col("left_id") != F.col("right_id")
         pairs = met.where(order & (distance <= max_distance)).select("left_id", "right_id", distance.alias("distance")).distinct()
         distance = F.col("distance")
+    elif width > 64 and useful(width, max_distance):
+        pairs = close_hashes(a, b, max_distance, ident=ident, bits=bits, width=width, ordered=ordered)
+        distance = F.col("distance")
     else:
         def signed(df):
             return df.select(F.col(ident).alias("id"), F.transform(bits, lambda x: (2 * x - 1).cast("float")).alias("v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from souklens.functions import vectors as v
-from souklens.operators import clusters as cl, edges as e, similarity as s
+from souklens.operators import clusters as cl, edges as e, hashes as h, similarity as s
 from souklens.plans.registry import TEST_THRESHOLD as T, matches, query, sql_round as R
 
 COS = "round(list_cosine_similarity({a}.embedding::double[], {b}.embedding::double[]), 6)"
@@ -233,6 +233,45 @@ def _(c):
     return s.hamming_join(hashed(c), hashed(c), 20, ordered=True)
 
 
+# Images of 16 x 16 pixels: rows come in families of five that share the first one's vector, laid out four times with alternating sign, and
+# every row has a few pixels of its own turned over. In every third family the last two rows are equal copies.
+IMAGES = """base as (select e.vec_id as id, b.embedding as px, case when e.vec_id % 15 = 4 then e.vec_id - 1 else e.vec_id end as own
+    from embeddings e join embeddings b on b.vec_id = e.vec_id - e.vec_id % 5),
+grid256 as (select id, [px[k % 64 + 1] * (case when (k // 64) % 2 = 1 then -1 else 1 end) * (case when (k * 7 + own * 13) % 41 = 0 then -1 else 1 end) for k in range(256)] as pixels from base),
+med256 as (select id, pixels, list_sort(pixels)[129] as median from grid256),
+images as (select id, [case when x > median then 1 else 0 end for x in pixels] as bits from med256),
+apart as (select a.id as left_id, b.id as right_id, length(replace(array_to_string([a.bits[k] <> b.bits[k] for k in range(1, 257)], ''), 'false', '')) // 4 as distance
+    from images a join images b on a.id < b.id)"""
+
+
+def images(c):
+    e = c.table("embeddings")
+    own = F.when(F.col("vec_id") % 15 == 4, F.col("vec_id") - 1).otherwise(F.col("vec_id"))
+    rows = e.select(F.col("vec_id").alias("id"), own.alias("own"), (F.col("vec_id") - F.col("vec_id") % 5).alias("base"))
+    with_base = rows.join(e.select(F.col("vec_id").alias("base"), F.col("embedding").alias("px")), "base")
+
+    def pixel(k):
+        turned = lambda odd: F.when(odd, -1).otherwise(1)
+        return F.get("px", k % 64) * turned(F.floor(k / 64) % 2 == 1) * turned((k * 7 + F.col("own") * 13) % 41 == 0)
+
+    pixels = with_base.select("id", F.transform(F.sequence(F.lit(0), F.lit(255)), pixel).alias("pixels"))
+    return pixels.select("id", v.phash_bits("pixels").alias("bits"))
+
+
+@query("j21_hamming_join_256", f"""with {IMAGES}
+select left_id, right_id, cast(distance as int) as distance, {R("(1 - distance / 256.0::double) * 100", 1)} as similarity_percent from apart where distance <= 20""")
+def _(c):
+    return s.hamming_join(images(c), images(c), 20, width=256, ordered=True)
+
+
+@query("j21_hash_links", f"""with {IMAGES},
+named as (select id, min(id) over (partition by bits) as class, count(*) over (partition by bits) as copies from images)
+select left_id, right_id, cast(distance as int) as distance, {R("(1 - distance / 256.0::double) * 100", 1)} as similarity_percent, l.copies as left_copies, r.copies as right_copies
+from apart join named l on l.id = left_id and l.class = l.id join named r on r.id = right_id and r.class = r.id where distance between 1 and 20""")
+def _(c):
+    return h.hash_links(images(c), 20)
+
+
 @query("j21_region_similarity", f"""with {REGIONS}
 select a.id, {R("avg(1 - hamming(a.bits, b.bits) / 256.0::double)", 6)} as similarity
 from regions a join regions b on b.id = a.id + 1 and a.region = b.region group by a.id""")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from souklens.operators import classify, clusters, edges, extract, similarity
+from souklens.operators import classify, clusters, edges, extract, hashes, similarity
 from souklens.operators.history import newest, price_drops, product_velocity
 from souklens.operators.listing import unmatched_bestsellers
 from souklens.operators.merge import dedupe_by
@@ -210,6 +210,53 @@ def test_hamming_join_by_bands_and_by_tiles(spark, least):
     assert got == want and len(want) >= 20
 
 
+def _hashes(rng, n, width, most, structured):
+    """Random hashes, then near copies of them; ``structured`` fixes half of all bits, as blank borders do."""
+    codes = rng.integers(0, 2, (n, width))
+    if structured:
+        codes[:, : width // 2] = 1
+    codes[n // 2:] = codes[: n - n // 2]
+    for i in range(n // 2, n):
+        codes[i, rng.choice(width, i % (most + 4), replace=False)] ^= 1
+    return codes
+
+
+@pytest.mark.parametrize("width,most,structured,heavy", [(256, 20, False, 1 << 12), (256, 20, True, 3), (256, 3, False, 3), (100, 9, True, 5), (256, 35, False, 40)])
+def test_hash_links_of_any_width(spark, monkeypatch, width, most, structured, heavy):
+    monkeypatch.setattr(hashes, "HEAVY", heavy)
+    codes = _hashes(np.random.default_rng(width + most), 160, width, most, structured)
+    codes[::9] = codes[3]  # one common hash
+    bits = [[int(b) for b in c] for c in codes] + [None, [1, 0], bits_with_null(width)]
+    df = spark.createDataFrame(list(enumerate(bits)), "id long, bits array<int>")
+    apart = (codes[:, None] != codes[None, :]).sum(axis=2)
+    first = {c.tobytes(): i for i, c in reversed(list(enumerate(codes)))}
+    reps = sorted(first.values())
+    got = {(r.left_id, r.right_id): r.distance for r in hashes.hash_links(df.where("id < 160 or id = 161"), most, width=width).collect()}
+    assert got == {(i, j): int(apart[i, j]) for i in reps for j in reps if i < j and apart[i, j] <= most}
+    members = {r.id: r.class_id for r in hashes.hash_classes(df.where("id < 162"), width=width).collect()}
+    assert members == {i: first[c.tobytes()] for i, c in enumerate(codes)}
+    pairs = [(r.left_id, r.right_id, r.distance) for r in hashes.close_hashes(df.where("id < 100"), df.where("id between 40 and 159"), most, width=width).collect()]
+    assert sorted(pairs) == sorted((i, j, int(apart[i, j])) for i in range(100) for j in range(40, 160) if i != j and apart[i, j] <= most)
+    assert hashes.hash_links(df.where("false"), most, width=width).count() == 0
+
+
+def bits_with_null(width):
+    return [None] * (width + 1)
+
+
+def test_chunks_of_a_hash_follow_the_number_of_hashes():
+    assert hashes.radii(16, 20) == [1] * 5 + [0] * 11 and hashes.radii(16, 3) == [0] * 4 + [-1] * 12
+    assert hashes.probe_count(256, 16, 20) == sum(len(hashes.masks(16, r)) for r in hashes.radii(16, 20)) == 96
+    assert hashes.chunk_size(256, 20, 10_000) < hashes.chunk_size(256, 20, 10**9) == 32
+    assert hashes.useful(256, 20) and not hashes.useful(64, 20)
+
+
+def test_wide_hashes_never_meet_all_pairs(spark):
+    df = spark.createDataFrame([(i, [i >> k & 1 for k in range(8)] * 32) for i in range(50)], "id long, bits array<int>")
+    plan = similarity.hamming_join(df, df, 20, width=256, ordered=True)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_taxonomy_of_any_depth(spark):
     chain = [(f"s{i}", i, f"s{i - 1}" if i > 1 else None) for i in range(1, 8)] + [("lost", 2, "nowhere")]
     got = {r.slug: (r.path, r.root, r.depth) for r in classify.taxonomy_paths(spark.createDataFrame(chain, "slug string, level int, parent_slug string")).collect()}
