@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from souklens.functions import vectors as v
 from souklens.operators import clusters as cl, edges as e, hashes as h, similarity as s
+from souklens.operators.vector_index import VectorIndex
 from souklens.plans.registry import TEST_THRESHOLD as T, matches, query, sql_round as R
+from souklens.session import scratch_path
 
 COS = "round(list_cosine_similarity({a}.embedding::double[], {b}.embedding::double[]), 6)"
 SIM = COS.format(a="a", b="b")
@@ -52,6 +54,12 @@ def _(c):
     return s.knn(ready(c), ready(c), 8, block="category_l1")
 
 
+@query("j08_knn_index", KNN.format(ready=READY, sim=SIM, cond="a.id <> b.id", k=10))
+def _(c):
+    index = VectorIndex.build(ready(c), scratch_path(c.spark, "index"))
+    return index.search(ready(c), 10, probes=None)
+
+
 BLOCKED = """with {ready}, best as (
     select a.id as left_id, b.id as right_id, {sim} as similarity,
            row_number() over (partition by a.id order by {sim} desc, b.id) as rn
