@@ -1,9 +1,9 @@
 """Streaming forms of the time-bounded behaviours, on Structured Streaming.
 
-Files arrive in any order, so nothing here waits for a watermark. Every micro-batch is reduced by an associative rule and
-written to a folder of its own, named by the batch and overwritten when the batch is repeated; the answer combines the folders
-by the same rule. It is therefore the batch answer over all rows, whatever the number of micro-batches, and a restart
-neither loses nor doubles a row.
+Files arrive in any order, so the reductions here wait for no watermark. Every micro-batch is reduced by an associative rule into
+merged folders (``folders``), and the answer combines those by the same rule. It is therefore the batch answer over all rows, whatever
+the number of micro-batches, a restart neither loses nor doubles a row, and what is stored follows the distinct keys. Only
+the one-hour gap between accepted requests depends on the order of all before; it keeps state with timers (``gaps``).
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from souklens.operators.history import newest, product_velocity
 from souklens.operators.similarity import similarity_join
 from souklens.session import scratch_path
+from souklens.streaming.folders import reduced_stream
+from souklens.streaming.gaps import accepted_stream
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
@@ -38,38 +40,22 @@ def drain(stream: DataFrame, name: str = "stream") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def partials(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
-    """Drain a stream into one folder of reduced rows per micro-batch under ``path``, and read them all.
-
-    ``path`` also keeps the progress, so a later call goes on where the last one ended; a stream without rows gives none.
-    """
-    spark = stream.sparkSession
-    schema = reduce(spark.createDataFrame([], stream.schema)).schema
-
-    def take(batch: DataFrame, batch_id: int) -> None:
-        reduce(batch).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/rows/batch=-1")
-    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.option("basePath", f"{path}/rows").schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows").drop("batch")
-
-
 def dedup_requests(stream: DataFrame, keys: list[str], path: str, at: str = "ts", slot: str = "1 hour") -> DataFrame:
     """At most one request per key and clock slot, the earliest: (keys, slot, first)."""
     def reduce(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*keys, F.window(at, slot)["start"].alias("slot")).agg(F.min(at).alias("first"))
 
-    return partials(stream, reduce, path).groupBy(*keys, "slot").agg(F.min("first").alias("first"))
+    return reduced_stream(stream, reduce, lambda rows: rows.groupBy(*keys, "slot").agg(F.min("first").alias("first")), path)
 
 
-def accepted_requests(requests: DataFrame, keys: list[str], at: str = "ts", ident: str = "event_id", seconds: int = 3600) -> DataFrame:
-    """Requests whose key had no accepted request in the ``seconds`` before them: (keys, ident, at), in time order per key, equal times by ident.
+def accepted_requests(requests: DataFrame, keys: list[str], at: str = "ts", ident: str = "event_id", seconds: int = 3600, more: tuple[str, ...] = ()) -> DataFrame:
+    """Requests whose key had no accepted request in the ``seconds`` before them: (keys, ident, at) and the columns of ``more``, in time
+    order per key, equal times by ident.
 
     A key's rows are sorted inside its partition and scanned as they stream by, so a task holds one Arrow batch and one time, however
     large the key. Instants travel as microseconds, so the session's time zone has no say in the gap.
     """
-    rows = requests.select(F.to_json(F.struct(*keys)).alias("_key"), F.unix_micros(at).alias("_us"), *keys, ident, at)
+    rows = requests.select(F.to_json(F.struct(*keys)).alias("_key"), F.unix_micros(at).alias("_us"), *keys, ident, at, *more)
     ordered = rows.repartition("_key").sortWithinPartitions("_key", "_us", ident)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,26 +73,26 @@ def accepted_requests(requests: DataFrame, keys: list[str], at: str = "ts", iden
     return ordered.mapInArrow(scan, ordered.schema).drop("_key", "_us")
 
 
-def dedup_requests_exact(stream: DataFrame, keys: list[str], path: str, at: str = "ts", ident: str = "event_id", seconds: int = 3600) -> DataFrame:
-    """``accepted_requests`` of all that has arrived. A request that arrives late takes its place by time, and may so
-    displace later ones: the answer never depends on how the requests were batched."""
-    return accepted_requests(partials(stream, lambda rows: rows.select(*keys, ident, at).distinct(), path), keys, at, ident, seconds)
+def dedup_requests_exact(stream: DataFrame, keys: list[str], path: str, at: str = "ts", ident: str = "event_id", seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """``accepted_requests`` of all that has arrived, by state that is kept per key between runs; requests may come in any order within
+    ``late``, and those behind it are dropped."""
+    return accepted_stream(stream, keys, path, accepted_requests, at, ident, seconds, late)
 
 
 def snapshot_stream(stream: DataFrame, path: str, keys: tuple[str, ...] = ("offer_id", "scraped_at")) -> DataFrame:
     """Snapshot keys, each once, however often and in whatever order they are delivered."""
     once = lambda rows: rows.select(*keys).distinct()
-    return once(partials(stream, once, path))
+    return reduced_stream(stream, once, once, path)
 
 
 def velocity_stream(stream: DataFrame, path: str) -> DataFrame:
     """Velocity of every offer from its two newest snapshots. An instant counts once, with its highest sales; the two newest
     of a batch are all that it can add."""
-    def reduce(rows: DataFrame) -> DataFrame:
+    def two(rows: DataFrame) -> DataFrame:
         known = rows.where(F.col("sales_volume_estimate").isNotNull()).groupBy("offer_id", "scraped_at").agg(F.max(F.col("sales_volume_estimate").cast("long")).alias("sales_volume_estimate"))
         return newest(known, ["offer_id"], [F.desc_nulls_last("scraped_at")], 2).drop("rn")
 
-    return product_velocity(reduce(partials(stream, reduce, path)))
+    return product_velocity(reduced_stream(stream, two, two, path))
 
 
 def trend_stream(stream: DataFrame, path: str) -> DataFrame:
@@ -115,8 +101,11 @@ def trend_stream(stream: DataFrame, path: str) -> DataFrame:
         return rows.groupBy(F.date_format("scraped_at", "yyyy-MM-dd").alias("date"), "platform").agg(
             F.sum("price_brl").alias("total"), F.count("price_brl").alias("priced"), F.min("price_brl").alias("low"), F.max("price_brl").alias("high"), F.count(F.lit(1)).alias("n"))
 
-    return partials(stream, reduce, path).groupBy("date", "platform").agg(
-        F.try_divide(F.sum("total"), F.sum("priced")).alias("avg_price"), F.min("low").alias("min_price"), F.max("high").alias("max_price"), F.sum("n").alias("product_count"))
+    def combine(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("date", "platform").agg(*[F.sum(c).alias(c) for c in ("total", "priced")], F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+
+    return reduced_stream(stream, reduce, combine, path).select(
+        "date", "platform", F.try_divide("total", "priced").alias("avg_price"), F.col("low").alias("min_price"), F.col("high").alias("max_price"), F.col("n").alias("product_count"))
 
 
 def alert_stream(prices: DataFrame, alerts: DataFrame) -> DataFrame:

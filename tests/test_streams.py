@@ -1,14 +1,16 @@
 """Streams over several micro-batches against their batch twins, and file formats."""
 
 import json
+import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from souklens.operators.history import product_velocity
 from souklens.session import scratch_path, shared_dir
 from souklens.sources import files
 from souklens.streaming import streams as st
+from souklens.streaming.folders import MergedFolders, reduced_stream
 
 LINEITEM = "/root/testdata/sf0.001/lineitem.parquet"
 
@@ -66,10 +68,84 @@ def test_exact_dedup_measures_from_the_last_accepted_request(spark, files):
     spark.createDataFrame([(i, "q", m) for i, m in enumerate(minutes)], "event_id long, q string, m int").selectExpr(
         "event_id", "q", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m) as ts").repartition(8, F.rand(5)).write.parquet(path)
     stream = st.read_files(spark, path, "event_id long, q string, ts timestamp", files)
-    found = st.dedup_requests_exact(stream, ["q"], scratch_path(spark, "r"))
+    found = st.dedup_requests_exact(stream, ["q"], scratch_path(spark, "r"), late="3 hours")
     assert sorted(r.event_id for r in found.collect()) == [0, 3, 6]
 
 
+def _by_hand(requests, seconds):
+    """Accepted (key, id) of (id, key, time) rows."""
+    last, out = {}, []
+    for t, i, q in sorted((t, i, q) for i, q, t in requests if t is not None):
+        if q not in last or t - last[q] >= seconds:
+            last[q] = t
+            out.append((q, i))
+    return sorted(out, key=str)
+
+
+def test_exact_dedup_goes_on_after_a_restart_and_forgets_quiet_keys(spark):
+    rng = random.Random(11)
+    requests = [(i, rng.choice(["a", "b", None, f"k{i // 40}"]), 20 * i + rng.randint(0, 900)) for i in range(900)]
+    requests += [(900 + i, "hot", 20 * i) for i in range(900)] + [(5000, "a", None)]
+    path, out = scratch_path(spark, "requests"), scratch_path(spark, "r")
+    order = sorted(requests, key=lambda r: (r[2] or 0, r[0]))
+    order = [r for i in range(0, len(order), 150) for r in rng.sample(order[i:i + 150], len(order[i:i + 150]))]
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "event_id long, q string, s int").selectExpr(
+            "event_id", "q", "timestamp_seconds(1700000000 + s) as ts").coalesce(1).write.mode("append").parquet(path)
+
+    found = []
+    for a in range(0, len(order), 300):  # each a run of its own, which ends and starts again
+        for b in range(a, min(a + 300, len(order)), 100):
+            arrive(order[b:b + 100])
+        stream = st.read_files(spark, path, "event_id long, q string, ts timestamp", 1)
+        found = sorted(((r.q, r.event_id) for r in st.dedup_requests_exact(stream, ["q"], out, seconds=1800, late="1 hour").collect()), key=str)
+        assert found == _by_hand(order[:a + 300], 1800)
+    state = {n: spark.read.format("statestore").option("path", f"{out}/progress").option("stateVarName", n).load() for n in ("last", "waiting")}
+    assert state["last"].count() < 15 and state["waiting"].count() < 500  # of 26 keys and 1800 requests
+    newest = max(t for _, _, t in requests if t is not None)
+    assert state["waiting"].agg(F.min("list_element.us")).first()[0] > (1_700_000_000 + newest - 3700 - 3000) * 1_000_000
+
+
+def test_late_requests_are_dropped_and_empty_streams_give_none(spark):
+    path, out = scratch_path(spark, "requests"), scratch_path(spark, "r")
+    schema = "event_id long, q string, ts timestamp"
+    spark.createDataFrame([], schema).write.parquet(path)
+    assert st.dedup_requests_exact(st.read_files(spark, path, schema), ["q"], out).count() == 0
+    for i, s in enumerate([0, 50_000, 10, 50_010]):
+        spark.createDataFrame([(i, "q", s)], "event_id long, q string, s int").selectExpr("event_id", "q", "timestamp_seconds(1700000000 + s) as ts").coalesce(1).write.mode("append").parquet(path)
+        got = st.dedup_requests_exact(st.read_files(spark, path, schema, 1), ["q"], out, late="1 hour")
+    assert sorted(r.event_id for r in got.collect()) == [0, 1]
+
+
+def _counted(spark, n):
+    path = scratch_path(spark, "many")
+    for i in range(n):
+        spark.createDataFrame([(k, 1) for k in (i % 7, 3, 100 + i % 2)], "k long, n long").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_fifty_batches_leave_few_folders(spark):
+    path, out = _counted(spark, 50), scratch_path(spark, "merged")
+    total = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"))
+    got = dict(reduced_stream(st.read_files(spark, path, "k long, n long", 1), total, total, out, fan=4).collect())
+    want = dict(spark.read.parquet(path).groupBy("k").count().collect())
+    assert got == want
+    kept = MergedFolders(spark, out, None, None)
+    assert len(kept.folders()) <= 3 * 3 and len(kept._names("rows")) <= 3 * len(kept.folders()) + 8 and len(kept._names("current")) <= 4
+
+
+def test_a_repeated_batch_counts_once(spark):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType())])
+    total = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"))
+    merged = MergedFolders(spark, scratch_path(spark, "again"), schema, total, fan=2)
+    rows = lambda n: spark.createDataFrame([(1, n)], schema)
+    assert merged.read().count() == 0
+    for batch, n in ((0, 1), (1, 10), (1, 10), (2, 100), (3, 1000), (3, 1000), (3, 1000), (4, 10_000)):
+        merged.put(rows(n), batch)
+    assert merged.read().first()["n"] == 11_111
+
+
 @pytest.mark.parametrize("files", [1, 64])
 def test_first_request_of_every_hour(spark, files):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
