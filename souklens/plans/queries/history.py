@@ -11,17 +11,16 @@ from souklens.plans.registry import matches, query, sql_round as R
 
 VELOCITY = f"""
 ranked as (
-    select *, row_number() over (partition by offer_id order by scraped_at desc) as rn
-    from product_snapshots where sales_volume_estimate is not null),
+    select offer_id, sales_volume_estimate as current_sales, scraped_at as latest_scrape, row_number() over newest as rn,
+           lead(sales_volume_estimate) over newest as previous_sales, lead(scraped_at) over newest as previous_scrape
+    from product_snapshots where sales_volume_estimate is not null window newest as (partition by offer_id order by scraped_at desc)),
 velocity as (
-    select a.offer_id, a.sales_volume_estimate as current_sales, b.sales_volume_estimate as previous_sales,
-           a.scraped_at as latest_scrape, b.scraped_at as previous_scrape,
-           a.sales_volume_estimate - coalesce(b.sales_volume_estimate, 0) as sales_delta,
-           cast(date_sub('day', b.scraped_at, a.scraped_at) as int) as days_between,
-           case when b.sales_volume_estimate is not null and date_sub('day', b.scraped_at, a.scraped_at) > 0
-                then {R("(a.sales_volume_estimate - b.sales_volume_estimate) * 1.0::double / date_sub('day', b.scraped_at, a.scraped_at)", 1)}
+    select offer_id, current_sales, previous_sales, latest_scrape, previous_scrape, current_sales - coalesce(previous_sales, 0) as sales_delta,
+           cast(date_sub('day', previous_scrape, latest_scrape) as int) as days_between,
+           case when previous_sales is not null and date_sub('day', previous_scrape, latest_scrape) > 0
+                then {R("(current_sales - previous_sales) * 1.0::double / date_sub('day', previous_scrape, latest_scrape)", 1)}
            end as daily_velocity
-    from ranked a left join ranked b on b.offer_id = a.offer_id and b.rn = 2 where a.rn = 1)
+    from ranked where rn = 1)
 """
 
 

@@ -47,8 +47,9 @@ def _(c):
     return st.snapshot_stream(snapshots(c), scratch_path(c.spark, "snapshots")).withColumn("scraped_at", F.date_format("scraped_at", "yyyy-MM-dd"))
 
 
-@query("t03_velocity_stream", f"""with s as (select offer_id, t, q, row_number() over (partition by offer_id order by t desc) as rn from (select l_partkey as offer_id, l_shipdate as t, max(cast(l_quantity as bigint)) as q from lineitem group by 1, 2)),
-v as (select a.offer_id, a.q as current_sales, b.q as previous_sales, a.q - coalesce(b.q, 0) as sales_delta, cast(date_diff('day', b.t, a.t) as int) as days_between from s a left join s b on b.offer_id = a.offer_id and b.rn = 2 where a.rn = 1)
+@query("t03_velocity_stream", f"""with s as (select offer_id, t, q, row_number() over newest as rn, lead(t) over newest as pt, lead(q) over newest as pq
+    from (select l_partkey as offer_id, l_shipdate as t, max(cast(l_quantity as bigint)) as q from lineitem group by 1, 2) window newest as (partition by offer_id order by t desc)),
+v as (select offer_id, q as current_sales, pq as previous_sales, q - coalesce(pq, 0) as sales_delta, cast(date_diff('day', pt, t) as int) as days_between from s where rn = 1)
 select *, case when days_between > 0 then {R("(current_sales - previous_sales) / days_between::double", 1)} end as daily_velocity from v""")
 def _(c):
     return st.velocity_stream(snapshots(c), scratch_path(c.spark, "velocity")).drop("latest_scrape", "previous_scrape")
