@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+from functools import reduce
 
-from souklens.operators.similarity import similarity_join
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, Window as W, functions as F
+
+from souklens.operators.similarity import meet, packed_tiles, unit_rows, with_slots
 from souklens.session import checkpointed
 
 # Words a suggested cluster name leaves out (fixed values).
@@ -14,6 +19,63 @@ NAME_STOPWORDS = [
 ]
 
 
+def similar(left: np.ndarray, right: np.ndarray, threshold: float, digits: int = 6) -> np.ndarray:
+    """Which left rows reach the threshold with which right rows; the cosine is rounded first, as in the join."""
+    if not len(left) or not len(right):
+        return np.zeros((len(left), len(right)), bool)
+    return np.round(unit_rows(left) @ unit_rows(right).T, digits) >= threshold
+
+
+def _places(ids: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Where ``some`` of the distinct ``ids`` stand."""
+    order = np.argsort(ids, kind="stable")
+    return order[np.searchsorted(ids, some, sorter=order)]
+
+
+def _blockers(threshold: float):
+    """Task function: for every undecided left row of a tile pair, whether it lies near a new leader, and its smallest undecided smaller neighbour."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = {}
+                for s in ("l", "r"):
+                    ids = batch[f"{s}_ids"][i].values.to_numpy(zero_copy_only=False)
+                    live = batch[f"{s}_live"][i].values
+                    at = _places(ids, live.field("id").to_numpy(zero_copy_only=False))
+                    mat = np.frombuffer(batch[f"{s}_mat"][i].as_py(), dtype="<f4").reshape(len(ids), -1)
+                    leads = live.field("leads").to_numpy(zero_copy_only=False).astype(bool)
+                    sides[s] = ids, mat, at[~leads], at[leads]
+                (lid, left, rows, _), (rid, right, open_, leaders) = sides["l"], sides["r"]
+                if not len(rows):
+                    continue
+                near = similar(left[rows], right[leaders], threshold).any(axis=1)
+                open_ = open_[np.argsort(rid[open_], kind="stable")]
+                smaller = similar(left[rows], right[open_], threshold) & (rid[open_][None, :] < lid[rows][:, None])
+                hit = smaller.any(axis=1)
+                low = rid[open_][smaller.argmax(axis=1)] if len(open_) else lid[rows]
+                said = near | hit
+                yield pa.RecordBatch.from_arrays([pa.array(lid[rows][said]), pa.array(near[said]), pa.array(low[said], mask=~hit[said])], names=["id", "near", "low"])
+
+    return run
+
+
+def _smallest_leader(threshold: float):
+    """Task function: the smallest live right row near every left row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lid, rid = (batch[f"{s}_ids"][i].values.to_numpy(zero_copy_only=False) for s in ("l", "r"))
+                left, right = (np.frombuffer(batch[f"{s}_mat"][i].as_py(), dtype="<f4").reshape(n, -1) for s, n in (("l", len(lid)), ("r", len(rid))))
+                leaders = _places(rid, np.sort(batch["r_live"][i].values.field("id").to_numpy(zero_copy_only=False)))
+                near = similar(left, right[leaders], threshold)
+                hit = near.any(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(lid[hit]), pa.array(rid[leaders][near[hit].argmax(axis=1)])], names=["id", "leader_id"])
+
+    return run
+
+
 def leader_clusters(df: DataFrame, threshold: float = 0.70, *, ident: str = "id", vec: str = "embedding",
                     block: str | None = None) -> DataFrame:
     """(id, leader_id, size) for clusters of two or more.
@@ -21,29 +83,36 @@ def leader_clusters(df: DataFrame, threshold: float = 0.70, *, ident: str = "id"
     Scanning by id, an unassigned row leads a cluster and takes every later unassigned row at or above
     the threshold. The leaders are the lexicographically first maximal independent set of the
     similarity graph, found in rounds: a row with no smaller undecided neighbour leads, and whatever lies
-    near a new leader is settled. A round asks each row only for its smallest neighbour, so the pairs
-    inside a dense group are never written out; equal vectors are collapsed to their first row before. Rounds go on until
-    no row is undecided; each settles at least the smallest undecided row of every connected group.
+    near a leader is settled. Equal vectors are collapsed to their first row and packed into tiles, which are written once; beside them each
+    round carries the ids that are still undecided or have just become leaders, and only those rows meet. One pass of a round
+    asks both questions, a row's smallest undecided neighbour being enough for the first, so the pairs inside a dense group are
+    never written out. Rounds go on until no row is undecided; each settles at least the smallest undecided row of every connected group.
     """
     key = [block] if block else []
     usable = df.where(F.col(vec).isNotNull()).select(F.col(ident).alias("id"), F.col(vec).alias("vec"), *key)
-    same = usable.groupBy("vec", *key).agg(F.min("id").alias("id"))
-    rows = checkpointed(same)
-    near = dict(vec="vec", block=block, threshold=threshold, smallest=True)
-    undecided, leaders = rows, None
-    keep = lambda new: new if leaders is None else leaders.unionByName(new)
-    while not undecided.isEmpty():
-        later = similarity_join(undecided, undecided, **{**near, "smaller_right": True})
-        roots = checkpointed(undecided.join(later.select(F.col("left_id").alias("id")), "id", "left_anti"))
-        leaders = keep(roots)
-        rest = undecided.join(roots.select("id"), "id", "left_anti")
-        taken = similarity_join(rest, roots, **near).select(F.col("left_id").alias("id"))
-        undecided = checkpointed(rest.join(taken, "id", "left_anti"))
-    if leaders is None:
-        leaders = rows
-    followers = rows.join(leaders.select("id"), "id", "left_anti")
-    joined = similarity_join(followers, leaders, **near).select(F.col("left_id").alias("id"), F.col("right_id").alias("leader_id"))
-    heads = joined.unionByName(leaders.select("id", F.col("id").alias("leader_id")))
+    rows = checkpointed(usable.groupBy("vec", *key).agg(F.min("id").alias("id")))
+    kind = rows.schema["id"].dataType.simpleString()
+    tiles = checkpointed(with_slots(packed_tiles(rows, vec="vec", block=block).drop("grps")))
+    now = tiles.select("block", "tile", F.explode("ids").alias("id"), F.lit(False).alias("leads"), F.lit(None).cast(kind).alias("low"))
+    found: list[DataFrame] = []
+    left = 1
+    while left:
+        # A row whose smallest undecided neighbour has become a leader lies near it.
+        new = now.where("leads")
+        live = now.join(new.select(F.col("id").alias("low")), "low", "left_anti").groupBy("block", "tile").agg(F.collect_list(F.struct("id", "leads")).alias("live"))
+        alive = tiles.join(live, ["block", "tile"])
+        said = meet(alive, alive).drop("block", "tile").mapInArrow(_blockers(threshold), f"id {kind}, near boolean, low {kind}")
+        told = said.groupBy("id").agg(F.max("near").alias("near"), F.min("low").alias("low"))
+        undecided = live.select("block", "tile", F.explode("live").alias("r")).where("not r.leads").select("block", "tile", "r.id")
+        open_ = Observation()
+        judged = undecided.join(told, "id", "left").where(~F.coalesce("near", F.lit(False))).select("block", "tile", "id", F.col("low").isNull().alias("leads"), "low")
+        now = checkpointed(judged.observe(open_, F.count_if(~F.col("leads")).alias("n")))
+        left = open_.get["n"]
+        found.append(now.where("leads"))
+    leads = reduce(DataFrame.unionByName, found).groupBy("block", "tile").agg(F.collect_list(F.struct("id", "leads")).alias("live"))
+    near = meet(tiles, tiles.join(leads, ["block", "tile"])).drop("block", "tile").mapInArrow(
+        _smallest_leader(threshold), f"id {kind}, leader_id {kind}")
+    heads = near.groupBy("id").agg(F.min("leader_id").alias("leader_id"))
     reps = rows.withColumnRenamed("id", "rep").join(heads.withColumnRenamed("id", "rep"), "rep").drop("rep")
     members = usable.join(reps, ["vec", *key]).select("id", "leader_id")
     sizes = members.groupBy("leader_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= 2)

@@ -53,6 +53,51 @@ def _tiles(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return packed.select("block", "tile", "m.id", "m.grp", "m.vec").mapInArrow(_seal, schema)
 
 
+def packed_tiles(df: DataFrame, *, ident: str = "id", vec: str = "embedding", block: str | None = None, group: str | None = None) -> DataFrame:
+    """(block, tile, ids, grps, mat): the usable rows of ``df`` as tiles, to be written once and joined many times."""
+    rows = _vector_rows(df, ident, vec, block, group)
+    return _tiles(rows, _tile_counts(rows))
+
+
+def tile_counts(tiles: DataFrame) -> DataFrame:
+    """Tiles per block of a table of tiles."""
+    return tiles.groupBy("block").agg(F.count(F.lit(1)).cast("int").alias("parts"))
+
+
+def with_slots(tiles: DataFrame) -> DataFrame:
+    """Tiles that know the number of slots of their block, for joins of a table of tiles with itself."""
+    return tiles.join(tile_counts(tiles).select("block", F.ceil(F.col("parts") / TILES_PER_SLOT).cast("int").alias("slots")), "block")
+
+
+def meet(ltiles: DataFrame, rtiles: DataFrame, lcounts: DataFrame | None = None, rcounts: DataFrame | None = None) -> DataFrame:
+    """Every left tile beside every right tile of its block, their columns named l_ and r_; block and tile of the left one stay. Tiles of each
+    side are at a slot of their own and at every slot of the other side. Without counts both sides come from one table ``with_slots``."""
+    if lcounts is None:
+        ltiles, rtiles = (t.withColumns({"_ln": F.col("slots"), "_rn": F.col("slots")}).drop("slots") for t in (ltiles, rtiles))
+    else:
+        slots = lambda counts, name: counts.select("block", F.ceil(F.col("parts") / TILES_PER_SLOT).cast("int").alias(name))
+        grid = slots(lcounts, "_ln").join(slots(rcounts, "_rn"), "block")
+        ltiles, rtiles = ltiles.join(grid, "block"), rtiles.join(grid, "block")
+
+    def side(tiles: DataFrame, s: str, o: str) -> DataFrame:
+        own = F.pmod("tile", f"_{s}n").cast("int").alias(f"_{s}slot")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"_{o}n") - 1)).alias(f"_{o}slot")
+        kept = ["tile"] if s == "l" else []
+        return tiles.select("block", *kept, own, every, *[F.col(c).alias(f"{s}_{c}") for c in tiles.columns if c not in ("block", "tile", "_ln", "_rn")])
+
+    return side(ltiles, "l", "r").join(side(rtiles, "r", "l"), ["block", "_lslot", "_rslot"]).drop("_lslot", "_rslot")
+
+
+def join_tiles(ltiles: DataFrame, rtiles: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    """(left_id, right_id, similarity, rank): the ``k`` best right rows of every left row, of tables of tiles."""
+    out = T.StructType([T.StructField("left_id", ltiles.schema["ids"].dataType.elementType), T.StructField("right_id", rtiles.schema["ids"].dataType.elementType),
+                        T.StructField("similarity", T.DoubleType())])
+    met = meet(ltiles, rtiles, tile_counts(ltiles), tile_counts(rtiles)).drop("block", "tile")
+    pairs = met.mapInArrow(_score(threshold, k, False, False, False, True, False, 6), out)
+    best = W.partitionBy("left_id").orderBy(F.desc("similarity"), F.asc("right_id"))
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def _seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the nested vectors of a tile by one buffer, which later joins move as it is."""
     for batch in batches:
@@ -166,14 +211,7 @@ def similarity_join(
     rrows = _vector_rows(right, ident, vec, block, group)
     lcounts, rcounts = _tile_counts(lrows), _tile_counts(rrows)
 
-    def side(rows: DataFrame, own: DataFrame, other: DataFrame, s: str, mine: str, theirs: str) -> DataFrame:
-        """Tiles of one side, each at its own slot and at every slot of the other side."""
-        slots = other.select("block", F.ceil(F.col("parts") / TILES_PER_SLOT).cast("int").alias("_slots"))
-        placed = _tiles(rows, own).join(slots, "block")
-        return placed.select("block", F.floor(F.col("tile") / TILES_PER_SLOT).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias(theirs),
-                             *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "grps", "mat")])
-
-    meetings = side(lrows, lcounts, rcounts, "l", "lslot", "rslot").join(side(rrows, rcounts, lcounts, "r", "rslot", "lslot"), ["block", "lslot", "rslot"]).drop("block", "lslot", "rslot")
+    meetings = meet(_tiles(lrows, lcounts), _tiles(rrows, rcounts), lcounts, rcounts)
     out = T.StructType([
         T.StructField("left_id", lrows.schema["id"].dataType),
         T.StructField("right_id", rrows.schema["id"].dataType),
@@ -181,9 +219,10 @@ def similarity_join(
     ])
     if tiers:
         out = out.add("tier_rank", T.IntegerType())
-        found = meetings.mapInArrow(_score(threshold, k, smallest, smaller_right, False, skip_equal, ordered, digits, tiers[1]), out)
+        found = meetings.drop("block", "tile").mapInArrow(_score(threshold, k, smallest, smaller_right, False, skip_equal, ordered, digits, tiers[1]), out)
         first = W.partitionBy("left_id", "tier_rank").orderBy(F.desc("similarity"), F.asc("right_id"))
         return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") == 1).drop("rank")
+    meetings = meetings.drop("block", "tile")
     pairs = meetings.mapInArrow(_score(threshold, k, smallest, smaller_right, differ is not None, skip_equal, ordered, digits), out)
     if smallest:
         return pairs.groupBy("left_id").agg(F.min("right_id").alias("right_id"))

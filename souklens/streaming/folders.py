@@ -17,6 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 Reduce = Callable[[DataFrame], DataFrame]
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a Spark write to ``path`` has been completed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 class MergedFolders:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, combine: Reduce, fan: int = 8):
         """``combine`` takes reduced rows and gives reduced rows of the same ``schema``; it has to be associative and to leave its own

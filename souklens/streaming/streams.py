@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from souklens.operators.history import newest, product_velocity
-from souklens.operators.similarity import similarity_join
-from souklens.session import scratch_path
-from souklens.streaming.folders import reduced_stream
+from souklens.operators.similarity import join_tiles, packed_tiles
+from souklens.session import checkpointed, scratch_path
+from souklens.streaming.folders import is_written, reduced_stream
 from souklens.streaming.gaps import accepted_stream
 
 
@@ -121,31 +121,40 @@ def match_stream(new_products: DataFrame, base: DataFrame, path: str, *, thresho
     A micro-batch is matched to the catalogue, to all arrivals before it and to itself, and the earlier arrivals to it, so two
     arrivals meet whatever batch they come in; of all that was found an arrival's ``k`` best edges count, each pair once. A product with an
     edge in ``edges`` (product_a_id, created_at) of the last ``days`` before ``now`` needs no refresh and is not matched again.
+    The catalogue is packed into tiles once, on the first run, and a micro-batch packs only its own arrivals beside them. An id that
+    is already there keeps the vector it came with; one that comes twice in a batch has the smaller of its vectors.
     """
-    spark = base.sparkSession
-    arrived = new_products.select("id", "embedding").schema
+    spark, CATALOGUE = base.sparkSession, -1
     schema = "left_id long, right_id long, similarity double"
-    known = base.select("id", "embedding")
+    numbered = lambda tiles, batch_id: tiles.withColumn("tile", F.col("tile") + F.shiftleft(F.lit(batch_id + 1).cast("long"), 24))
+    tile_schema = numbered(packed_tiles(base.select("id", "embedding")), CATALOGUE).schema
+    stored = lambda name: spark.read.schema(T.StructType([*tile_schema, T.StructField("batch", T.LongType())])).option(
+        "basePath", f"{path}/{name}").parquet(f"{path}/{name}")
 
-    def before(batch_id: int) -> DataFrame:
-        return spark.read.schema(T.StructType([*arrived, T.StructField("batch", T.LongType())])).option("basePath", f"{path}/arrived").parquet(f"{path}/arrived").where(
-            (F.col("batch") < batch_id)).drop("batch")
+    def keep(rows: DataFrame, name: str, batch_id: int) -> DataFrame:
+        """Pack rows into tiles of their own number range, written beside those of other batches."""
+        numbered(packed_tiles(rows), batch_id).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        return spark.read.schema(tile_schema).parquet(f"{path}/{name}/batch={batch_id}")
 
     def take(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.select("id", "embedding")
         if edges is not None:
             recent = edges.where(F.col("created_at") > F.date_sub(now, days)).select(F.col("product_a_id").alias("id")).distinct()
             fresh = fresh.join(recent, "id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/arrived/batch={batch_id}")
-        fresh = spark.read.schema(arrived).parquet(f"{path}/arrived/batch={batch_id}")
-        earlier = before(batch_id)
-        pool = known.unionByName(earlier).unionByName(fresh).dropDuplicates(["id"])
-        found = similarity_join(fresh, pool, k=k).unionByName(similarity_join(earlier, fresh, k=k)).where(F.col("similarity") > threshold)
+        fresh = checkpointed(fresh.where(F.col("embedding").isNotNull()).groupBy("id").agg(F.min("embedding").alias("embedding")))
+        before = stored("tiles").where(F.col("batch") < batch_id)
+        known = before.select(F.explode("ids").alias("id"))
+        new = keep(fresh.join(known, "id", "left_anti"), "tiles", batch_id)
+        arrivals = keep(fresh, "arrived", batch_id)
+        earlier = stored("arrived").where(F.col("batch") < batch_id).drop("batch")
+        found = join_tiles(arrivals, before.drop("batch").unionByName(new), k).unionByName(join_tiles(earlier, new, k)).where(F.col("similarity") > threshold)
         found.select("left_id", "right_id", "similarity").write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
 
     def run() -> DataFrame:
-        spark.createDataFrame([], arrived).write.mode("overwrite").parquet(f"{path}/arrived/batch=-1")
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/edges/batch=-1")
+        keep(base.limit(0), "arrived", CATALOGUE)
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/edges/batch={CATALOGUE}")
+        if not is_written(spark, f"{path}/tiles/batch={CATALOGUE}"):
+            keep(base.select("id", "embedding"), "tiles", CATALOGUE)
         query = new_products.writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
         query.awaitTermination()
         found = spark.read.schema(f"{schema}, batch long").option("basePath", f"{path}/edges").parquet(f"{path}/edges")

@@ -166,6 +166,21 @@ def test_match_stream_does_not_depend_on_batches(spark):
     assert one.where("product_b_id >= 100").count() > 0 and one.groupBy("product_a_id").count().where("count > 3").count() == 0
 
 
+def test_match_stream_packs_only_what_arrives(spark):
+    base = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(40)], "id long, embedding array<float>")
+    path, out = scratch_path(spark, "arriving"), scratch_path(spark, "found")
+    written = {}
+    for n, first in enumerate((100, 200, 35)):  # the last batch brings products that are there already
+        spark.createDataFrame([(first + i, [1.0, i + 0.25, 0.4]) for i in range(5)], base.schema).coalesce(1).write.mode("append").parquet(path)
+        found = st.match_stream(st.read_files(spark, path, base.schema, 1), base, out, threshold=0.5, k=3)()
+        assert found.select("product_a_id").distinct().count() == 5 * (n + 1)
+        tiles = spark.read.option("basePath", f"{out}/tiles").parquet(f"{out}/tiles").withColumn("file", F.input_file_name())
+        now = {(r.file, r.batch): r.n for r in tiles.groupBy("file", "batch").agg(F.sum(F.size("ids")).alias("n")).collect()}
+        assert {k: v for k, v in now.items() if k in written} == written  # earlier tiles are left as they are
+        written = now
+    assert {b: sum(v for (_, x), v in written.items() if x == b) for _, b in written} == {-1: 40, 0: 5, 1: 5}
+
+
 def test_match_stream_leaves_out_fresh_edges(spark):
     base = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "id long, embedding array<float>")
     path = scratch_path(spark, "arriving")
