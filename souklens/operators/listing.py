@@ -217,23 +217,40 @@ def _prefix(c: Column) -> Column:
     return F.substring(F.lower(c), 1, 20)
 
 
+GRAM = 5  # characters by which needles and texts meet
+
+
+def _grams(texts: DataFrame, text: str) -> DataFrame:
+    """(text, gram): the GRAM characters from every place of a text on, fewer at its end; one row per character at most."""
+    starts = F.sequence(F.lit(1), F.length(text))
+    return texts.where(F.length(text) > 0).select(text, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, GRAM)))).alias("gram"))
+
+
 def _contained(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """Distinct (text, needle) hits where a needle of at most 20 characters occurs in a text, by equality of substrings.
+    """Distinct (text, needle) hits where a needle occurs in a text.
 
-    Only substring lengths that some needle has (20 at most) are cut out of the texts; the lengths are one row of a
-    bounded array. Both sides are distinct, and callers keep only one side, so nothing multiplies.
+    They meet on one gram: of a needle's the one that the fewest texts hold, so a common beginning joins nothing; the whole needle is
+    then looked for. A needle shorter than a gram meets all grams that begin with it, which are found among the distinct
+    grams and not in the texts. The empty needle occurs in every text. Both sides are distinct.
     """
-    lengths = needles.agg(F.collect_set(F.length(needle)).alias("_lens")).withColumn("_one", F.lit(1))
-    sized = texts.withColumn("_one", F.lit(1)).join(F.broadcast(lengths), "_one").drop("_one")  # one row
-    cut = sized.select(text, F.explode("_lens").alias("_len")).where(F.col("_len") <= F.length(text))
-    starts = F.sequence(F.lit(1), F.length(text) - F.col("_len") + 1)
-    return cut.select(text, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.col("_len"))))).alias(needle))
+    grams = checkpointed(_grams(texts, text))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.length(needle) - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col(needle), i, GRAM))
+    # A gram that no text holds rules its needle out, so it counts as the rarest.
+    long = needles.where(F.length(needle) >= GRAM).select(needle, F.explode(F.array_distinct(whole)).alias("gram")).join(counts, "gram", "left").groupBy(needle).agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("gram"))
+    short = needles.where(F.length(needle).between(1, GRAM - 1))
+    heads = counts.select("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda n: F.substring(F.col("gram"), F.lit(1), n)))).alias(needle))
+    keys = long.select(needle, "gram").unionByName(heads.join(short, needle).select(needle, "gram"))
+    hits = grams.join(keys, "gram").where(F.contains(text, needle)).select(text, needle)
+    empty = needles.where(F.length(needle) == 0)
+    return hits.unionByName(texts.withColumn(needle, F.lit("")).join(empty, needle, "left_semi").select(text, needle)).distinct()
 
 
 def unmatched_bestsellers(bestsellers: DataFrame, catalogues: Sequence[DataFrame], n: int = 50) -> DataFrame:
     """Bestsellers no catalogue title matches: neither title holds the other's first 20 characters, any case.
 
-    Titles are taken literally. Containment becomes an equi semi join on substrings in both directions.
+    Titles are taken literally. Containment becomes an equi join on the rarest gram in both directions.
     """
     all_titles = reduce(lambda a, b: a.union(b), [c.select("title") for c in catalogues]).where(F.col("title").isNotNull())
     theirs = all_titles.select(F.lower("title").alias("t"), _prefix(F.col("title")).alias("p")).distinct()
@@ -292,6 +309,33 @@ def _title_vectors(titles: DataFrame, weights: DataFrame, threshold: float) -> D
     return tailed.select("tid", "token", "w", rest.alias("rest"), (F.sqrt("square") >= threshold - 1e-9).alias("in_prefix"))
 
 
+HOT = 1 << 10  # titles of a side that have a token in their prefix, from which on it is split
+W_CELLS, REST_CELLS = 32, 8
+
+
+def _meetings(a: DataFrame, b: DataFrame, threshold: float, pairs: bool = True) -> DataFrame:
+    """(a_tid, b_tid) that share a prefix token at which they may still reach the threshold; the sides are (token, tid, w, rest).
+
+    At the first token that two titles share, all else they have in common lies in what follows it, so a pair that reaches the
+    threshold has a_w * b_w + a_rest * b_rest at or above it there; at later tokens it may or not. A hot token is split over a grid
+    of its weight and the rest: a title of the right side is in one cell, one of the left side asks only for the cells in which that sum
+    can be reached. So titles that merely share a common word do not meet, and the word is many keys.
+    """
+    hot = checkpointed(b.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("token", F.lit(True).alias("_hot")))
+    least = threshold - 1e-6
+    cell = lambda x, n: F.least(F.floor(F.col(x) * n), F.lit(n - 1)).cast("int")
+    high_w, high_rest = (lambda c: (F.floor(c / REST_CELLS) + 1) / W_CELLS), (lambda c: (c % REST_CELLS + 1) / REST_CELLS)
+    asked = F.filter(F.sequence(F.lit(0), F.lit(W_CELLS * REST_CELLS - 1)), lambda c: F.col("w") * high_w(c) + F.col("rest") * high_rest(c) >= least)
+    one = F.array(F.lit(-1))
+    left = a.join(hot, "token", "left").select("token", F.explode(F.when(F.col("_hot"), asked).otherwise(one)).alias("cell"),
+                                               F.col("tid").alias("a_tid"), F.col("w").alias("a_w"), F.col("rest").alias("a_rest"))
+    right = b.join(hot, "token", "left").select("token", F.when(F.col("_hot"), cell("w", W_CELLS) * REST_CELLS + cell("rest", REST_CELLS)).otherwise(F.lit(-1)).alias("cell"),
+                                                F.col("tid").alias("b_tid"), F.col("w").alias("b_w"), F.col("rest").alias("b_rest"))
+    met = left.join(right, ["token", "cell"])
+    bound = F.col("a_w") * F.col("b_w") + F.col("a_rest") * F.col("b_rest")
+    return met.where(bound >= least) if pairs else met
+
+
 def title_match(ml: DataFrame, china: DataFrame, *, threshold: float = 0.6, weights: tuple[float, float] = (0.5, 0.5), rate: float = 0.80,
                 k: int = 1) -> DataFrame:
     """The ``k`` best Chinese products by title for each Mercado Livre item (id, title, price on both sides).
@@ -311,14 +355,8 @@ def title_match(ml: DataFrame, china: DataFrame, *, threshold: float = 0.6, weig
     rows = checkpointed(_title_vectors(both, table, threshold))
     has = lambda s: both.where(F.col("sides").bitwiseAND(s) > 0)
 
-    def met_by(s: int, name: str) -> DataFrame:
-        own = rows.where("in_prefix").join(has(s).select("tid"), "tid", "left_semi")
-        return own.select("token", F.col("tid").alias(f"{name}_tid"), F.col("w").alias(f"{name}_w"), F.col("rest").alias(f"{name}_rest"))
-
-    # At the first token that two titles share, all else they have in common lies in what follows it, so a pair that
-    # reaches the threshold passes this bound there; at later tokens it may pass or not.
-    bound = F.col("a_w") * F.col("b_w") + F.col("a_rest") * F.col("b_rest")
-    near = met_by(1, "a").join(met_by(2, "b"), "token").where(bound >= threshold - 1e-6).select("a_tid", "b_tid").distinct()
+    met_by = lambda s: rows.where("in_prefix").join(has(s).select("tid"), "tid", "left_semi").select("token", "tid", "w", "rest")
+    near = _meetings(met_by(1), met_by(2), threshold).select("a_tid", "b_tid").distinct()
     vectors = rows.groupBy("tid").agg(F.collect_list(F.struct("token", "w")).alias("v")).join(both.select("tid", "title"), "tid")
     fetched = lambda name: vectors.select(F.col("tid").alias(f"{name}_tid"), F.col("title").alias(f"{name}_title"), F.map_from_entries("v").alias(f"{name}_m"))
     dot = F.aggregate(F.map_entries("a_m"), F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at("b_m", x["key"]), F.lit(0.0)))

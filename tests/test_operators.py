@@ -4,9 +4,9 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from souklens.operators import classify, clusters, edges, extract, hashes, similarity
+from souklens.operators import classify, clusters, edges, extract, hashes, listing, merge, similarity
 from souklens.operators.history import newest, price_drops, product_velocity
 from souklens.operators.listing import unmatched_bestsellers
 from souklens.operators.merge import dedupe_by
@@ -257,6 +257,46 @@ def test_wide_hashes_never_meet_all_pairs(spark):
     assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_containment_meets_on_rare_grams(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abC é") for _ in range(rng.randint(0, 9)))
+    texts = ["common start " + word() + word() for _ in range(150)] + [word() for _ in range(80)] + ["", "a"]
+    needles = sorted({("common start " + word())[:20] for _ in range(40)} | {word()[:20] for _ in range(60)} | {"", "a", "zzzzzz", "common"})
+    t, n = (spark.createDataFrame([(x,) for x in sorted(set(v))], f"{c} string") for c, v in (("t", texts), ("p", needles)))
+    got = sorted(tuple(r) for r in listing._contained(t, "t", n, "p").collect())
+    assert got == sorted((x, y) for x in set(texts) for y in needles if y in x)
+    assert listing._grams(t, "t").count() <= sum(map(len, set(texts)))
+
+
+def test_a_word_in_most_titles_makes_no_pairs_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(listing, "HOT", 50)
+    title = lambda side, i, n: " ".join(["promo"] * n) + f" {side}{i}"
+    rows = lambda side: [(i, title(side, i, 12 if i < 30 else 7 if i < 2700 else 1) if i < 2700 else f"{side}own{i} {side}words", 10.0) for i in range(3000)]
+    ml, china = (spark.createDataFrame(rows(s), "id long, title string, price double") for s in "mc")
+    met = []
+    real = listing._meetings
+    monkeypatch.setattr(listing, "_meetings", lambda a, b, t: (met.append(real(a, b, t, pairs=False).count()), real(a, b, t))[1])
+    found = listing.title_match(ml, china, threshold=0.6, k=3).collect()
+    results = 30 * 30  # titles of twelve are alike; of seven they are not, though nine in ten titles hold the word
+    assert {r.ml_id for r in found} == set(range(30)) and {r["rank"] for r in found} == {1, 2, 3}
+    assert results <= met[0] < 200 * results  # 7.3 million share the word
+
+
+def test_a_supplier_with_a_third_of_all_rows_is_never_one_row(spark):
+    rows = [(f"r{i:05d}", i % 400 if i % 3 else i, f"t{i}", " Big Co " if i % 3 == 0 else f"s{i % 7}", "L") for i in range(3000)]
+    lp = spark.createDataFrame(rows, "row_id string, offer_id long, title string, supplier_name string, category_label string")
+    ranked = spark.createDataFrame([(1, "BIG CO", "r", 1, "L"), (2, "nobody", "r", 2, "M")], "supplier_key long, supplier_name string, region string, rank_position int, category_label string")
+    products = merge.supplier_products(lp)
+    assert not any(isinstance(f.dataType, T.ArrayType) for f in products.schema)
+    got = {(r.key, r.offer_id): r.title for r in products.collect()}
+    want = {}
+    for row, offer, t, name, _ in rows:
+        want.setdefault((name.strip().lower(), offer), t)
+    assert got == want
+    sizes = {r.key: r.product_count for r in merge.supplier_profiles(ranked, lp).collect()}
+    assert sizes == {"nobody": 0, **{k: sum(1 for x, _ in want if x == k) for k in {x for x, _ in want}}}
+
+
 def test_taxonomy_of_any_depth(spark):
     chain = [(f"s{i}", i, f"s{i - 1}" if i > 1 else None) for i in range(1, 8)] + [("lost", 2, "nowhere")]
     got = {r.slug: (r.path, r.root, r.depth) for r in classify.taxonomy_paths(spark.createDataFrame(chain, "slug string, level int, parent_slug string")).collect()}
