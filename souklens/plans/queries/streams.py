@@ -9,6 +9,7 @@ from souklens.plans import composite
 from souklens.plans.queries import categories as cat, reports as rep, similarity as sim
 from souklens.plans.registry import TEST_THRESHOLD as T, query, sql_round as R
 from souklens.session import scratch_path
+from souklens.sources.edge_store import EdgeStore
 from souklens.streaming import streams as st
 
 
@@ -89,6 +90,20 @@ def _(c):
     return composite.nightly_catalogue(c.view("products"), rep.mappings(c), F.lit("2024-06-01"), threshold=T)["summary"]
 
 
+@query("c07_match_nights", f"""{sim.TIERED_PICKED}, final as (select * from picked where pick = 1)
+select category_l1, product_a_id, product_b_id, confidence from (select p.category_l1, left_id as product_a_id, right_id as product_b_id,
+    case when tier = 'medium' then greatest(0, round(similarity - 0.03, 6)) else similarity end as confidence, similarity from final join products p on p.id = left_id)
+where category_l1 in (select category_l1 from products where is_active and embedding is not null and platform = 'ml') and category_l1 <> 'L3'""")
+def _(c):
+    store = EdgeStore(c.spark, scratch_path(c.spark, "edges"))
+    p = c.view("products")
+    composite.match_night(p, store, 1, threshold=0.9)  # all are replaced by the second night, and that one is repeated
+    for _ in range(2):
+        composite.match_night(p, store, 2, threshold=T)
+    composite.match_night(p, store, 3, threshold=2.0, only=["L3"])  # no edge is left in this one
+    return store.read().select("category_l1", "product_a_id", "product_b_id", "confidence")
+
+
 @query("c08_nightly_edges", f"""with {sim.REFRESHED}, {rep.OPPORTUNITY}, {cat.TAX}, {cat.CARRIED}, {cat.COUNTED}
 select (select count(*) from refreshed) as edges, (select count(*) from refreshed where created_at = '2024-03-10') as refreshed, (select count(*) from opportunity where sc >= -300) as opportunities,
     count(*) as slugs, sum(product_count)::bigint as placements from counted""")

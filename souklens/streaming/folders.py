@@ -3,13 +3,14 @@
 A micro-batch is reduced and written to a folder of its own. As soon as ``fan`` folders of a level are there they are merged by
 the same associative rule into one of the next level, so there are under ``fan`` of each level and the levels grow like the logarithm of
 the batches: what is stored, and what an answer reads, follows the distinct keys and not the number of batches. Which folders count is
-said by one small file per batch, put in place by a rename. A batch that is repeated after a failure starts from the file before it,
-writes the same folders and replaces its own file. Folders that neither of the last two files names are deleted.
+said by one small file per batch, put in place by a rename. A batch that is repeated after a failure starts from the file before it
+and replaces its own file. Folders that neither of the last two files names are deleted.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -59,10 +60,11 @@ class MergedFolders:
         stream = fs.create(draft, True)
         stream.write(bytearray(json.dumps(folders).encode()))
         stream.close()
-        final = self._fs(f"current/{batch}.json")[1]
-        fs.delete(final, False)  # a repeated batch; until the rename the file before it counts
-        if not fs.rename(draft, final):
-            raise OSError(f"could not put {final} in place")
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+        rename = getattr(hadoop, "Options$Rename")
+        over = gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE  # in one step, also where the batch is repeated
+        hadoop.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, self._fs(f"current/{batch}.json")[1], over)
 
     # -- rows
 
@@ -80,20 +82,24 @@ class MergedFolders:
 
     def put(self, reduced: DataFrame, batch: int) -> None:
         """Take the reduced rows of a micro-batch."""
-        before = [b for b in self._batches() if b < batch]
+        batches = self._batches()
+        if batches and batch < batches[-1]:
+            raise ValueError(f"batch {batches[-1]} has been taken already")
+        before = [b for b in batches if b < batch]
         folders = self._named(before[-1]) if before else []
-        in_use = {f for b in before[-2:] for f, _ in self._named(b)}
+        in_use = {f for b in batches[-2:] + before[-1:] for f, _ in self._named(b)}
         for name in self._names("rows"):
             if name not in in_use:
                 self._delete(f"rows/{name}")
         for b in before[:-2]:
             self._delete(f"current/{b}.json")
-        reduced.write.mode("overwrite").parquet(f"{self.path}/rows/{batch}-0")
-        folders = [*folders, (f"{batch}-0", 0)]
-        level = 0
+        new = lambda level: (f"{batch}-{level}-{uuid.uuid4().hex[:8]}", level)  # a repeated batch leaves the folders of the first alone
+        fresh, level = new(0), 0
+        reduced.write.parquet(f"{self.path}/rows/{fresh[0]}")
+        folders = [*folders, fresh]
         while len(same := [x for x in folders if x[1] == level]) >= self.fan:
-            merged = (f"{batch}-{level + 1}", level + 1)
-            self.read(same).write.mode("overwrite").parquet(f"{self.path}/rows/{merged[0]}")
+            merged = new(level + 1)
+            self.read(same).write.parquet(f"{self.path}/rows/{merged[0]}")
             folders = [x for x in folders if x[1] != level] + [merged]
             level += 1
         self._name(batch, folders)
