@@ -10,7 +10,8 @@ import corpus_pipeline
 from souklens.llm import toxicity
 from souklens.llm.queries import ORACLES, QUERIES
 from tests.compare import connect, difference
-from tests.llm.test_ops import base_secrets, contaminated, fingerprint, invented, linked
+from tests.llm.test_near_copies import near_roots
+from tests.llm.test_ops import base_secrets, contaminated, invented
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -44,8 +45,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, corpus):
     scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train_model(docs, spark.read.parquet(f"{d}/labels.parquet"))).collect()}
     kept = [i for i in range(len(texts)) if scores[i] < 0.5]
     assert all((scores[i] >= 0.5) == (i % 5 == 0) for i in range(120))
-    root = linked(kept, [fingerprint(texts[i]) for i in kept])
-    kept = [i for i in kept if root[i] == i]
+    kept = [i for i, r in zip(kept, near_roots([texts[i] for i in kept])) if kept[r] == i]
     kept = [i for i, c in zip(kept, contaminated([texts[i] for i in kept], items)) if not c[1]]
     want = {}
     for i in kept:
