@@ -10,52 +10,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from souklens.functions import fixed
 from souklens.functions.numbers import col
 from souklens.functions.text import pattern
+from souklens.operators.listing import contained
 from souklens.session import checkpointed
 
-def _best(title: Column, nodes: Column) -> Column:
-    """struct(hits, ord, slug) of the node with most keywords in the title, the first of them on a tie."""
-    return F.array_max(F.transform(nodes, lambda n: F.struct(
-        F.size(F.filter(n["keywords"], lambda k: F.contains(title, k))).alias("hits"), (-n["position"]).alias("ord"), n["slug"].alias("slug"))))
-
-
-CELL = 4096  # nodes and titles of one parent that meet in one cell of a level, about
-
-
-def _best_children(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(text, best) for every (text, parent) that some node of that parent hits. A parent's nodes and texts are dealt to a grid of cells,
-    so that neither many nodes nor many texts of one parent meet in one task; the best of a text is kept by partial aggregation."""
-    count = lambda df, name: df.groupBy("parent").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
-    cells = checkpointed(count(nodes, "_rows").join(count(texts, "_cols"), "parent"))
-    spread = lambda df, own, other, key: df.join(cells, "parent").withColumns({
-        own[1:]: F.pmod(F.xxhash64(key), F.col(own)).cast("int"), other[1:]: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}).drop("_rows", "_cols")
-    met = spread(texts, "_cols", "_rows", "text").join(spread(nodes, "_rows", "_cols", "slug"), ["parent", "rows", "cols"])
-    hits = F.size(F.filter("keywords", lambda k: F.contains("text", k))).alias("hits")
-    return met.select("text", F.struct(hits, (-F.col("position")).alias("ord"), "slug").alias("best")).where("best.hits > 0").groupBy("text").agg(F.max("best").alias("best"))
-
 
 def classify_keywords(df: DataFrame, taxonomy: DataFrame, title: str = "title", fallback: str = "uncategorized") -> DataFrame:
     """Keyword cascade N1 -> N2 -> N3: each level looks only among the children of the level above.
 
-    ``taxonomy`` is a table (slug, level, parent_slug, keywords, position): lower-case keywords, and the order that decides ties. Only the
-    first level, which every title meets, is packed into one row; the others are joined to the distinct titles by parent.
+    ``taxonomy`` is a table (slug, level, parent_slug, keywords, position): lower-case keywords, and the order that decides ties; it may
+    be of any size. The keywords that occur in the distinct titles are found by one join on the rarest part of each; a level is then a
+    join of those with the nodes of the parent that was chosen, and the best node of a title is kept by partial aggregation.
     """
-    nodes = taxonomy.select("slug", "level", F.col("parent_slug").alias("parent"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "position")
-    tops = nodes.where("level = 1").agg(F.collect_list(F.struct("slug", "keywords", "position")).alias("_nodes"))
+    nodes = taxonomy.select("slug", "level", F.col("parent_slug").alias("parent"), "position", F.explode("keywords").alias("keyword")).where(F.col("keyword").isNotNull())
+    # A keyword that a node has twice counts twice.
+    nodes = nodes.groupBy("slug", "level", "parent", "position", "keyword").agg(F.count("*").alias("times"))
     text = F.lower(F.coalesce(col(title), F.lit("")))
-    texts = df.select(text.alias("text")).distinct().join(F.broadcast(tops))  # one row of first-level nodes
-    texts = texts.select("text", _best(F.col("text"), F.col("_nodes")).alias("best"))
+    texts = df.select(text.alias("text")).distinct()
+    occur = checkpointed(contained(texts, "text", nodes.select("keyword").distinct(), "keyword"))
+    found = texts
+    kept: list[str] = []
     for level in (1, 2, 3):
-        if level > 1:
-            parents = texts.select("text", F.col(f"n{level - 1}").alias("parent")).where("parent is not null")
-            texts = texts.join(_best_children(parents, nodes.where((F.col("level") == level) & F.col("parent").isNotNull()).drop("level")), "text", "left")
-        hit = F.coalesce(F.col("best.hits") > 0, F.lit(False))
-        texts = texts.withColumns({
-            f"n{level}": F.when(hit, F.col("best.slug")),
-            f"confidence_n{level}": F.when(hit, F.least(F.lit(1.0), F.col("best.hits") / 3)).otherwise(0.0)}).drop("best")
-        if level == 1:
-            texts = texts.withColumn("n1", F.coalesce("n1", F.lit(fallback)))
-        texts = checkpointed(texts)
-    return df.withColumn("_text", text).join(texts.withColumnRenamed("text", "_text"), "_text").drop("_text")
+        own = nodes.where(F.col("level") == level).select("keyword", "slug", "position", "times", *([F.col("parent").alias(f"n{level - 1}")] if level > 1 else []))
+        met = found.join(occur, "text", "left").join(own, ["keyword", *([f"n{level - 1}"] if level > 1 else [])], "left")
+        hits = met.groupBy("text", *kept, "slug", "position").agg(F.sum("times").alias("hits"))
+        best = F.max(F.when(F.col("hits") > 0, F.struct("hits", (-F.col("position")).alias("ord"), "slug"))).alias("best")
+        found = hits.groupBy("text", *kept).agg(best)
+        kept += [f"n{level}", f"confidence_n{level}"]
+        name = F.coalesce("best.slug", F.lit(fallback)) if level == 1 else F.col("best.slug")
+        found = found.withColumns({f"n{level}": name, f"confidence_n{level}": F.least(F.lit(1.0), F.coalesce("best.hits", F.lit(0)) / 3)}).drop("best")
+    return df.withColumn("_text", text).join(found.withColumnRenamed("text", "_text"), "_text").drop("_text")
 
 
 def first_rule(title: Column | str, rules: Sequence[tuple], regex: bool = True) -> Column:

@@ -226,7 +226,7 @@ def _grams(texts: DataFrame, text: str) -> DataFrame:
     return texts.where(F.length(text) > 0).select(text, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, GRAM)))).alias("gram"))
 
 
-def _contained(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+def contained(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """Distinct (text, needle) hits where a needle occurs in a text.
 
     They meet on one gram: of a needle's the one that the fewest texts hold, so a common beginning joins nothing; the whole needle is
@@ -256,10 +256,10 @@ def unmatched_bestsellers(bestsellers: DataFrame, catalogues: Sequence[DataFrame
     theirs = all_titles.select(F.lower("title").alias("t"), _prefix(F.col("title")).alias("p")).distinct()
     ours = bestsellers.where(F.col("title").isNotNull()).select(F.lower("title").alias("t"), _prefix(F.col("title")).alias("p")).distinct()
     needles = ours.select("p").distinct()
-    found_p = _contained(theirs.select("t").distinct(), "t", needles, "p").select("p").join(needles, "p", "left_semi").distinct()
+    found_p = contained(theirs.select("t").distinct(), "t", needles, "p").select("p").join(needles, "p", "left_semi").distinct()
     by_prefix = ours.join(found_p, "p", "left_semi").select("t")
     their_needles = theirs.select("p").distinct()
-    by_text = _contained(ours.select("t").distinct(), "t", their_needles, "p").join(their_needles, "p", "left_semi").select("t")
+    by_text = contained(ours.select("t").distinct(), "t", their_needles, "p").join(their_needles, "p", "left_semi").select("t")
     matched = by_prefix.union(by_text).distinct()
     left = bestsellers.where(F.col("sales_velocity").isNotNull()).withColumn("t", F.lower("title")).join(matched, "t", "left_anti").drop("t")
     return left.orderBy(F.desc("sales_velocity"), F.asc("id")).limit(n)

@@ -263,7 +263,7 @@ def test_containment_meets_on_rare_grams(spark):
     texts = ["common start " + word() + word() for _ in range(150)] + [word() for _ in range(80)] + ["", "a"]
     needles = sorted({("common start " + word())[:20] for _ in range(40)} | {word()[:20] for _ in range(60)} | {"", "a", "zzzzzz", "common"})
     t, n = (spark.createDataFrame([(x,) for x in sorted(set(v))], f"{c} string") for c, v in (("t", texts), ("p", needles)))
-    got = sorted(tuple(r) for r in listing._contained(t, "t", n, "p").collect())
+    got = sorted(tuple(r) for r in listing.contained(t, "t", n, "p").collect())
     assert got == sorted((x, y) for x in set(texts) for y in needles if y in x)
     assert listing._grams(t, "t").count() <= sum(map(len, set(texts)))
 
