@@ -3,7 +3,8 @@
 Equal vectors are one node. The graph starts from buckets of random hyperplanes and of hashes, dealt into small groups. A round
 of NN-descent brings to every node its neighbours and a bounded number of nodes that have it as a neighbour (one join for the lists, one for the
 vectors), compares those that are new to each other, and tells each what it found; the K nearest stay. Rounds are written
-tables and end when few lists change. Building uses scaled half-precision vectors; answers use the original ones.
+tables and end when few lists change. Building uses vectors less their median, in single precision and scaled by their median distance from it,
+so neither an outlier nor a common offset takes the differences of the others; answers use the original ones.
 
 Search is a join per round for all queries at once: each query expands its best open candidates through the graph, measures their
 neighbours, and keeps its best ``beam``. It ends when no query has an open candidate. No vector table is broadcast or collected.
@@ -27,6 +28,8 @@ TOLD = 6  # new candidates that one round at one node tells to each member, at m
 GROUP = 96  # nodes of a starting group, about
 ROUNDS = 8
 BEAM, EXPAND = 400, 64
+SAMPLE = 256  # vectors of each width from which the middle and the scale are taken
+FARTHEST = 1e15  # in that scale; what lies beyond is put there while the graph is built
 
 
 def _good(vector: str) -> Column:
@@ -38,31 +41,27 @@ def distance(a: str, b: str) -> Column:
     return F.expr(f"sqrt(aggregate(zip_with({a}, {b}, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")
 
 
-def nodes_of(vectors: DataFrame, id_col: str, vector_col: str, most_ids: int) -> tuple[DataFrame, DataFrame]:
-    """(node, vec) of distinct usable vectors of the table's most frequent width, and (node, vec_id) of their ``most_ids`` smallest ids; a
-    node is named by its smallest id."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec")).where(
-        F.col("vec_id").isNotNull() & _good("vec"))
-    width = rows.groupBy(F.size("vec").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1)
-    rows = rows.join(F.broadcast(width.select("w")), F.size("vec") == F.col("w")).select("vec_id", "vec")
-    named = checkpointed(rows.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("r") <= most_ids))
-    firsts = named.where("r = 1").select(F.col("vec_id").alias("node"), "vec")
-    ids = named.join(firsts, "vec").select("node", "vec_id").distinct()
-    return checkpointed(firsts), checkpointed(ids)
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, vec, node) of the rows that take part; node is a hash of the vector, which names equal vectors alike."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
+    rows = rows.where(F.col("vec_id").isNotNull() & _good("vec")).select("vec_id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"))  # one zero
+    return rows.withColumn("node", F.xxhash64("vec"))
 
 
-_LISTS = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("dist", pa.float32())])
+def nodes_of(rows: DataFrame, most_ids: int) -> tuple[DataFrame, DataFrame]:
+    """(node, vec) of the distinct vectors of ``usable`` rows, and (node, vec_id) of their ``most_ids`` smallest ids."""
+    ids = rows.select("node", "vec_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= most_ids)
+    return checkpointed(rows.groupBy("node").agg(F.first("vec").alias("vec"))), checkpointed(ids.select("node", "vec_id"))
 
 
-def _half(bytes_column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes_column.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+_LISTS = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("dist", pa.float32())])
 
 
-def _told(members: pa.ListArray, width: int, each: int) -> Iterator[pa.RecordBatch]:
-    """For every list of members (id, fresh, worst, vec): the ``each`` nearest others of each member that are nearer than its
-    worst neighbour and of which one side is fresh."""
+def _told(members: pa.ListArray, each: int) -> Iterator[pa.RecordBatch]:
+    """For every list of members (id, fresh, worst, vec), which are of one width: the ``each`` nearest others of each member that are nearer
+    than its worst neighbour and of which one side is fresh."""
     flat = members.flatten()
-    vec = _half(flat.field("vec"), width) if len(flat) else np.zeros((0, width), np.float32)
+    vec = flat.field("vec").to_pylist()
     ids, fresh = flat.field("id").to_numpy(), flat.field("fresh").to_numpy(zero_copy_only=False)
     worst = flat.field("worst").to_numpy(zero_copy_only=False)
     ends = np.cumsum(np.asarray(members.value_lengths()))
@@ -70,7 +69,7 @@ def _told(members: pa.ListArray, width: int, each: int) -> Iterator[pa.RecordBat
     for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
         if b - a < 2:
             continue
-        x, own = vec[a:b], ids[a:b]
+        x, own = np.frombuffer(b"".join(vec[a:b]), np.float32).reshape(b - a, -1).astype(np.float64), ids[a:b]
         sq = (x * x).sum(axis=1)
         d = np.maximum(sq[:, None] + sq[None, :] - 2 * (x @ x.T), 0)
         d[own[:, None] == own[None, :]] = np.inf
@@ -84,13 +83,13 @@ def _told(members: pa.ListArray, width: int, each: int) -> Iterator[pa.RecordBat
         yield batch_of(_LISTS, node=np.concatenate([o[0] for o in out]), id=np.concatenate([o[1] for o in out]), dist=np.concatenate([o[2] for o in out]).astype(np.float32))
 
 
-def _compare(grouped: DataFrame, width: int, each: int) -> DataFrame:
+def _compare(grouped: DataFrame, each: int) -> DataFrame:
     """grouped has ``members``; rows (node, id, dist)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                yield from _told(batch["members"].slice(at, 256), width, each)
+                yield from _told(batch["members"].slice(at, 256), each)
 
     return grouped.select("members").mapInArrow(work, "node long, id long, dist float")
 
@@ -102,29 +101,51 @@ def _nearest(links: DataFrame, k: int) -> DataFrame:
     return once.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
+def _middles(sized: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
+    """For each width the median of every component over a bounded sample, and the median distance from it: neither follows an outlier."""
+    first = F.row_number().over(Window.partitionBy("w").orderBy(F.xxhash64("node"), "node"))
+    sample: dict[int, list] = {}
+    for r in sized.withColumn("r", first).where(F.col("r") <= SAMPLE).collect():
+        sample.setdefault(r["w"], []).append(r["vec"])
+    out = {}
+    for w, some in sample.items():
+        x = np.array(some)
+        middle = np.median(x, axis=0)
+        away = np.abs(x - middle)
+        spread = float(np.median(away[away > 0])) if (away > 0).any() else 1.0
+        out[w] = middle, spread if spread > 0 else 1.0
+    return out
+
+
 def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
     """(node, id, dist) links of an NN-descent graph over (node, vec); an empty table or a single node gives none."""
-    stats = nodes.agg(F.count("*").alias("n"), F.max(F.expr("array_max(transform(vec, x -> abs(x)))")).alias("top"), F.max(F.size("vec")).alias("w")).first()
-    n, width = stats["n"], stats["w"] or 1
-    bits = max(0, math.ceil(math.log2(max(1, n / GROUP))))
-    planes = np.random.default_rng(seed).normal(size=(width, bits)).astype(np.float32)
-    scale = 1.0 / stats["top"] if n else 1.0
+    sized = nodes.select("node", "vec", F.size("vec").alias("w"))
+    counts = {r["w"]: r["n"] for r in sized.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
+    known = nodes.sparkSession.sparkContext.broadcast(_middles(sized))
+    bits = {w: max(0, math.ceil(math.log2(max(1, c / GROUP)))) for w, c in counts.items()}
+    planes = {w: np.random.default_rng(seed).normal(size=(w, b)).astype(np.float32) for w, b in bits.items()}
 
-    out = pa.schema([("node", pa.int64()), ("vec", pa.binary()), ("bucket", pa.int64())])
+    out = pa.schema([("node", pa.int64()), ("w", pa.int32()), ("vec", pa.binary()), ("bucket", pa.int64())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = (np.asarray(batch["vec"].flatten()).reshape(-1, width) * scale).astype(np.float16)
-            side = (x.astype(np.float32) @ planes > 0).astype(np.int64)
-            yield batch_of(out, node=batch["node"], vec=[v.tobytes() for v in x], bucket=side @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64))
-
-    packed = checkpointed(nodes.select("node", "vec").mapInArrow(pack, "node long, vec binary, bucket long"))
+            widths = batch["w"].to_numpy()
+            for w in np.unique(widths).tolist():
+                some = batch.filter(pa.array(widths == w))
+                middle, spread = known.value[w]
+                x = np.clip((np.asarray(some["vec"].flatten()).reshape(-1, w) - middle) / spread, -FARTHEST, FARTHEST).astype(np.float32)
+                side = ((x @ planes[w] > 0).astype(np.int64) @ (1 << np.arange(bits[w], dtype=np.int64))) if bits[w] else np.zeros(len(x), np.int64)
+                yield batch_of(out, node=some["node"], w=some["w"], vec=[v.tobytes() for v in x], bucket=side)
+
+    packed = checkpointed(sized.mapInArrow(pack, "node long, w int, vec binary, bucket long"))
     member = F.struct(F.col("node").alias("id"), F.lit(True).alias("fresh"), F.lit(float("inf")).cast("float").alias("worst"), "vec").alias("m")
-    full = packed.groupBy("bucket").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
-    by_plane = packed.join(full, "bucket").select("bucket", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), member)
-    by_hash = packed.select(F.lit(-1).cast("long").alias("bucket"), F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(1, n // GROUP))).alias("chunk"), member)
-    groups = by_plane.unionByName(by_hash).groupBy("bucket", "chunk").agg(F.collect_list("m").alias("members"))
-    graph = checkpointed(_nearest(_compare(groups, width, k).withColumn("fresh", F.lit(True)), k))
+    # Every node is in a group of its bucket and in one drawn by hash, among nodes of its width.
+    homes = packed.unionByName(packed.withColumn("bucket", F.lit(-1).cast("long")))
+    full = homes.groupBy("w", "bucket").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+    dealt = homes.join(full, ["w", "bucket"]).select("w", "bucket", F.pmod(F.xxhash64("node", "bucket", F.lit(seed)), "chunks").alias("chunk"), member)
+    groups = dealt.groupBy("w", "bucket", "chunk").agg(F.collect_list("m").alias("members"))
+    graph = checkpointed(_nearest(_compare(groups, k).withColumn("fresh", F.lit(True)), k))
     for _ in range(rounds):
         turned = graph.select(F.col("id").alias("node"), F.col("node").alias("id"), "fresh")
         few = turned.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64("node", "id")))).where(F.col("r") <= REVERSE).drop("r")
@@ -132,7 +153,7 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, see
         known = packed.select("node", "vec").join(worst, "node", "left").select(F.col("node").alias("id"), F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"), "vec")
         lists = graph.select("node", "id", "fresh").unionByName(few).groupBy("node", "id").agg(F.max("fresh").alias("fresh"))
         members = lists.join(known, "id").groupBy("node").agg(F.collect_list(F.struct("id", "fresh", "worst", "vec")).alias("members"))
-        found = _compare(members, width, TOLD).withColumn("fresh", F.lit(True))
+        found = _compare(members, TOLD).withColumn("fresh", F.lit(True))
         graph = checkpointed(_nearest(graph.withColumn("fresh", F.lit(False)).unionByName(found), k))
         if graph.where("fresh").count() < 0.02 * n * k:
             break
@@ -143,7 +164,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
     """(query, node, dist): each query's best ``beam`` nodes by greedy search; queries are (query, entry, vec), where entry is
     any node to start from (its own, for a query that is indexed)."""
     both = graph.select("node", "id").unionByName(graph.select(F.col("id").alias("node"), F.col("node").alias("id")))
-    near = checkpointed(both.distinct().groupBy("node").agg(F.collect_list("id").alias("near")))
+    near = checkpointed(both.distinct().withColumnRenamed("id", "other"))
     asked = queries.select("query", F.col("vec").alias("q"))
     target = nodes.select(F.col("node").alias("id"), F.col("vec").alias("v"))
 
@@ -157,7 +178,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
         open_ = checkpointed(open_)
         if open_.isEmpty():
             return state.select("query", F.col("id").alias("node"), "dist")
-        fresh = open_.join(near, F.col("id") == near["node"]).select("query", F.explode("near").alias("id")).distinct()
+        fresh = open_.join(near, F.col("id") == near["node"]).select("query", F.col("other").alias("id")).distinct()
         fresh = fresh.join(state.select("query", "id"), ["query", "id"], "left_anti")
         told = state.join(open_.withColumn("now", F.lit(True)), ["query", "id"], "left").select("query", "id", "dist", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         state = checkpointed(told.unionByName(measured(fresh)).withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"))
@@ -167,15 +188,15 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     """(query_id, rank, vec_id, score): the k nearest other rows of each row for which ``queries`` (over column vec_id) is true.
 
     Distances are Euclidean, in double precision on the original vectors; ties go to the smaller id. Vectors that are NULL, zero, or hold NULL or
-    non-finite components take no part, nor do those of another width than most, nor rows without an id; rows that repeat an id and its vector count once. With fewer than k other
-    rows all are returned; an empty table gives no rows. Other columns are not read.
+    non-finite components take no part, nor do rows without an id. Vectors of different widths never meet. Rows that repeat an id and its vector count
+    once; an id with several vectors asks with each of them and counts with its nearest. With fewer than k other rows all are
+    returned; an empty table gives no rows. Other columns are not read.
     """
-    nodes, ids = nodes_of(vectors, id_col, vector_col, k + 1)
+    rows = usable(vectors, id_col, vector_col)
+    nodes, ids = nodes_of(rows, k + 1)
     graph = build_graph(nodes)
-    asked = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec")).where(queries)
-    asked = asked.join(nodes.select(F.col("node").alias("entry"), "vec"), "vec").select(F.col("vec_id").alias("query"), "entry", "vec").distinct()
-    found = search(asked, nodes, graph)
-    some = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("dist", "node"))).where(F.col("r") <= k + 1)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("dist", "vec_id"))
-    return some.join(ids, "node").where("vec_id <> query").withColumn("rank", rank).where(F.col("rank") <= k).select(
-        F.col("query").alias("query_id"), "rank", "vec_id", F.col("dist").alias("score"))
+    asked = checkpointed(rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).distinct())
+    found = search(nodes.join(asked.select(F.col("query").alias("node")).distinct(), "node").select(F.col("node").alias("query"), F.col("node").alias("entry"), "vec"), nodes, graph)
+    pairs = found.join(ids, "node").join(asked, "query").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("dist").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -352,3 +352,35 @@ def test_nearest_neighbours_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [1.0, 0.5])], "vec_id long, embedding array<double>")
     assert rows(ann.nearest(few, F.lit(True)).select("query_id", "rank", "vec_id")) == [(0, 1, 2), (0, 2, 1), (1, 1, 2), (1, 2, 0), (2, 1, 0), (2, 2, 1)]
     assert ann.nearest(few.where("false"), F.lit(True)).count() == 0
+
+
+def test_nearest_neighbours_with_an_outlier_an_offset_and_two_widths(spark):
+    rng = np.random.default_rng(9)
+    a, b = 1000 + rng.normal(size=(2500, 12)) * 0.01, rng.normal(size=(900, 5))
+    a[7] = 1e30
+    vectors = [*a.tolist(), *b.tolist()]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    nodes, _ = ann.nodes_of(ann.usable(df, "vec_id", "embedding"), 11)
+    of = {r.node: r.vec_id for r in ann.usable(df, "vec_id", "embedding").select("node", "vec_id").collect()}
+    linked = {}
+    for r in ann.build_graph(nodes).collect():
+        linked.setdefault(of[r.node], set()).add(of[r.id])
+    for own, first in ((a, 0), (b, len(a))):
+        some = rng.choice(len(own), 150, replace=False)
+        d = np.sqrt(((own[some][:, None, :] - own[None, :, :]) ** 2).sum(axis=2))
+        d[np.arange(150), some] = np.inf
+        want = np.argsort(d, axis=1)[:, :10] + first
+        hits = sum(len(set(w.tolist()) & linked[int(i) + first]) for i, w in zip(some, want) if i != 7)
+        assert hits / (10 * 150) >= 0.9  # the links themselves, before any search
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(got) == list(range(0, 3400, 100)) and all(len(g) == 10 for g in got.values())
+    assert all((q < 2500) == (i < 2500) for q, g in got.items() for _, i in g)
+
+
+def test_an_id_with_two_vectors_is_listed_once(spark):
+    data = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [9.0, 0.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0]), (0, [9.5, 0.0]), (3, [-0.0, 1.0]), (4, [0.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert rows(ann.nearest(df, F.col("vec_id") == 0).select("rank", "vec_id", F.round("score", 3))) == [(1, 1, 0.5), (2, 3, 1.414), (3, 4, 1.414), (4, 2, 2.0)]
+    assert rows(ann.nearest(df, F.col("vec_id") == 4).select("rank", "vec_id", F.round("score", 3)))[0] == (1, 3, 0.0)
