@@ -64,15 +64,14 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def unsuppressed(found: DataFrame) -> DataFrame:
-    """Of each row's detections those that neither lie in another nor yield to a stronger one that they overlap."""
+    """Of each row's detections those that neither lie in another nor overlap a stronger one, whether that one stays or not."""
     order = [F.col("start"), F.col("end").desc(), F.col("priority"), F.col("label")]
     before = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     outer = found.withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("reach") < F.col("end")))
-    side = Window.partitionBy("row").orderBy("start", "end")
-    pair = outer.select("*", F.lag(F.struct("end", "priority")).over(side).alias("left"), F.lead(F.struct("start", "priority")).over(side).alias("right"))
-    yields = ((F.col("left.end") > F.col("start")) & (F.col("left.priority") < F.col("priority"))) | (
-        (F.col("right.start") < F.col("end")) & (F.col("right.priority") < F.col("priority")))
-    return pair.where(~F.coalesce(yields, F.lit(False))).drop("reach", "left", "right")
+    # Two detections overlap where they share a word, so the strongest at any of its words is the strongest that one overlaps.
+    words = outer.drop("reach").withColumn("word", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    strongest = words.withColumn("strongest", F.min("priority").over(Window.partitionBy("row", "word")))
+    return strongest.groupBy(*found.columns).agg(F.min("strongest").alias("strongest")).where(F.col("strongest") >= F.col("priority")).drop("strongest")
 
 
 def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

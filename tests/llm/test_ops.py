@@ -384,3 +384,22 @@ def test_an_id_with_two_vectors_is_listed_once(spark):
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     assert rows(ann.nearest(df, F.col("vec_id") == 0).select("rank", "vec_id", F.round("score", 3))) == [(1, 1, 0.5), (2, 3, 1.414), (3, 4, 1.414), (4, 2, 2.0)]
     assert rows(ann.nearest(df, F.col("vec_id") == 4).select("rank", "vec_id", F.round("score", 3)))[0] == (1, 3, 0.0)
+
+
+def test_a_detection_yields_to_every_stronger_one_that_it_overlaps(spark):
+    rng = random.Random(31)
+    found = [(1, "A", 1, 0, 10), (1, "B", 9, 2, 11), (1, "C", 5, 4, 12), (2, "A", 5, 0, 4), (2, "B", 1, 4, 8), (2, "C", 5, 7, 9), (None, "A", 5, 0, 4)]
+    for row in range(10, 60):
+        for k in range(rng.randint(1, 9)):
+            start = rng.randint(0, 30)
+            found.append((row, f"L{k}", rng.randint(1, 4), start, start + rng.randint(1, 12)))
+    df = spark.createDataFrame(found + found[3:4], "row long, label string, priority int, start int, end int")
+    got = sorted({tuple(r) for r in licenses.unsuppressed(df).collect()}, key=str)
+    inside = lambda x, y: (y[3] <= x[3] and x[4] <= y[4]) and (y[3], -y[4], y[2], y[1]) < (x[3], -x[4], x[2], x[1])
+    want = []
+    for row in {f[0] for f in found}:
+        own = [f for f in found if f[0] == row]
+        outer = [x for x in own if not any(inside(x, y) for y in own)]
+        want += [x for x in outer if not any(y[2] < x[2] and y[3] < x[4] and x[3] < y[4] for y in outer)]
+    assert got == sorted(want, key=str)
+    assert [g[1] for g in got if g[0] == 1] == ["A"] and [g[1] for g in got if g[0] == 2] == ["A", "B"]
