@@ -77,6 +77,29 @@ def classify_by_dict(df: DataFrame, rules: Mapping[str, Sequence[tuple[str, str,
         "category_l2": F.coalesce("_r.v1", "category_l2"), "category_l3": F.coalesce("_r.v2", "category_l3")}).drop("_r")
 
 
+MOST_RULES = 10_000
+
+
+def rule_list(rules: DataFrame, *values: str, pattern: str = "pattern", order: str = "position", most: int = MOST_RULES) -> list[tuple]:
+    """The (pattern, values) of a table of rules in their order, for the functions above, which try them one by one; more than ``most`` are refused."""
+    found = rules.where(F.col(pattern).isNotNull()).orderBy(order, pattern).select(pattern, *values).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rules; substrings can be given to classify_by_table")
+    return [tuple(r) for r in found]
+
+
+def classify_by_table(df: DataFrame, rules: DataFrame, *, l1: str = "category_l1", title: str = "title") -> DataFrame:
+    """Like ``classify_by_dict`` with the rules as a table (l1, position, substring, l2, l3) of any size: the substrings that occur in the
+    distinct titles come from one gram join, and of the rules of a row's L1 the first by position counts."""
+    text = F.lower(F.coalesce(col(title), F.lit("")))
+    known = rules.where(F.col("substring").isNotNull()).groupBy(F.col("l1").alias("_l1"), "substring").agg(F.min(F.struct("position", "l2", "l3")).alias("rule"))
+    wanted = df.select(text.alias("_text"), F.col(l1).alias("_l1")).distinct()
+    occur = contained(wanted.select("_text").distinct(), "_text", known.select("substring").distinct(), "substring")
+    first = wanted.join(occur, "_text").join(known, ["_l1", "substring"]).groupBy("_text", "_l1").agg(F.min("rule").alias("_r"))
+    rows = df.withColumns({"_text": text, "_l1": F.col(l1)}).join(first, ["_text", "_l1"], "left")
+    return rows.withColumns({"category_l2": F.coalesce("_r.l2", "category_l2"), "category_l3": F.coalesce("_r.l3", "category_l3")}).select(*df.columns)
+
+
 def categorize(df: DataFrame, taxonomy: DataFrame, l1_rules: Sequence[tuple[str, str]],
                l3_rules: Mapping[str, Sequence[tuple[str, str, str]]], *, changed_only: bool = False) -> DataFrame:
     """Reclassify by a ladder: a valid L3 gives its L2; an empty or general L3 goes to the rules; an unknown L3 stays

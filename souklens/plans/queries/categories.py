@@ -62,6 +62,32 @@ def _(c):
     return k.classify_l3(c.view("products").select("id", "title", "category_l1"), L3_RULES).select("id", "rule_l2", "rule_l3")
 
 
+# A rule for every name and type of a part, some hundreds in all: the name's words in order, with the type somewhere behind.
+RULE_TABLE = """select distinct concat('\\b', split_part(p_name, ' ', 1), '\\b.*', split_part(p_name, ' ', 2), '.*\\b', lower(p_type)) as pattern,
+    concat(lower(p_type), ' ', split_part(p_name, ' ', 1)) as v, concat(p_type, p_name) as position from {part}"""
+
+
+@query("c02_rules_table", f"""with rules as ({RULE_TABLE.format(part='part')}),
+hit as (select id, arg_min(v, (position, pattern)) as v from products join rules on regexp_matches(lower(title), pattern) group by 1)
+select id, v as rule from products left join hit using (id)""")
+def _(c):
+    rules = c.spark.sql(RULE_TABLE.replace("\\", "\\\\"), part=c.table("part"))
+    return c.view("products").select("id", k.first_rule("title", k.rule_list(rules, "v")).alias("rule"))
+
+
+# A substring for every name and type, under each of ten L1s with its own order.
+DICT_TABLE = """select distinct concat('L', label) as l1, (length(p_name) * 7 + label) % 5 as position, concat(p_name, ' ', lower(substr(p_type, 1, 3 + label % 3))) as substring, concat('Z', label) as l2, p_name as l3
+    from {part} as part join (select distinct label from {embeddings}) as e on true"""
+
+
+@query("c04_dict_table", f"""with rules as ({DICT_TABLE.format(part='part', embeddings='embeddings')}),
+hit as (select id, arg_min(l2, (position, l2, l3)) as l2, arg_min(l3, (position, l2, l3)) as l3 from products join rules on l1 = category_l1 and contains(lower(title), substring) group by 1)
+select id, coalesce(l2, category_l2) as category_l2, coalesce(l3, category_l3) as category_l3 from products left join hit using (id)""")
+def _(c):
+    rules = c.spark.sql(DICT_TABLE, part=c.table("part"), embeddings=c.table("embeddings"))
+    return k.classify_by_table(c.view("products").select("id", "title", "category_l1", "category_l2", "category_l3"), rules).select("id", "category_l2", "category_l3")
+
+
 LADDER = f"""with tax as (select 'L' || label as l1, 'Dois' || (label % 3) as l2, 'S' || (label % 4 + 1) as l3 from (select distinct label from embeddings) union all select 'Ferragens', 'Casa', 'S2'),
 p as (select *, lower(title) as t, case when category_l1 in (select l1 from tax) then category_l1 else {L1_SQL.replace('t,', 'lower(title),')} end as new_l1 from products),
 r as (select *, {RULE.format(l1='new_l1', **RULE_L2)} as r2, {RULE.format(l1='new_l1', **RULE_L3)} as r3,

@@ -305,6 +305,23 @@ def test_taxonomy_of_any_depth(spark):
         classify.taxonomy_paths(spark.createDataFrame([("a", 1, "b"), ("b", 1, "a")], "slug string, level int, parent_slug string"))
 
 
+def test_rules_as_tables(spark):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 7)))
+    rules = [(f"L{rng.randrange(3)}", rng.randrange(50), word(), f"p{i}", f"q{i}") for i in range(400)] + [("L0", 0, None, "x", "x")]
+    table = spark.createDataFrame(rules, "l1 string, position int, substring string, l2 string, l3 string")
+    titles = [(i, " ".join(word() for _ in range(3)).upper(), f"L{i % 4}" if i % 7 else None, "old", None) for i in range(300)] + [(999, None, "L0", "old", "o3")]
+    df = spark.createDataFrame(titles, "id int, title string, category_l1 string, category_l2 string, category_l3 string")
+    got = {r.id: (r.category_l2, r.category_l3) for r in classify.classify_by_table(df, table).collect()}
+    for i, t, l1, l2, l3 in titles:
+        hits = sorted((p, a, b) for s, p, k, a, b in rules if s == l1 and k is not None and k in (t or "").lower())
+        assert got[i] == (hits[0][1:] if hits else (l2, l3))
+    ordered = classify.rule_list(table, "l2", pattern="substring")
+    assert [k for k, _ in ordered] == [k for _, k in sorted((p, k) for _, p, k, _, _ in rules if k is not None)]
+    with pytest.raises(ValueError):
+        classify.rule_list(table, "l2", pattern="substring", most=10)
+
+
 def test_keywords_from_a_large_taxonomy_table(spark):
     nodes = [(f"n{i}", 1, None, [f"word{i}x"], i) for i in range(6000)] + [("n7.a", 2, "n7", ["red"], 0), ("n7.b", 2, "n7", ["red", "big"], 1)]
     table = spark.createDataFrame(nodes, "slug string, level int, parent_slug string, keywords array<string>, position int")
