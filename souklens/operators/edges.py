@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from souklens.functions.numbers import round_half_up
-from souklens.operators.similarity import similarity_join, tier_keys
+from souklens.operators.similarity import join_tiles, packed_tiles, similarity_join, tier_keys
 
 
 def both_ways(edges: DataFrame, a: str = "product_a_id", b: str = "product_b_id", keep=("match_id", "confidence")) -> DataFrame:
@@ -75,11 +75,15 @@ def needs_refresh(products: DataFrame, edges: DataFrame, now: Column, days: int
 
 
 def refreshed_edges(products: DataFrame, edges: DataFrame, now: Column, *, threshold: float = 0.7, k: int = 5,
-                    days: int = 7) -> DataFrame:
-    """New edges of the products due: their k nearest neighbours above the threshold (exclusive)."""
+                    days: int = 7, kept: DataFrame | None = None) -> DataFrame:
+    """New edges of the products due: their k nearest neighbours above the threshold (exclusive).
+
+    ``kept`` is a stored table of tiles (``packed_tiles``) of all active products with a vector. With it only the products due are packed,
+    else all are packed anew.
+    """
     ready = products.where(F.col("is_active") & F.col("embedding").isNotNull())
     due = needs_refresh(products, edges, now, days)
-    near = similarity_join(due, ready, k=k).where(F.col("similarity") > threshold)
+    near = (similarity_join(due, ready, k=k) if kept is None else join_tiles(packed_tiles(due), kept, k)).where(F.col("similarity") > threshold)
     return near.select(
         F.col("left_id").alias("product_a_id"), F.col("right_id").alias("product_b_id"),
         F.col("similarity").alias("confidence"), F.lit("clip_v1").alias("match_method"), now.alias("created_at"),

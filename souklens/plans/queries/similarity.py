@@ -8,7 +8,7 @@ from souklens.functions import vectors as v
 from souklens.operators import clusters as cl, edges as e, hashes as h, similarity as s
 from souklens.operators.vector_index import VectorIndex
 from souklens.plans.registry import TEST_THRESHOLD as T, matches, query, sql_round as R
-from souklens.session import scratch_path
+from souklens.session import checkpointed, scratch_path
 
 COS = "round(list_cosine_similarity({a}.embedding::double[], {b}.embedding::double[]), 6)"
 SIM = COS.format(a="a", b="b")
@@ -144,6 +144,14 @@ def _(c):
         "created_at", F.date_format("created_at", "yyyy-MM-dd"))
 
 
+@query("j11_refresh_from_tiles", f"with {REFRESHED} select * from refreshed")
+def _(c):
+    now = F.lit("2024-03-10").cast("timestamp_ntz")
+    tiles = checkpointed(s.packed_tiles(ready(c)))  # kept from night to night
+    return e.refresh_matches(c.view("products"), aged(c), now, threshold=T, kept=tiles).withColumn(
+        "created_at", F.date_format("created_at", "yyyy-MM-dd"))
+
+
 @query("j20_similar_with_fallback", f"""with emb as (select * from products where embedding is not null),
 counted as (select category_l1, count(*) as members from products group by 1),
 pairs as (select a.id as left_id, b.id as right_id, b.category_l1 as category, {SIM} as sim,
