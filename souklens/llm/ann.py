@@ -141,7 +141,8 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, see
     packed = checkpointed(sized.mapInArrow(pack, "node long, w int, vec binary, bucket long"))
     member = F.struct(F.col("node").alias("id"), F.lit(True).alias("fresh"), F.lit(float("inf")).cast("float").alias("worst"), "vec").alias("m")
     # Every node is in a group of its bucket and in one drawn by hash, among nodes of its width.
-    homes = packed.unionByName(packed.withColumn("bucket", F.lit(-1).cast("long")))
+    drawn = -1 - F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.lit(max(1, n // (16 * GROUP))))  # many small buckets and no common one
+    homes = packed.unionByName(packed.withColumn("bucket", drawn))
     full = homes.groupBy("w", "bucket").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
     dealt = homes.join(full, ["w", "bucket"]).select("w", "bucket", F.pmod(F.xxhash64("node", "bucket", F.lit(seed)), "chunks").alias("chunk"), member)
     groups = dealt.groupBy("w", "bucket", "chunk").agg(F.collect_list("m").alias("members"))
