@@ -187,6 +187,44 @@ def test_randomness_battery_keeps_keys_and_drops_structure(spark):
     assert sum(flagged[:40]) >= 36 and sum(flagged[40:]) == 0
 
 
+@pytest.mark.parametrize("length", [20, 21, 22, 24])
+def test_short_keys_are_told_from_words_of_their_length(spark, length):
+    """Keys of any length from 20 on take part; of what is reported, words and paths are few."""
+    rng = random.Random(length)
+    words = "server window report archive member library account button history public network january session value index".split()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(alphabet, k=length)) for _ in range(60)]
+    camel = ["".join(w.capitalize() + (str(rng.randint(0, 99)) if rng.random() < 0.7 else "") for w in rng.choices(words, k=8))[:length] for _ in range(120)]
+    joined = ["".join(rng.choices(words, k=8))[:length] for _ in range(120)]
+    texts = [" ".join([*rng.choices(words, k=20), t, *rng.choices(words, k=20)]) for t in keys + camel + joined]
+    found = secrets.secret_spans(docs_of(spark, texts)).collect()
+    flagged = [bool([s for s in r.spans if s["kind"] == "random"]) for r in sorted(found, key=lambda r: r.doc_id)]
+    assert sum(flagged[:60]) >= 36 and sum(flagged[60:]) <= 6
+
+
+def test_secret_bounds_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(f"s{rng.randint(0, 4)}", rng.choice([0, 1, 2, 3, 5, 9, 14, 30, 400]), [rng.choice([0, 3, 8, 20, 60, 400]) for _ in range(rng.choice([1, 8, 32]))]) for _ in range(200)]
+    rows += [("powerless", b, [0, 1, 2, 3]) for b in range(4)] + [("alone", 0, [50] * 32), ("bare", 0, [50])]
+    want = {}
+    for name in {r[0] for r in rows}:
+        own, made = [r[1] for r in rows if r[0] == name], [d for r in rows if r[0] == name for d in r[2]]
+        good = [b for b in {*own, *made} if len(own) * (sum(d <= b for d in made) + 1) / (len(made) + 1) <= 0.05 * sum(o <= b for o in own)]
+        bad = [b for b in {*own, *made} if 0 < sum(o >= b for o in own) and 10 ** (-b / 10) <= 0.05 * sum(o >= b for o in own) / len(own)]
+        if good:
+            want[name] = min([max(good), *[b - 1 for b in bad]])
+    tokens = spark.createDataFrame(rows, "stratum string, bin int, decoys array<int>")
+    assert {r.stratum: r.bound for r in secrets.bounds_from(tokens).collect()} == want and "alone" in want and not {"powerless", "bare"} & set(want)
+
+
+def test_secrets_with_null_ids_repeated_rows_and_other_columns(spark):
+    key = "see tR4kPq9ZxW2mVb7LsYc1HdJf8GnQ0aTe3UiOr5Ew now"
+    docs = docs_of(spark, [key, key, key, None, "", "plain words " * 5000], [None, 7, 7, 8, None, 9]).withColumn("spans", F.lit("mine")).withColumn("row", F.lit(1))
+    got = sorted(((r.doc_id, [tuple(s) for s in r.spans]) for r in secrets.secret_spans(docs).collect()), key=str)
+    at = [("random", 4, 4 + 40)]
+    assert got == sorted([(None, at), (7, at), (7, at), (8, []), (None, []), (9, [])], key=str)
+
+
 def test_redaction_keeps_rows_and_other_columns(spark):
     docs = docs_of(spark, ["a token=abcdef99, b", None, "", "clean"], [1, 1, None, 4])
     got = secrets.redact(docs)
