@@ -246,6 +246,67 @@ def test_pieces_equal_the_library(spark):
     assert [back[i] for i in range(len(texts))] == [t if t is None else t.replace("▁", " ") for t in texts]
 
 
+def piece_model(pieces_and_scores, kind):
+    """A model of given pieces and scores, with byte fallback and the identity normaliser."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = kind, True
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix = "identity", True
+    model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = False, True
+    listed = [("<unk>", 0, pieces.UNKNOWN), ("<s>", 0, pieces.CONTROL), ("</s>", 0, pieces.CONTROL), *[(f"<0x{b:02X}>", 0, pieces.BYTE) for b in range(256)]]
+    for piece, score, type_ in [*listed, *[(p, s, pieces.NORMAL) for p, s in pieces_and_scores]]:
+        model.pieces.add(piece=piece, score=score, type=type_)
+    return model.SerializeToString()
+
+
+def all_paths(wfst, text, at=0):
+    if at == len(text):
+        yield 0.0, ()
+        return
+    for _, end, piece, w in wfst.lattice(text)[0][at]:
+        for weight, rest in all_paths(wfst, text, end):
+            yield w + weight, (piece, *rest)
+
+
+def test_unigram_path_is_the_least_sum_and_equals_the_library():
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor
+    rng = random.Random(11)
+    known = sorted({"".join(rng.choices("abc▁", k=rng.randint(1, 5))) for _ in range(120)} - {"c"})
+    known = [p for p in known if "▁" not in p[1:]]
+    model = piece_model([(p, -rng.randint(1, 1 << 15) / 4096) for p in known], pieces.UNIGRAM)
+    wfst, sp = pieces.Transducer(model), library(model_proto=model)
+    texts = ["", "a", "abc", "  ab  c ", "é🙂x", "c" * 50] + ["".join(rng.choices("abc é", k=rng.randint(1, 60))) for _ in range(300)]
+    for text in texts:
+        assert wfst.encode(text) == sp.encode(text) and wfst.decode(wfst.encode(text)) == text
+    for text in ["".join(rng.choices("abc", k=9)) for _ in range(20)]:
+        least = min(w for w, _ in all_paths(wfst, text))
+        assert sum(next(w for _, end, p, w in wfst.lattice(piece)[0][0] if p == piece) for piece in wfst._least_sum(wfst.lattice(text)[0])) == least
+
+
+def test_bpe_acceptor_leaves_one_finite_path():
+    with open(pieces.MODEL, "rb") as f:
+        wfst = pieces.Transducer(f.read())
+    rng = random.Random(12)
+    for text in ["international", "▁unbelievably"[:11], "▁▁▁x", *["".join(rng.choices("▁ainstero", k=8)) for _ in range(20)]]:
+        finite = [p for _, p in all_paths(wfst, text) if sum(wfst.adjacent[pair] for pair in zip(("", *p), p)) == 0]
+        assert finite == [tuple(wfst._merged(text))] and [wfst.id[p] for p in finite[0]] == list(wfst._shortest_path(text))
+
+
+def test_other_models_are_refused():
+    with pytest.raises(ValueError):
+        pieces.Transducer(piece_model([("a", -1.0)], 3))
+
+
+def test_pieces_of_repeated_rows_null_ids_and_long_words(spark):
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["same words", "same words", "same words", None, "abcdefghij" * 5000, "日本" * 3000]
+    docs = docs_of(spark, texts, [None, 3, 3, None, 4, 5]).withColumn("ids", F.lit(1)).withColumn("round_trip", F.lit("no"))
+    got = sorted(((r.doc_id, r.ids, r.round_trip) for r in pieces.encode(docs).collect()), key=str)
+    assert got == sorted([(i, None if t is None else sp.encode(t), True) for i, t in zip([None, 3, 3, None, 4, 5], texts)], key=str)
+    assert pieces.encode(docs_of(spark, [])).count() == 0 and pieces.decode(pieces.encode(docs_of(spark, []))).count() == 0
+
+
 # -- 8 -----------------------------------------------------------------------------------------------------------------
 
 def without_repeats(docs, length):
