@@ -65,6 +65,7 @@ def predict(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "
 
     NULL, empty texts and texts without a letter are ``und`` with score 0, and so is everything if the network has no class.
     Columns other than the two named are not read, so the language column is no input.
+    Repeated rows and rows with a NULL id are answered one by one; an empty table gives no rows.
     """
     known = docs.sparkSession.sparkContext.broadcast(net)
     ascii_letter = np.zeros(256, bool)

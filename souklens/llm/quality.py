@@ -44,7 +44,8 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): one row per input row, the probability of label 1. NULL and empty texts get that of an empty chunk.
-    Columns other than the two named are not read."""
+    Columns other than the two named are not read. Repeated rows and rows with a NULL id are answered one by one; an empty table gives
+    no rows."""
     known = docs.sparkSession.sparkContext.broadcast(net)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -173,6 +173,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     sentences are those that score ``at_least`` by themselves: code points from the first word to the end of the last.
     A text without words has the score 0 and no sentences, NULL included. Columns other than the two named are not read.
+    Repeated rows and rows with a NULL id are answered one by one; an empty table gives no rows.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)  # the weight table has a fixed size
 

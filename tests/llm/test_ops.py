@@ -423,6 +423,30 @@ def test_quality(spark):
     assert all(0 <= r.score <= 1 for r in quality.score(docs_of(spark, AWKWARD), flat).collect())
 
 
+def test_classifiers_on_repeated_rows_null_ids_and_empty_tables(spark):
+    """A text has one score, whatever its id and however often it comes; empty tables train a model that answers, and are answered."""
+    rng = random.Random(9)
+    texts = [invented(rng, ["the", "ing"] if i % 2 else ["sch", "ung"], 30) for i in range(40)]
+    docs, labels = docs_of(spark, texts), [(i, i % 2) for i in range(40)]
+    again = docs_of(spark, [texts[0], texts[0], texts[0], None, "", None], [None, 5, 5, None, None, 6])
+    none = docs_of(spark, [])
+    few, empty = spark.createDataFrame([*labels, labels[0], (None, 1), (7, None)], "doc_id long, mark int"), spark.createDataFrame([], "doc_id long, mark int")
+    langs = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb"))
+    langs = langs.unionByName(langs.where("doc_id = 3")).unionByName(langs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    models = [(langid.predict, langid.train_model(langs), langid.train_model(langs.where("false")))]
+    models.append((toxicity.score, toxicity.train_model(docs, few.toDF("doc_id", "toxic")), toxicity.train_model(none, empty.toDF("doc_id", "toxic"))))
+    models.append((quality.score, quality.train_model(docs, few.toDF("doc_id", "quality")), quality.train_model(none, empty.toDF("doc_id", "quality"))))
+    for apply, learned, blank in models:
+        for model in (learned, blank):
+            got = apply(again, model).collect()
+            assert sorted([r.doc_id for r in got], key=str) == sorted([None, 5, 5, None, None, 6], key=str)
+            assert all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if r.doc_id == 5}) == 1
+            alone = apply(docs_of(spark, [texts[0], None]), model).collect()
+            of = {r.doc_id: r.score for r in alone}
+            assert [r.score for r in got if r.doc_id == 5] == [of[0]] * 2 and [r.score for r in got if r.doc_id == 6] == [of[1]]
+            assert apply(none, model).collect() == []
+
+
 # -- 1 -----------------------------------------------------------------------------------------------------------------
 
 def test_nearest_neighbours_recall_and_bad_vectors(spark):
