@@ -115,7 +115,8 @@ def close_pairs(stored: DataFrame, probing: DataFrame, width: int, size: int, di
     def met(probes: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
         left = probes.select(F.col("id").alias("left_id"), *[F.col(f"c{w}").alias(f"l{w}") for w in range(n)], *on)
         right = kept.select(F.col("id").alias("right_id"), *[F.col(f"c{w}").alias(f"r{w}") for w in range(n)], *on)
-        return left.join(right, on).where(total <= distance).where(is_first)
+        # Spark takes exploded rows for as small as the table they came from; a broadcast of them would pass through the driver.
+        return left.hint("merge").join(right.hint("merge"), on).where(total <= distance).where(is_first)
 
     kept, probes = spread(stored, False), spread(probing, True)
     out = ("left_id", "right_id", total.alias("distance"))

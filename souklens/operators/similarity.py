@@ -283,7 +283,8 @@ def hamming_join(a: DataFrame, b: DataFrame, max_distance: int, *, ident: str =
             bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(f"{side}_code", i * size).bitwiseAND((1 << size) - 1).alias("value")) for i in range(max_distance + 1)])
             return rows.select("*", F.explode(bands).alias("at")).select(f"{side}_id", f"{side}_code", "at.band", "at.value")
 
-        met = banded(a, "left").join(banded(b, "right"), ["band", "value"])
+        # Spark takes exploded rows for as small as the table they came from; a broadcast of them would pass through the driver.
+        met = banded(a, "left").hint("merge").join(banded(b, "right").hint("merge"), ["band", "value"])
         distance = F.bit_count(F.col("left_code").bitwiseXOR(F.col("right_code"))).cast("int")
         order = F.col("left_id") < F.col("right_id") if ordered else F.col("left_id") != F.col("right_id")
         pairs = met.where(order & (distance <= max_distance)).select("left_id", "right_id", distance.alias("distance")).distinct()

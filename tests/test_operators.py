@@ -1,6 +1,7 @@
 """Joins, windows and merges on small hand-made tables, with hot groups, ties and many tiles."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from souklens.operators.history import newest, price_drops, product_velocity
 from souklens.operators.listing import unmatched_bestsellers
 from souklens.operators.merge import dedupe_by
 from souklens.operators.quantiles import values_at
-from souklens.session import shared_dir
+from souklens.session import checkpointed as shared_table, shared_dir
 from souklens.operators.upsert import append_new, update_max_sales, upsert
 
 
@@ -257,6 +258,17 @@ def test_wide_hashes_never_meet_all_pairs(spark):
     assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("heavy", [1 << 12, 3])
+def test_exploded_hashes_are_never_broadcast(spark, monkeypatch, heavy):
+    monkeypatch.setattr(hashes, "HEAVY", heavy)
+    df = spark.createDataFrame([(i, [i >> k & 1 for k in range(8)] * 32) for i in range(50)], "id long, bits array<int>")
+    of = shared_table(hashes.classes(hashes.packed(df, "id", "bits", 256, 16)).drop("copies"))
+    narrow = similarity.hamming_join(*[shared_table(df.select("id", F.slice("bits", 1, 64).alias("bits")))] * 2, 4, ordered=True)
+    for pairs in (hashes.close_pairs(of, of, 256, 16, 20), narrow):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"BroadcastHashJoin.* Inner", plan) and "SortMergeJoin" in plan
+
+
 def test_containment_meets_on_rare_grams(spark):
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abC é") for _ in range(rng.randint(0, 9)))
