@@ -103,16 +103,17 @@ def _supplier_key() -> Column:
 def supplier_profiles(suppliers: DataFrame, listings: DataFrame, order: str = "row_id", product: str = "offer_id") -> DataFrame:
     """Ranking row and product facts per supplier, joined on the trimmed lower-case name (key), ranked or not.
 
-    Labels, category ids and source URLs are distinct values in first-seen order, the ranking's own first. The products themselves are a
-    table of their own, ``supplier_products``, with the same key. Columns that a table lacks (category_id, category_ids, category_name,
-    source_url, supplier_url) give nothing.
+    Labels, category ids and source URLs are distinct values in first-seen order, the ranking's own first. Products are the sorted distinct
+    ``product`` keys; their rows are a table of their own, ``supplier_products``, with the same key. Columns that a table lacks (category_id,
+    category_ids, category_name, source_url, supplier_url) give nothing.
     """
     name = _supplier_key()
     text = lambda df, c: (F.col(c) if c in df.columns else F.lit(None)).cast("string")
     r = suppliers.select(name.alias("key"), "supplier_key", F.col("supplier_name").alias("ranked_name"), "region", "rank_position",
                          F.col("category_label").alias("ranked_label"), text(suppliers, "category_id").alias("ranked_id"), text(suppliers, "source_url").alias("ranked_url"))
     l = listings.where(F.col("supplier_name").isNotNull()).withColumn("key", name)
-    facts = l.groupBy("key").agg(F.countDistinct(product).alias("product_count"), F.min_by("supplier_name", order).alias("listed_name"))
+    facts = l.groupBy("key").agg(F.min_by("supplier_name", order).alias("listed_name"))
+    products = l.where(F.col(product).isNotNull()).select("key", product).distinct().groupBy("key").agg(F.array_sort(F.collect_list(product)).alias("products"))
 
     def seen(what: str, ranked: str, *listed: str) -> DataFrame:
         both = r.select("key", F.col(ranked).alias(what), F.lit("").alias(order))
@@ -120,12 +121,13 @@ def supplier_profiles(suppliers: DataFrame, listings: DataFrame, order: str = "r
             both = both.unionByName(l.select("key", text(listings, c).alias(what), order))
         return _ordered_set(both, "key", what, order)
 
-    out = r.join(facts, "key", "full_outer")
+    out = r.join(facts, "key", "full_outer").join(products, "key", "left")
     for part in (seen("category_label", "ranked_label", "category_label", "category_name"), seen("category_id", "ranked_id", "category_ids"), seen("source_url", "ranked_url", "supplier_url")):
         out = out.join(part, "key", "left")
     return out.select(
         "key", F.coalesce(F.col("supplier_key").cast("string"), "listed_name").alias("id"), F.coalesce("ranked_name", "listed_name").alias("name"),
-        "region", "rank_position", "category_labels", "category_ids", "source_urls", F.coalesce("product_count", F.lit(0)).alias("product_count"))
+        "region", "rank_position", "category_labels", "category_ids", "source_urls", F.coalesce(F.size("products"), F.lit(0)).cast("long").alias("product_count"),
+        F.coalesce("products", F.array().cast(products.schema["products"].dataType)).alias("products"))
 
 
 def supplier_products(listings: DataFrame, order: str = "row_id", product: str = "offer_id") -> DataFrame:

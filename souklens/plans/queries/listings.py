@@ -382,12 +382,12 @@ U06_LISTED = """select *, concat('c', offer_id % 5) as category_ids, case when o
 @query("u06_supplier_profiles", f"""with r as (select lower(trim(supplier_name)) as key, *, concat('k', supplier_key % 3) as category_id, concat('http://r/', supplier_key) as source_url
     from (select * replace ({U06_RANKED} as supplier_name) from ranked_suppliers)),
 lp as (select lower(trim(supplier_name)) as key, * from ({U06_LISTED})),
-f as (select key, count(distinct offer_id) as product_count, arg_min(supplier_name, row_id) as listed from lp group by 1),
+f as (select key, count(distinct offer_id) as product_count, arg_min(supplier_name, row_id) as listed, string_agg(distinct cast(offer_id as varchar), ',' order by cast(offer_id as varchar)) as products from lp group by 1),
 e as (select key, 'label' as kind, category_label as v, '' as o from r union all select key, 'label', category_label, row_id from lp
     union all select key, 'id', category_id, '' from r union all select key, 'id', category_ids, row_id from lp union all select key, 'url', source_url, '' from r union all select key, 'url', supplier_url, row_id from lp where supplier_url is not null),
 d as (select key, kind, v, min(o) as o from e group by 1, 2, 3),
 g as (select key, string_agg(v, ',' order by o, v) filter (where kind = 'label') as category_labels, string_agg(v, ',' order by o, v) filter (where kind = 'id') as category_ids, string_agg(v, ',' order by o, v) filter (where kind = 'url') as source_urls from d group by 1)
-select coalesce(cast(supplier_key as varchar), listed) as id, coalesce(supplier_name, listed) as name, region, rank_position, category_labels, category_ids, source_urls, coalesce(product_count, 0) as product_count
+select coalesce(cast(supplier_key as varchar), listed) as id, coalesce(supplier_name, listed) as name, region, rank_position, category_labels, category_ids, source_urls, coalesce(product_count, 0) as product_count, coalesce(products, '') as products
 from r full join f on f.key = r.key left join g on g.key = coalesce(r.key, f.key)""")
 def _(c):
     return profiles(c)
@@ -397,7 +397,8 @@ def profiles(c):
     s = c.view("ranked_suppliers").withColumns({"supplier_name": F.expr(U06_RANKED), "category_id": F.expr("concat('k', supplier_key % 3)"), "source_url": F.expr("concat('http://r/', supplier_key)")})
     l_ = c.view("listing_products").selectExpr("*", "concat('c', offer_id % 5) as category_ids", "case when offer_id % 3 > 0 then concat('http://p/', offer_id % 4) end as supplier_url")
     joined = lambda name: F.array_join(name, ",").alias(name)
-    return g.supplier_profiles(s, l_).select("id", "name", "region", "rank_position", joined("category_labels"), joined("category_ids"), joined("source_urls"), "product_count")
+    products = F.array_join(F.array_sort(F.transform("products", lambda p: p.cast("string"))), ",").alias("products")
+    return g.supplier_profiles(s, l_).select("id", "name", "region", "rank_position", joined("category_labels"), joined("category_ids"), joined("source_urls"), "product_count", products)
 
 
 @query("u06_supplier_products", f"""with lp as (select lower(trim(supplier_name)) as key, * from ({U06_LISTED}))

@@ -309,6 +309,13 @@ def test_a_supplier_with_a_third_of_all_rows_is_never_one_row(spark):
     assert sizes == {"nobody": 0, **{k: sum(1 for x, _ in want if x == k) for k in {x for x, _ in want}}}
 
 
+def test_supplier_profiles_list_their_products(spark):
+    lp = spark.createDataFrame([("r1", 30, "Ann "), ("r2", 4, "ann"), ("r3", 30, "ANN"), ("r4", None, "Bob")], "row_id string, offer_id long, supplier_name string")
+    ranked = spark.createDataFrame([(1, "Zoe", "r", 1)], "supplier_key long, supplier_name string, region string, rank_position int").withColumn("category_label", F.lit("L"))
+    got = {r.key: (r.products, r.product_count) for r in merge.supplier_profiles(ranked, lp.withColumn("category_label", F.lit("L"))).collect()}
+    assert got == {"ann": ([4, 30], 2), "bob": ([], 0), "zoe": ([], 0)}
+
+
 def test_taxonomy_of_any_depth(spark):
     chain = [(f"s{i}", i, f"s{i - 1}" if i > 1 else None) for i in range(1, 8)] + [("lost", 2, "nowhere")]
     got = {r.slug: (r.path, r.root, r.depth) for r in classify.taxonomy_paths(spark.createDataFrame(chain, "slug string, level int, parent_slug string")).collect()}
