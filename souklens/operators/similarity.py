@@ -3,8 +3,9 @@
 Rows of a block are dealt by the hash of their id into tiles of bounded size (one Spark row holds the ids and
 the vectors of a tile). Only tiles meet in a join; inside a task one matrix product scores a tile pair and only
 pairs that satisfy the threshold, or a row's best k, leave it. Nothing is sampled. A block that holds a large share
-of all rows is cut into as many tiles as its size asks for, and the tiles of both sides are spread over slots: at most
-TILES_PER_SLOT of each meet under one key. Vectors of different widths never meet.
+of all rows is cut into as many tiles as its size asks for, and the tiles of both sides are spread over slots: a bounded number
+of each meets under one key, and no more slots are made than the work needs, as every tile is sent to each slot of the other side. Vectors
+of different widths never meet.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from souklens.functions.numbers import round_half_up
 from souklens.operators.hashes import close_hashes, useful
 
 TILE_ROWS = 512
-TILES_PER_SLOT = 16
+TILES_PER_SLOT = 16  # at least, and MOST_TILES or SLOT_BYTES at most: every tile is sent to each slot of the other side
+MOST_TILES, SLOT_BYTES = 256, 1 << 25
+SLOTS = 12  # of a side, before its slots get more than TILES_PER_SLOT tiles; they leave work for its square of tasks
 
 
 def _vector_rows(df: DataFrame, ident: str, vec: str, block: str | None, differ: str | None) -> DataFrame:
@@ -64,9 +67,16 @@ def tile_counts(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("block").agg(F.count(F.lit(1)).cast("int").alias("parts"))
 
 
+def slot_count() -> Column:
+    """Slots for ``parts`` tiles of a block, whose name begins with the width of its vectors."""
+    width = F.greatest(F.split_part("block", F.lit("|"), F.lit(1)).cast("long"), F.lit(1))
+    most = F.greatest(F.lit(TILES_PER_SLOT), F.least(F.lit(MOST_TILES), F.floor(SLOT_BYTES / (4 * TILE_ROWS * width))))
+    return F.greatest(F.least(F.ceil(F.col("parts") / TILES_PER_SLOT), F.lit(SLOTS)), F.ceil(F.col("parts") / most)).cast("int")
+
+
 def with_slots(tiles: DataFrame) -> DataFrame:
     """Tiles that know the number of slots of their block, for joins of a table of tiles with itself."""
-    return tiles.join(tile_counts(tiles).select("block", F.ceil(F.col("parts") / TILES_PER_SLOT).cast("int").alias("slots")), "block")
+    return tiles.join(tile_counts(tiles).select("block", slot_count().alias("slots")), "block")
 
 
 def meet(ltiles: DataFrame, rtiles: DataFrame, lcounts: DataFrame | None = None, rcounts: DataFrame | None = None) -> DataFrame:
@@ -75,7 +85,7 @@ def meet(ltiles: DataFrame, rtiles: DataFrame, lcounts: DataFrame | None = None,
     if lcounts is None:
         ltiles, rtiles = (t.withColumns({"_ln": F.col("slots"), "_rn": F.col("slots")}).drop("slots") for t in (ltiles, rtiles))
     else:
-        slots = lambda counts, name: counts.select("block", F.ceil(F.col("parts") / TILES_PER_SLOT).cast("int").alias(name))
+        slots = lambda counts, name: counts.select("block", slot_count().alias(name))
         grid = slots(lcounts, "_ln").join(slots(rcounts, "_rn"), "block")
         ltiles, rtiles = ltiles.join(grid, "block"), rtiles.join(grid, "block")
 
@@ -114,53 +124,84 @@ def unit_rows(mat: np.ndarray) -> np.ndarray:
 
 
 def _score(threshold, k, smallest, smaller_right, differ, skip_equal, ordered, digits, tiers=0):
-    """Task function: one matrix product per tile pair, best pairs out."""
+    """Task function: one matrix product per tile pair, best pairs out.
+
+    Tiles of a slot follow each other, so of a left tile the ``k`` best of each row so far are known, and only what reaches the worst of
+    them is looked at: single precision says where, within its error, and the products of those pairs are made again in double.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = -np.inf if threshold is None else threshold
+        now = None
         for batch in batches:
             for i in range(batch.num_rows):
                 cell = {name: batch.column(name)[i] for name in batch.schema.names}
-                lid = cell["l_ids"].values.to_numpy(zero_copy_only=False)
                 rid = cell["r_ids"].values.to_numpy(zero_copy_only=False)
-                left = unit_rows(np.frombuffer(cell["l_mat"].as_py(), dtype="<f4").reshape(len(lid), -1))
                 right = unit_rows(np.frombuffer(cell["r_mat"].as_py(), dtype="<f4").reshape(len(rid), -1))
-                sims = np.round(left @ right.T, digits) + 0.0
-                keep = np.ones(sims.shape, dtype=bool)
-                if threshold is not None:
-                    keep &= sims >= threshold
-                if differ:
-                    lg = cell["l_grps"].values.to_numpy(zero_copy_only=False)
-                    rg = cell["r_grps"].values.to_numpy(zero_copy_only=False)
-                    keep &= lg[:, None] != rg[None, :]
-                if smaller_right:
-                    keep &= lid[:, None] > rid[None, :]
-                elif ordered:
-                    keep &= lid[:, None] < rid[None, :]
-                elif skip_equal:
-                    keep &= lid[:, None] != rid[None, :]
-                if tiers:
-                    yield from _tiered(lid, rid, sims, keep, cell["l_grps"].as_py(), cell["r_grps"].as_py(), tiers)
-                    continue
-                if smallest:
-                    by_id = np.argsort(rid, kind="stable")
-                    first = by_id[np.argmax(keep[:, by_id], axis=1)]
-                    hit = keep.any(axis=1)
-                    keep = np.zeros_like(keep)
-                    keep[np.nonzero(hit)[0], first[hit]] = True
-                elif k is not None and k < len(rid):
+                if (this := (cell["l_ids"].as_py(), cell["l_mat"].as_py())) != now:
+                    now = this
+                    lid = cell["l_ids"].values.to_numpy(zero_copy_only=False)
+                    left = unit_rows(np.frombuffer(now[1], dtype="<f4").reshape(len(lid), -1))
+                    short = left.astype("f4")
+                    top = None if k is None or smallest or tiers else np.full((len(lid), k), -np.inf)
+                if tiers or smallest or least == -np.inf and (top is None or (top[:, -1] == -np.inf).any()):
+                    sims = np.round(left @ right.T, digits) + 0.0
+                    keep = sims >= least
+                else:
+                    low = np.full(len(lid), least) if top is None else np.maximum(least, top[:, -1])
+                    slack = 10.0 ** -digits + 1e-6 + 2e-7 * left.shape[1]
+                    sims, keep = None, short @ right.astype("f4").T >= (low - slack).astype("f4")[:, None]
+                lg, rg = (cell[f"{s}_grps"].values.to_numpy(zero_copy_only=False) for s in "lr") if differ else (None, None)
+                if sims is None:
+                    li, ri = np.nonzero(keep)
+                    found = np.concatenate([np.round((left[li[a: a + 65536]] * right[ri[a: a + 65536]]).sum(axis=1), digits) + 0.0 for a in range(0, len(li), 65536)] or [np.zeros(0)])
+                    fits = found >= low[li]
+                    if differ:
+                        fits &= (lg[li] != rg[ri]).astype(bool)
+                    if smaller_right:
+                        fits &= lid[li] > rid[ri]
+                    elif ordered:
+                        fits &= lid[li] < rid[ri]
+                    elif skip_equal:
+                        fits &= lid[li] != rid[ri]
+                    li, ri, found = li[fits], ri[fits], found[fits]
+                else:
+                    if differ:
+                        keep &= lg[:, None] != rg[None, :]
+                    if smaller_right:
+                        keep &= lid[:, None] > rid[None, :]
+                    elif ordered:
+                        keep &= lid[:, None] < rid[None, :]
+                    elif skip_equal:
+                        keep &= lid[:, None] != rid[None, :]
+                    if tiers:
+                        yield from _tiered(lid, rid, sims, keep, cell["l_grps"].as_py(), cell["r_grps"].as_py(), tiers)
+                        continue
+                    if smallest:
+                        by_id = np.argsort(rid, kind="stable")
+                        first = by_id[np.argmax(keep[:, by_id], axis=1)]
+                        hit = keep.any(axis=1)
+                        keep = np.zeros_like(keep)
+                        keep[np.nonzero(hit)[0], first[hit]] = True
+                    elif k is not None and k < len(rid):
+                        worst = np.partition(np.where(keep, sims, -np.inf), len(rid) - k, axis=1)[:, len(rid) - k]
+                        keep &= sims >= worst[:, None]
+                    li, ri = np.nonzero(keep)
+                    found = sims[li, ri]
+                if top is not None and len(li):
                     # Exactly k per row, the smaller id first among equals, so copies do not multiply.
-                    over = np.nonzero(keep.sum(axis=1) > k)[0]
                     by_id = np.argsort(rid, kind="stable")
-                    masked = np.where(keep[over], sims[over], -np.inf)[:, by_id]
-                    best = by_id[np.argsort(-masked, axis=1, kind="stable")[:, :k]]
-                    keep[over] = False
-                    keep[over[:, None], best] = True
-                li, ri = np.nonzero(keep)
+                    place = np.empty(len(rid), np.int64)
+                    place[by_id] = np.arange(len(rid))
+                    order = np.lexsort((place[ri], -found, li))
+                    li, ri, found = li[order], ri[order], found[order]
+                    rank = np.arange(len(li)) - np.searchsorted(li, li)
+                    li, ri, found, rank = (x[rank < k] for x in (li, ri, found, rank))
+                    more = np.full(top.shape, -np.inf)
+                    more[li, rank] = found
+                    top = -np.sort(-np.hstack([top, more]), axis=1)[:, :k]
                 if len(li):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(lid[li]), pa.array(rid[ri]), pa.array(sims[li, ri])],
-                        names=["left_id", "right_id", "similarity"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(lid[li]), pa.array(rid[ri]), pa.array(found)], names=["left_id", "right_id", "similarity"])
 
     return run
 

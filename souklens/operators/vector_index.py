@@ -123,6 +123,8 @@ class VectorIndex:
         width that the index does not know have no answer; a query id that comes with several vectors has one list for all."""
         asking = _usable(queries, ident, vec).where(F.col("width").isin(list(self.centres)))
         most = max((len(c) for c in self.centres.values()), default=1)
+        if (probes or most) >= most:  # all lists, which a query then meets as one block and not once for each cell
+            return similarity_join(asking, self.lists(), k=k, threshold=threshold)
         asked = checkpointed(self._nearest(asking, min(probes or most, most)).select("id", "embedding", "width", F.explode("cells").alias("cell")))
         wanted = asked.select("width", "cell").distinct()  # the lists are read by partition pruning on these
         found = self.lists().join(F.broadcast(wanted), ["width", "cell"], "left_semi")  # at most MOST_CELLS rows a width

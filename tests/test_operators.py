@@ -269,6 +269,25 @@ def test_exploded_hashes_are_never_broadcast(spark, monkeypatch, heavy):
         assert not re.search(r"BroadcastHashJoin.* Inner", plan) and "SortMergeJoin" in plan
 
 
+def test_slots_grow_slower_than_tiles(spark):
+    counts = spark.createDataFrame([("64", 1), ("64", 40), ("64|a", 2270), ("64", 24000), ("4096", 2270)], "block string, parts int")
+    assert [r.slots for r in counts.select(similarity.slot_count().alias("slots")).collect()] == [1, 3, 12, 94, 142]
+
+
+def test_later_tiles_send_only_what_can_be_among_the_best():
+    import pyarrow as pa
+    rng, k = np.random.default_rng(8), 5
+    left, right = rng.normal(size=(40, 8)).astype("<f4"), rng.normal(size=(1600, 8)).astype("<f4")
+    right[1500:] = right[:100]  # equal vectors: the smaller id wins
+    batch = pa.RecordBatch.from_pylist([{"l_ids": list(range(40)), "l_mat": left.tobytes(), "r_ids": list(range(at, at + 80)), "r_mat": right[at: at + 80].tobytes()} for at in range(0, 1600, 80)])
+    sent = [r for b in similarity._score(None, k, False, False, False, True, False, 6)([batch]) for r in zip(*[c.to_pylist() for c in b.columns])]
+    sims = np.round(similarity.unit_rows(left) @ similarity.unit_rows(right).T, 6)
+    for i in range(40):
+        want = sorted((-sims[i, j], j) for j in range(1600) if i != j)[:k]
+        assert sorted((-s, j) for x, j, s in sent if x == i)[:k] == want
+    assert len(sent) < 40 * k * 20 / 3
+
+
 def test_containment_meets_on_rare_grams(spark):
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abC é") for _ in range(rng.randint(0, 9)))

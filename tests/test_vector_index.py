@@ -81,3 +81,14 @@ def test_centres_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(vector_index, "MOST_CELLS", 3)
     index = VectorIndex.build(frame(spark, np.random.default_rng(3).normal(size=(80, 4))), scratch_path(spark, "index"))
     assert len(index.centres[4]) <= 3
+
+
+def test_a_search_of_all_cells_sends_each_query_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = frame(spark, rng.normal(size=(90, 5)))
+    index = VectorIndex.build(df, scratch_path(spark, "index"), cells=9)
+    sent = []
+    real = vector_index.similarity_join
+    monkeypatch.setattr(vector_index, "similarity_join", lambda asked, *a, **kw: (sent.append(asked.count()), real(asked, *a, **kw))[1])
+    assert index.search(df, 3, probes=None).count() == 270 and index.search(df, 3, probes=100).count() == 270
+    assert sent == [90, 90]
