@@ -37,11 +37,12 @@ def factor_for(country: Column | str, quantity: Column | str, factors: Sequence[
 
 def join_factors(df: DataFrame, factors: DataFrame, *, country: str = "country", quantity: str = "quantity",
                  default: float = fixed.DEFAULT_FACTOR) -> DataFrame:
-    """The same lookup against a factor table: tiers are packed per country, so one equi join replaces a range join."""
+    """The same lookup against a factor table: tiers are packed per country, so one equi join replaces a range join.
+    The tiers are one row per country and are broadcast: by country the rows would gather in as many tasks as there are countries."""
     tiers = factors.groupBy("country").agg(F.array_sort(F.collect_list(F.struct("quantity_min", "factor"))).alias("_tiers"))
     known = tiers.select(F.col("country").alias("_key"), "_tiers")
     home = tiers.where(F.col("country") == "BR").select(F.lit("BR").alias("_home"), F.col("_tiers").alias("_home_tiers"))
-    joined = df.join(known, F.col(country) == F.col("_key"), "left").withColumn("_home", F.lit("BR")).join(home, "_home", "left")
+    joined = df.join(F.broadcast(known), F.col(country) == F.col("_key"), "left").withColumn("_home", F.lit("BR")).join(F.broadcast(home), "_home", "left")
     reached = F.filter(F.coalesce("_tiers", "_home_tiers"), lambda t: t["quantity_min"] <= F.col(quantity))
     best = F.try_element_at(reached, F.lit(-1))["factor"].cast("double")
     return joined.withColumn("factor", F.coalesce(best, F.lit(default))).drop("_key", "_tiers", "_home", "_home_tiers")

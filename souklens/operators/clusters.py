@@ -32,6 +32,19 @@ def _places(ids: np.ndarray, some: np.ndarray) -> np.ndarray:
     return order[np.searchsorted(ids, some, sorter=order)]
 
 
+def _only_live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles cut down to the ids and vectors of their live rows, which are all that a round has to send."""
+    for batch in batches:
+        ids, mats = [], []
+        for i in range(batch.num_rows):
+            own = batch["ids"][i].values
+            at = _places(own.to_numpy(zero_copy_only=False), batch["live"][i].values.field("id").to_numpy(zero_copy_only=False))
+            ids.append(own.take(pa.array(at)))
+            mats.append(np.frombuffer(batch["mat"][i].as_py(), dtype="<f4").reshape(len(own), -1)[at].tobytes())
+        kept = {"ids": pa.array([x.to_pylist() for x in ids], batch.schema.field("ids").type), "mat": pa.array(mats, pa.binary())}
+        yield pa.RecordBatch.from_arrays([kept.get(c, batch[c]) for c in batch.schema.names], names=batch.schema.names)
+
+
 def _blockers(threshold: float):
     """Task function: for every undecided left row of a tile pair, whether it lies near a new leader, and its smallest undecided smaller neighbour."""
 
@@ -84,7 +97,7 @@ def leader_clusters(df: DataFrame, threshold: float = 0.70, *, ident: str = "id"
     the threshold. The leaders are the lexicographically first maximal independent set of the
     similarity graph, found in rounds: a row with no smaller undecided neighbour leads, and whatever lies
     near a leader is settled. Equal vectors are collapsed to their first row and packed into tiles, which are written once; beside them each
-    round carries the ids that are still undecided or have just become leaders, and only those rows meet. One pass of a round
+    round carries the ids that are still undecided or have just become leaders, and only those rows are sent and meet. One pass of a round
     asks both questions, a row's smallest undecided neighbour being enough for the first, so the pairs inside a dense group are
     never written out. Rounds go on until no row is undecided; each settles at least the smallest undecided row of every connected group.
     """
@@ -101,6 +114,7 @@ def leader_clusters(df: DataFrame, threshold: float = 0.70, *, ident: str = "id"
         new = now.where("leads")
         live = now.join(new.select(F.col("id").alias("low")), "low", "left_anti").groupBy("block", "tile").agg(F.collect_list(F.struct("id", "leads")).alias("live"))
         alive = tiles.join(live, ["block", "tile"])
+        alive = alive.mapInArrow(_only_live, alive.schema)
         said = meet(alive, alive).drop("block", "tile").mapInArrow(_blockers(threshold), f"id {kind}, near boolean, low {kind}")
         told = said.groupBy("id").agg(F.max("near").alias("near"), F.min("low").alias("low"))
         undecided = live.select("block", "tile", F.explode("live").alias("r")).where("not r.leads").select("block", "tile", "r.id")
@@ -110,7 +124,8 @@ def leader_clusters(df: DataFrame, threshold: float = 0.70, *, ident: str = "id"
         left = open_.get["n"]
         found.append(now.where("leads"))
     leads = reduce(DataFrame.unionByName, found).groupBy("block", "tile").agg(F.collect_list(F.struct("id", "leads")).alias("live"))
-    near = meet(tiles, tiles.join(leads, ["block", "tile"])).drop("block", "tile").mapInArrow(
+    led = tiles.join(leads, ["block", "tile"])
+    near = meet(tiles, led.mapInArrow(_only_live, led.schema)).drop("block", "tile").mapInArrow(
         _smallest_leader(threshold), f"id {kind}, leader_id {kind}")
     heads = near.groupBy("id").agg(F.min("leader_id").alias("leader_id"))
     reps = rows.withColumnRenamed("id", "rep").join(heads.withColumnRenamed("id", "rep"), "rep").drop("rep")

@@ -24,7 +24,7 @@ from souklens.operators.hashes import close_hashes, useful
 TILE_ROWS = 512
 TILES_PER_SLOT = 16  # at least, and MOST_TILES or SLOT_BYTES at most: every tile is sent to each slot of the other side
 MOST_TILES, SLOT_BYTES = 256, 1 << 25
-SLOTS = 12  # of a side, before its slots get more than TILES_PER_SLOT tiles; they leave work for its square of tasks
+SLOTS = 8  # of a side, before its slots get more than TILES_PER_SLOT tiles; they leave work for its square of tasks
 
 
 def _vector_rows(df: DataFrame, ident: str, vec: str, block: str | None, differ: str | None) -> DataFrame:

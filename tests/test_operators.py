@@ -271,7 +271,15 @@ def test_exploded_hashes_are_never_broadcast(spark, monkeypatch, heavy):
 
 def test_slots_grow_slower_than_tiles(spark):
     counts = spark.createDataFrame([("64", 1), ("64", 40), ("64|a", 2270), ("64", 24000), ("4096", 2270)], "block string, parts int")
-    assert [r.slots for r in counts.select(similarity.slot_count().alias("slots")).collect()] == [1, 3, 12, 94, 142]
+    assert [r.slots for r in counts.select(similarity.slot_count().alias("slots")).collect()] == [1, 3, 9, 94, 142]
+
+
+def test_a_round_of_leaders_sends_live_rows_only():
+    import pyarrow as pa
+    mat = np.arange(12, dtype="<f4").reshape(4, 3)
+    batch = pa.RecordBatch.from_pylist([{"ids": [7, 3, 9, 5], "mat": mat.tobytes(), "live": [{"id": 5, "leads": False}, {"id": 7, "leads": True}]}])
+    cut = next(clusters._only_live(iter([batch])))
+    assert cut["ids"].to_pylist() == [[5, 7]] and cut["mat"].to_pylist() == [mat[[3, 0]].tobytes()] and cut["live"] == batch["live"]
 
 
 def test_later_tiles_send_only_what_can_be_among_the_best():
@@ -288,6 +296,14 @@ def test_later_tiles_send_only_what_can_be_among_the_best():
     assert len(sent) < 40 * k * 20 / 3
 
 
+def test_factors_move_no_rows(spark):
+    from souklens.functions.market import join_factors
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'BR', 'XX') as country", "cast(id as int) as quantity")
+    found = join_factors(rows, spark.createDataFrame([("BR", 1, 3.0), ("BR", 500, 2.0)], "country string, quantity_min int, factor double"))
+    assert "ShuffledHashJoin" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+    assert {r.id: r.factor for r in found.where("id in (0, 499, 500, 999)").collect()} == {0: 3.5, 499: 3.0, 500: 2.0, 999: 2.0}
+
+
 def test_containment_meets_on_rare_grams(spark):
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abC é") for _ in range(rng.randint(0, 9)))
