@@ -56,7 +56,8 @@ def ranked_products(suppliers: DataFrame, titles: DataFrame | None = None) -> Da
 
     ``titles`` (title, title_pt) adds translations where the product has none of its own.
     """
-    rows = suppliers.withColumn("_p", F.from_json("top_products_json", TOP_PRODUCTS)).select(
+    # Rows of a compact file come in one task; the first-row aggregate sorts what a task has, so they are dealt to many first.
+    rows = suppliers.hint("rebalance").withColumn("_p", F.from_json("top_products_json", TOP_PRODUCTS)).select(
         *[c for c in suppliers.columns if c != "top_products_json"], F.posexplode("_p").alias("_pos", "p"))
     link = F.coalesce("p.source_url", "p.image_url", "supplier_name")
     once = dedupe_by(rows, [link, "p.price"], F.struct("rank_position", "supplier_key", "_pos"))

@@ -296,6 +296,21 @@ def test_later_tiles_send_only_what_can_be_among_the_best():
     assert len(sent) < 40 * k * 20 / 3
 
 
+def test_repeated_rules_are_dropped_before_they_are_sorted(spark):
+    rules = spark.range(1000).selectExpr("concat('L', id % 2) as l1", "1L as position", "concat('s', id % 5) as substring", "'a' as l2", "'b' as l3").distinct()
+    df = spark.createDataFrame([("x s3 y", "L1", "o", "o"), ("none", "L0", "o", "o")], "title string, category_l1 string, category_l2 string, category_l3 string")
+    found = classify.classify_by_table(df, rules)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert any("count(1)" in line and "substring" in line for line in plan.splitlines() if "Aggregate" in line)
+    assert sorted(tuple(r) for r in found.collect()) == [("none", "L0", "o", "o"), ("x s3 y", "L1", "a", "b")]
+
+
+def test_ranked_products_are_dealt_to_many_tasks(spark):
+    s = spark.createDataFrame([(1, "n", "r", "L", 1, "c1", '[{"title": "t", "price": "2", "source_url": "u"}]')], "supplier_key long, supplier_name string, region string, category_label string, rank_position int, category_id string, top_products_json string")
+    found = merge.ranked_products(s)
+    assert "RebalancePartitions" in found._jdf.queryExecution().optimizedPlan().toString() and [r.title for r in found.collect()] == ["t"]
+
+
 def test_factors_move_no_rows(spark):
     from souklens.functions.market import join_factors
     rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'BR', 'XX') as country", "cast(id as int) as quantity")
