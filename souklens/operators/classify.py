@@ -92,7 +92,9 @@ def classify_by_table(df: DataFrame, rules: DataFrame, *, l1: str = "category_l1
     """Like ``classify_by_dict`` with the rules as a table (l1, position, substring, l2, l3) of any size: the substrings that occur in the
     distinct titles come from one gram join, and of the rules of a row's L1 the first by position counts."""
     text = F.lower(F.coalesce(col(title), F.lit("")))
-    known = rules.where(F.col("substring").isNotNull()).groupBy(F.col("l1").alias("_l1"), "substring").agg(F.min(F.struct("position", "l2", "l3")).alias("rule"))
+    # Repeats are dropped by hash first, and counted, as Spark leaves a plain distinct out below a minimum, which sorts all rows of a task.
+    once = rules.where(F.col("substring").isNotNull()).groupBy("l1", "substring", "position", "l2", "l3").agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    known = once.groupBy(F.col("l1").alias("_l1"), "substring").agg(F.min(F.struct("position", "l2", "l3")).alias("rule"))
     wanted = df.select(text.alias("_text"), F.col(l1).alias("_l1")).distinct()
     occur = contained(wanted.select("_text").distinct(), "_text", known.select("substring").distinct(), "substring")
     first = wanted.join(occur, "_text").join(known, ["_l1", "substring"]).groupBy("_text", "_l1").agg(F.min("rule").alias("_r"))
