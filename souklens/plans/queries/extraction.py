@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from souklens.operators import extract as x
 from souklens.plans.registry import query
+from souklens.session import dealt
 
 
 def pages(c, markup: str, name: str = "html"):
-    return c.table("part").selectExpr("p_partkey as page_id", f"{markup} as {name}")
+    return dealt(c.table("part"), "p_partkey").selectExpr("p_partkey as page_id", f"{markup} as {name}")
 
 
 ASIN = "concat('B', lpad(cast(p_partkey as {s}), 9, '0'))"
@@ -20,7 +21,7 @@ MLB_S, MLB_D = [f"concat('MLB', lpad(cast(p_partkey as {s}), 8, '0'))" for s in
 @query("x01_extract_amazon_cards", """select p_partkey as page_id, lpad(cast(p_partkey as varchar), 10, '0') as asin,
     nullif(p_size, -1)::bigint as sales, cast(p_partkey % 50 as bigint) as reviews from part where p_size <> 0 or p_partkey % 50 <> 0""")
 def _(c):
-    return x.extract_amazon_cards(c.view("market_pages"))
+    return x.extract_amazon_cards(dealt(c.view("market_pages"), "page_id"))
 
 
 @query("x02_extract_ml_cards", f"""select p_partkey as page_id, {MLB_D} as platform_id,

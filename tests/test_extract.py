@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from souklens.operators import extract as x
+from souklens.plans.registry import all_queries, runner
 
 
 def page(spark, *htmls):
@@ -64,3 +65,12 @@ def test_category_trail(spark):
     one, none = x.extract_category_trail(page(spark, html, "<p>")).orderBy("page_id").collect()
     assert (one.categories, one.bestsellers_url, one.node_id) == (["Casa", "Cozinha e mesa"], "https://www.amazon.com.br/gp/bestsellers/kitchen/16957125", "16957125")
     assert (none.categories, none.bestsellers_url, none.node_id) == ([], "", "")
+
+
+@pytest.mark.parametrize("name", ["x01_extract_amazon_cards", "x04_extract_amazon_grid", "x06_extract_1688_blocks", "x07_extract_json_island", "x11_extract_movers", "x14_extract_ml_grid"])
+def test_pages_of_one_compact_file_are_extracted_by_many_tasks(spark, name):
+    """The table is one file of a few row groups; its rows must not stay in the one task that reads it."""
+    out = runner(all_queries()[name])(spark, "/root/testdata/sf0.01")
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert many > 1 and len(counts) > many // 2 and max(counts) < 0.7 * sum(counts)
