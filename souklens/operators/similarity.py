@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from souklens.functions.numbers import round_half_up
 from souklens.operators.hashes import close_hashes, useful
+from souklens.session import dealt
 
 TILE_ROWS = 512
 TILES_PER_SLOT = 16  # at least, and MOST_TILES or SLOT_BYTES at most: every tile is sent to each slot of the other side
@@ -79,9 +80,9 @@ def with_slots(tiles: DataFrame) -> DataFrame:
     return tiles.join(tile_counts(tiles).select("block", slot_count().alias("slots")), "block")
 
 
-def meet(ltiles: DataFrame, rtiles: DataFrame, lcounts: DataFrame | None = None, rcounts: DataFrame | None = None) -> DataFrame:
-    """Every left tile beside every right tile of its block, their columns named l_ and r_; block and tile of the left one stay. Tiles of each
-    side are at a slot of their own and at every slot of the other side. Without counts both sides come from one table ``with_slots``."""
+def _sides(ltiles: DataFrame, rtiles: DataFrame, lcounts: DataFrame | None, rcounts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Tiles of each side at a slot of their own and at every slot of the other side, their columns named l_ and r_; block and the left
+    tile stay. Without counts both sides come from one table ``with_slots``."""
     if lcounts is None:
         ltiles, rtiles = (t.withColumns({"_ln": F.col("slots"), "_rn": F.col("slots")}).drop("slots") for t in (ltiles, rtiles))
     else:
@@ -95,14 +96,28 @@ def meet(ltiles: DataFrame, rtiles: DataFrame, lcounts: DataFrame | None = None,
         kept = ["tile"] if s == "l" else []
         return tiles.select("block", *kept, own, every, *[F.col(c).alias(f"{s}_{c}") for c in tiles.columns if c not in ("block", "tile", "_ln", "_rn")])
 
-    return side(ltiles, "l", "r").join(side(rtiles, "r", "l"), ["block", "_lslot", "_rslot"]).drop("_lslot", "_rslot")
+    return side(ltiles, "l", "r"), side(rtiles, "r", "l")
+
+
+def meet(ltiles: DataFrame, rtiles: DataFrame, lcounts: DataFrame | None = None, rcounts: DataFrame | None = None) -> DataFrame:
+    """Every left tile beside every right tile of its block, as ``_sides`` names them."""
+    left, right = _sides(ltiles, rtiles, lcounts, rcounts)
+    return left.join(right, ["block", "_lslot", "_rslot"]).drop("_lslot", "_rslot")
+
+
+def _gathered(ltiles: DataFrame, rtiles: DataFrame, lcounts: DataFrame, rcounts: DataFrame) -> DataFrame:
+    """The tiles that meet in a slot follow each other, the left ones first: a tile reaches the task once and not for every pair that it is in."""
+    left, right = _sides(ltiles, rtiles, lcounts, rcounts)
+    both = left.drop("tile").withColumn("_right", F.lit(False)).unionByName(right.withColumn("_right", F.lit(True)), allowMissingColumns=True)
+    at = ["block", "_lslot", "_rslot"]
+    return dealt(both, *at).sortWithinPartitions(*at, "_right")
 
 
 def join_tiles(ltiles: DataFrame, rtiles: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """(left_id, right_id, similarity, rank): the ``k`` best right rows of every left row, of tables of tiles."""
     out = T.StructType([T.StructField("left_id", ltiles.schema["ids"].dataType.elementType), T.StructField("right_id", rtiles.schema["ids"].dataType.elementType),
                         T.StructField("similarity", T.DoubleType())])
-    met = meet(ltiles, rtiles, tile_counts(ltiles), tile_counts(rtiles)).drop("block", "tile")
+    met = _gathered(ltiles, rtiles, tile_counts(ltiles), tile_counts(rtiles))
     pairs = met.mapInArrow(_score(threshold, k, False, False, False, True, False, 6), out)
     best = W.partitionBy("left_id").orderBy(F.desc("similarity"), F.asc("right_id"))
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -123,85 +138,120 @@ def unit_rows(mat: np.ndarray) -> np.ndarray:
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
 
+class _Tile:
+    """One side of a tile pair: ids, groups, float32 rows and their lengths, and of a left tile the k best similarities so far."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int, side: str, k: int | None = None):
+        ids = batch.column(f"{side}_ids")[at].values
+        self.ids = ids.to_numpy(zero_copy_only=False)
+        self.grps = batch.column(f"{side}_grps")[at].values if f"{side}_grps" in batch.schema.names else None
+        self.mat = np.frombuffer(batch.column(f"{side}_mat")[at].as_py(), dtype="<f4").reshape(len(ids), -1)
+        self.length = np.linalg.norm(self.mat.astype("f8"), axis=1, keepdims=True)
+        self.short = self.unit().astype("f4")
+        self.top = None if k is None else np.full((len(ids), k), -np.inf)
+
+    def unit(self, at=slice(None)) -> np.ndarray:
+        return self.mat[at].astype("f8") / self.length[at]
+
+    def groups(self) -> np.ndarray:
+        return self.grps.to_numpy(zero_copy_only=False)
+
+
 def _score(threshold, k, smallest, smaller_right, differ, skip_equal, ordered, digits, tiers=0):
-    """Task function: one matrix product per tile pair, best pairs out.
+    """Task function: one matrix product per tile pair, best pairs out. Rows are tiles as ``_gathered``, or pairs of tiles as ``meet`` gives them.
 
-    Tiles of a slot follow each other, so of a left tile the ``k`` best of each row so far are known, and only what reaches the worst of
+    Of a left tile the ``k`` best of each row so far are known, and only what reaches the worst of
     them is looked at: single precision says where, within its error, and the products of those pairs are made again in double.
     """
+    least = -np.inf if threshold is None else threshold
+    kept = None if smallest or tiers else k
+
+    def pair(left: _Tile, right: _Tile) -> Iterator[pa.RecordBatch]:
+        lid, rid, top = left.ids, right.ids, left.top
+        if tiers or smallest or least == -np.inf and (top is None or (top[:, -1] == -np.inf).any()):
+            sims = np.round(left.unit() @ right.unit().T, digits) + 0.0
+            keep = sims >= least
+        else:
+            low = np.full(len(lid), least) if top is None else np.maximum(least, top[:, -1])
+            slack = 10.0 ** -digits + 1e-6 + 2e-7 * left.mat.shape[1]
+            sims, keep = None, left.short @ right.short.T >= (low - slack).astype("f4")[:, None]
+        if sims is None:
+            live = np.flatnonzero(keep.any(axis=1))
+            li, ri = np.nonzero(keep[live])
+            li = live[li]
+            found = np.concatenate([np.round((left.unit(li[a: a + 65536]) * right.unit(ri[a: a + 65536])).sum(axis=1), digits) + 0.0 for a in range(0, len(li), 65536)] or [np.zeros(0)])
+            fits = found >= low[li]
+            if differ:
+                fits &= (left.groups()[li] != right.groups()[ri]).astype(bool)
+            if smaller_right:
+                fits &= lid[li] > rid[ri]
+            elif ordered:
+                fits &= lid[li] < rid[ri]
+            elif skip_equal:
+                fits &= lid[li] != rid[ri]
+            li, ri, found = li[fits], ri[fits], found[fits]
+        else:
+            if differ:
+                keep &= left.groups()[:, None] != right.groups()[None, :]
+            if smaller_right:
+                keep &= lid[:, None] > rid[None, :]
+            elif ordered:
+                keep &= lid[:, None] < rid[None, :]
+            elif skip_equal:
+                keep &= lid[:, None] != rid[None, :]
+            if tiers:
+                yield from _tiered(lid, rid, sims, keep, left.grps.to_pylist(), right.grps.to_pylist(), tiers)
+                return
+            if smallest:
+                by_id = np.argsort(rid, kind="stable")
+                first = by_id[np.argmax(keep[:, by_id], axis=1)]
+                hit = keep.any(axis=1)
+                keep = np.zeros_like(keep)
+                keep[np.nonzero(hit)[0], first[hit]] = True
+            elif k is not None and k < len(rid):
+                worst = np.partition(np.where(keep, sims, -np.inf), len(rid) - k, axis=1)[:, len(rid) - k]
+                keep &= sims >= worst[:, None]
+            li, ri = np.nonzero(keep)
+            found = sims[li, ri]
+        if top is not None and len(li):
+            # Exactly k per row, the smaller id first among equals, so copies do not multiply.
+            by_id = np.argsort(rid, kind="stable")
+            place = np.empty(len(rid), np.int64)
+            place[by_id] = np.arange(len(rid))
+            order = np.lexsort((place[ri], -found, li))
+            li, ri, found = li[order], ri[order], found[order]
+            rank = np.arange(len(li)) - np.searchsorted(li, li)
+            li, ri, found, rank = (x[rank < k] for x in (li, ri, found, rank))
+            rows, which = np.unique(li, return_inverse=True)
+            more = np.full((len(rows), top.shape[1]), -np.inf)
+            more[which, rank] = found
+            top[rows] = -np.sort(-np.hstack([top[rows], more]), axis=1)[:, :k]
+        if len(li):
+            yield pa.RecordBatch.from_arrays([pa.array(lid[li]), pa.array(rid[ri]), pa.array(found)], names=["left_id", "right_id", "similarity"])
+
+    def gathered(batch: pa.RecordBatch, now, held: list[_Tile]) -> Iterator[pa.RecordBatch]:
+        slots = list(zip(*[batch.column(c).to_pylist() for c in ("block", "_lslot", "_rslot")]))
+        for i, (slot, is_right) in enumerate(zip(slots, batch.column("_right").to_pylist())):
+            if slot != now[0]:
+                now[0] = slot
+                held.clear()
+            if not is_right:
+                held.append(_Tile(batch, i, "l", kept))
+            elif held:
+                right = _Tile(batch, i, "r")
+                for left in held:
+                    yield from pair(left, right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = -np.inf if threshold is None else threshold
-        now = None
+        now, held = [None], []
         for batch in batches:
+            if "_right" in batch.schema.names:
+                yield from gathered(batch, now, held)
+                continue
             for i in range(batch.num_rows):
-                cell = {name: batch.column(name)[i] for name in batch.schema.names}
-                rid = cell["r_ids"].values.to_numpy(zero_copy_only=False)
-                right = unit_rows(np.frombuffer(cell["r_mat"].as_py(), dtype="<f4").reshape(len(rid), -1))
-                if (this := (cell["l_ids"].as_py(), cell["l_mat"].as_py())) != now:
-                    now = this
-                    lid = cell["l_ids"].values.to_numpy(zero_copy_only=False)
-                    left = unit_rows(np.frombuffer(now[1], dtype="<f4").reshape(len(lid), -1))
-                    short = left.astype("f4")
-                    top = None if k is None or smallest or tiers else np.full((len(lid), k), -np.inf)
-                if tiers or smallest or least == -np.inf and (top is None or (top[:, -1] == -np.inf).any()):
-                    sims = np.round(left @ right.T, digits) + 0.0
-                    keep = sims >= least
-                else:
-                    low = np.full(len(lid), least) if top is None else np.maximum(least, top[:, -1])
-                    slack = 10.0 ** -digits + 1e-6 + 2e-7 * left.shape[1]
-                    sims, keep = None, short @ right.astype("f4").T >= (low - slack).astype("f4")[:, None]
-                lg, rg = (cell[f"{s}_grps"].values.to_numpy(zero_copy_only=False) for s in "lr") if differ else (None, None)
-                if sims is None:
-                    li, ri = np.nonzero(keep)
-                    found = np.concatenate([np.round((left[li[a: a + 65536]] * right[ri[a: a + 65536]]).sum(axis=1), digits) + 0.0 for a in range(0, len(li), 65536)] or [np.zeros(0)])
-                    fits = found >= low[li]
-                    if differ:
-                        fits &= (lg[li] != rg[ri]).astype(bool)
-                    if smaller_right:
-                        fits &= lid[li] > rid[ri]
-                    elif ordered:
-                        fits &= lid[li] < rid[ri]
-                    elif skip_equal:
-                        fits &= lid[li] != rid[ri]
-                    li, ri, found = li[fits], ri[fits], found[fits]
-                else:
-                    if differ:
-                        keep &= lg[:, None] != rg[None, :]
-                    if smaller_right:
-                        keep &= lid[:, None] > rid[None, :]
-                    elif ordered:
-                        keep &= lid[:, None] < rid[None, :]
-                    elif skip_equal:
-                        keep &= lid[:, None] != rid[None, :]
-                    if tiers:
-                        yield from _tiered(lid, rid, sims, keep, cell["l_grps"].as_py(), cell["r_grps"].as_py(), tiers)
-                        continue
-                    if smallest:
-                        by_id = np.argsort(rid, kind="stable")
-                        first = by_id[np.argmax(keep[:, by_id], axis=1)]
-                        hit = keep.any(axis=1)
-                        keep = np.zeros_like(keep)
-                        keep[np.nonzero(hit)[0], first[hit]] = True
-                    elif k is not None and k < len(rid):
-                        worst = np.partition(np.where(keep, sims, -np.inf), len(rid) - k, axis=1)[:, len(rid) - k]
-                        keep &= sims >= worst[:, None]
-                    li, ri = np.nonzero(keep)
-                    found = sims[li, ri]
-                if top is not None and len(li):
-                    # Exactly k per row, the smaller id first among equals, so copies do not multiply.
-                    by_id = np.argsort(rid, kind="stable")
-                    place = np.empty(len(rid), np.int64)
-                    place[by_id] = np.arange(len(rid))
-                    order = np.lexsort((place[ri], -found, li))
-                    li, ri, found = li[order], ri[order], found[order]
-                    rank = np.arange(len(li)) - np.searchsorted(li, li)
-                    li, ri, found, rank = (x[rank < k] for x in (li, ri, found, rank))
-                    more = np.full(top.shape, -np.inf)
-                    more[li, rank] = found
-                    top = -np.sort(-np.hstack([top, more]), axis=1)[:, :k]
-                if len(li):
-                    yield pa.RecordBatch.from_arrays([pa.array(lid[li]), pa.array(rid[ri]), pa.array(found)], names=["left_id", "right_id", "similarity"])
+                if (this := (batch.column("l_ids")[i].as_py(), batch.column("l_mat")[i].as_py())) != now[0]:
+                    now[0], held = this, [_Tile(batch, i, "l", kept)]
+                yield from pair(held[0], _Tile(batch, i, "r"))
 
     return run
 
@@ -252,7 +302,7 @@ def similarity_join(
     rrows = _vector_rows(right, ident, vec, block, group)
     lcounts, rcounts = _tile_counts(lrows), _tile_counts(rrows)
 
-    meetings = meet(_tiles(lrows, lcounts), _tiles(rrows, rcounts), lcounts, rcounts)
+    meetings = _gathered(_tiles(lrows, lcounts), _tiles(rrows, rcounts), lcounts, rcounts)
     out = T.StructType([
         T.StructField("left_id", lrows.schema["id"].dataType),
         T.StructField("right_id", rrows.schema["id"].dataType),
@@ -260,10 +310,9 @@ def similarity_join(
     ])
     if tiers:
         out = out.add("tier_rank", T.IntegerType())
-        found = meetings.drop("block", "tile").mapInArrow(_score(threshold, k, smallest, smaller_right, False, skip_equal, ordered, digits, tiers[1]), out)
+        found = meetings.mapInArrow(_score(threshold, k, smallest, smaller_right, False, skip_equal, ordered, digits, tiers[1]), out)
         first = W.partitionBy("left_id", "tier_rank").orderBy(F.desc("similarity"), F.asc("right_id"))
         return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") == 1).drop("rank")
-    meetings = meetings.drop("block", "tile")
     pairs = meetings.mapInArrow(_score(threshold, k, smallest, smaller_right, differ is not None, skip_equal, ordered, digits), out)
     if smallest:
         return pairs.groupBy("left_id").agg(F.min("right_id").alias("right_id"))

@@ -296,6 +296,23 @@ def test_later_tiles_send_only_what_can_be_among_the_best():
     assert len(sent) < 40 * k * 20 / 3
 
 
+def test_a_tile_is_sent_once_for_each_slot_and_not_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE_ROWS", 8)
+    rng = np.random.default_rng(3)
+    mat = rng.normal(size=(400, 6)).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist(), "xy"[i % 2]) for i, v in enumerate(mat)], "id long, embedding array<float>, platform string")
+    tiles = similarity.packed_tiles(df).cache()
+    counts = similarity.tile_counts(tiles)
+    (n, slots), = counts.select("parts", similarity.slot_count()).collect()
+    assert n > 40 and slots > 1 and similarity._gathered(tiles, tiles, counts, counts).count() == 2 * n * slots < similarity.meet(tiles, tiles, counts, counts).count() / 5
+    sims = np.round(similarity.unit_rows(mat) @ similarity.unit_rows(mat).T, 6)
+    want = {(i, j) for i in range(400) for _, j in sorted((-sims[i, j], j) for j in range(400) if i != j)[:3]}
+    for got in (similarity.similarity_join(df, df, k=3), similarity.join_tiles(tiles, tiles, 3)):
+        assert {(r.left_id, r.right_id) for r in got.collect()} == want
+    apart = similarity.similarity_join(df, df, threshold=0.8, differ="platform", ordered=True)
+    assert {(r.left_id, r.right_id) for r in apart.collect()} == {(i, j) for i in range(400) for j in range(i + 1, 400) if sims[i, j] >= 0.8 and (j - i) % 2}
+
+
 def test_repeated_rules_are_dropped_before_they_are_sorted(spark):
     rules = spark.range(1000).selectExpr("concat('L', id % 2) as l1", "1L as position", "concat('s', id % 5) as substring", "'a' as l2", "'b' as l3").distinct()
     df = spark.createDataFrame([("x s3 y", "L1", "o", "o"), ("none", "L0", "o", "o")], "title string, category_l1 string, category_l2 string, category_l3 string")
