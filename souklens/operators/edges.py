@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from souklens.functions.numbers import round_half_up
 from souklens.operators.similarity import join_tiles, packed_tiles, similarity_join, tier_keys
+from souklens.session import dealt
 
 
 def both_ways(edges: DataFrame, a: str = "product_a_id", b: str = "product_b_id", keep=("match_id", "confidence")) -> DataFrame:
@@ -141,7 +142,7 @@ def neighbours(edges: DataFrame, products: DataFrame, n: int | None = None) -> D
     """Active neighbours of every product over undirected edges, by confidence."""
     active = products.where("is_active").select(
         F.col("id").alias("to_id"), "platform", "platform_id", "title", "price", "currency", "sales_30d")
-    joined = both_ways(edges).join(active, "to_id")
+    joined = dealt(both_ways(edges), "to_id").join(active, "to_id")
     if n is None:
         return joined
     best = W.partitionBy("from_id").orderBy(F.desc("confidence"), F.asc("to_id"))

@@ -14,7 +14,7 @@ from souklens.functions.sales_text import parse_sales_cn
 from souklens.operators.edges import both_ways, joined_matches, neighbours
 from souklens.operators.history import newest, one_row
 from souklens.operators.quantiles import one_row_values
-from souklens.session import checkpointed
+from souklens.session import checkpointed, dealt
 
 def row_count() -> Column:
     return F.count(F.lit(1))
@@ -415,7 +415,7 @@ def product_report(products: DataFrame, edges: DataFrame, n: int = 10) -> DataFr
 
     Products carry sales_total and bsr_rank, either of which may be NULL.
     """
-    near = neighbours(edges, products)
+    near = dealt(neighbours(edges, products), "from_id")  # they are sorted by product, and grow faster than the products
     # The n best of a product's neighbours are counted, not fetched: their number is at most n, and the best confidence is the greatest.
     facts = near.groupBy(F.col("from_id").alias("id")).agg(
         F.countDistinct("platform_id").alias("_others"), F.least(row_count(), F.lit(n)).cast("long").alias("match_count"), F.max("confidence").alias("best_confidence"))

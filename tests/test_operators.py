@@ -328,6 +328,16 @@ def test_ranked_products_are_dealt_to_many_tasks(spark):
     assert "RebalancePartitions" in found._jdf.queryExecution().optimizedPlan().toString() and [r.title for r in found.collect()] == ["t"]
 
 
+def test_neighbours_of_a_report_are_dealt_to_many_tasks(spark):
+    from souklens.operators.reports import product_report
+    products = spark.range(4).selectExpr("id", "if(id % 2 = 0, 'amazon_br', 'ml') as platform", "concat('P', id) as platform_id", "'t' as title", "100.0D + id as price",
+                                         "'BRL' as currency", "1L as sales_30d", "10L as sales_total", "cast(null as bigint) as bsr_rank", "true as is_active")
+    found = product_report(products, spark.createDataFrame([("0-1", 0, 1, 0.5), ("0-3", 0, 3, 0.4)], "match_id string, product_a_id long, product_b_id long, confidence double"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(from_id#\d+L?, 8\), REPARTITION_BY_NUM", plan) and re.search(r"hashpartitioning\(to_id#\d+L?, 8\), REPARTITION_BY_NUM", plan)
+    assert {r.id: (r.seller_count, r.match_count) for r in found.collect()} == {0: (3, 2), 1: (2, 1), 2: (1, 0), 3: (2, 1)}
+
+
 def test_factors_move_no_rows(spark):
     from souklens.functions.market import join_factors
     rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'BR', 'XX') as country", "cast(id as int) as quantity")
