@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from souklens.llm import toxicity
+from souklens.llm.common import BATCH, BATCH_ROWS, small_batches
 from souklens.llm.queries import ORACLES, QUERIES
 from tests.compare import connect, difference
 from tests.llm.test_near_copies import near_roots
@@ -85,3 +86,23 @@ def test_queries_answer_every_row(spark, name):
     n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
     many = {"op1_ann": 50, "op11_ranked": 400, "op13_negatives": None}  # searches and pairs
     assert out.count() == many.get(name, n) or many.get(name, n) is None
+
+
+def test_every_stage_has_texts_sent_in_small_batches(spark, corpus):
+    """A batch of 10,000 texts took an executor over its memory in the check."""
+    import pyarrow as pa
+
+    d, _, _ = corpus
+    before = spark.conf.get(BATCH)
+    rows = spark.range(0, 2 * BATCH_ROWS + 5, 1, 1)
+    largest = lambda: max(r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect())
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(BATCH)
+            stage(spark, spark.read.parquet(f"{d}/documents.parquet").limit(20), d)
+            assert largest() <= BATCH_ROWS
+        spark.conf.set(BATCH, 300)  # a smaller choice of the session stays
+        small_batches(spark)
+        assert spark.conf.get(BATCH) == "300" and largest() <= 300
+    finally:
+        spark.conf.set(BATCH, before)
