@@ -11,6 +11,7 @@ from souklens.session import scratch_path, shared_dir
 from souklens.sources import files
 from souklens.streaming import streams as st
 from souklens.streaming.folders import MergedFolders, reduced_stream
+from souklens.streaming.gaps import SLOTS
 
 LINEITEM = "/root/testdata/sf0.001/lineitem.parquet"
 
@@ -118,6 +119,19 @@ def test_late_requests_are_dropped_and_empty_streams_give_none(spark):
     assert sorted(r.event_id for r in got.collect()) == [0, 1]
 
 
+def test_exact_dedup_keeps_state_by_slots_of_keys(spark):
+    """The state of every key by itself took several calls a key and more than half the run."""
+    path, out = scratch_path(spark, "requests"), scratch_path(spark, "r")
+    requests = [(i, float("nan") if i % 3000 == 1 else None if i % 3000 == 2 else float(i % 3000), b"b" if i % 2 else None, i % 1700) for i in range(6000)]
+    spark.createDataFrame(requests, "event_id long, q double, r binary, s int").selectExpr(
+        "event_id", "q", "r", "timestamp_seconds(1700000000 + s) as ts").repartition(2).write.parquet(path)
+    got = st.dedup_requests_exact(st.read_files(spark, path, "event_id long, q double, r binary, ts timestamp", 1), ["q", "r"], out, seconds=300, late="10 minutes")
+    want = _by_hand([(i, (str(q), r), s) for i, q, r, s in requests], 300)
+    assert sorted((((str(x.q), x.r and bytes(x.r)), x.event_id) for x in got.collect()), key=str) == want
+    timers = spark.read.format("statestore").option("path", f"{out}/progress").option("stateVarName", "timer").load()
+    assert 0 < timers.count() <= SLOTS
+
+
 def _counted(spark, n):
     path = scratch_path(spark, "many")
     for i in range(n):
