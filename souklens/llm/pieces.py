@@ -59,7 +59,7 @@ class Recent(dict):
 class Transducer:
     """The compiled model. Unigram and BPE models with byte fallback and the identity normaliser are taken; others raise."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, remembered: int = PARTS):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto.FromString(model)
@@ -86,9 +86,9 @@ class Transducer:
         for b, i in self.byte.items():
             self.text[i] = chr(b if b < 128 else 0xDC00 + b)
         self.within, self.parts = self._cuts()
-        self.adjacent = Recent(self._adjacent_weight, PAIRS) if kind == BPE else None
-        self.paths = Recent(self._shortest_path, PARTS)
-        self.words = Recent(self._word_path, WORDS)
+        self.adjacent = Recent(self._adjacent_weight, min(PAIRS, remembered)) if kind == BPE else None
+        self.paths = Recent(self._shortest_path, remembered)
+        self.words = Recent(self._word_path, min(WORDS, remembered))
 
     def _cuts(self):
         """Functions that cut a marked word, and a marked text, into parts that no piece crosses: before a run of marks, and
@@ -225,16 +225,17 @@ class Transducer:
 
 
 @lru_cache(maxsize=2)
-def _compiled(model: bytes) -> Transducer:
-    return Transducer(model)
+def _compiled(model: bytes, remembered: int = PARTS) -> Transducer:
+    return Transducer(model, remembered)
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, remembered: int = PARTS) -> DataFrame:
     """(doc_id, ids, round_trip): one row per input row; ids equal those of the model's own library.
 
+    ``remembered`` bounds the entries of a generation of each table that a worker keeps; fewer take less memory and more time.
     round_trip tells that decoding gives the text back (the mark U+2581 itself decodes as a space, as the model defines).
     NULL gives NULL ids and a true round trip, the empty text no ids. The model is read on the driver and sent as it is (its
     size is fixed); columns other than the two named are not read.
@@ -243,7 +244,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         known = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wfst = _compiled(known.value)
+        wfst = _compiled(known.value, remembered)
         for batch in slices(batches):
             texts = batch["text"].to_pylist()
             ids = [None if t is None else wfst.encode(t) for t in texts]

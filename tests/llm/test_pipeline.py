@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from souklens.llm import toxicity
+from souklens.llm import pieces, toxicity
 from souklens.llm.common import BATCH, BATCH_ROWS, small_batches
 from souklens.llm.queries import ORACLES, QUERIES
 from tests.compare import connect, difference
@@ -106,3 +106,16 @@ def test_every_stage_has_texts_sent_in_small_batches(spark, corpus):
         assert spark.conf.get(BATCH) == "300" and largest() <= 300
     finally:
         spark.conf.set(BATCH, before)
+
+
+def test_encoder_with_few_remembered_parts_gives_the_same_pieces(spark, corpus):
+    """Its tables of 250,000 parts and pairs took an executor over its memory in the check of the pipeline."""
+    d, texts, _ = corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = lambda df: sorted((r.doc_id, r.ids, r.round_trip) for r in df.collect())
+    assert rows(pieces.encode(docs, remembered=5)) == rows(pieces.encode(docs))
+    with open(pieces.MODEL, "rb") as f:
+        small = pieces.Transducer(f.read(), 5)
+    for t in texts:
+        small.encode(t or "")
+    assert all(len(t) <= 5 and len(t.old) <= 5 for t in (small.adjacent, small.paths, small.words))
