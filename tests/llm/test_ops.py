@@ -232,6 +232,34 @@ def test_redaction_keeps_rows_and_other_columns(spark):
     assert secrets.redact(docs_of(spark, [])).count() == 0 and secrets.secret_spans(docs_of(spark, [])).count() == 0
 
 
+def test_every_token_of_a_text_has_all_decoys():
+    """A text of many tokens was given fewer decoys for each; results don't depend on what is tested in one pass."""
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=rng.choice([20, 40, 76]))) + " some words" for _ in range(300))
+    whole = secrets.tested_spans(text)
+    assert len(whole) == 300 and all(len(s["decoys"]) == secrets.DECOYS for s in whole)
+    for s in whole[:40]:
+        token, around = text[s["start"]: s["end"]], (text[max(0, s["start"] - secrets.AROUND): s["start"]], text[s["end"]: s["end"] + secrets.AROUND])
+        name, alphabet = secrets.encoding_of(token)
+        made = secrets.decoys([w for part in around for w in secrets.WORD.findall(part)], name, len(token))
+        assert s["bin"] == secrets.p_bin(secrets.randomness(token)[1])
+        assert s["decoys"] == [secrets.p_bin(secrets.battery(d[None, :], alphabet)[0]) for d in made]
+
+
+def test_tokens_that_a_pattern_matches_in_part_are_tested_and_redacted_whole(spark):
+    rng = random.Random(6)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    random_of = lambda k: "".join(rng.choices(alphabet, k=k))
+    keys = [random_of(100) + "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16)) + random_of(100) for _ in range(40)]
+    keys += [random_of(400) + "".join(rng.choices("0123456789abcdef", k=24)) + random_of(400) for _ in range(40)]
+    docs = docs_of(spark, [f"the value {k} stands here" for k in keys])
+    found = {r.doc_id: {(s["start"], s["end"]) for s in r.spans if s["kind"] == "random"} for r in secrets.secret_spans(docs).collect()}
+    assert sum(found[i] == {(10, 10 + len(k))} for i, k in enumerate(keys)) >= 60
+    assert all(any(s["kind"] in ("access", "hex") for s in secrets.tested_spans(f"the value {k} stands here")) for k in keys)
+    left = [r.text for r in secrets.redact(docs).collect()]
+    assert sum(t == "the value [SECRET] stands here" for t in left) >= 60
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------------------
 
 def test_pieces_equal_the_library(spark):
