@@ -6,12 +6,15 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window as W, functions as F
 
-from souklens.operators.similarity import meet, packed_tiles, unit_rows, with_slots
+from souklens.operators.similarity import TILE_ROWS, TILES_PER_SLOT, meet, packed_tiles, tile_counts, unit_rows, with_slots
 from souklens.session import checkpointed
 
+PREFIX = 1000  # undecided rows of a block that are scanned in one task; Spark keeps so many of a window in each task before the shuffle
+
 # Words a suggested cluster name leaves out (fixed values).
 NAME_STOPWORDS = [
     "de", "para", "com", "em", "o", "a", "os", "as", "um", "uma",
@@ -73,6 +76,77 @@ def _blockers(threshold: float):
     return run
 
 
+def first_leaders(mat: np.ndarray, threshold: float) -> np.ndarray:
+    """Places of the leaders among rows in the order of the scan."""
+    leads = np.zeros(0, np.int64)
+    for a in range(0, len(mat), 256):
+        own = a + np.flatnonzero(~similar(mat[a: a + 256], mat[leads], threshold).any(axis=1))
+        near = similar(mat[own], mat[own], threshold)
+        taken = np.zeros(len(own), bool)
+        for i in range(len(own)):
+            if not taken[i]:
+                taken[i + 1:] |= near[i, i + 1:]
+        leads = np.concatenate([leads, own[~taken]])
+    return leads
+
+
+def _near_any(threshold: float):
+    """Task function: the rows of a tile that lie near one of the leaders beside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, mat, leads = batch["ids"][i].values, batch["mat"][i].as_py(), batch["leads_mat"][i].as_py()
+                left = np.frombuffer(mat, dtype="<f4").reshape(len(ids), -1)
+                near = similar(left, np.frombuffer(leads, dtype="<f4").reshape(-1, left.shape[1]), threshold).any(axis=1)
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(near))], names=["id"])
+
+    return run
+
+
+def _scanned(rows: DataFrame, tiles: DataFrame, undecided: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(block, tile, id) of the leaders among the PREFIX smallest undecided rows of every block, and of what is undecided after them."""
+    at = undecided.schema
+    rank = F.row_number().over(W.partitionBy("block").orderBy("id"))
+    first = undecided.withColumn("rank", rank).where(F.col("rank") <= PREFIX)
+
+    def scan(some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values("rank")
+        mat = np.stack(some["vec"].to_numpy()).astype("<f4")
+        leads = first_leaders(mat, threshold)
+        return some.iloc[leads][["block", "tile", "id"]].assign(vec=[mat[i].tobytes() for i in leads])
+
+    led = checkpointed(first.join(rows.select("id", F.col("vec").cast("array<float>").alias("vec")), "id").groupBy("block").applyInPandas(
+        scan, f"block string, tile int, id {at['id'].dataType.simpleString()}, vec binary"))
+    # The leaders of a block are one buffer, which goes to each group of its tiles.
+    groups = tile_counts(tiles).select("block", F.ceil(F.col("parts") / TILES_PER_SLOT).cast("int").alias("groups"))
+    packs = led.groupBy("block").agg(F.array_join(F.transform(F.collect_list("vec"), F.hex), "").alias("m")).select("block", F.unhex("m").alias("leads_mat"))
+    packs = packs.join(groups, "block").select("block", "leads_mat", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("_group"))
+    live = undecided.groupBy("block", "tile").agg(F.collect_list(F.struct("id")).alias("live"))
+    alive = tiles.select("block", "tile", "ids", "mat").join(live, ["block", "tile"])
+    alive = alive.mapInArrow(_only_live, alive.schema).join(groups, "block").withColumn("_group", F.pmod("tile", "groups").cast("int"))
+    near = alive.join(packs, ["block", "_group"]).select("ids", "mat", "leads_mat").mapInArrow(_near_any(threshold), f"id {at['id'].dataType.simpleString()}")
+    settled = near.unionByName(led.select("id"))
+    return led.drop("vec"), checkpointed(undecided.join(settled, "id", "left_anti").select("block", "tile", "id"))
+
+
+def _single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, mat = batch["ids"][i].values, batch["mat"][i].as_py()
+            width = len(mat) // max(1, len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array([batch["block"][i].as_py()] * len(ids), pa.string()), ids, pa.array([mat[a: a + width] for a in range(0, len(mat), width)], pa.binary())], names=["block", "id", "vec"])
+
+
+def _full_tiles(tiles: DataFrame) -> DataFrame:
+    """Tiles of few rows as tiles of TILE_ROWS, all of whose rows are live."""
+    rows = checkpointed(tiles.select("block", "ids", "mat").mapInArrow(_single_rows, f"block string, id {tiles.schema['ids'].dataType.elementType.simpleString()}, vec binary"))
+    counts = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("parts"))
+    packed = rows.join(counts, "block").groupBy("block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("tile")).agg(F.collect_list(F.struct("id", "vec")).alias("m"))
+    mat = F.unhex(F.array_join(F.transform("m.vec", F.hex), ""))
+    return packed.select("block", "tile", F.col("m.id").alias("ids"), mat.alias("mat"), F.transform("m.id", lambda x: F.struct(x.alias("id"))).alias("live"))
+
+
 def _smallest_leader(threshold: float):
     """Task function: the smallest live right row near every left row."""
 
@@ -95,8 +169,9 @@ def leader_clusters(df: DataFrame, threshold: float = 0.70, *, ident: str = "id"
 
     Scanning by id, an unassigned row leads a cluster and takes every later unassigned row at or above
     the threshold. The leaders are the lexicographically first maximal independent set of the
-    similarity graph, found in rounds: a row with no smaller undecided neighbour leads, and whatever lies
-    near a leader is settled. Equal vectors are collapsed to their first row and packed into tiles, which are written once; beside them each
+    similarity graph. At first the smallest undecided rows of each block are scanned as they stand, and what lies near their leaders is settled;
+    where rows have many neighbours few leaders settle nearly all, and rows meet leaders only. When that leaves more than half undecided, all
+    the others are judged in rounds: a row with no smaller undecided neighbour leads, and whatever lies near a leader is settled. Equal vectors are collapsed to their first row and packed into tiles, which are written once; beside them each
     round carries the ids that are still undecided or have just become leaders, and only those rows are sent and meet. One pass of a round
     asks both questions, a row's smallest undecided neighbour being enough for the first, so the pairs inside a dense group are
     never written out. Rounds go on until no row is undecided; each settles at least the smallest undecided row of every connected group.
@@ -106,9 +181,19 @@ def leader_clusters(df: DataFrame, threshold: float = 0.70, *, ident: str = "id"
     rows = checkpointed(usable.groupBy("vec", *key).agg(F.min("id").alias("id")))
     kind = rows.schema["id"].dataType.simpleString()
     tiles = checkpointed(with_slots(packed_tiles(rows, vec="vec", block=block).drop("grps")))
-    now = tiles.select("block", "tile", F.explode("ids").alias("id"), F.lit(False).alias("leads"), F.lit(None).cast(kind).alias("low"))
+    undecided = checkpointed(tiles.select("block", "tile", F.explode("ids").alias("id")))
     found: list[DataFrame] = []
-    left = 1
+    left = undecided.count()
+    scanning = left > 0 and rows.groupBy("id").agg(F.count("*").alias("n")).where("id is null or n > 1").isEmpty()  # a scan needs an order of its rows
+    while scanning and left:
+        before = left
+        led, undecided = _scanned(rows, tiles, undecided, threshold)
+        found.append(led.withColumns({"leads": F.lit(True), "low": F.lit(None).cast(kind)}))
+        left = undecided.count()
+        scanning = left <= before / 2
+    now = undecided.withColumns({"leads": F.lit(False), "low": F.lit(None).cast(kind)})
+    if not found and not left:
+        found.append(now)
     while left:
         # A row whose smallest undecided neighbour has become a leader lies near it.
         new = now.where("leads")
@@ -125,7 +210,8 @@ def leader_clusters(df: DataFrame, threshold: float = 0.70, *, ident: str = "id"
         found.append(now.where("leads"))
     leads = reduce(DataFrame.unionByName, found).groupBy("block", "tile").agg(F.collect_list(F.struct("id", "leads")).alias("live"))
     led = tiles.join(leads, ["block", "tile"])
-    near = meet(tiles, led.mapInArrow(_only_live, led.schema)).drop("block", "tile").mapInArrow(
+    led = checkpointed(_full_tiles(led.mapInArrow(_only_live, led.schema)))
+    near = meet(tiles.drop("slots"), led, tile_counts(tiles), tile_counts(led)).drop("block", "tile").mapInArrow(
         _smallest_leader(threshold), f"id {kind}, leader_id {kind}")
     heads = near.groupBy("id").agg(F.min("leader_id").alias("leader_id"))
     reps = rows.withColumnRenamed("id", "rep").join(heads.withColumnRenamed("id", "rep"), "rep").drop("rep")

@@ -98,6 +98,30 @@ def test_leader_clusters(spark, n):
     assert all(c[a, b] < 0.8 for a in heads for b in heads if a < b)
 
 
+@pytest.mark.parametrize("least, prefix, both", [(0.3, 8, False), (0.95, 8, True), (0.8, 40, False)])
+def test_leaders_of_a_scan_and_of_rounds_are_the_same(spark, tiling, monkeypatch, least, prefix, both):
+    """Rows of many neighbours are settled by scans of few rows, which meet leaders only; others by rounds."""
+    rows, df = vectors(spark, n=150)
+    c = np.round(cosines(rows), 6)
+    leader = {}
+    for i in range(len(rows)):
+        heads = [h for h in sorted(set(leader.values())) if c[i, h] >= least]
+        leader[i] = heads[0] if heads else i
+    sizes = {h: list(leader.values()).count(h) for h in set(leader.values())}
+    want = {i: (h, sizes[h]) for i, h in leader.items() if sizes[h] >= 2}
+    rounds, scans = [], []
+    monkeypatch.setattr(clusters, "PREFIX", prefix)
+    real, scanned = clusters._blockers, clusters._scanned
+    monkeypatch.setattr(clusters, "_blockers", lambda t: (rounds.append(t), real(t))[1])
+    monkeypatch.setattr(clusters, "_scanned", lambda *a: (scans.append(1), scanned(*a))[1])
+    assert {r.id: (r.leader_id, r["size"]) for r in clusters.leader_clusters(df, least).collect()} == want
+    assert scans and bool(rounds) == both
+    scans.clear()
+    clusters.leader_clusters(df.withColumn("id", F.greatest("id", F.lit(1))), least).count()  # an id that comes twice gives no order
+    assert not scans
+    assert clusters.leader_clusters(df.where("false"), least).count() == 0
+
+
 def test_tiers_and_one_to_one(spark):
     rows, df = vectors(spark)
     df = df.withColumns({"category_l1": F.col("cat"), "category_l2": (F.col("id") % 2).cast("string"),
