@@ -2,8 +2,8 @@
 
 A hash is packed into longs and cut into chunks. If two hashes differ in at most r bits, then in one chunk they differ in few: with m
 chunks and r = a * m + b, in at most a bits of one of the first b + 1 chunks or in fewer than a bits of another. So stored hashes
-meet by equal chunk values, and a probing hash asks for every value within its chunk's radius. Neighbouring bits of an image
-hash depend on each other, so a chunk takes every m-th bit. A bucket of many hashes is split by a second chunk, for which the
+meet by equal chunk values, and a probing hash asks for every value within its chunk's radius. Bits of an image hash that are
+neighbours or a row or period apart depend on each other, so a chunk takes bits from places drawn once for all. A bucket of many hashes is split by a second chunk, for which the
 same argument holds on the chunks that are left. Every pair is kept by its first chunk only, which needs no distinct afterwards.
 
 Equal hashes are one class: links are between classes, each named by its smallest id, and no group of copies is expanded into pairs.
@@ -11,9 +11,14 @@ Equal hashes are one class: links are between classes, each named by its smalles
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
+from random import Random
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from souklens.session import checkpointed
 
@@ -52,15 +57,32 @@ def useful(width: int, distance: int) -> bool:
     return any(probe_count(-(-width // 64) * 64, s, distance) <= min(4096, 2 ** s // 100) for s in SIZES)
 
 
-def packed(df: DataFrame, ident: str, bits: str, width: int, size: int) -> DataFrame:
-    """(id, c0, c1, ...): hashes of ``width`` bits as longs. Chunk i holds the bits i, i + m, i + 2m, ... and fills ``size`` places."""
+def places(width: int) -> list[int]:
+    """The bit that goes to each place of a packed hash, the same for every table."""
     whole = -(-width // 64) * 64
-    chunks = whole // size
-    order = [i + t * chunks for i in range(chunks) for t in range(size)]  # bit that goes to each place
-    longs = [F.aggregate(F.transform(F.lit(order[64 * w: 64 * w + 64]), lambda p: F.coalesce(F.get(F.col("_bits"), p), F.lit(0)).cast("long")), F.lit(0).cast("long"),
-                         lambda s, x: F.shiftleft(s, 1).bitwiseOR(x)).alias(f"c{w}") for w in range(whole // 64)]
-    rows = df.select(F.col(ident).alias("id"), F.col(bits).cast("array<int>").alias("_bits")).where((F.size("_bits") == width) & F.forall("_bits", lambda x: x.isNotNull()))
-    return rows.select("id", *longs)
+    return Random(whole).sample(range(whole), whole)
+
+
+def packed(df: DataFrame, ident: str, bits: str, width: int, size: int | None = None) -> DataFrame:
+    """(id, c0, c1, ...): hashes of ``width`` bits as longs, their bits in the order of ``places``; chunks of any ``size`` are neighbouring places.
+    Other rows are left out in the tasks: a filter would be pushed below the making of the bits, which would then be made once for each use in it."""
+    whole = -(-width // 64) * 64
+    order, names = np.array(places(width)), [f"c{w}" for w in range(whole // 64)]
+    rows = df.select(F.col(ident).alias("id"), F.col(bits).cast("array<int>").alias("_bits"))
+    kind = rows.schema["id"].dataType
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch["_bits"]), width), False))
+            own = batch["_bits"].flatten()
+            full = np.zeros((len(batch), whole), np.uint8)
+            full[:, :width] = own.fill_null(0).to_numpy().reshape(len(batch), width) & 1
+            known = ~own.is_null().to_numpy(zero_copy_only=False).reshape(len(batch), width).any(axis=1)
+            batch, full = batch.filter(pa.array(known)), full[known]
+            longs = np.ascontiguousarray(np.packbits(full[:, order], axis=1)).view(">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["id"], *map(pa.array, longs.T)], names=["id", *names])
+
+    return rows.mapInArrow(work, T.StructType([T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in names]]))
 
 
 def _chunk(i: int, size: int, column) -> Column:
@@ -140,16 +162,14 @@ def _percent(distance: Column, width: int) -> Column:
 
 
 def _prepared(df: DataFrame, ident: str, bits: str, width: int, distance: int) -> tuple[DataFrame, int]:
-    """Classes of one side as a written table, packed in the chunk size that suits their number."""
-    codes = df.select(F.col(ident).alias("id"), F.col(bits).alias("bits"))
-    n = codes.count()
-    size = chunk_size(-(-width // 64) * 64, distance, n)
-    return checkpointed(packed(codes, "id", "bits", width, size)), size
+    """Classes of one side as a written table, and the chunk size that suits their number."""
+    codes = checkpointed(packed(df, ident, bits, width))
+    return codes, chunk_size(-(-width // 64) * 64, distance, codes.count())
 
 
 def hash_classes(df: DataFrame, *, ident: str = "id", bits: str = "bits", width: int = 256) -> DataFrame:
     """(id, class_id): the smallest id with the same hash. Rows without a hash of ``width`` bits have no class."""
-    codes = packed(df, ident, bits, width, 16)
+    codes = packed(df, ident, bits, width)
     of = classes(codes).withColumnRenamed("id", "class_id").drop("copies")
     return codes.join(of, [c for c in codes.columns if c != "id"]).select("id", "class_id")
 
@@ -169,9 +189,10 @@ def close_hashes(a: DataFrame, b: DataFrame, max_distance: int, *, ident: str =
     """(left_id, right_id, distance) of rows of ``a`` and ``b`` that differ in at most ``max_distance`` bits. Every copy of a hash has a row
     here; ``hash_links`` has one for each two classes."""
     stored, size = _prepared(b, ident, bits, width, max_distance)
-    probing = checkpointed(packed(a, ident, bits, width, size))
+    probing = stored if a is b else checkpointed(packed(a, ident, bits, width))
     longs = [c for c in stored.columns if c != "id"]
-    left, right = (checkpointed(classes(x).drop("copies")) for x in (probing, stored))
+    right = checkpointed(classes(stored).drop("copies"))
+    left = right if a is b else checkpointed(classes(probing).drop("copies"))
     pairs = close_pairs(right, left, width, size, max_distance).withColumnsRenamed({"left_id": "_l", "right_id": "_r"})
     members = lambda rows, of, s: rows.join(of.withColumnRenamed("id", f"_{s[0]}"), longs).select(F.col("id").alias(f"{s}_id"), f"_{s[0]}")
     found = pairs.join(members(probing, left, "left"), "_l").join(members(stored, right, "right"), "_r")

@@ -277,7 +277,8 @@ def images(c):
 @query("j21_hamming_join_256", f"""with {IMAGES}
 select left_id, right_id, cast(distance as int) as distance, {R("(1 - distance / 256.0::double) * 100", 1)} as similarity_percent from apart where distance <= 20""")
 def _(c):
-    return s.hamming_join(images(c), images(c), 20, width=256, ordered=True)
+    rows = images(c)
+    return s.hamming_join(rows, rows, 20, width=256, ordered=True)
 
 
 @query("j21_hash_links", f"""with {IMAGES},

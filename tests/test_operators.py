@@ -276,6 +276,36 @@ def test_chunks_of_a_hash_follow_the_number_of_hashes():
     assert hashes.useful(256, 20) and not hashes.useful(64, 20)
 
 
+def test_chunks_tell_hashes_apart_that_repeat_after_a_period(spark):
+    """Where bits repeat every 64 places, a chunk of every 16th bit held four different ones, and unrelated hashes shared its few values."""
+    rng = np.random.default_rng(5)
+    codes = np.tile(rng.integers(0, 2, (3000, 64)), (1, 4))
+    df = spark.createDataFrame([(i, [int(b) for b in c]) for i, c in enumerate(codes)], "id long, bits array<int>")
+    row = hashes.packed(df, "id", "bits", 256).collect()
+    longs = np.array([[r[f"c{w}"] for w in range(4)] for r in row], np.int64).view(np.uint64)
+    of = {r.id: int(np.bitwise_count(x).sum()) for r, x in zip(row, longs)}
+    assert of == {i: int(c.sum()) for i, c in enumerate(codes)}
+    for i in range(16):
+        chunk = (longs[:, i // 4] >> np.uint64(48 - 16 * (i % 4))) & np.uint64(0xFFFF)
+        assert np.bincount(np.unique(chunk, return_inverse=True)[1]).max() < 60  # 3000 / 16 at best with four bits
+
+
+def test_rows_without_a_hash_of_the_width_are_left_out(spark):
+    df = spark.createDataFrame([(1, [1] * 70), (2, [0] * 69 + [None]), (3, None), (4, [1] * 71), (None, [0] * 70), (6, [])], "id long, bits array<int>")
+    got = {r.id: [r.c0, r.c1] for r in hashes.packed(df, "id", "bits", 70).collect()}
+    assert set(got) == {1, None} and got[None] == [0, 0] and sum((x & (1 << 64) - 1).bit_count() for x in got[1]) == 70
+    assert hashes.packed(df.where("id = 3"), "id", "bits", 70).count() == 0
+
+
+def test_a_hash_join_of_a_table_with_itself_makes_its_bits_once(spark, monkeypatch):
+    made = []
+    real = hashes.packed
+    monkeypatch.setattr(hashes, "packed", lambda *a: (made.append(1), real(*a))[1])
+    df = spark.createDataFrame([(i, [int(x) for x in f"{i:0256b}"]) for i in (0, 1, 3, 255)], "id long, bits array<int>")
+    assert {(r.left_id, r.right_id, r.distance) for r in similarity.hamming_join(df, df, 1, width=256, ordered=True).collect()} == {(0, 1, 1), (1, 3, 1)}
+    assert len(made) == 1
+
+
 def test_wide_hashes_never_meet_all_pairs(spark):
     df = spark.createDataFrame([(i, [i >> k & 1 for k in range(8)] * 32) for i in range(50)], "id long, bits array<int>")
     plan = similarity.hamming_join(df, df, 20, width=256, ordered=True)._jdf.queryExecution().toString()
