@@ -8,7 +8,7 @@ from souklens.functions import vectors as v
 from souklens.operators import clusters as cl, edges as e, hashes as h, similarity as s
 from souklens.operators.vector_index import VectorIndex
 from souklens.plans.registry import TEST_THRESHOLD as T, matches, query, sql_round as R
-from souklens.session import checkpointed, scratch_path
+from souklens.session import checkpointed, dealt, scratch_path
 
 COS = "round(list_cosine_similarity({a}.embedding::double[], {b}.embedding::double[]), 6)"
 SIM = COS.format(a="a", b="b")
@@ -264,7 +264,8 @@ def images(c):
     e = c.table("embeddings")
     own = F.when(F.col("vec_id") % 15 == 4, F.col("vec_id") - 1).otherwise(F.col("vec_id"))
     rows = e.select(F.col("vec_id").alias("id"), own.alias("own"), (F.col("vec_id") - F.col("vec_id") % 5).alias("base"))
-    with_base = rows.join(e.select(F.col("vec_id").alias("base"), F.col("embedding").alias("px")), "base")
+    # The pixels are most of the work, and a join of tables that are small in bytes leaves them to few tasks.
+    with_base = dealt(rows.join(e.select(F.col("vec_id").alias("base"), F.col("embedding").alias("px")), "base"), "id")
 
     def pixel(k):
         turned = lambda odd: F.when(odd, -1).otherwise(1)
